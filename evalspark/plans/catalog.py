@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators import accuracy, composite, latency, outcomes, perplexity
+from evalspark.operators import accuracy, composite, latency, loglik, ngram, outcomes, perplexity
 from evalspark.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,47 @@ def q_token_estimate(spark, sf):
                  F.count(F.lit(1)).alias("n_docs")))
 
 
+def _lookup_counts(tok: DataFrame) -> DataFrame:
+    return (tok.groupBy("run_id", "model_id", "outcome")
+            .agg(F.count(F.lit(1)).alias("n"), r6(F.sum("logprob")).alias("sum_logprob")))
+
+
+def q_token_logprob_lookup(spark, sf):
+    tokens = loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id)
+    return _lookup_counts(loglik.lookup_long(tokens, fx.ngram_candidates(spark, sf)))
+
+
+def q_token_logprob_lookup_nested(spark, sf):
+    tokens = loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id)
+    responses = ngram.nested_responses(fx.ngram_candidates(spark, sf))
+    with_resp = tokens.join(responses, ["model_id", "prefix_id"], "left")
+    return _lookup_counts(loglik.lookup_nested(with_resp))
+
+
+def q_request_loglik(spark, sf):
+    req = fx.document_requests(spark, sf)
+    tok = loglik.lookup_long(loglik.request_tokens(req, fx.token_id), fx.ngram_candidates(spark, sf))
+    s = loglik.score_requests(tok, req)
+    return s.select("run_id", "model_id", "request_id", r6("loglik").alias("loglik"), "is_greedy", "n_tokens")
+
+
+def q_choice_accuracy(spark, sf):
+    req = fx.benchmark_choice_requests(spark, sf, fx.models(spark, sf))
+    tok = loglik.lookup_long(loglik.request_tokens(req, fx.token_id), fx.ngram_candidates(spark, sf))
+    ll = loglik.score_requests(tok, req)
+    gold = req.select("doc_id").distinct().withColumn("gold", F.lit(0))
+    items = accuracy.choice_accuracy(ll, gold)
+    return (items.groupBy("run_id", "model_id")
+            .agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("correct") == 1).alias("n_correct"),
+                 r6(F.avg("correct")).alias("acc")))
+
+
+def q_token_perplexity(spark, sf):
+    lp = fx.unigram_token_logprobs(spark, sf)
+    p = perplexity.token_perplexity(lp, keys=["model_id"], logprob="logprob", weight="count")
+    return p.select("model_id", r6("ppl").alias("ppl"), r6("ppl_se").alias("ppl_se"), "n_tokens")
+
+
 QUERIES: dict[str, QueryFn] = {
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
@@ -171,4 +212,9 @@ QUERIES: dict[str, QueryFn] = {
     "ppl_log_parse": q_ppl_log_parse,
     "ppl_summary": q_ppl_summary,
     "token_estimate": q_token_estimate,
+    "token_logprob_lookup": q_token_logprob_lookup,
+    "token_logprob_lookup_nested": q_token_logprob_lookup_nested,
+    "request_loglik": q_request_loglik,
+    "choice_accuracy": q_choice_accuracy,
+    "token_perplexity": q_token_perplexity,
 }

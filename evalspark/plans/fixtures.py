@@ -276,3 +276,24 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>"))
         .otherwise(F.array(F.concat(F.lit("--type="), F.lower(F.col("p_type"))))).alias("flags"),
     )
+
+
+# ---- scoring tables (stand-in bigram scorer) ------------------------------------------------
+
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-50 bigram candidates per (model = source, previous word), generated token at position 0."""
+    from evalspark.operators import ngram
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "text")
+    pairs = ngram.bigrams(docs, words(F.col("text")))
+    return ngram.top_k_candidates(pairs, token_id)
+
+
+def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model_id, word, count, logprob): word occurrences pre-aggregated per source, with the
+    unigram log-probability ``ln(count(word) / all words)`` over all documents."""
+    occ = word_occurrences(spark, sf_dir)
+    per_model = occ.groupBy("model_id", "word").agg(F.count(F.lit(1)).alias("count"))
+    uni = per_model.groupBy("word").agg(F.sum("count").alias("_c"))
+    total = uni.select(F.sum("_c")).scalar()
+    vocab = uni.select("word", F.log(F.col("_c").cast("double") / total.cast("double")).alias("logprob"))
+    return per_model.join(vocab, "word", "inner")

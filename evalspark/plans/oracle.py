@@ -279,6 +279,117 @@ SELECT source AS model_id, CAST(sum(floor(length(text) / 4)) AS BIGINT) AS est_t
 FROM documents GROUP BY source"""
 
 
+# ---- scoring (bigram stand-in) ---------------------------------------------------------------
+
+WORDS = "list_filter(string_split_regex(lower({t}), '[ \\n]+'), lambda w: length(w) > 0)"
+# Python's str.strip() white space set, for the normalised-text branch (NFC stands in for NFKC)
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+
+
+def tid(x: str) -> str:
+    return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
+
+
+def nrm(x: str) -> str:
+    return f"trim(nfc_normalize(coalesce({x}, '')), {_WS})"
+
+
+CANDS = f"""docs AS (SELECT doc_id, source AS model_id, {WORDS.format(t='text')} AS w FROM documents),
+pairs AS (SELECT model_id, w[i] AS prev, w[i + 1] AS nxt
+          FROM (SELECT model_id, w, unnest(range(1, len(w))) AS i FROM docs)),
+counts AS (SELECT model_id, prev, nxt, count(*) AS n FROM pairs GROUP BY ALL),
+totals AS (SELECT model_id, prev, count(*) AS n_prev FROM pairs GROUP BY ALL),
+ranked AS (SELECT c.*, t.n_prev,
+                  row_number() OVER (PARTITION BY c.model_id, c.prev ORDER BY c.n DESC, c.nxt) AS cand_pos
+           FROM counts c JOIN totals t USING (model_id, prev)),
+top AS (SELECT model_id, {tid('prev')} AS prefix_id, cand_pos, {tid('nxt')} AS cand_id, nxt AS cand_token,
+               ln(CAST(n AS DOUBLE) / CAST(n_prev AS DOUBLE)) AS lp
+        FROM ranked WHERE cand_pos <= 50),
+cands AS (SELECT * FROM top UNION ALL
+          SELECT model_id, prefix_id, 0 AS cand_pos, cand_id, cand_token, lp FROM top WHERE cand_pos = 1),
+by_id AS (SELECT model_id, prefix_id, cand_id AS target_id, min(cand_pos) AS prio, arg_min(lp, cand_pos) AS lp
+          FROM cands GROUP BY ALL),
+by_tx AS (SELECT model_id, prefix_id, {nrm('cand_token')} AS nrm, min(cand_pos) AS prio,
+                 arg_min(lp, cand_pos) AS lp
+          FROM cands GROUP BY ALL)"""
+
+
+def lookup(toks: str) -> str:
+    return f"""lk AS (
+  SELECT t.*, bi.prio AS id_prio, bi.lp AS id_lp,
+         CASE WHEN {nrm('t.target_text')} <> '' THEN bt.prio END AS tx_prio,
+         CASE WHEN {nrm('t.target_text')} <> '' THEN bt.lp END AS tx_lp
+  FROM {toks} t
+  LEFT JOIN by_id bi ON bi.model_id = t.model_id AND bi.prefix_id = t.prefix_id AND bi.target_id = t.target_id
+  LEFT JOIN by_tx bt ON bt.model_id = t.model_id AND bt.prefix_id = t.prefix_id AND bt.nrm = {nrm('t.target_text')}),
+res AS (
+  SELECT *, CASE WHEN id_prio IS NOT NULL THEN id_prio ELSE tx_prio END AS prio,
+         coalesce(CASE WHEN id_prio IS NOT NULL THEN id_lp ELSE tx_lp END, -100.0::DOUBLE) AS logprob
+  FROM lk)"""
+
+
+DOC_TOKENS = f"""toks AS (
+  SELECT 'r0' AS run_id, model_id, doc_id AS request_id, i - 1 AS pos, {tid('w[i]')} AS prefix_id,
+         {tid('w[i + 1]')} AS target_id, w[i + 1] AS target_text
+  FROM (SELECT model_id, doc_id, w, unnest(range(1, len(w))) AS i FROM docs))"""
+
+
+def token_logprob_lookup() -> str:
+    return f"""
+WITH {CANDS}, {DOC_TOKENS}, {lookup('toks')}
+SELECT run_id, model_id, CASE WHEN prio IS NULL THEN 'floor' WHEN prio = 0 THEN 'greedy' ELSE 'candidate' END
+         AS outcome, count(*) AS n, round(sum(logprob), 6) AS sum_logprob
+FROM res GROUP BY ALL"""
+
+
+def request_loglik() -> str:
+    return f"""
+WITH {CANDS}, {DOC_TOKENS}, {lookup('toks')},
+agg AS (SELECT model_id, request_id, sum(logprob) AS ll, bool_and(coalesce(prio = 0, false)) AS g, count(*) AS n
+        FROM res GROUP BY ALL)
+SELECT 'r0' AS run_id, d.model_id, d.doc_id AS request_id, round(coalesce(a.ll, 0.0), 6) AS loglik,
+       coalesce(a.g, true) AS is_greedy, CAST(coalesce(a.n, 0) AS BIGINT) AS n_tokens
+FROM docs d LEFT JOIN agg a ON a.model_id = d.model_id AND a.request_id = d.doc_id"""
+
+
+def choice_accuracy() -> str:
+    return f"""
+WITH {CANDS}, {MODELS},
+bench AS (SELECT item_id, {WORDS.format(t='text')} AS w FROM benchmark),
+parts AS (SELECT item_id, CAST(floor(len(w) / 2) AS BIGINT) AS h, w FROM bench),
+parts2 AS (SELECT item_id, list_slice(w, 1, h) AS head, list_slice(w, h + 1, len(w)) AS tail FROM parts),
+nitems AS (SELECT count(*) AS n FROM benchmark),
+creq AS (
+  SELECT m.model_id, p.item_id, c.choice_no, p.head, t.tail
+  FROM parts2 p CROSS JOIN (SELECT unnest(range(4)) AS choice_no) c CROSS JOIN nitems
+  JOIN parts2 t ON t.item_id = (p.item_id + c.choice_no) % nitems.n
+  CROSS JOIN models m),
+ctoks AS (
+  SELECT model_id, item_id, choice_no, j - 1 AS pos,
+         {tid("CASE WHEN j = 1 THEN (CASE WHEN len(head) > 0 THEN head[len(head)] END) ELSE tail[j - 1] END")}
+           AS prefix_id,
+         {tid('tail[j]')} AS target_id, tail[j] AS target_text
+  FROM (SELECT *, unnest(range(1, len(tail) + 1)) AS j FROM creq)),
+{lookup('ctoks')},
+agg AS (SELECT model_id, item_id, choice_no, sum(logprob) AS ll FROM res GROUP BY ALL),
+ll AS (SELECT r.model_id, r.item_id, r.choice_no, coalesce(a.ll, 0.0) AS ll
+       FROM creq r LEFT JOIN agg a USING (model_id, item_id, choice_no)),
+pred AS (SELECT model_id, item_id, arg_max(choice_no, (ll, -choice_no)) AS pred FROM ll GROUP BY ALL)
+SELECT 'r0' AS run_id, model_id, count(*) AS n_items, count_if(pred = 0) AS n_correct,
+       round(avg(CASE WHEN pred = 0 THEN 1.0 ELSE 0.0 END), 6) AS acc
+FROM pred GROUP BY ALL"""
+
+
+TOKEN_PERPLEXITY = f"""
+WITH occ AS (SELECT source AS model_id, unnest({WORDS.format(t='text')}) AS word FROM documents),
+uni AS (SELECT word, count(*) AS c FROM occ GROUP BY word),
+tot AS (SELECT sum(c) AS total FROM uni),
+lp AS (SELECT word, ln(CAST(c AS DOUBLE) / CAST(total AS DOUBLE)) AS lp FROM uni CROSS JOIN tot)
+SELECT model_id, round(exp(-avg(lp)), 6) AS ppl, round(exp(-avg(lp)) * stddev_samp(lp) / sqrt(count(*)), 6) AS ppl_se,
+       count(*) AS n_tokens
+FROM occ JOIN lp USING (word) GROUP BY model_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "composite_leaderboard": composite_leaderboard(),
@@ -297,4 +408,9 @@ def oracle_sql() -> dict[str, str]:
         "ppl_log_parse": ppl_log_parse(),
         "ppl_summary": ppl_summary(),
         "token_estimate": TOKEN_ESTIMATE,
+        "token_logprob_lookup": token_logprob_lookup(),
+        "token_logprob_lookup_nested": token_logprob_lookup(),
+        "request_loglik": request_loglik(),
+        "choice_accuracy": choice_accuracy(),
+        "token_perplexity": TOKEN_PERPLEXITY,
     }
