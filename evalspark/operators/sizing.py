@@ -20,3 +20,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition when the scan yields fewer partitions than the cluster has cores.
+
+    A table stored as one large row group is read by one task; CPU-heavy row work
+    (tokenising text, parsing logs) after it would run on one core. On a large
+    input with many splits this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism \
+        else df

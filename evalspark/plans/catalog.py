@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators import accuracy, composite, latency, loglik, ngram, outcomes, perplexity
+from evalspark.functions import text as T
+from evalspark.operators import accuracy, composite, latency, loglik, matrices, ngram, outcomes, perplexity
+from evalspark.sources import metrics, registry
 from evalspark.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +197,67 @@ def q_token_perplexity(spark, sf):
     return p.select("model_id", r6("ppl").alias("ppl"), r6("ppl_se").alias("ppl_se"), "n_tokens")
 
 
+def _subjects(spark, sf):
+    return accuracy.subject_and_model_accuracy(fx.item_results(spark, sf))
+
+
+def q_subject_spread(spark, sf):
+    s = matrices.subject_spread(_subjects(spark, sf))
+    return s.select("run_id", "subject", r6("spread").alias("spread"), "n_models", "flagged")
+
+
+def q_subject_matrix(spark, sf):
+    m = matrices.subject_matrix_long(_subjects(spark, sf))
+    return m.select("run_id", "subject", "model_id", r6("acc").alias("acc"))
+
+
+def _metric_docs(spark, sf):
+    res = _subjects(spark, sf)
+    subj = res.filter(~F.col("is_overall"))
+    overall = res.filter(F.col("is_overall"))
+    return metrics.parse_metrics(metrics.render_metrics(subj, overall))
+
+
+def q_metrics_task_summary(spark, sf):
+    s = metrics.task_summary(_metric_docs(spark, sf), "mmlu")
+    return s.select("run_id", "model_id", r6("score").alias("score"), r6("score_stderr").alias("score_stderr"),
+                    "n_samples", "error")
+
+
+def q_metrics_subjects(spark, sf):
+    s = metrics.subject_accuracy_from_metrics(_metric_docs(spark, sf))
+    return s.select("run_id", "model_id", "subject", r6("acc").alias("acc"))
+
+
+def q_registry_flatten(spark, sf):
+    m = registry.resolve_models(fx.registry_entries(spark, sf))
+    return m.select("run_id", "ordinal", "model_id", "label", "resolved_path",
+                    F.array_join("flags", " ").alias("flags"))
+
+
+def q_registry_violations(spark, sf):
+    return registry.registry_violations(fx.registry_entries(spark, sf))
+
+
+def q_run_option_violations(spark, sf):
+    return registry.run_option_violations(fx.run_options_table(spark, sf))
+
+
+# Fixed value of the generation recipe: stop sequences of the short-answer task.
+GEN_STOPS = [" ", "\n", ","]
+
+
+def q_generation_exact_match(spark, sf):
+    g = fx.generations(spark, sf)
+    text, missing = T.placeholder(T.stop_cut(F.col("generated"), GEN_STOPS))
+    g = g.withColumn("answer", F.lower(text)).withColumn("is_placeholder", missing)
+    return (g.groupBy("run_id", "model_id")
+            .agg(F.count(F.lit(1)).alias("n_prompts"),
+                 F.count_if(F.col("answer") == F.col("gold")).alias("n_exact"),
+                 r6(F.avg((F.col("answer") == F.col("gold")).cast("double"))).alias("exact_match"),
+                 F.count_if("is_placeholder").alias("n_placeholder")))
+
+
 QUERIES: dict[str, QueryFn] = {
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
@@ -217,4 +280,12 @@ QUERIES: dict[str, QueryFn] = {
     "request_loglik": q_request_loglik,
     "choice_accuracy": q_choice_accuracy,
     "token_perplexity": q_token_perplexity,
+    "subject_spread": q_subject_spread,
+    "subject_matrix": q_subject_matrix,
+    "metrics_task_summary": q_metrics_task_summary,
+    "metrics_subjects": q_metrics_subjects,
+    "registry_flatten": q_registry_flatten,
+    "registry_violations": q_registry_violations,
+    "run_option_violations": q_run_option_violations,
+    "generation_exact_match": q_generation_exact_match,
 }

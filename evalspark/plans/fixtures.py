@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.sizing import broadcast_if_small
+from evalspark.operators.sizing import broadcast_if_small, spread
 
 RUN_ID = "r0"
 N_MODELS = 20
@@ -185,13 +185,17 @@ def words(text: Column) -> Column:
 
 
 def token_id(word: Column) -> Column:
-    """Stable 60-bit token id: the first 15 hex digits of md5(word)."""
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
+    """Token id of a word: a 64-bit hash of its text (NULL word -> NULL id).
+
+    Ids only have to be equal for equal texts within one engine; the SQL twin
+    uses md5 digits instead.
+    """
+    return F.when(word.isNotNull(), F.xxhash64(word))
 
 
 def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model_id = source, word) per occurrence over the whole documents."""
-    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return docs.select(F.col("source").alias("model_id"), F.explode(words(F.col("text"))).alias("word"))
 
 
@@ -200,7 +204,7 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     request_id = doc_id, context = first word, continuation = the remaining words.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     w = words(F.col("text"))
     return docs.select(run_col(), F.col("source").alias("model_id"), F.col("doc_id").alias("request_id"),
                        F.col("doc_id"), F.lit(0).alias("choice_no"),
@@ -238,7 +242,7 @@ def benchmark_choice_requests(spark: SparkSession, sf_dir: str, models_df: DataF
 # ---- generations ----------------------------------------------------------------------------
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt = user turn, generation = the next assistant turn, gold = that turn's first line.
+    """Prompt = user turn, generation = the next assistant turn, gold = first word of the prompt.
 
     Prompts without a following assistant turn keep a NULL generation (placeholder case).
     """
@@ -249,7 +253,21 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = users.join(assistants, ["conv_id", "turn"], "left")
     return joined.select(run_col(), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn", "prompt",
                          "generated",
-                         F.split(F.col("prompt"), "\n", 2).getItem(0).alias("gold"))
+                         F.lower(F.split(F.trim(F.col("prompt")), " ").getItem(0)).alias("gold"))
+
+
+def run_options_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One options row per user of ``events`` (runs), some out of range or unknown."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    u = F.col("user_id")
+    return users.select(
+        F.concat(F.lit("u"), u.cast("string")).alias("run_id"),
+        ((u % 13).cast("double") / 10.0).alias("weights_mmlu"),
+        ((u % 7).cast("double") / 5.0).alias("weights_ppl"),
+        F.when(u % 3 == 0, "mmlu").when(u % 3 == 1, "mmlu_generative").otherwise("mmlu_pro").alias("mmlu_task"),
+        (u % 5 == 0).alias("skip_mmlu"),
+        F.element_at(F.array(*[F.lit(x) for x in ("f16", "no-cache", "off", "q8")]),
+                     (u % 4 + 1).cast("int")).alias("coding_kv_fix"))
 
 
 # ---- registry -------------------------------------------------------------------------------
@@ -264,7 +282,8 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     g = (F.col("p_size") % 3).cast("int")
     brand_no = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1)
-    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(".gguf"))
+    suffix = F.when(F.col("p_partkey") % 7 == 0, F.lit(".bin")).otherwise(F.lit(".gguf"))
+    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), suffix)
     return part.select(
         F.col("p_brand").alias("run_id"),
         g.alias("group_pos"),
@@ -283,7 +302,7 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-50 bigram candidates per (model = source, previous word), generated token at position 0."""
     from evalspark.operators import ngram
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "text"))
     pairs = ngram.bigrams(docs, words(F.col("text")))
     return ngram.top_k_candidates(pairs, token_id)
 

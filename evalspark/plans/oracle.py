@@ -390,6 +390,118 @@ SELECT model_id, round(exp(-avg(lp)), 6) AS ppl, round(exp(-avg(lp)) * stddev_sa
 FROM occ JOIN lp USING (word) GROUP BY model_id"""
 
 
+SUBJ = """subj AS (SELECT run_id, model_id, subject, avg(correct) AS acc FROM items GROUP BY ALL)"""
+
+
+def subject_spread() -> str:
+    return f"""
+WITH {ITEMS}, {SUBJ},
+runm AS (SELECT run_id, count(DISTINCT model_id) AS n_run_models FROM subj GROUP BY run_id),
+per AS (SELECT run_id, subject, max(acc) - min(acc) AS spread, count(DISTINCT model_id) AS n_models
+        FROM subj GROUP BY ALL)
+SELECT p.run_id, p.subject, round(spread, 6) AS spread, n_models, spread >= 0.04 AS flagged
+FROM per p JOIN runm USING (run_id) WHERE n_models >= 2 AND n_run_models >= 2"""
+
+
+def subject_matrix() -> str:
+    return f"""
+WITH {ITEMS}, {SUBJ},
+runm AS (SELECT run_id, count(DISTINCT model_id) AS n_run_models FROM subj GROUP BY run_id),
+kept AS (SELECT run_id, subject FROM subj JOIN runm USING (run_id) GROUP BY run_id, subject, n_run_models
+         HAVING count(DISTINCT model_id) >= 2 AND n_run_models >= 2),
+models AS (SELECT DISTINCT run_id, model_id FROM subj)
+SELECT k.run_id, k.subject, m.model_id, round(s.acc, 6) AS acc
+FROM kept k JOIN models m ON k.run_id = m.run_id
+LEFT JOIN subj s ON s.run_id = k.run_id AND s.subject = k.subject AND s.model_id = m.model_id"""
+
+
+def metrics_task_summary() -> str:
+    return f"""
+WITH {ITEMS}
+SELECT run_id, model_id, round(avg(correct), 6) AS score,
+       round(stddev_samp(correct) / sqrt(count(correct)), 6) AS score_stderr,
+       CAST(count(correct) AS BIGINT) AS n_samples, CAST(NULL AS VARCHAR) AS error
+FROM items GROUP BY ALL"""
+
+
+def metrics_subjects() -> str:
+    return f"""
+WITH {ITEMS}
+SELECT run_id, model_id, subject, round(avg(correct), 6) AS acc FROM items GROUP BY ALL"""
+
+
+REG_ENTRIES = """e AS (
+  SELECT p_brand AS run_id, p_size % 3 AS g, regexp_extract(p_brand, '(\\d+)$', 1) AS bno, p_partkey, p_type,
+         replace(p_name, ' ', '_') || CASE WHEN p_partkey % 7 = 0 THEN '.bin' ELSE '.gguf' END AS name
+  FROM part),
+e2 AS (
+  SELECT run_id, g AS group_pos, '/tok/b' || bno || '/g' || CAST(g AS VARCHAR) AS tokenizer,
+         CASE WHEN g <> 0 THEN '/models/b' || bno END AS models_dir,
+         ['--ctx=' || CAST(1024 * (g + 1) AS VARCHAR)] AS group_flags, CAST(p_partkey AS BIGINT) AS model_pos,
+         CASE WHEN g = 2 THEN '/abs/' || name ELSE name END AS path,
+         CASE WHEN p_partkey % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['--type=' || lower(p_type)] END AS flags
+  FROM e),
+r AS (
+  SELECT *, CASE WHEN path LIKE '/%' THEN path ELSE coalesce(models_dir, tokenizer) || '/' || path END AS rp
+  FROM e2)"""
+
+
+def registry_flatten() -> str:
+    label = "string_split(rp, '/')[-1]"
+    stem = f"regexp_replace({label}, '^(.+)\\.[^.]*$', '\\1')"
+    slug = f"regexp_replace(regexp_replace({stem}, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')"
+    return f"""
+WITH {REG_ENTRIES}
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY group_pos, model_pos) AS BIGINT) AS ordinal,
+       coalesce(nullif({slug}, ''), 'model') AS model_id, {label} AS label, rp AS resolved_path,
+       array_to_string(CASE WHEN len(flags) > 0 THEN flags ELSE coalesce(group_flags, []) END, ' ') AS flags
+FROM r"""
+
+
+def registry_violations() -> str:
+    return f"""
+WITH {REG_ENTRIES},
+d AS (SELECT *, count(*) OVER (PARTITION BY run_id, rp) AS dups FROM r),
+v AS (
+  SELECT run_id, group_pos, model_pos, rp AS detail, 'not_gguf' AS rule FROM d
+  WHERE path IS NOT NULL AND NOT lower(path) LIKE '%.gguf'
+  UNION ALL
+  SELECT run_id, group_pos, model_pos, rp, 'duplicate_path' FROM d WHERE path IS NOT NULL AND dups > 1
+  UNION ALL
+  SELECT run_id, group_pos, model_pos, rp, 'tokenizer_required' FROM d WHERE coalesce(tokenizer, '') = ''
+  UNION ALL
+  SELECT run_id, group_pos, model_pos, rp, 'path_required' FROM d WHERE coalesce(path, '') = '')
+SELECT * FROM v"""
+
+
+RUN_OPTION_VIOLATIONS = """
+WITH u AS (SELECT DISTINCT user_id FROM events),
+o AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id, CAST(user_id % 13 AS DOUBLE) / 10.0 AS weights_mmlu,
+         CAST(user_id % 7 AS DOUBLE) / 5.0 AS weights_ppl,
+         CASE WHEN user_id % 3 = 0 THEN 'mmlu' WHEN user_id % 3 = 1 THEN 'mmlu_generative' ELSE 'mmlu_pro' END
+           AS mmlu_task,
+         user_id % 5 = 0 AS skip_mmlu, ['f16', 'no-cache', 'off', 'q8'][user_id % 4 + 1] AS coding_kv_fix
+  FROM u)
+SELECT run_id, 'weights_mmlu_range' AS rule FROM o WHERE NOT (weights_mmlu BETWEEN 0.0 AND 1.0)
+UNION ALL SELECT run_id, 'weights_ppl_range' FROM o WHERE NOT (weights_ppl BETWEEN 0.0 AND 1.0)
+UNION ALL SELECT run_id, 'unknown_task' FROM o WHERE NOT skip_mmlu AND mmlu_task NOT IN ('mmlu', 'mmlu_generative')
+UNION ALL SELECT run_id, 'unknown_kv_fix' FROM o WHERE coding_kv_fix NOT IN ('f16', 'no-cache', 'off')"""
+
+GENERATION_EXACT_MATCH = f"""
+WITH users AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
+asst AS (SELECT conv_id, turn - 1 AS turn, text AS generated FROM conversations WHERE role = 'assistant'),
+g AS (
+  SELECT 'r0' AS run_id, {model('u.conv_id')} AS model_id, lower(string_split(trim(u.prompt), ' ')[1]) AS gold,
+         a.generated IS NULL AS is_placeholder,
+         lower(coalesce(regexp_split_to_array(a.generated, ' |\\n|,')[1], '[no response]')) AS answer
+  FROM users u LEFT JOIN asst a USING (conv_id, turn))
+SELECT run_id, model_id, count(*) AS n_prompts, count_if(answer = gold) AS n_exact,
+       round(avg(CASE WHEN answer = gold THEN 1.0 ELSE 0.0 END), 6) AS exact_match,
+       count_if(is_placeholder) AS n_placeholder
+FROM g GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "composite_leaderboard": composite_leaderboard(),
@@ -413,4 +525,12 @@ def oracle_sql() -> dict[str, str]:
         "request_loglik": request_loglik(),
         "choice_accuracy": choice_accuracy(),
         "token_perplexity": TOKEN_PERPLEXITY,
+        "subject_spread": subject_spread(),
+        "subject_matrix": subject_matrix(),
+        "metrics_task_summary": metrics_task_summary(),
+        "metrics_subjects": metrics_subjects(),
+        "registry_flatten": registry_flatten(),
+        "registry_violations": registry_violations(),
+        "run_option_violations": RUN_OPTION_VIOLATIONS,
+        "generation_exact_match": GENERATION_EXACT_MATCH,
     }

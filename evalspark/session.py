@@ -20,7 +20,7 @@ _DEFAULTS = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "evalspark") -> SparkSession:
+              app_name: str = "evalspark", driver_memory: str | None = None) -> SparkSession:
     """Return the active session or build one (local runs and tests).
 
     On a cluster ``spark-submit`` supplies master and sizing; this helper only
@@ -32,6 +32,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory",
+                                     driver_memory or os.environ.get("EVALSPARK_DRIVER_MEMORY", "6g"))
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
