@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
 from evalspark.operators import accuracy, composite, latency, loglik, matrices, ngram, outcomes, perplexity
+from evalspark.sinks import report
 from evalspark.sources import metrics, registry
+from evalspark.streaming import jobs
 from evalspark.plans import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +260,52 @@ def q_generation_exact_match(spark, sf):
                  F.count_if("is_placeholder").alias("n_placeholder")))
 
 
+def q_leaderboard_display(spark, sf):
+    return report.leaderboard_display(leaderboard(spark, sf))
+
+
+def q_score_breakdown(spark, sf):
+    return report.model_details(leaderboard(spark, sf))
+
+
+def q_stream_request_latency(spark, sf):
+    folder = jobs.stream_folder(spark, "request-latency")
+    ev = jobs.file_stream(spark, f"{sf}/events.parquet", fx.table(spark, sf, "events"))
+    jobs.run_to_end(jobs.stream_request_latency(fx.chunks_from_events(ev), folder + "/out", folder + "/ckpt"))
+    per = jobs.finish_request_latency(spark, folder + "/out")
+    return per.select("run_id", "model_id", "request_id", "n_tokens", r6("ttft_ms").alias("ttft_ms"),
+                      r6("tok_s").alias("tok_s"))
+
+
+def q_stream_progress(spark, sf):
+    folder = jobs.stream_folder(spark, "progress")
+    li = jobs.file_stream(spark, f"{sf}/lineitem.parquet", fx.table(spark, sf, "lineitem"))
+    jobs.run_to_end(jobs.stream_progress(fx.result_file_events(li), folder + "/out", folder + "/ckpt"))
+    return jobs.latest_state(spark, folder + "/out", ["run", "language"])
+
+
+def q_stream_leaderboard(spark, sf):
+    folder = jobs.stream_folder(spark, "leaderboard")
+    labels = jobs.file_stream(spark, f"{sf}/labels.parquet", fx.table(spark, sf, "labels"))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang")
+    items = labels.join(docs, "doc_id", "inner").select(
+        fx.run_col(), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
+        F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
+    coding, ppl, models = coding_stage(spark, sf), fx.ppl_model_summary(spark, sf), fx.models(spark, sf)
+
+    def rebuild(all_items):
+        lb = composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, accuracy.group_accuracy(all_items),
+                                             coding, ppl)
+        return lb.select("run_id", "model_id", F.col("ordinal").cast("bigint").alias("ordinal"), "rank",
+                         r6("score").alias("score"), r6("score_ci_half").alias("score_ci_half"),
+                         "nonsignificant", F.array_join("missing_components", ",").alias("missing"),
+                         F.size("components").cast("bigint").alias("n_components"))
+
+    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/items", folder + "/out",
+                                            folder + "/ckpt"))
+    return spark.read.parquet(folder + "/out")
+
+
 QUERIES: dict[str, QueryFn] = {
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
@@ -288,4 +336,9 @@ QUERIES: dict[str, QueryFn] = {
     "registry_violations": q_registry_violations,
     "run_option_violations": q_run_option_violations,
     "generation_exact_match": q_generation_exact_match,
+    "leaderboard_display": q_leaderboard_display,
+    "score_breakdown": q_score_breakdown,
+    "stream_request_latency": q_stream_request_latency,
+    "stream_progress": q_stream_progress,
+    "stream_leaderboard": q_stream_leaderboard,
 }

@@ -98,6 +98,14 @@ def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = No
                       "prompt_tokens", "completion_tokens")
 
 
+def result_file_events(li: DataFrame) -> DataFrame:
+    """One result-file event per try row: run, language, exercise, mtime (works on a stream)."""
+    model = model_of(F.col("l_suppkey"))
+    run = F.concat(F.date_format(F.col("l_shipdate"), "yyyy"), F.lit("-01-01-00-00-00--"), model)
+    return li.select(run.alias("run"), F.col("l_linestatus").alias("language"),
+                     F.col("l_partkey").cast("string").alias("exercise"), F.col("l_shipdate").alias("mtime"))
+
+
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of result files: path, run, language, exercise, mtime.
 
@@ -130,7 +138,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = (user, day), start = midnight; errors carry an empty text; a
     purchase is the end marker of its request.
     """
-    ev = table(spark, sf_dir, "events")
+    return chunks_from_events(table(spark, sf_dir, "events"))
+
+
+def chunks_from_events(ev: DataFrame) -> DataFrame:
+    """The chunk projection of ``events`` rows (works on a stream as well)."""
     day = F.to_date("ts")
     return ev.select(
         run_col(), model_of(F.col("user_id")).alias("model_id"),

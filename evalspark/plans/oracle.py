@@ -502,6 +502,11 @@ SELECT run_id, model_id, count(*) AS n_prompts, count_if(answer = gold) AS n_exa
 FROM g GROUP BY ALL"""
 
 
+STREAM_PROGRESS = f"""
+WITH {FILES}
+SELECT run, language, count(*) AS done FROM files GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "composite_leaderboard": composite_leaderboard(),
@@ -533,4 +538,7 @@ def oracle_sql() -> dict[str, str]:
         "registry_violations": registry_violations(),
         "run_option_violations": RUN_OPTION_VIOLATIONS,
         "generation_exact_match": GENERATION_EXACT_MATCH,
+        "stream_request_latency": REQUEST_LATENCY,
+        "stream_progress": STREAM_PROGRESS,
+        "stream_leaderboard": composite_leaderboard(),
     }
