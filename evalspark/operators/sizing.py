@@ -29,6 +29,9 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     (tokenising text, parsing logs) after it would run on one core. On a large
     input with many splits this is a no-op.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism \
-        else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
+        return df
+    return df.repartition(cores * per_core) if n < cores else df

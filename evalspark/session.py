@@ -53,12 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fault-tolerant folder there). Only when it is unset — local tests — a scratch
     folder is created and registered.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the cluster's setting is all there is
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        # only for local runs and tests: a scratch folder on this machine
         conf_dir = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         os.makedirs(conf_dir, exist_ok=True)
     sc.setCheckpointDir(conf_dir)
