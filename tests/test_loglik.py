@@ -72,3 +72,13 @@ def test_choice_accuracy_ties_pick_first(spark):
     gold = spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, gold int")
     out = {r["doc_id"]: r["correct"] for r in accuracy.choice_accuracy(ll, gold).collect()}
     assert out == {1: 1.0, 2: 0.0}
+
+
+def test_norm_token_col_matches_python(spark):
+    import unicodedata
+    from evalspark.functions.text import norm_token_col
+    samples = [" A", "\tb\r\n", "\x1cc\x1f", "ﬁne", " é ", "Ｆull", "", None, "x y", "\x0bz\x0c"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = [r[0] for r in df.select(norm_token_col(F.col("t"))).collect()]
+    want = ["" if s is None else unicodedata.normalize("NFKC", s).strip() for s in samples]
+    assert got == want
