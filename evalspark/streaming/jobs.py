@@ -9,11 +9,11 @@ the driver, and a restarted query resumes from its checkpoint.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,59 +60,61 @@ OUT_SCHEMA = ("run_id string, model_id string, request_id string, t_start timest
               "t_end timestamp_ntz, n_tokens long, closed boolean")
 
 
-def _min(a, b):
-    if a is None or pd.isna(a):
-        return b
-    if b is None or pd.isna(b):
-        return a
-    return min(a, b)
+_NAT = np.datetime64("NaT", "ns")
 
 
-def _max(a, b):
-    if a is None or pd.isna(a):
-        return b
-    if b is None or pd.isna(b):
-        return a
-    return max(a, b)
+def _ns(x) -> np.datetime64:
+    return _NAT if x is None or pd.isna(x) else np.datetime64(x, "ns")
+
+
+def _py(x):
+    return None if np.isnat(x) else pd.Timestamp(x).to_pydatetime()
 
 
 def _request_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per-request state: (start, first token, tokens, last kept chunk, end marker).
+
+    Arrays only (numpy), no per-row Python beyond the text-emptiness test.
+    """
     run_id, model_id, request_id = key
     if state.exists:
         t_start, t_first, n, t_last, t_end = state.get
+        t_start, t_first, t_last, t_end = _ns(t_start), _ns(t_first), _ns(t_last), _ns(t_end)
     else:
-        t_start = t_first = t_last = t_end = None
+        t_start = t_first = t_last = t_end = _NAT
         n = 0
-    if state.hasTimedOut:
-        closed = True
-    else:
-        closed = False
+    closed = bool(state.hasTimedOut)
+    if not closed:
         for pdf in pdfs:
-            ends = pdf.loc[pdf["is_end"].fillna(False).astype(bool), "ts"]
-            if len(ends):
-                t_end = _min(t_end, ends.min())
-            keep = pdf
-            if t_end is not None:
-                keep = pdf[(pdf["ts"] < t_end) | ((pdf["ts"] == t_end) & ~pdf["is_end"].astype(bool))]
-            tok = keep[~keep["is_end"].astype(bool) & (keep["delta"].fillna("").str.len() > 0)]
-            t_start = _min(t_start, pdf["t_start"].min())
-            if len(tok):
-                t_first = _min(t_first, tok["ts"].min())
-                n += int(len(tok))
-            if len(keep):
-                t_last = _max(t_last, keep["ts"].max())
-    out = pd.DataFrame([{
-        "run_id": run_id, "model_id": model_id, "request_id": request_id, "t_start": t_start,
-        "t_first": t_first, "t_end": t_end if t_end is not None else t_last, "n_tokens": n, "closed": closed}])
+            ts = pdf["ts"].to_numpy(dtype="datetime64[ns]")
+            is_end = pdf["is_end"].to_numpy(dtype=object)
+            is_end = np.fromiter((bool(e) if e is not None else False for e in is_end), bool, len(is_end))
+            delta = pdf["delta"].to_numpy(dtype=object)
+            has_text = np.fromiter((isinstance(d, str) and d != "" for d in delta), bool, len(delta))
+            if is_end.any():
+                e = ts[is_end].min()
+                t_end = e if np.isnat(t_end) else min(t_end, e)
+            keep = np.ones(len(ts), bool) if np.isnat(t_end) else (ts < t_end) | ((ts == t_end) & ~is_end)
+            tok = keep & ~is_end & has_text
+            st = pdf["t_start"].to_numpy(dtype="datetime64[ns]").min()
+            t_start = st if np.isnat(t_start) else min(t_start, st)
+            if tok.any():
+                f = ts[tok].min()
+                t_first = f if np.isnat(t_first) else min(t_first, f)
+                n += int(tok.sum())
+            if keep.any():
+                lst = ts[keep].max()
+                t_last = lst if np.isnat(t_last) else max(t_last, lst)
+    end = t_end if not np.isnat(t_end) else t_last
+    out = pd.DataFrame({"run_id": [run_id], "model_id": [model_id], "request_id": [request_id],
+                        "t_start": [_py(t_start)], "t_first": [_py(t_first)], "t_end": [_py(end)],
+                        "n_tokens": [n], "closed": [closed]})
     if closed:
         state.remove()
     else:
-        state.update((t_start, t_first, n, t_last, t_end))
-        last = t_last if t_last is not None else t_start
-        if isinstance(last, pd.Timestamp):
-            last = last.to_pydatetime()
-        state.setTimeoutTimestamp(int(last.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-                                  + REQUEST_TIMEOUT_S * 1000)
+        state.update((_py(t_start), _py(t_first), n, _py(t_last), _py(t_end)))
+        last = t_last if not np.isnat(t_last) else t_start
+        state.setTimeoutTimestamp(int(last.astype("datetime64[ms]").astype(np.int64)) + REQUEST_TIMEOUT_S * 1000)
     yield out
 
 
