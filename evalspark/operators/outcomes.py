@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import arrays, stats
-from evalspark.operators.sizing import broadcast_if_small
+from evalspark.operators.sizing import bounded_values, broadcast_if_small
 
 MODEL_KEYS = ["run_id", "model_id"]
 EXERCISE_KEYS = ["run_id", "model_id", "language", "exercise"]
@@ -94,17 +94,20 @@ def pass_by_language_rollup(flags: DataFrame) -> DataFrame:
 
 
 def exercise_matrix_long(flags: DataFrame, models: DataFrame) -> DataFrame:
-    """A17 + J3 + P18: one cell per (run, language, exercise, model of the run).
+    """A17 + J3 + P18: one cell per (run, language, exercise, model of the run); absent cells read ``–``.
 
-    Absent cells read ``–``. The model list of a run is small and bounded (it
-    is the registry), so it is broadcast after a size check and joined on
-    ``run_id``: the exercise side is never shuffled for this.
+    Built as a pivot over the (bounded, size-checked) model list followed by an
+    unpivot, so no join pairs exercises with models; a semi join on
+    (run_id, model_id) keeps each run's own models when several runs share a table.
     """
-    exercises = flags.select("run_id", "language", "exercise").distinct()
-    grid = exercises.join(broadcast_if_small(models.select("run_id", "model_id")), "run_id", "inner")
-    cells = flags.select(*EXERCISE_KEYS, "pass_1", "pass_any")
-    out = grid.join(cells, EXERCISE_KEYS, "left")
-    return out.withColumn("cell", arrays.exercise_cell("pass_1", "pass_any"))
+    ids = bounded_values(models, "model_id")
+    cells = flags.withColumn("cell", arrays.exercise_cell("pass_1", "pass_any"))
+    wide = (cells.groupBy("run_id", "language", "exercise")
+            .pivot("model_id", ids).agg(F.first("cell")))
+    long = wide.unpivot(["run_id", "language", "exercise"], ids, "model_id", "cell")
+    long = long.withColumn("cell", F.coalesce(F.col("cell"), F.lit("–")))
+    return long.join(broadcast_if_small(models.select("run_id", "model_id").distinct()),
+                     ["run_id", "model_id"], "left_semi")
 
 
 def exercise_matrix(matrix_long: DataFrame, model_ids: list[str]) -> DataFrame:

@@ -35,3 +35,19 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
         return df
     return df.repartition(cores * per_core) if n < cores else df
+
+
+# Default bound on a value list pulled to the driver (model ids of a registry).
+DEFAULT_MAX_VALUES = 10_000
+
+
+def bounded_values(df: DataFrame, col: str, max_n: int = DEFAULT_MAX_VALUES) -> list:
+    """Distinct values of a small dimension column, sorted; raises if there are more than ``max_n``.
+
+    Used for pivot value lists and per-run model lists, whose size is bounded by
+    the registry rules, never for fact columns.
+    """
+    vals = [r[0] for r in df.select(col).distinct().limit(max_n + 1).collect()]
+    if len(vals) > max_n:
+        raise ValueError(f"{col}: more than {max_n} distinct values; not a dimension list")
+    return sorted(v for v in vals if v is not None)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.sizing import broadcast_if_small, spread
+from evalspark.operators.sizing import bounded_values, spread
 
 RUN_ID = "r0"
 N_MODELS = 20
@@ -74,7 +74,7 @@ def tries(spark: SparkSession, sf_dir: str, language: str | None = None) -> Data
     ``language=None`` gives one language (``python``); ``"linestatus"`` uses
     ``l_linestatus`` as a low-cardinality language tag.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     lang = F.col("l_linestatus") if language == "linestatus" else F.lit("python")
     return li.select(run_col(), model_of(F.col("l_suppkey")).alias("model_id"), lang.alias("language"),
                      F.col("l_partkey").cast("string").alias("exercise"),
@@ -241,9 +241,10 @@ def benchmark_choice_requests(spark: SparkSession, sf_dir: str, models_df: DataF
     choices = heads.select("item_id", "head", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice_no"))
     choices = choices.withColumn("src_item", (F.col("item_id") + F.col("choice_no")) % n_items)
     req = choices.join(tails, "src_item", "inner")
-    # every model scores every item: join on the run key with the (size-checked) model list
-    req = req.withColumn("run_id", F.lit(RUN_ID)).join(
-        broadcast_if_small(models_df.select("run_id", "model_id")), "run_id", "inner")
+    # every model scores every item: the (bounded) model list is attached to each request row
+    ids = bounded_values(models_df, "model_id")
+    req = req.select("*", F.lit(RUN_ID).alias("run_id"),
+                     F.explode(F.array(*[F.lit(m) for m in ids])).alias("model_id"))
     return req.select("run_id", "model_id",
                       F.concat_ws("-", F.col("item_id").cast("string"), F.col("choice_no").cast("string"))
                       .alias("request_id"),
