@@ -179,6 +179,18 @@ def latest_run(runs: DataFrame, model_slug: str | None = None) -> DataFrame:
     return mine.unionByName(overall.filter(~mine.exists()))
 
 
+def cap_exercises(catalog: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` exercises per language, chosen in a seeded hash order (reproducible).
+
+    The cap is the feature (the run's test limit). ``row_number() <= n`` per
+    language becomes a WindowGroupLimit, so each map task forwards at most ``n``
+    rows per language.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("exercise")))
+    w = Window.partitionBy("language").orderBy(key, F.col("exercise"))
+    return catalog.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def new_runs(after: DataFrame, before: DataFrame) -> DataFrame:
     """Run directories that did not exist before the start (anti join on the name)."""
     return after.join(before.select("run").distinct(), "run", "left_anti")

@@ -306,6 +306,23 @@ def q_stream_leaderboard(spark, sf):
     return spark.read.parquet(folder + "/out")
 
 
+def q_exercise_cap(spark, sf):
+    capped = outcomes.cap_exercises(fx.exercise_catalog(spark, sf), 100, seed=7)
+    return capped.select("language", "exercise")
+
+
+def q_run_meta(spark, sf):
+    return report.run_meta(fx.run_records(spark, sf))
+
+
+def q_generation_texts(spark, sf):
+    g = loglik.parse_generations(fx.generation_responses(spark, sf))
+    return (g.groupBy("run_id", "model_id")
+            .agg(F.count(F.lit(1)).alias("n_requests"),
+                 F.sum(F.size("texts")).cast("bigint").alias("n_texts"),
+                 F.sum(F.length(F.get(F.col("texts"), 0))).cast("bigint").alias("first_text_chars")))
+
+
 QUERIES: dict[str, QueryFn] = {
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
@@ -336,6 +353,9 @@ QUERIES: dict[str, QueryFn] = {
     "registry_violations": q_registry_violations,
     "run_option_violations": q_run_option_violations,
     "generation_exact_match": q_generation_exact_match,
+    "exercise_cap": q_exercise_cap,
+    "run_meta": q_run_meta,
+    "generation_texts": q_generation_texts,
     "leaderboard_display": q_leaderboard_display,
     "score_breakdown": q_score_breakdown,
     "stream_request_latency": q_stream_request_latency,

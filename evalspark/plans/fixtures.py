@@ -283,6 +283,35 @@ def run_options_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (u % 4 + 1).cast("int")).alias("coding_kv_fix"))
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metadata rows per user of ``events``: options plus a duration from the event count."""
+    ev = table(spark, sf_dir, "events")
+    per = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    u = F.col("user_id")
+    return per.select(
+        F.concat(F.lit("u"), u.cast("string")).alias("run_id"),
+        F.when(u % 3 == 0, "mmlu").otherwise("mmlu_generative").alias("mmlu_task"),
+        (u % 5 == 0).alias("skip_mmlu"), (u % 4 == 0).alias("skip_ppl"),
+        (u % 50).cast("int").alias("mmlu_limit"), (u % 3 + 1).cast("int").alias("coding_tries"),
+        (F.lit(512) * (u % 4 + 1)).cast("int").alias("ppl_ctx"),
+        (F.sqrt(F.col("_n").cast("double")) * 10.0).alias("duration_s"))
+
+
+def generation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D11 responses per user turn: one response whose choices list the prompt (index 1) and the
+    next assistant turn (index 0); a prompt without an answer gets a response without it."""
+    conv = table(spark, sf_dir, "conversations")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    asst = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    j = users.join(asst, ["conv_id", "turn"], "left")
+    choice = lambda i, t: F.struct(F.lit(i).alias("index"), t.alias("text"))
+    choices = F.when(F.col("answer").isNotNull(), F.array(choice(1, F.col("prompt")), choice(0, F.col("answer")))) \
+        .otherwise(F.array(choice(1, F.col("prompt"))))
+    return j.select(run_col(), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn",
+                    F.array(F.struct(choices.alias("choices"))).alias("responses"))
+
+
 # ---- registry -------------------------------------------------------------------------------
 
 def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -502,6 +502,30 @@ SELECT run_id, model_id, count(*) AS n_prompts, count_if(answer = gold) AS n_exa
 FROM g GROUP BY ALL"""
 
 
+EXERCISE_CAP = """
+SELECT language, exercise FROM (
+  SELECT language, exercise, row_number() OVER (PARTITION BY language ORDER BY md5('7:' || exercise), exercise) AS rn
+  FROM (SELECT unnest(['F', 'O']) AS language, CAST(p_partkey AS VARCHAR) AS exercise FROM part))
+WHERE rn <= 100"""
+
+RUN_META = """
+WITH per AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id,
+       CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'mmlu' ELSE 'mmlu_generative' END AS mmlu_task,
+       CAST(user_id % 50 AS INTEGER) AS mmlu_limit, CAST(user_id % 3 + 1 AS INTEGER) AS coding_tries,
+       CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(512 * (user_id % 4 + 1) AS INTEGER) END AS ppl_ctx,
+       round(sqrt(CAST(n AS DOUBLE)) * 10.0, 1) AS duration_s
+FROM per"""
+
+GENERATION_TEXTS = f"""
+WITH users AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
+asst AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant'),
+j AS (SELECT u.conv_id, u.prompt, a.answer FROM users u LEFT JOIN asst a USING (conv_id, turn))
+SELECT 'r0' AS run_id, {model('conv_id')} AS model_id, count(*) AS n_requests,
+       CAST(sum(CASE WHEN answer IS NULL THEN 1 ELSE 2 END) AS BIGINT) AS n_texts,
+       CAST(sum(length(CASE WHEN answer IS NULL THEN prompt ELSE answer END)) AS BIGINT) AS first_text_chars
+FROM j GROUP BY ALL"""
+
 STREAM_PROGRESS = f"""
 WITH {FILES}
 SELECT run, language, count(*) AS done FROM files GROUP BY ALL"""
@@ -538,6 +562,9 @@ def oracle_sql() -> dict[str, str]:
         "registry_violations": registry_violations(),
         "run_option_violations": RUN_OPTION_VIOLATIONS,
         "generation_exact_match": GENERATION_EXACT_MATCH,
+        "exercise_cap": EXERCISE_CAP,
+        "run_meta": RUN_META,
+        "generation_texts": GENERATION_TEXTS,
         "stream_request_latency": REQUEST_LATENCY,
         "stream_progress": STREAM_PROGRESS,
         "stream_leaderboard": composite_leaderboard(),
