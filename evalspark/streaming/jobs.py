@@ -118,19 +118,123 @@ def _request_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     yield out
 
 
+# Requests are grouped into this many state keys per (run, model): each Python call then
+# handles a whole bucket of requests with array operations instead of one request.
+REQUEST_BUCKETS = 64
+
+BUCKET_STATE = ("request_id array<string>, t_start array<timestamp_ntz>, t_first array<timestamp_ntz>, "
+                "n_tokens array<long>, t_last array<timestamp_ntz>, t_end array<timestamp_ntz>")
+_COLS = ["t_start", "t_first", "t_last", "t_end"]
+
+
+def _to_ns(values) -> np.ndarray:
+    return np.array([_ns(v) for v in values], dtype="datetime64[ns]") if len(values) else \
+        np.array([], dtype="datetime64[ns]")
+
+
+def _nanmin(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(np.isnat(a), b, np.where(np.isnat(b), a, np.minimum(a, b)))
+
+
+def _nanmax(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(np.isnat(a), b, np.where(np.isnat(b), a, np.maximum(a, b)))
+
+
+def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of all active requests of one (run, model, bucket), as columnar arrays.
+
+    Per request: start, first token, token count, last kept chunk, end marker.
+    Chunks after a request's end marker are ignored; a request idle for the
+    request timeout (event time, against the watermark) is emitted as closed
+    and evicted.
+    """
+    run_id, model_id, _ = key
+    if state.exists:
+        st = state.get
+        cur = pd.DataFrame({"request_id": list(st[0]), "t_start": _to_ns(st[1]), "t_first": _to_ns(st[2]),
+                            "n_tokens": np.array(st[3], dtype=np.int64), "t_last": _to_ns(st[4]),
+                            "t_end": _to_ns(st[5])}).set_index("request_id")
+    else:
+        cur = pd.DataFrame({"n_tokens": np.array([], dtype=np.int64), **{c: _to_ns([]) for c in _COLS}},
+                           index=pd.Index([], name="request_id", dtype=object))
+    touched: set = set()
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            ts = pdf["ts"].to_numpy(dtype="datetime64[ns]")
+            is_end = pdf["is_end"].fillna(False).to_numpy(dtype=bool)
+            has_text = (pdf["delta"].fillna("").str.len() > 0).to_numpy()
+            rid = pdf["request_id"].to_numpy(dtype=object)
+            frame = pd.DataFrame({"rid": rid, "ts": ts, "t_start": pdf["t_start"].to_numpy(dtype="datetime64[ns]"),
+                                  "end_ts": np.where(is_end, ts, np.datetime64("NaT", "ns"))})
+            batch_end = frame.groupby("rid")["end_ts"].min()
+            ids = batch_end.index
+            prev_end = cur["t_end"].reindex(ids).to_numpy(dtype="datetime64[ns]")
+            end = pd.Series(_nanmin(prev_end, batch_end.to_numpy(dtype="datetime64[ns]")), index=ids)
+            e = end.reindex(rid).to_numpy(dtype="datetime64[ns]")
+            keep = np.isnat(e) | (ts < e) | ((ts == e) & ~is_end)
+            tok = keep & ~is_end & has_text
+            frame["tok_ts"] = np.where(tok, ts, np.datetime64("NaT", "ns"))
+            frame["keep_ts"] = np.where(keep, ts, np.datetime64("NaT", "ns"))
+            frame["tok"] = tok.astype(np.int64)
+            g = frame.groupby("rid").agg(t_start=("t_start", "min"), t_first=("tok_ts", "min"),
+                                         n_tokens=("tok", "sum"), t_last=("keep_ts", "max"))
+            old = cur.reindex(g.index)
+            merged = pd.DataFrame({
+                "t_start": _nanmin(old["t_start"].to_numpy(dtype="datetime64[ns]"),
+                                   g["t_start"].to_numpy(dtype="datetime64[ns]")),
+                "t_first": _nanmin(old["t_first"].to_numpy(dtype="datetime64[ns]"),
+                                   g["t_first"].to_numpy(dtype="datetime64[ns]")),
+                "n_tokens": old["n_tokens"].fillna(0).to_numpy(dtype=np.int64) + g["n_tokens"].to_numpy(np.int64),
+                "t_last": _nanmax(old["t_last"].to_numpy(dtype="datetime64[ns]"),
+                                  g["t_last"].to_numpy(dtype="datetime64[ns]")),
+                "t_end": end.reindex(g.index).to_numpy(dtype="datetime64[ns]"),
+            }, index=g.index)
+            cur = pd.concat([cur.drop(index=g.index, errors="ignore"), merged])
+            touched.update(g.index)
+    # close requests idle past the timeout (event time vs. the watermark)
+    wm = state.getCurrentWatermarkMs()
+    last = np.where(np.isnat(cur["t_last"].to_numpy(dtype="datetime64[ns]")),
+                    cur["t_start"].to_numpy(dtype="datetime64[ns]"), cur["t_last"].to_numpy(dtype="datetime64[ns]"))
+    deadline = last.astype("datetime64[ms]").astype(np.int64) + REQUEST_TIMEOUT_S * 1000
+    expired = (deadline < wm) if wm > 0 else np.zeros(len(cur), bool)
+    if state.hasTimedOut:
+        expired = expired | (deadline <= wm)
+    emit = cur[expired | cur.index.isin(list(touched))]
+    if len(emit):
+        end = emit["t_end"].to_numpy(dtype="datetime64[ns]")
+        end = np.where(np.isnat(end), emit["t_last"].to_numpy(dtype="datetime64[ns]"), end)
+        yield pd.DataFrame({"run_id": run_id, "model_id": model_id, "request_id": emit.index.to_numpy(dtype=object),
+                            "t_start": emit["t_start"].to_numpy(), "t_first": emit["t_first"].to_numpy(),
+                            "t_end": end, "n_tokens": emit["n_tokens"].to_numpy(dtype=np.int64),
+                            "closed": expired[cur.index.get_indexer(emit.index)]})
+    cur = cur[~expired]
+    if not len(cur):
+        state.remove()
+        return
+    state.update((list(cur.index), *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in
+                                     ("t_start", "t_first")],
+                  [int(x) for x in cur["n_tokens"].to_numpy()],
+                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in ("t_last", "t_end")]))
+    state.setTimeoutTimestamp(int(deadline[~expired].min()))
+
+
 def stream_request_latency(chunks_stream: DataFrame, out_path: str, checkpoint: str,
-                           available_now: bool = True):
+                           available_now: bool = True, buckets: int = REQUEST_BUCKETS):
     """ST1: per-request first-token time and token count, updated per micro-batch.
 
-    Watermark = request timeout; a request whose state times out is emitted
-    once more as ``closed`` and dropped from the state store. Chunks after the
-    end marker are ignored.
+    State is keyed by (run, model, hash bucket of the request): one Python call
+    serves a bucket of requests. Watermark = request timeout; idle requests are
+    emitted once more as ``closed`` and evicted, so state stays bounded. Chunks
+    after the end marker are ignored.
     """
     # watermarks need an instant type; chunk times are local (NTZ) and read as session-zone instants
     keyed = (chunks_stream.withColumn("event_time", F.col("ts").cast("timestamp"))
-             .withWatermark("event_time", f"{REQUEST_TIMEOUT_S} seconds"))
-    out = keyed.groupBy("run_id", "model_id", "request_id").applyInPandasWithState(
-        _request_state, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+             .withWatermark("event_time", f"{REQUEST_TIMEOUT_S} seconds")
+             .withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets))))
+    out = keyed.groupBy("run_id", "model_id", "bucket").applyInPandasWithState(
+        _bucket_state, OUT_SCHEMA, BUCKET_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     w = out.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -97,3 +97,34 @@ def test_plan_shape(spark, name):
     plan = buf.getvalue()
     for b in BAD:
         assert b not in plan, f"{name}: {b}"
+
+
+def test_stream_latency_across_micro_batches(spark, tmp_path):
+    import datetime as dt
+    from evalspark.operators import latency
+    from evalspark.streaming import jobs
+    t0 = dt.datetime(2024, 1, 1)
+    s = lambda x: t0 + dt.timedelta(seconds=x)
+    schema = ("run_id string, model_id string, request_id string, t_start timestamp_ntz, ts timestamp_ntz, "
+              "delta string, is_end boolean")
+    batches = [
+        [("r", "m", "a", t0, s(1), "x", False), ("r", "m", "b", t0, s(2), "", False)],
+        [("r", "m", "a", t0, s(3), "y", False), ("r", "m", "a", t0, s(4), None, True),
+         ("r", "m", "b", t0, s(5), "z", False)],
+        [("r", "m", "a", t0, s(6), "late", False), ("r", "m", "b", t0, s(7), "w", False),
+         ("r", "m", "c", t0, s(5000), "q", False)],
+    ]
+    land = tmp_path / "land"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(land / f"b{i}"))
+    like = spark.createDataFrame([], schema)
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(str(land))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    jobs.run_to_end(jobs.stream_request_latency(stream, out, ck, buckets=2))
+    got = {r["request_id"]: (r["n_tokens"], round(r["ttft_ms"], 3), round(r["tok_s"], 6))
+           for r in jobs.finish_request_latency(spark, out).collect()}
+    allrows = spark.createDataFrame([x for b in batches for x in b], schema)
+    want = {r["request_id"]: (r["n_tokens"], round(r["ttft_ms"], 3), round(r["tok_s"], 6))
+            for r in latency.request_latency(allrows).collect()}
+    assert got == want and got["a"][0] == 2
