@@ -184,7 +184,9 @@ def q_request_loglik(spark, sf):
 
 def q_choice_accuracy(spark, sf):
     req = fx.benchmark_choice_requests(spark, sf, fx.models(spark, sf))
-    tok = loglik.lookup_long(loglik.request_tokens(req, fx.token_id), fx.ngram_candidates(spark, sf))
+    tokens = loglik.request_tokens(req, fx.token_id)
+    cands = fx.ngram_candidates(spark, sf, prefixes=tokens.select("model_id", "prefix_id"))
+    tok = loglik.lookup_long(tokens, cands)
     ll = loglik.score_requests(tok, req)
     gold = req.select("doc_id").distinct().withColumn("gold", F.lit(0))
     items = accuracy.choice_accuracy(ll, gold)

@@ -341,12 +341,15 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- scoring tables (stand-in bigram scorer) ------------------------------------------------
 
-def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-50 bigram candidates per (model = source, previous word), generated token at position 0."""
+def ngram_candidates(spark: SparkSession, sf_dir: str, prefixes: DataFrame | None = None) -> DataFrame:
+    """Top-50 bigram candidates per (model = source, previous word), generated token at position 0.
+
+    ``prefixes`` (model_id, prefix_id) restricts the build to the prefixes that will be looked up.
+    """
     from evalspark.operators import ngram
     docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "text"))
     pairs = ngram.bigrams(docs, words(F.col("text")))
-    return ngram.top_k_candidates(pairs, token_id)
+    return ngram.top_k_candidates(pairs, token_id, prefixes=prefixes)
 
 
 def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
