@@ -81,16 +81,22 @@ def tries(spark: SparkSession, sf_dir: str, language: str | None = None) -> Data
                      (F.col("l_returnflag") == "R").alias("passed"), *TRY_ORDER)
 
 
-def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
-    """D8 records (one per finished exercise) built from the tries in try order.
+# Fixed value: tries of the repair loop (records hold at most this many outcomes).
+RECORD_TRIES = 2
 
-    ``tests_outcomes`` holds the tries in order; token counts come from quantities.
-    The list per exercise is bounded by that exercise's tries (a handful).
+
+def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = None,
+                     tries_per_record: int = RECORD_TRIES) -> DataFrame:
+    """D8 records (one per finished exercise) built from the first tries in try order.
+
+    A record holds the outcomes of the repair loop, at most ``tries_per_record``
+    tries (W6 first, so the per-exercise list is bounded); token counts are summed
+    over those tries.
     """
-    t = tries(spark, sf_dir, language)
-    order = F.struct(*TRY_ORDER, F.col("passed").alias("passed"))
+    from evalspark.operators.outcomes import first_n_tries
+    t = first_n_tries(tries(spark, sf_dir, language), tries_per_record, TRY_ORDER)
     rec = (t.groupBy("run_id", "model_id", "language", "exercise")
-           .agg(F.array_sort(F.collect_list(order)).alias("_tries"),
+           .agg(F.array_sort(F.collect_list(F.struct("try_no", "passed"))).alias("_tries"),
                 F.sum("l_quantity").cast("bigint").alias("prompt_tokens"),
                 F.sum(F.floor(F.col("l_extendedprice") / 100)).cast("bigint").alias("completion_tokens")))
     return rec.select("run_id", "model_id", "language", "exercise",

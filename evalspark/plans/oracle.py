@@ -196,10 +196,16 @@ FROM ex GROUP BY GROUPING SETS ((run_id, model_id, language), (run_id, model_id)
 
 
 TOKEN_TOTALS = f"""
-WITH rec AS (
-  SELECT 'r0' AS run_id, {model('l_suppkey')} AS model_id, l_partkey,
+WITH t AS (
+  SELECT {model('l_suppkey')} AS model_id, l_partkey, l_quantity, l_extendedprice,
+         row_number() OVER (PARTITION BY {model('l_suppkey')}, l_partkey
+                            ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice)
+           AS try_no
+  FROM lineitem),
+rec AS (
+  SELECT 'r0' AS run_id, model_id, l_partkey,
          CAST(sum(l_quantity) AS BIGINT) AS pt, CAST(sum(floor(l_extendedprice / 100)) AS BIGINT) AS ct
-  FROM lineitem GROUP BY ALL)
+  FROM t WHERE try_no <= 2 GROUP BY ALL)
 SELECT run_id, model_id, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(ct) AS BIGINT) AS completion_tokens
 FROM rec GROUP BY ALL"""
 

@@ -32,17 +32,23 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _batch_dir(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
 def _upsert_sink(out_path: str):
+    """Each micro-batch overwrites its own folder: a re-run batch (after executor loss) replaces,
+    never duplicates, its rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(_batch_dir(out_path, batch_id))
     return write
 
 
 def latest_state(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
     """Merge on read: per key the row of the latest micro-batch."""
     df = spark.read.parquet(out_path)
-    vals = [c for c in df.columns if c not in keys and c != "_batch"]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_s"))
+    vals = [c for c in df.columns if c not in keys and c != "batch_id"]
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch_id")).alias("_s"))
     return agg.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in vals])
 
 
@@ -274,9 +280,11 @@ def stream_leaderboard(items_stream: DataFrame, rebuild, items_path: str, out_pa
     are not streaming operations, so they run inside ``foreachBatch``).
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(items_path)
+        # per-batch folder, overwritten on a retry: the accumulated table never double counts
+        batch.write.mode("overwrite").parquet(_batch_dir(items_path, batch_id))
         spark = batch.sparkSession
-        rebuild(spark.read.parquet(items_path)).write.mode("overwrite").parquet(out_path)
+        items = spark.read.parquet(items_path).drop("batch_id")
+        rebuild(items).write.mode("overwrite").parquet(out_path)
 
     w = items_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
