@@ -85,6 +85,14 @@ def latency_summary(per_request: DataFrame, keys=MODEL_KEYS) -> DataFrame:
         F.avg("tok_s").alias("tok_s_mean"),
         F.sum("n_tokens").cast("bigint").alias("total_tokens"),
     )
-    ttft = exact_percentiles(per_request, keys, "ttft_ms", [0.5, 0.95], ["ttft_ms_p50", "ttft_ms_p95"])
-    rate = exact_percentiles(per_request, keys, "tok_s", [0.5], ["tok_s_median"])
-    return base.join(ttft, keys, "left").join(rate, keys, "left")
+    # both metrics in one sketch + band pass: stack them as (metric, value) rows
+    stacked = per_request.select(*keys, F.explode(F.array(
+        F.struct(F.lit("ttft_ms").alias("metric"), F.col("ttft_ms").cast("double").alias("value")),
+        F.struct(F.lit("tok_s").alias("metric"), F.col("tok_s").cast("double").alias("value")))).alias("_m"))
+    stacked = stacked.select(*keys, "_m.metric", "_m.value")
+    pct = exact_percentiles(stacked, keys + ["metric"], "value", [0.5, 0.95], ["p50", "p95"])
+    wide = (pct.groupBy(*keys)
+            .agg(F.max(F.when(F.col("metric") == "ttft_ms", F.col("p50"))).alias("ttft_ms_p50"),
+                 F.max(F.when(F.col("metric") == "ttft_ms", F.col("p95"))).alias("ttft_ms_p95"),
+                 F.max(F.when(F.col("metric") == "tok_s", F.col("p50"))).alias("tok_s_median")))
+    return base.join(wide, keys, "left")

@@ -31,7 +31,9 @@ def flags_from_tries(tries: DataFrame, order_cols: list[str], passed: str = "pas
     (``min_by`` over a struct key), ``pass_any`` is ``bool_or``. Both are
     ordinary aggregates: tries are combined map-side, never sorted per exercise.
     """
-    order = F.struct(*[F.col(c) for c in order_cols])
+    # one fixed-width order column (a try number or time) keeps this a hash aggregate;
+    # a composite order needs a struct key, which Spark aggregates sort-based
+    order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(c) for c in order_cols])
     return (tries.groupBy(*keys)
             .agg(F.min_by(F.col(passed), order).alias("pass_1"),
                  F.bool_or(F.col(passed)).alias("pass_any"),
