@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 MODEL_KEYS = ["run_id", "model_id"]
 
-# The two result lines of the perplexity tool, case-insensitive.
-# Numbers have no sign or exponent (a value like 7.0E-4 reads as 7.0).
-FINAL_ESTIMATE = r"(?i)Final estimate:\s*PPL\s*=\s*([0-9]+(?:\.[0-9]+)?)(?:\s*\+/-\s*([0-9]+(?:\.[0-9]+)?))?"
+# The two result-line patterns of the perplexity tool, matched case-insensitively
+# ("(?i)"). Numbers have no sign or exponent (a value like 7.0E-4 reads as 7.0).
+FINAL_ESTIMATE = r"(?i)Final estimate:\s*PPL\s*=\s*([0-9]+(?:\.[0-9]+)?)\s*(?:\+/-\s*([0-9]+(?:\.[0-9]+)?))?"
 OVERALL_PPL = r"(?i)overall_ppl\s*=\s*([0-9]+(?:\.[0-9]+)?)"
 # number of log lines kept with a parse failure
 ERROR_TAIL_LINES = 12
