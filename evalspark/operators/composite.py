@@ -77,6 +77,13 @@ def join_stages(models: DataFrame, runs: DataFrame | dict, accuracy: DataFrame |
             F.lit(bool(runs.get("ppl_available", True))).alias("ppl_available"))
     else:
         wide = models.join(runs, "run_id", "left")
+    def tag_error(stage: DataFrame, name: str) -> DataFrame:
+        # Each stage may carry its own error text; keep them apart in the wide row
+        return stage.withColumnRenamed("error", f"{name}_error") if "error" in stage.columns else stage
+
+    accuracy = tag_error(accuracy, "accuracy") if accuracy is not None else None
+    coding = tag_error(coding, "coding") if coding is not None else None
+    ppl = tag_error(ppl, "ppl") if ppl is not None else None
     if accuracy is not None:
         wide = wide.join(accuracy, KEYS, "left")
     else:

@@ -71,7 +71,7 @@ def request_latency(chunks: DataFrame, keys=REQUEST_KEYS) -> DataFrame:
             .withColumn("tok_s", stats.tok_rate(F.col("n_tokens"), gen_s)))
 
 
-def latency_summary(per_request: DataFrame, keys=MODEL_KEYS) -> DataFrame:
+def latency_summary(per_request: DataFrame, keys=MODEL_KEYS, approx_accuracy: int | None = None) -> DataFrame:
     """A10 + A11: n, TTFT mean/p50/p95, tok/s mean/median, total tokens per model.
 
     Percentiles are exact (linear interpolation at ``(n-1)q``) and computed by the
@@ -85,6 +85,13 @@ def latency_summary(per_request: DataFrame, keys=MODEL_KEYS) -> DataFrame:
         F.avg("tok_s").alias("tok_s_mean"),
         F.sum("n_tokens").cast("bigint").alias("total_tokens"),
     )
+    if approx_accuracy:
+        # opt-in for huge groups: one GK sketch pass, rank error below n / approx_accuracy
+        pa = lambda c, q: F.percentile_approx(c, q, approx_accuracy)
+        approx = per_request.groupBy(*keys).agg(pa("ttft_ms", 0.5).alias("ttft_ms_p50"),
+                                                pa("ttft_ms", 0.95).alias("ttft_ms_p95"),
+                                                pa("tok_s", 0.5).alias("tok_s_median"))
+        return base.join(approx, keys, "left")
     # both metrics in one sketch + band pass: stack them as (metric, value) rows
     stacked = per_request.select(*keys, F.explode(F.array(
         F.struct(F.lit("ttft_ms").alias("metric"), F.col("ttft_ms").cast("double").alias("value")),
@@ -96,3 +103,12 @@ def latency_summary(per_request: DataFrame, keys=MODEL_KEYS) -> DataFrame:
                  F.max(F.when(F.col("metric") == "ttft_ms", F.col("p95"))).alias("ttft_ms_p95"),
                  F.max(F.when(F.col("metric") == "tok_s", F.col("p50"))).alias("tok_s_median")))
     return base.join(wide, keys, "left")
+
+
+def latency_stage(models: DataFrame, summary: DataFrame, keys=MODEL_KEYS) -> DataFrame:
+    """D6 stage table over all models: a model without any usable request keeps a NULL
+    summary and the error text (SURVEY T23) instead of failing the job."""
+    keys = list(keys)
+    out = models.select(*keys).join(summary, keys, "left")
+    return out.withColumn("error", F.when(F.col("n_requests").isNull(),
+                                          F.lit("ValueError: no usable requests (no tokens received)")))

@@ -41,6 +41,11 @@ def subject_spread(subjects: DataFrame) -> DataFrame:
     return per.withColumn("flagged", F.col("spread") >= F.lit(SPREAD_FLAG))
 
 
+def subject_spread_sorted(spread: DataFrame) -> DataFrame:
+    """O2: display order — spread descending, then subject name (a small, per-subject table)."""
+    return spread.orderBy("run_id", F.col("spread").desc(), F.col("subject").asc())
+
+
 def subject_matrix_long(subjects: DataFrame) -> DataFrame:
     """A16 + J3 (long): one cell per kept subject x model with subject results; absent -> NULL."""
     rows = subject_rows(subjects)

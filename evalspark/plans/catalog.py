@@ -255,11 +255,12 @@ def q_generation_exact_match(spark, sf):
     g = fx.generations(spark, sf)
     text, missing = T.placeholder(T.stop_cut(F.col("generated"), GEN_STOPS))
     g = g.withColumn("answer", F.lower(text)).withColumn("is_placeholder", missing)
-    return (g.groupBy("run_id", "model_id")
-            .agg(F.count(F.lit(1)).alias("n_prompts"),
-                 F.count_if(F.col("answer") == F.col("gold")).alias("n_exact"),
-                 r6(F.avg((F.col("answer") == F.col("gold")).cast("double"))).alias("exact_match"),
-                 F.count_if("is_placeholder").alias("n_placeholder")))
+    em = accuracy.exact_match(g, text="answer", gold="gold")
+    extra = g.groupBy("run_id", "model_id").agg(F.count_if(F.col("answer") == F.col("gold")).alias("n_exact"),
+                                                F.count_if("is_placeholder").alias("n_placeholder"))
+    return em.join(extra, ["run_id", "model_id"]).select(
+        "run_id", "model_id", F.col("n_samples").alias("n_prompts"), "n_exact",
+        r6("exact_match").alias("exact_match"), "n_placeholder")
 
 
 def q_leaderboard_display(spark, sf):

@@ -96,3 +96,32 @@ def test_parse_stream_lines(spark):
     out = latency.parse_stream_lines(df).collect()
     assert [(r["delta"], r["is_end"], r["malformed"]) for r in out] == [
         ("hi", False, False), (None, False, True), (None, False, True), (None, True, False)]
+
+
+def test_stage_errors_kept_apart(spark):
+    from evalspark.operators import composite
+    models = spark.createDataFrame([("r", "m0", 0)], "run_id string, model_id string, ordinal int")
+    acc = spark.createDataFrame([("r", "m0", None, None, 0, "RuntimeError: no results")],
+                                "run_id string, model_id string, acc_score double, acc_stderr double, "
+                                "n_samples bigint, error string")
+    ppl = spark.createDataFrame([("r", "m0", 10.0, None, 1, 10.0, 10.0, None)],
+                                "run_id string, model_id string, ppl double, ppl_se double, n_runs bigint, "
+                                "run_min double, run_max double, error string")
+    r = composite.composite_leaderboard(models, {"weights_mmlu": 0.5, "weights_ppl": 0.5}, acc, None, ppl).first()
+    assert r["accuracy_error"] == "RuntimeError: no results" and r["ppl_error"] is None
+    assert r["score"] == 100.0 and r["rank"] == 1
+
+
+def test_latency_stage_missing_model(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    per = spark.createDataFrame([("r", "a", "q", 3, 10.0, 2.0)],
+                                "run_id string, model_id string, request_id string, n_tokens bigint, "
+                                "ttft_ms double, tok_s double")
+    s = latency.latency_summary(per)
+    models = spark.createDataFrame([("r", "a"), ("r", "b")], "run_id string, model_id string")
+    out = {r["model_id"]: r for r in latency.latency_stage(models, s).collect()}
+    assert out["a"]["error"] is None and out["a"]["ttft_ms_p50"] == 10.0
+    assert out["b"]["n_requests"] is None and out["b"]["error"].startswith("ValueError")
+    a = latency.latency_summary(per, approx_accuracy=1000).first()
+    assert a["ttft_ms_p50"] == 10.0
