@@ -118,7 +118,7 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     One run directory per (model, ship year): ``<year>-01-01-00-00-00--<model>``;
     mtime = last ship date of the run's tries.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     model = model_of(F.col("l_suppkey"))
     run = F.concat(F.date_format(F.col("l_shipdate"), "yyyy"), F.lit("-01-01-00-00-00--"), model)
     files = (li.select(run.alias("run"), F.col("l_linestatus").alias("language"),
@@ -144,7 +144,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = (user, day), start = midnight; errors carry an empty text; a
     purchase is the end marker of its request.
     """
-    return chunks_from_events(table(spark, sf_dir, "events"))
+    return chunks_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def chunks_from_events(ev: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def ppl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``view`` rows print ``overall_ppl``, ``error`` rows print garbage, the rest a
     final estimate with its SE (numbers as decimal text, no exponent).
     """
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     ppl_txt = (F.lit(20.0) + F.col("value")).cast("decimal(12,4)").cast("string")
     se_txt = (F.col("value") / 100).cast("decimal(12,4)").cast("string")
     log = (F.when(F.col("event_type") == "error", F.concat(F.lit("main: error loading model\nfailed "),
