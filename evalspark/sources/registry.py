@@ -35,6 +35,39 @@ def load_registry(docs: DataFrame) -> DataFrame:
                     F.col("m.flags").alias("flags"))
 
 
+def parse_registry_json(docs: DataFrame, col: str = "json") -> DataFrame:
+    """S8 from JSON documents ``(run_id, json)``: a list of family groups whose ``models``
+    entries are either a path string or a mapping ``{path, flags}``.
+
+    Entries are parsed as ``variant`` so both shapes are accepted; keys outside the
+    allowed sets are listed per group and per entry (U4) for ``registry_violations``.
+    Returns the flattened entry rows plus ``group_unknown`` / ``model_unknown``.
+    """
+    groups = F.try_parse_json(F.col(col))
+    g = docs.select("run_id", F.posexplode_outer(F.try_variant_get(groups, "$", "array<variant>"))
+                    .alias("group_pos", "g"))
+    gkeys = F.map_keys(F.try_variant_get(F.col("g"), "$", "map<string,variant>"))
+    g = g.select(
+        "run_id", "group_pos",
+        F.try_variant_get(F.col("g"), "$.tokenizer", "string").alias("tokenizer"),
+        F.try_variant_get(F.col("g"), "$['models-dir']", "string").alias("models_dir"),
+        F.try_variant_get(F.col("g"), "$.flags", "array<string>").alias("group_flags"),
+        unknown_keys(gkeys, GROUP_KEYS).alias("group_unknown"),
+        F.posexplode_outer(F.try_variant_get(F.col("g"), "$.models", "array<variant>")).alias("model_pos", "m"))
+    is_text = F.schema_of_variant(F.col("m")) == F.lit("STRING")
+    mkeys = F.map_keys(F.try_variant_get(F.col("m"), "$", "map<string,variant>"))
+    return g.select(
+        "run_id", "group_pos", "tokenizer", "models_dir", "group_flags",
+        F.col("model_pos").cast("bigint").alias("model_pos"),
+        F.when(is_text, F.try_variant_get(F.col("m"), "$", "string"))
+        .otherwise(F.try_variant_get(F.col("m"), "$.path", "string")).alias("path"),
+        F.when(is_text, F.lit(None).cast("array<string>"))
+        .otherwise(F.try_variant_get(F.col("m"), "$.flags", "array<string>")).alias("flags"),
+        "group_unknown",
+        F.when(is_text, F.array().cast("array<string>")).otherwise(unknown_keys(mkeys, MODEL_KEYS))
+        .alias("model_unknown"))
+
+
 def resolve_flags(model_flags: Column, group_flags: Column) -> Column:
     """Model flags replace group flags; an empty or missing list falls back to the group."""
     return F.when(F.size(F.coalesce(model_flags, F.array())) > 0, model_flags) \
@@ -79,6 +112,10 @@ def registry_violations(entries: DataFrame, check_model_count: bool = False) ->
         _rule(F.col("model_pos").isNotNull() & (F.coalesce(F.col("path"), F.lit("")) == ""), "path_required"),
         _rule(F.col("path").isNotNull() & ~F.lower(F.col("path")).endswith(MODEL_SUFFIX), "not_gguf"),
         _rule(F.col("path").isNotNull() & (F.col("_dups") > 1), "duplicate_path"),
+        *([_rule(F.size(F.coalesce("group_unknown", F.array())) > 0, "unknown_group_keys")]
+          if "group_unknown" in entries.columns else []),
+        *([_rule(F.size(F.coalesce("model_unknown", F.array())) > 0, "unknown_model_keys")]
+          if "model_unknown" in entries.columns else []),
     )
     out = (e.select("run_id", "group_pos", "model_pos", F.col("_resolved").alias("detail"),
                     F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule")))

@@ -101,3 +101,18 @@ def test_reference_text_drops_bad_bytes(spark, tmp_path):
     p.write_bytes(b"ab\xff\xfecd")
     r = files.reference_text(spark, str(p)).first()
     assert r["text"] == "abcd" and r["n_chars"] == 4
+
+
+def test_registry_json_strings_and_mappings(spark):
+    doc = json.dumps([
+        {"tokenizer": "/tok/a", "flags": ["-g"], "models": ["m1.gguf", {"path": "m2.gguf", "flags": ["-x"]},
+                                                             {"path": "m3.gguf", "color": "red"}]},
+        {"tokenizer": "/tok/b", "models-dir": "/models", "extra": 1, "models": ["/abs/m4.GGUF"]},
+    ])
+    entries = registry.parse_registry_json(spark.createDataFrame([("r", doc)], "run_id string, json string"))
+    m = {r["label"]: r for r in registry.resolve_models(entries).collect()}
+    assert m["m1.gguf"]["flags"] == ["-g"] and m["m2.gguf"]["flags"] == ["-x"]
+    assert m["m1.gguf"]["resolved_path"] == "/tok/a/m1.gguf" and m["m4.GGUF"]["resolved_path"] == "/abs/m4.GGUF"
+    rules = sorted((r["group_pos"], r["model_pos"], r["rule"]) for r in registry.registry_violations(entries).collect())
+    assert (0, 2, "unknown_model_keys") in rules and (1, 0, "unknown_group_keys") in rules
+    assert not any(r[2] == "not_gguf" for r in rules)
