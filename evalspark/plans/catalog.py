@@ -30,6 +30,21 @@ def r6(c) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def r5(c) -> Column:
+    """Percentiles of millisecond values: inputs are multiples of 0.001 and the interpolation
+    fractions multiples of 0.05, so exact results are multiples of 0.00005; 5 decimals never
+    meet a rounding tie, whichever interpolation formula an engine uses."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 5)
+
+
+def r3(c) -> Column:
+    """Large-magnitude sums and means (milliseconds since midnight, summed log-probs): 3 decimals
+    keep the comparison independent of the summation order (SURVEY T32)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 3)
+
+
 # ---- stage tables shared by several queries ------------------------------------------------
 
 def accuracy_stage(spark, sf):
@@ -127,15 +142,15 @@ def q_new_runs(spark, sf):
 
 def q_request_latency(spark, sf):
     per = latency.request_latency(fx.chunks(spark, sf))
-    return per.select("run_id", "model_id", "request_id", "n_tokens", r6("ttft_ms").alias("ttft_ms"),
-                      r6("tok_s").alias("tok_s"))
+    return per.select("run_id", "model_id", "request_id", "n_tokens", r3("ttft_ms").alias("ttft_ms"),
+                      r3("tok_s").alias("tok_s"))
 
 
 def q_latency_summary(spark, sf):
     s = latency.latency_summary(latency.request_latency(fx.chunks(spark, sf)))
-    return s.select("run_id", "model_id", "n_requests", r6("ttft_ms_mean").alias("ttft_ms_mean"),
-                    r6("ttft_ms_p50").alias("ttft_ms_p50"), r6("ttft_ms_p95").alias("ttft_ms_p95"),
-                    r6("tok_s_mean").alias("tok_s_mean"), r6("tok_s_median").alias("tok_s_median"),
+    return s.select("run_id", "model_id", "n_requests", r3("ttft_ms_mean").alias("ttft_ms_mean"),
+                    r5("ttft_ms_p50").alias("ttft_ms_p50"), r5("ttft_ms_p95").alias("ttft_ms_p95"),
+                    r3("tok_s_mean").alias("tok_s_mean"), r3("tok_s_median").alias("tok_s_median"),
                     "total_tokens")
 
 
@@ -160,7 +175,7 @@ def q_token_estimate(spark, sf):
 
 def _lookup_counts(tok: DataFrame) -> DataFrame:
     return (tok.groupBy("run_id", "model_id", "outcome")
-            .agg(F.count(F.lit(1)).alias("n"), r6(F.sum("logprob")).alias("sum_logprob")))
+            .agg(F.count(F.lit(1)).alias("n"), r3(F.sum("logprob")).alias("sum_logprob")))
 
 
 def q_token_logprob_lookup(spark, sf):
@@ -179,7 +194,7 @@ def q_request_loglik(spark, sf):
     req = fx.document_requests(spark, sf)
     tok = loglik.lookup_long(loglik.request_tokens(req, fx.token_id), fx.ngram_candidates(spark, sf))
     s = loglik.score_requests(tok, req)
-    return s.select("run_id", "model_id", "request_id", r6("loglik").alias("loglik"), "is_greedy", "n_tokens")
+    return s.select("run_id", "model_id", "request_id", r3("loglik").alias("loglik"), "is_greedy", "n_tokens")
 
 
 def q_choice_accuracy(spark, sf):
@@ -276,8 +291,8 @@ def q_stream_request_latency(spark, sf):
     ev = jobs.file_stream(spark, f"{sf}/events.parquet", fx.table(spark, sf, "events"))
     jobs.run_to_end(jobs.stream_request_latency(fx.chunks_from_events(ev), folder + "/out", folder + "/ckpt"))
     per = jobs.finish_request_latency(spark, folder + "/out")
-    return per.select("run_id", "model_id", "request_id", "n_tokens", r6("ttft_ms").alias("ttft_ms"),
-                      r6("tok_s").alias("tok_s"))
+    return per.select("run_id", "model_id", "request_id", "n_tokens", r3("ttft_ms").alias("ttft_ms"),
+                      r3("tok_s").alias("tok_s"))
 
 
 def q_stream_progress(spark, sf):

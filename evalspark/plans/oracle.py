@@ -73,7 +73,8 @@ per0 AS (
   FROM live GROUP BY ALL
   HAVING count_if(NOT is_end AND delta IS NOT NULL AND length(delta) > 0) > 0),
 per AS (
-  SELECT *, date_diff('microsecond', t_start, t_first) / 1e6 * 1000.0::DOUBLE AS ttft_ms,
+  SELECT *, date_diff('microsecond', t_start, t_first) AS ttft_us,
+         date_diff('microsecond', t_start, t_first) / 1e6 * 1000.0::DOUBLE AS ttft_ms,
          n_tokens / greatest(date_diff('microsecond', t_first, t_end) / 1e6, 1e-6) AS tok_s
   FROM per0)"""
 
@@ -255,13 +256,13 @@ WHERE run NOT IN (SELECT run FROM runs WHERE mtime < TIMESTAMP '1996-01-01 00:00
 
 REQUEST_LATENCY = f"""
 WITH {CHUNKS}
-SELECT run_id, model_id, request_id, n_tokens, round(ttft_ms, 6) AS ttft_ms, round(tok_s, 6) AS tok_s FROM per"""
+SELECT run_id, model_id, request_id, n_tokens, round(ttft_ms, 3) AS ttft_ms, round(tok_s, 3) AS tok_s FROM per"""
 
 LATENCY_SUMMARY = f"""
 WITH {CHUNKS}
-SELECT run_id, model_id, count(*) AS n_requests, round(avg(ttft_ms), 6) AS ttft_ms_mean,
-       round(quantile_cont(ttft_ms, 0.5), 6) AS ttft_ms_p50, round(quantile_cont(ttft_ms, 0.95), 6) AS ttft_ms_p95,
-       round(avg(tok_s), 6) AS tok_s_mean, round(quantile_cont(tok_s, 0.5), 6) AS tok_s_median,
+SELECT run_id, model_id, count(*) AS n_requests, round(sum(ttft_us) / count(*) / 1000.0, 3) AS ttft_ms_mean,
+       round(quantile_cont(ttft_ms, 0.5), 5) AS ttft_ms_p50, round(quantile_cont(ttft_ms, 0.95), 5) AS ttft_ms_p95,
+       round(avg(tok_s), 3) AS tok_s_mean, round(quantile_cont(tok_s, 0.5), 3) AS tok_s_median,
        CAST(sum(n_tokens) AS BIGINT) AS total_tokens
 FROM per GROUP BY ALL"""
 
@@ -344,7 +345,7 @@ def token_logprob_lookup() -> str:
     return f"""
 WITH {CANDS}, {DOC_TOKENS}, {lookup('toks')}
 SELECT run_id, model_id, CASE WHEN prio IS NULL THEN 'floor' WHEN prio = 0 THEN 'greedy' ELSE 'candidate' END
-         AS outcome, count(*) AS n, round(sum(logprob), 6) AS sum_logprob
+         AS outcome, count(*) AS n, round(sum(logprob), 3) AS sum_logprob
 FROM res GROUP BY ALL"""
 
 
@@ -353,7 +354,7 @@ def request_loglik() -> str:
 WITH {CANDS}, {DOC_TOKENS}, {lookup('toks')},
 agg AS (SELECT model_id, request_id, sum(logprob) AS ll, bool_and(coalesce(prio = 0, false)) AS g, count(*) AS n
         FROM res GROUP BY ALL)
-SELECT 'r0' AS run_id, d.model_id, d.doc_id AS request_id, round(coalesce(a.ll, 0.0), 6) AS loglik,
+SELECT 'r0' AS run_id, d.model_id, d.doc_id AS request_id, round(coalesce(a.ll, 0.0), 3) AS loglik,
        coalesce(a.g, true) AS is_greedy, CAST(coalesce(a.n, 0) AS BIGINT) AS n_tokens
 FROM docs d LEFT JOIN agg a ON a.model_id = d.model_id AND a.request_id = d.doc_id"""
 
