@@ -108,3 +108,21 @@ def test_ppl_unavailable_drops_weight(spark):
                                                              "ppl_available": False},
                                              acc(spark, [0.3, 0.3]), ppl=ppl(spark, [40.0, 50.0])))
     assert approx(lb["m0"]["score"], 30.0) and lb["m0"]["missing_components"] == []
+
+
+def test_several_runs_are_independent(spark):
+    models2 = spark.createDataFrame([("r1", "a", 0), ("r1", "b", 1), ("r2", "a", 0), ("r2", "c", 1)], MODELS)
+    runs = spark.createDataFrame([("r1", 0.5, 0.5, True), ("r2", 1.0, 0.0, True)],
+                                 "run_id string, weights_mmlu double, weights_ppl double, ppl_available boolean")
+    accs = spark.createDataFrame([("r1", "a", 0.3, 0.01, 10), ("r1", "b", 0.4, 0.01, 10),
+                                  ("r2", "a", 0.9, 0.01, 10), ("r2", "c", 0.2, 0.01, 10)], ACC)
+    ppls = spark.createDataFrame([("r1", "a", 10.0, None, 1, 10.0, 10.0), ("r2", "c", 5.0, None, 1, 5.0, 5.0)], PPL)
+    lb = {(r["run_id"], r["model_id"]): r for r in
+          composite.composite_leaderboard(models2, runs, accs, None, ppls).collect()}
+    # run r1: ppl weight .5 -> a has ppl (fidelity 100), b misses it
+    assert approx(lb[("r1", "a")]["score"], 0.5 / 0.75 * 100 + 0.25 / 0.75 * 30)
+    assert lb[("r1", "b")]["missing_components"] == ["ppl"] and approx(lb[("r1", "b")]["score"], 40.0)
+    # run r2: ppl weight 0 -> accuracy only; its own minimum PPL, its own ranks
+    assert approx(lb[("r2", "a")]["score"], 90.0) and lb[("r2", "a")]["rank"] == 1
+    assert lb[("r2", "c")]["rank"] == 2 and lb[("r2", "c")]["missing_components"] == []
+    assert approx(lb[("r2", "c")]["ppl_score"], 100.0)
