@@ -124,12 +124,16 @@ def _request_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     yield out
 
 
-# Requests are grouped into this many state keys per (run, model): each Python call then
-# handles a whole bucket of requests with array operations instead of one request.
-REQUEST_BUCKETS = 64
-
-BUCKET_STATE = ("request_id array<string>, t_start array<timestamp_ntz>, t_first array<timestamp_ntz>, "
-                "n_tokens array<long>, t_last array<timestamp_ntz>, t_end array<timestamp_ntz>")
+# State keys per shuffle partition: requests are hashed (on run, model and request) into
+# ``BUCKETS_PER_PARTITION * spark.sql.shuffle.partitions`` buckets, so each Python call serves a
+# bucket of requests with array operations, and a model holding most requests still spreads
+# over all buckets.
+BUCKETS_PER_PARTITION = 4
+
+BUCKET_STATE = ("run_id array<string>, model_id array<string>, request_id array<string>, "
+                "t_start array<timestamp_ntz>, t_first array<timestamp_ntz>, n_tokens array<long>, "
+                "t_last array<timestamp_ntz>, t_end array<timestamp_ntz>")
+_RKEY = ["run_id", "model_id", "request_id"]
 _COLS = ["t_start", "t_first", "t_last", "t_end"]
 
 
@@ -154,15 +158,15 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     request timeout (event time, against the watermark) is emitted as closed
     and evicted.
     """
-    run_id, model_id, _ = key
     if state.exists:
         st = state.get
-        cur = pd.DataFrame({"request_id": list(st[0]), "t_start": _to_ns(st[1]), "t_first": _to_ns(st[2]),
-                            "n_tokens": np.array(st[3], dtype=np.int64), "t_last": _to_ns(st[4]),
-                            "t_end": _to_ns(st[5])}).set_index("request_id")
+        idx = pd.MultiIndex.from_arrays([list(st[0]), list(st[1]), list(st[2])], names=_RKEY)
+        cur = pd.DataFrame({"t_start": _to_ns(st[3]), "t_first": _to_ns(st[4]),
+                            "n_tokens": np.array(st[5], dtype=np.int64), "t_last": _to_ns(st[6]),
+                            "t_end": _to_ns(st[7])}, index=idx)
     else:
         cur = pd.DataFrame({"n_tokens": np.array([], dtype=np.int64), **{c: _to_ns([]) for c in _COLS}},
-                           index=pd.Index([], name="request_id", dtype=object))
+                           index=pd.MultiIndex.from_arrays([[], [], []], names=_RKEY))
     touched: set = set()
     if not state.hasTimedOut:
         for pdf in pdfs:
@@ -171,20 +175,22 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
             ts = pdf["ts"].to_numpy(dtype="datetime64[ns]")
             is_end = pdf["is_end"].fillna(False).to_numpy(dtype=bool)
             has_text = (pdf["delta"].fillna("").str.len() > 0).to_numpy()
-            rid = pdf["request_id"].to_numpy(dtype=object)
-            frame = pd.DataFrame({"rid": rid, "ts": ts, "t_start": pdf["t_start"].to_numpy(dtype="datetime64[ns]"),
+            frame = pd.DataFrame({"run_id": pdf["run_id"].to_numpy(dtype=object),
+                                  "model_id": pdf["model_id"].to_numpy(dtype=object),
+                                  "request_id": pdf["request_id"].to_numpy(dtype=object),
+                                  "ts": ts, "t_start": pdf["t_start"].to_numpy(dtype="datetime64[ns]"),
                                   "end_ts": np.where(is_end, ts, np.datetime64("NaT", "ns"))})
-            batch_end = frame.groupby("rid")["end_ts"].min()
+            batch_end = frame.groupby(_RKEY)["end_ts"].min()
             ids = batch_end.index
             prev_end = cur["t_end"].reindex(ids).to_numpy(dtype="datetime64[ns]")
             end = pd.Series(_nanmin(prev_end, batch_end.to_numpy(dtype="datetime64[ns]")), index=ids)
-            e = end.reindex(rid).to_numpy(dtype="datetime64[ns]")
+            e = end.reindex(pd.MultiIndex.from_frame(frame[_RKEY])).to_numpy(dtype="datetime64[ns]")
             keep = np.isnat(e) | (ts < e) | ((ts == e) & ~is_end)
             tok = keep & ~is_end & has_text
             frame["tok_ts"] = np.where(tok, ts, np.datetime64("NaT", "ns"))
             frame["keep_ts"] = np.where(keep, ts, np.datetime64("NaT", "ns"))
             frame["tok"] = tok.astype(np.int64)
-            g = frame.groupby("rid").agg(t_start=("t_start", "min"), t_first=("tok_ts", "min"),
+            g = frame.groupby(_RKEY).agg(t_start=("t_start", "min"), t_first=("tok_ts", "min"),
                                          n_tokens=("tok", "sum"), t_last=("keep_ts", "max"))
             old = cur.reindex(g.index)
             merged = pd.DataFrame({
@@ -211,7 +217,9 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if len(emit):
         end = emit["t_end"].to_numpy(dtype="datetime64[ns]")
         end = np.where(np.isnat(end), emit["t_last"].to_numpy(dtype="datetime64[ns]"), end)
-        yield pd.DataFrame({"run_id": run_id, "model_id": model_id, "request_id": emit.index.to_numpy(dtype=object),
+        yield pd.DataFrame({"run_id": emit.index.get_level_values(0).to_numpy(dtype=object),
+                            "model_id": emit.index.get_level_values(1).to_numpy(dtype=object),
+                            "request_id": emit.index.get_level_values(2).to_numpy(dtype=object),
                             "t_start": emit["t_start"].to_numpy(), "t_first": emit["t_first"].to_numpy(),
                             "t_end": end, "n_tokens": emit["n_tokens"].to_numpy(dtype=np.int64),
                             "closed": expired[cur.index.get_indexer(emit.index)]})
@@ -219,7 +227,8 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if not len(cur):
         state.remove()
         return
-    state.update((list(cur.index), *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in
+    state.update((*[list(cur.index.get_level_values(i)) for i in range(3)],
+                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in
                                      ("t_start", "t_first")],
                   [int(x) for x in cur["n_tokens"].to_numpy()],
                   *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in ("t_last", "t_end")]))
@@ -227,19 +236,22 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 
 def stream_request_latency(chunks_stream: DataFrame, out_path: str, checkpoint: str,
-                           available_now: bool = True, buckets: int = REQUEST_BUCKETS):
+                           available_now: bool = True, buckets: int | None = None):
     """ST1: per-request first-token time and token count, updated per micro-batch.
 
-    State is keyed by (run, model, hash bucket of the request): one Python call
-    serves a bucket of requests. Watermark = request timeout; idle requests are
+    State is keyed by a hash bucket of (run, model, request): one Python call serves
+    a bucket of requests, and the buckets scale with the shuffle width. Watermark = request timeout; idle requests are
     emitted once more as ``closed`` and evicted, so state stays bounded. Chunks
     after the end marker are ignored.
     """
+    if buckets is None:
+        parts = int(chunks_stream.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(16, BUCKETS_PER_PARTITION * parts)
     # watermarks need an instant type; chunk times are local (NTZ) and read as session-zone instants
     keyed = (chunks_stream.withColumn("event_time", F.col("ts").cast("timestamp"))
              .withWatermark("event_time", f"{REQUEST_TIMEOUT_S} seconds")
-             .withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets))))
-    out = keyed.groupBy("run_id", "model_id", "bucket").applyInPandasWithState(
+             .withColumn("bucket", F.pmod(F.xxhash64(*_RKEY), F.lit(buckets))))
+    out = keyed.groupBy("bucket").applyInPandasWithState(
         _bucket_state, OUT_SCHEMA, BUCKET_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     w = out.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
         .option("checkpointLocation", checkpoint)
