@@ -311,15 +311,14 @@ def q_stream_leaderboard(spark, sf):
         F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
     coding, ppl, models = coding_stage(spark, sf), fx.ppl_model_summary(spark, sf), fx.models(spark, sf)
 
-    def rebuild(all_items):
-        lb = composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, accuracy.group_accuracy(all_items),
-                                             coding, ppl)
+    def rebuild(acc_stage):
+        lb = composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, acc_stage, coding, ppl)
         return lb.select("run_id", "model_id", F.col("ordinal").cast("bigint").alias("ordinal"), "rank",
                          r6("score").alias("score"), r6("score_ci_half").alias("score_ci_half"),
                          "nonsignificant", F.array_join("missing_components", ",").alias("missing"),
                          F.size("components").cast("bigint").alias("n_components"))
 
-    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/items", folder + "/out",
+    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/stage", folder + "/out",
                                             folder + "/ckpt"))
     return spark.read.parquet(folder + "/out")
 

@@ -284,21 +284,37 @@ def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, ava
 
 # ---- ST3: leaderboard recomputed as stage rows land --------------------------------------------
 
-def stream_leaderboard(items_stream: DataFrame, rebuild, items_path: str, out_path: str, checkpoint: str,
+def accuracy_from_sums(stage: DataFrame) -> DataFrame:
+    """Accuracy stage columns from running sums (n, s1 = sum x, s2 = sum x^2) per model."""
+    n = F.col("n").cast("double")
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)
+    return stage.select(
+        "run_id", "model_id", (F.col("s1") / n).alias("acc_score"),
+        F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))) / F.sqrt(n)).alias("acc_stderr"),
+        F.col("n").cast("bigint").alias("n_samples"))
+
+
+def stream_leaderboard(items_stream: DataFrame, rebuild, stage_path: str, out_path: str, checkpoint: str,
                        available_now: bool = True):
-    """ST3: append landed item rows to the accumulated item table, then rebuild the leaderboard.
+    """ST3: keep per-model running sums of landed item rows, rebuild the leaderboard per batch.
 
-    ``rebuild(items_df) -> DataFrame`` runs the batch plan (ranks and lead/lag
-    are not streaming operations, so they run inside ``foreachBatch``).
+    A streaming aggregation holds (n, sum, sum of squares) per (run, model) — state
+    bounded by the number of models — and emits the changed models (update mode).
+    ``foreachBatch`` stores them per batch and runs ``rebuild(accuracy_stage)`` on
+    the latest sums (ranks and lead/lag are not streaming operations). Items are
+    never re-read.
     """
+    x = F.col("correct").cast("double")
+    sums = items_stream.groupBy("run_id", "model_id").agg(
+        F.count(x).alias("n"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        # per-batch folder, overwritten on a retry: the accumulated table never double counts
-        batch.write.mode("overwrite").parquet(_batch_dir(items_path, batch_id))
+        batch.write.mode("overwrite").parquet(_batch_dir(stage_path, batch_id))
         spark = batch.sparkSession
-        items = spark.read.parquet(items_path).drop("batch_id")
-        rebuild(items).write.mode("overwrite").parquet(out_path)
+        stage = accuracy_from_sums(latest_state(spark, stage_path, ["run_id", "model_id"]))
+        rebuild(stage).write.mode("overwrite").parquet(out_path)
 
-    w = items_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    w = sums.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

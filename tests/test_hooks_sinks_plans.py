@@ -128,3 +128,30 @@ def test_stream_latency_across_micro_batches(spark, tmp_path):
     want = {r["request_id"]: (r["n_tokens"], round(r["ttft_ms"], 3), round(r["tok_s"], 6))
             for r in latency.request_latency(allrows).collect()}
     assert got == want and got["a"][0] == 2
+
+
+def test_stream_leaderboard_across_micro_batches(spark, tmp_path):
+    from evalspark.operators import accuracy, composite
+    from evalspark.plans import catalog, fixtures as fx
+    from evalspark.streaming import jobs
+    labels = fx.table(spark, SF, "labels")
+    land = tmp_path / "labels"
+    for i in range(3):
+        labels.filter(F.col("doc_id") % 3 == i).coalesce(1).write.parquet(str(land / f"part{i}"))
+    stream = spark.readStream.schema(labels.schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(str(land))
+    docs = fx.table(spark, SF, "documents").select("doc_id", "source", "lang")
+    items = stream.join(docs, "doc_id").select(
+        fx.run_col(), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
+        F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
+    models, coding, ppl = fx.models(spark, SF), catalog.coding_stage(spark, SF), fx.ppl_model_summary(spark, SF)
+
+    def rebuild(acc_stage):
+        return composite.composite_leaderboard(models, catalog.FLAGSHIP_OPTIONS, acc_stage, coding, ppl) \
+            .select("model_id", "rank", F.round("score", 6).alias("score"), F.round("score_ci_half", 6).alias("ci"))
+
+    out = str(tmp_path / "out")
+    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, str(tmp_path / "stage"), out, str(tmp_path / "ck")))
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    batch = rebuild(accuracy.group_accuracy(fx.item_results(spark, SF)))
+    assert got == sorted(tuple(r) for r in batch.collect())
