@@ -132,7 +132,7 @@ BUCKETS_PER_PARTITION = 4
 
 BUCKET_STATE = ("run_id array<string>, model_id array<string>, request_id array<string>, "
                 "t_start array<timestamp_ntz>, t_first array<timestamp_ntz>, n_tokens array<long>, "
-                "t_last array<timestamp_ntz>, t_end array<timestamp_ntz>")
+                "t_last array<timestamp_ntz>, t_end array<timestamp_ntz>, seen_ms array<long>")
 _RKEY = ["run_id", "model_id", "request_id"]
 _COLS = ["t_start", "t_first", "t_last", "t_end"]
 
@@ -163,9 +163,10 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
         idx = pd.MultiIndex.from_arrays([list(st[0]), list(st[1]), list(st[2])], names=_RKEY)
         cur = pd.DataFrame({"t_start": _to_ns(st[3]), "t_first": _to_ns(st[4]),
                             "n_tokens": np.array(st[5], dtype=np.int64), "t_last": _to_ns(st[6]),
-                            "t_end": _to_ns(st[7])}, index=idx)
+                            "t_end": _to_ns(st[7]), "seen_ms": np.array(st[8], dtype=np.int64)}, index=idx)
     else:
-        cur = pd.DataFrame({"n_tokens": np.array([], dtype=np.int64), **{c: _to_ns([]) for c in _COLS}},
+        cur = pd.DataFrame({"n_tokens": np.array([], dtype=np.int64), "seen_ms": np.array([], dtype=np.int64),
+                            **{c: _to_ns([]) for c in _COLS}},
                            index=pd.MultiIndex.from_arrays([[], [], []], names=_RKEY))
     touched: set = set()
     if not state.hasTimedOut:
@@ -179,6 +180,7 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
                                   "model_id": pdf["model_id"].to_numpy(dtype=object),
                                   "request_id": pdf["request_id"].to_numpy(dtype=object),
                                   "ts": ts, "t_start": pdf["t_start"].to_numpy(dtype="datetime64[ns]"),
+                                  "event_ms": pdf["event_ms"].to_numpy(dtype=np.int64),
                                   "end_ts": np.where(is_end, ts, np.datetime64("NaT", "ns"))})
             batch_end = frame.groupby(_RKEY)["end_ts"].min()
             ids = batch_end.index
@@ -191,7 +193,8 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
             frame["keep_ts"] = np.where(keep, ts, np.datetime64("NaT", "ns"))
             frame["tok"] = tok.astype(np.int64)
             g = frame.groupby(_RKEY).agg(t_start=("t_start", "min"), t_first=("tok_ts", "min"),
-                                         n_tokens=("tok", "sum"), t_last=("keep_ts", "max"))
+                                         n_tokens=("tok", "sum"), t_last=("keep_ts", "max"),
+                                         seen_ms=("event_ms", "max"))
             old = cur.reindex(g.index)
             merged = pd.DataFrame({
                 "t_start": _nanmin(old["t_start"].to_numpy(dtype="datetime64[ns]"),
@@ -202,14 +205,15 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
                 "t_last": _nanmax(old["t_last"].to_numpy(dtype="datetime64[ns]"),
                                   g["t_last"].to_numpy(dtype="datetime64[ns]")),
                 "t_end": end.reindex(g.index).to_numpy(dtype="datetime64[ns]"),
+                "seen_ms": np.maximum(old["seen_ms"].fillna(-1).to_numpy(dtype=np.int64),
+                                      g["seen_ms"].to_numpy(dtype=np.int64)),
             }, index=g.index)
             cur = pd.concat([cur.drop(index=g.index, errors="ignore"), merged])
             touched.update(g.index)
-    # close requests idle past the timeout (event time vs. the watermark)
+    # close requests idle past the timeout: last chunk seen (event time, the same epoch basis
+    # as the watermark) plus the request timeout
     wm = state.getCurrentWatermarkMs()
-    last = np.where(np.isnat(cur["t_last"].to_numpy(dtype="datetime64[ns]")),
-                    cur["t_start"].to_numpy(dtype="datetime64[ns]"), cur["t_last"].to_numpy(dtype="datetime64[ns]"))
-    deadline = last.astype("datetime64[ms]").astype(np.int64) + REQUEST_TIMEOUT_S * 1000
+    deadline = cur["seen_ms"].to_numpy(dtype=np.int64) + REQUEST_TIMEOUT_S * 1000
     expired = (deadline < wm) if wm > 0 else np.zeros(len(cur), bool)
     if state.hasTimedOut:
         expired = expired | (deadline <= wm)
@@ -231,7 +235,8 @@ def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
                   *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in
                                      ("t_start", "t_first")],
                   [int(x) for x in cur["n_tokens"].to_numpy()],
-                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in ("t_last", "t_end")]))
+                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in ("t_last", "t_end")],
+                  [int(x) for x in cur["seen_ms"].to_numpy()]))
     state.setTimeoutTimestamp(int(deadline[~expired].min()))
 
 
@@ -249,6 +254,7 @@ def stream_request_latency(chunks_stream: DataFrame, out_path: str, checkpoint:
         buckets = max(16, BUCKETS_PER_PARTITION * parts)
     # watermarks need an instant type; chunk times are local (NTZ) and read as session-zone instants
     keyed = (chunks_stream.withColumn("event_time", F.col("ts").cast("timestamp"))
+             .withColumn("event_ms", F.unix_millis(F.col("event_time")))
              .withWatermark("event_time", f"{REQUEST_TIMEOUT_S} seconds")
              .withColumn("bucket", F.pmod(F.xxhash64(*_RKEY), F.lit(buckets))))
     out = keyed.groupBy("bucket").applyInPandasWithState(

@@ -99,7 +99,17 @@ def test_plan_shape(spark, name):
         assert b not in plan, f"{name}: {b}"
 
 
-def test_stream_latency_across_micro_batches(spark, tmp_path):
+@pytest.mark.parametrize("tz", ["UTC", "America/New_York"])
+def test_stream_latency_across_micro_batches(spark, tmp_path, tz):
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        _latency_across_batches(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+
+
+def _latency_across_batches(spark, tmp_path):
     import datetime as dt
     from evalspark.operators import latency
     from evalspark.streaming import jobs
