@@ -353,7 +353,9 @@ def ngram_candidates(spark: SparkSession, sf_dir: str, prefixes: DataFrame | Non
     ``prefixes`` (model_id, prefix_id) restricts the build to the prefixes that will be looked up.
     """
     from evalspark.operators import ngram
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "text"))
+    # same projection as document_requests: the spread exchange is planned once and reused
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = docs.select(F.col("source").alias("model_id"), "text")
     pairs = ngram.bigrams(docs, words(F.col("text")))
     return ngram.top_k_candidates(pairs, token_id, prefixes=prefixes)
 
