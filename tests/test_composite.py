@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from evalspark.operators import composite
 from tests.conftest import approx
 
