@@ -64,7 +64,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
-        # only for local runs and tests: a scratch folder on this machine
+        # a scratch folder on this machine is shared by all tasks of a local master only
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         os.makedirs(conf_dir, exist_ok=True)
     sc.setCheckpointDir(conf_dir)
