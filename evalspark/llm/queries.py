@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_rules, simhash, url_filter
-from .common import read
+from . import pii, quality_rules, simhash, url_filter, warc
+from .common import read, scratch_path
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_warc": op2_warc,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,

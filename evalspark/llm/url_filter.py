@@ -74,6 +74,9 @@ https://crack-keygen.example.org/download
 http://warez-crack.example.com/serial/4
 http://fake-watches.example.com/replica
 https://replica-bags.example.net/sale
+http://spam-links.example.com/en/2
+https://www.spam-mail.example.org/list
+http://link-farm.example.net/links/4
 http://malware-download.example.com/setup.exe
 https://phish-login.example.org/verify/account
 """.split()) + tuple((u, 0) for u in """
