@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, pii, quality_rules, simhash, url_filter, warc
+from . import html_text, pii, quality_rules, simhash, unigram, url_filter, warc
 from .common import read, scratch_path
 
 
@@ -18,6 +18,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(read(spark, sf_dir, "documents"), keep=["doc_id"], check=True)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
