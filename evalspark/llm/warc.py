@@ -72,31 +72,32 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("order", F.coalesce("page_id", F.lit(_LAST)))
-    facts = scratch(base.select("page_id", "order", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1")), "warc-facts")
-    first = scratch(facts.groupBy("digest").agg(F.min("order").alias("first")), "warc-first")
-    typed = facts.join(first, "digest").withColumn("record_type", F.when(
+    base = base.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("order", F.coalesce("page_id", F.lit(_LAST)))
+    # only digests of more than one record need a meeting; all others are the response of their payload
+    shared = scratch(base.select("digest", "order").groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-shared")
+    facts = base.select("page_id", "order", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1"))
+    typed = facts.join(shared, "digest", "left").withColumn("record_type", F.when(
         (F.col("order") > F.col("first")) & (F.col("bytes") >= min_bytes), "revisit").otherwise("response"))
     typed.select(_record_id(F.col("page_id")).alias("record_id"), "digest", "record_type", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    owners = first.select(F.col("first").alias("order"), "digest")
-    # one row per digest: equal keys meet in one task of the join already
-    once = base.select("order", "digest", "payload").join(owners, ["order", "digest"], "left_semi").dropDuplicates(["order", "digest"])
-    once.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    single = base.join(shared, "digest", "left_anti").select("digest", "payload")
+    owners = shared.select(F.col("first").alias("order"), "digest")
+    once = base.select("order", "digest", "payload").join(owners, ["order", "digest"]).dropDuplicates(["order", "digest"]).select("digest", "payload")
+    single.unionByName(once).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(digest, payload) of an archive; a payload that does not match its address fails the job."""
-    rows = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), "digest")).cast("binary"))
+    rows = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
+    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.hex("digest"))).cast("binary"))
     return rows.select("digest", sound.alias("payload"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, digest, record binary): the exact bytes of every record of the archive.
+    """(record_id, digest binary, record binary): the exact bytes of every record of the archive.
 
     Responses meet their payload by digest; a response without one fails the job.
     """
-    headers = spark.read.schema("record_id string, digest string, record_type string, header string").parquet(f"{path}/headers")
+    headers = spark.read.schema("record_id string, digest binary, record_type string, header string").parquet(f"{path}/headers")
     end, blank = F.lit((_CRLF * 2).encode()), F.lit(_CRLF.encode())
     head = F.encode("header", "UTF-8")
     response = F.col("record_type") == "response"
