@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -357,7 +358,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", keep: Seq
                     cols.append(pa.array([b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, "token_ids", "n_tokens", *["round_trip"] * check])
 
-    schema = docs.select(*kept).schema.add("token_ids", "array<int>").add("n_tokens", "long")
+    schema = docs.select(*kept).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long")
     return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema.add("round_trip", "boolean") if check else schema)
 
 
