@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, pii, quality_rules, simhash, unigram, url_filter, warc
+from . import decontaminate, html_text, pii, quality_rules, simhash, unigram, url_filter, warc
 from .common import read, scratch_path
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(read(spark, sf_dir, "documents"), keep=["doc_id"], check=True)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontaminate": op4_decontaminate,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
