@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(text, label): at most ``per_class`` labelled rows of each class, none held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: Sequence[str] = ()) -> DataFrame:
+    """(text, label, h) and the columns ``extra`` of ``docs``: at most ``per_class`` labelled rows of each class, none held out.
 
     The sample is the rows with the smallest hashes of their ids, so it is the same on
     every run and does not depend on the partitioning. Repeated ids count once.
@@ -54,5 +54,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     for c in (0, 1):
         part = y.where(F.col("_y") == c).orderBy("_h", "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    d = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.join(F.broadcast(picked), "_id").select("text", F.col("_y").alias("label"), F.col("_h").alias("h"))
+    d = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    # at most 2 * per_class rows are broadcast; a repeated document counts once
+    found = d.join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
+    return found.select("text", *extra, F.col("_y").alias("label"), F.col("_h").alias("h"))
