@@ -11,13 +11,16 @@ def _c(x) -> Column:
 
 
 def outcome_as_bool(x: Column) -> Column:
-    """Truthiness of one JSON outcome value held as a string (``true``, ``1``, ``"x"`` ...).
-
-    Follows Python truthiness on JSON scalars: false, null, 0, 0.0 and "" are false.
-    """
-    s = F.lower(F.trim(x))
-    falsy = s.isNull() | s.isin("false", "null", "0", "0.0", "-0", "-0.0", '""', "[]", "{}")
-    return ~falsy
+    """Truthiness of one JSON outcome (a variant), by its JSON type: false, null, any zero, an empty
+    text, list or object are false; everything else is true, the text ``"false"`` too."""
+    kind = F.schema_of_variant(x)
+    number = F.try_variant_get(x, "$", "double")
+    return (F.when(x.isNull() | (kind == "VOID"), F.lit(False))
+            .when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+            .when(kind == "STRING", F.try_variant_get(x, "$", "string") != "")
+            .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(x, "$", "array<variant>")) > 0)
+            .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0)
+            .otherwise(F.coalesce(number != 0, F.lit(True))))
 
 
 def pass_flags(outcomes) -> tuple[Column, Column]:
@@ -50,9 +53,3 @@ def truncate_context(context_ids, continuation_ids, max_length) -> Column:
     k = F.greatest(keep, F.lit(1))
     kept = F.when(keep <= 0, empty).otherwise(F.slice(ctx, -k, k))
     return F.when(too_long, kept).otherwise(ctx)
-
-
-def first_n(outcomes, n) -> Column:
-    """W6 on the nested form: the first ``n`` tries of an outcome list."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.slice(_c(outcomes), 1, F.greatest(n, F.lit(0)))

@@ -63,7 +63,7 @@ def _component(name: str, weight: Column, value: Column, ci: Column) -> Column:
 
 
 def join_stages(models: DataFrame, runs: DataFrame | dict, accuracy: DataFrame | None = None,
-                coding: DataFrame | None = None, ppl: DataFrame | None = None) -> DataFrame:
+                coding: DataFrame | None = None, ppl: DataFrame | None = None, latency: DataFrame | None = None) -> DataFrame:
     """One wide row per model with every optional stage (left joins on run_id, model_id).
 
     ``runs`` is the per-run options table (run_id, weights_mmlu, weights_ppl,
@@ -83,7 +83,9 @@ def join_stages(models: DataFrame, runs: DataFrame | dict, accuracy: DataFrame |
 
     accuracy = tag_error(accuracy, "accuracy") if accuracy is not None else None
     coding = tag_error(coding, "coding") if coding is not None else None
-    ppl = tag_error(ppl, "ppl") if ppl is not None else None
+    ppl = tag_error(ppl, "perplexity") if ppl is not None else None
+    if latency is not None:
+        wide = wide.join(tag_error(latency, "latency"), KEYS, "left")
     if accuracy is not None:
         wide = wide.join(accuracy, KEYS, "left")
     else:
@@ -172,9 +174,10 @@ def rank_and_mark(scored: DataFrame) -> DataFrame:
 
 
 def composite_leaderboard(models: DataFrame, runs: DataFrame | dict, accuracy: DataFrame | None = None,
-                          coding: DataFrame | None = None, ppl: DataFrame | None = None) -> DataFrame:
-    """Flagship: stage tables -> components -> score/CI -> rank -> marks (one lazy plan)."""
-    wide = join_stages(models, runs, accuracy, coding, ppl)
+                          coding: DataFrame | None = None, ppl: DataFrame | None = None,
+                          latency: DataFrame | None = None) -> DataFrame:
+    """Flagship: stage tables -> components -> score/CI -> rank -> marks (one lazy plan); latency is carried, not scored."""
+    wide = join_stages(models, runs, accuracy, coding, ppl, latency)
     return rank_and_mark(score_models(wide))
 
 

@@ -6,11 +6,9 @@ explicit model list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.operators.sizing import broadcast_if_small
-
 # Fixed value: a subject is flagged when models differ by at least 4 points (0.04).
 SPREAD_FLAG = 0.04
 
@@ -23,22 +21,23 @@ def subject_rows(subjects: DataFrame) -> DataFrame:
     return out.filter(F.col("subject") != F.lit("mmlu"))
 
 
-def _models_with_results(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("run_id").agg(F.count_distinct("model_id").alias("n_run_models"))
+def _with_model_counts(rows: DataFrame) -> DataFrame:
+    """Adds ``n_models`` (models with the subject) and ``run_models`` (all models of the run with
+    subject results): windows over the already aggregated (run, model, subject) rows."""
+    subject, run = Window.partitionBy("run_id", "subject"), Window.partitionBy("run_id")
+    return (rows.withColumn("n_models", F.size(F.collect_set("model_id").over(subject)))
+            .withColumn("run_models", F.collect_set("model_id").over(run)))
 
 
 def subject_spread(subjects: DataFrame) -> DataFrame:
     """A15 + F7 + F9: per subject max - min accuracy over models.
 
     Kept only when at least two models have the subject and at least two models
-    of the run have subject results at all. Sorted by spread desc, then name (O2).
+    of the run have subject results at all; the first implies the second.
     """
-    rows = subject_rows(subjects)
-    per = rows.groupBy("run_id", "subject").agg(
+    per = subject_rows(subjects).groupBy("run_id", "subject").agg(
         (F.max("acc") - F.min("acc")).alias("spread"), F.count_distinct("model_id").alias("n_models"))
-    per = per.join(_models_with_results(rows), "run_id", "inner")
-    per = per.filter((F.col("n_models") >= 2) & (F.col("n_run_models") >= 2)).drop("n_run_models")
-    return per.withColumn("flagged", F.col("spread") >= F.lit(SPREAD_FLAG))
+    return per.filter(F.col("n_models") >= 2).withColumn("flagged", F.col("spread") >= F.lit(SPREAD_FLAG))
 
 
 def subject_spread_sorted(spread: DataFrame) -> DataFrame:
@@ -47,16 +46,13 @@ def subject_spread_sorted(spread: DataFrame) -> DataFrame:
 
 
 def subject_matrix_long(subjects: DataFrame) -> DataFrame:
-    """A16 + J3 (long): one cell per kept subject x model with subject results; absent -> NULL."""
-    rows = subject_rows(subjects)
-    kept = subject_spread(subjects).select("run_id", "subject")
-    models = rows.select("run_id", "model_id").distinct()
-    grid = kept.join(broadcast_if_small(models), "run_id", "inner")
-    cells = rows.select("run_id", "subject", "model_id", "acc")
-    return grid.join(cells, ["run_id", "subject", "model_id"], "left")
-
-
-def subject_matrix(matrix_long: DataFrame, model_ids: list[str]) -> DataFrame:
-    """A16 display: subjects x models (columns in the given rank order), percent values."""
-    return (matrix_long.groupBy("run_id", "subject")
-            .pivot("model_id", model_ids).agg(F.first(F.col("acc") * 100.0)))
+    """A16 + J3 (long): one cell per kept subject x model with subject results; absent -> NULL.
+
+    One pass over the accuracy rows: every kept subject carries its cells as a map and the run's
+    model list (both bounded by the models of the run) and unfolds them.
+    """
+    kept = _with_model_counts(subject_rows(subjects)).filter(F.col("n_models") >= 2)
+    per = kept.groupBy("run_id", "subject").agg(
+        F.map_from_entries(F.collect_list(F.struct("model_id", "acc"))).alias("_cells"), F.first("run_models").alias("_models"))
+    grid = per.select("run_id", "subject", "_cells", F.explode("_models").alias("model_id"))
+    return grid.select("run_id", "subject", "model_id", F.try_element_at("_cells", F.col("model_id")).alias("acc"))

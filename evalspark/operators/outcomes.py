@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import arrays, stats
-from evalspark.operators.sizing import bounded_values, broadcast_if_small
 
 MODEL_KEYS = ["run_id", "model_id"]
 EXERCISE_KEYS = ["run_id", "model_id", "language", "exercise"]
@@ -70,7 +69,7 @@ def pass_summary(flags: DataFrame, keys=MODEL_KEYS) -> DataFrame:
 
 
 def token_totals(records: DataFrame, keys=MODEL_KEYS) -> DataFrame:
-    """Prompt and completion token sums, NULL counted as 0."""
+    """Prompt and completion token sums, NULL counted as 0; rows may be exercises or single tries."""
     return records.groupBy(*keys).agg(
         F.sum(F.coalesce(F.col("prompt_tokens"), F.lit(0))).cast("bigint").alias("prompt_tokens"),
         F.sum(F.coalesce(F.col("completion_tokens"), F.lit(0))).cast("bigint").alias("completion_tokens"),
@@ -98,25 +97,15 @@ def pass_by_language_rollup(flags: DataFrame) -> DataFrame:
 def exercise_matrix_long(flags: DataFrame, models: DataFrame) -> DataFrame:
     """A17 + J3 + P18: one cell per (run, language, exercise, model of the run); absent cells read ``–``.
 
-    Built as a pivot over the (bounded, size-checked) model list followed by an
-    unpivot, so no join pairs exercises with models; a semi join on
-    (run_id, model_id) keeps each run's own models when several runs share a table.
+    The grid is the result: a run's exercises meet that run's models on ``run_id``
+    (the model side is the small one; AQE decides from measured sizes), and the
+    flags are joined to it on the full key.
     """
-    ids = bounded_values(models, "model_id")
-    cells = flags.withColumn("cell", arrays.exercise_cell("pass_1", "pass_any"))
-    wide = (cells.groupBy("run_id", "language", "exercise")
-            .pivot("model_id", ids).agg(F.first("cell")))
-    long = wide.unpivot(["run_id", "language", "exercise"], ids, "model_id", "cell")
-    long = long.withColumn("cell", F.coalesce(F.col("cell"), F.lit("–")))
-    return long.join(broadcast_if_small(models.select("run_id", "model_id").distinct()),
-                     ["run_id", "model_id"], "left_semi")
-
-
-def exercise_matrix(matrix_long: DataFrame, model_ids: list[str]) -> DataFrame:
-    """A17 display: pivot with an explicit model list (columns in rank order)."""
-    return (matrix_long.groupBy("run_id", "language", "exercise")
-            .pivot("model_id", model_ids).agg(F.first("cell"))
-            .orderBy("run_id", "language", "exercise"))
+    exercises = flags.select("run_id", "language", "exercise").distinct()
+    grid = exercises.join(models.select("run_id", "model_id").distinct(), "run_id")
+    out = grid.join(flags.select("run_id", "model_id", "language", "exercise", "pass_1", "pass_any"),
+                    ["run_id", "model_id", "language", "exercise"], "left")
+    return out.withColumn("cell", arrays.exercise_cell("pass_1", "pass_any")).drop("pass_1", "pass_any")
 
 
 # ---- run directories and progress (S2, S3, S4/W4, A19, J4) -----------------------------------

@@ -83,14 +83,16 @@ def token_perplexity(token_logprobs: DataFrame, keys=MODEL_KEYS, logprob: str =
         agg = token_logprobs.groupBy(*keys).agg(
             F.avg(lp).alias("_mean"), F.stddev_samp(lp).alias("_sd"), F.count(lp).alias("n_tokens"))
     else:
+        # squares about the mean: a second pass over the pre-aggregated rows, since the difference of
+        # two large sums would lose a small spread
         c = F.col(weight).cast("double")
-        agg = (token_logprobs.groupBy(*keys)
-               .agg(F.sum(c * lp).alias("_s1"), F.sum(c * lp * lp).alias("_s2"), F.sum(c).alias("_n"))
-               .withColumn("_mean", F.col("_s1") / F.col("_n"))
-               .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.greatest(
-                   (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0)))))
+        keys = list(keys)
+        means = token_logprobs.groupBy(*keys).agg((F.sum(c * lp) / F.sum(c)).alias("_mean"), F.sum(c).alias("_n"))
+        agg = (token_logprobs.join(means, keys).groupBy(*keys, "_mean", "_n")
+               .agg(F.sum(c * F.pow(lp - F.col("_mean"), 2)).alias("_ss"))
+               .withColumn("_sd", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))))
                .withColumn("n_tokens", F.col("_n").cast("bigint"))
-               .drop("_s1", "_s2", "_n"))
+               .drop("_ss", "_n"))
     ppl = F.exp(-F.col("_mean"))
     return (agg.withColumn("ppl", ppl)
             .withColumn("ppl_se", ppl * F.col("_sd") / F.sqrt(F.col("n_tokens").cast("double")))

@@ -7,9 +7,12 @@ found in two passes without that:
 1. per group: ``n`` and two GK sketches (``percentile_approx``) at ``q -/+ margin``.
    The sketch guarantees a rank error below ``n / accuracy``, so the true values at
    ranks ``floor((n-1)q)`` and the next one lie between the two sketch values.
-2. rows below the band collapse into one counter row per group; rows inside the band
-   are reduced to ``(value, count)``; rows above are dropped. Only the band — about
-   ``2 * margin * n`` rows at most, far fewer distinct values — is ranked by a window.
+2. rows below the band collapse into one row per group (how many, and the largest of them), rows
+   above into the smallest of them; rows inside are reduced to ``(value, count)``. Only the band, at
+   most ``2 * margin * n`` rows and far fewer distinct values, is ranked by a window. The
+   neighbours serve a rank just outside the band; a rank beyond them fails the job.
+
+Groups of every size take this path.
 """
 
 from __future__ import annotations
@@ -46,11 +49,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float
              .select(*keys, "_n", "_qi", F.col("_b.q").alias("_q"), F.col("_b.lo").alias("_blo"),
                      F.col("_b.hi").alias("_bhi")))
     idx = (F.col("_n") - 1).cast("double") * F.col("_q")
-    # small groups (n <= accuracy) are ranked whole: the window then holds at most
-    # ``accuracy`` rows, and no sketch rounding can move a rank out of the band
-    small = F.col("_n") <= accuracy
-    bands = (bands.withColumn("_blo", F.when(small, F.lit(float("-inf"))).otherwise(F.col("_blo")))
-             .withColumn("_bhi", F.when(small, F.lit(float("inf"))).otherwise(F.col("_bhi"))))
     bands = (bands.withColumn("_r0", F.floor(idx).cast("bigint"))
              .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
              .withColumn("_frac", idx - F.col("_r0")))
@@ -58,23 +56,28 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     # one row per group and q: AQE broadcasts it at run time when its measured size
     # is under the broadcast threshold, else it stays a shuffle join
     joined = data.join(bands, keys, "inner")
-    joined = joined.filter(F.col("_v") <= F.col("_bhi"))
-    in_band = F.col("_v") >= F.col("_blo")
-    reduced = (joined.withColumn("_bv", F.when(in_band, F.col("_v")))
-               .groupBy(*keys, "_qi", "_bv")
-               .agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*keys, "_qi").orderBy(F.col("_bv").asc_nulls_first())
+    place = F.when(F.col("_v") < F.col("_blo"), -1).when(F.col("_v") > F.col("_bhi"), 1).otherwise(0)
+    joined = joined.withColumn("_side", place)
+    reduced = (joined.withColumn("_bv", F.when(F.col("_side") == 0, F.col("_v")))
+               .groupBy(*keys, "_qi", "_side", "_bv")
+               .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    w = (Window.partitionBy(*keys, "_qi").orderBy("_side", "_bv")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (reduced.withColumn("_end", F.sum("_c").over(w) - 1)
-              .withColumn("_start", F.col("_end") - F.col("_c") + 1)
-              .filter(F.col("_bv").isNotNull()))
+              .withColumn("_start", F.col("_end") - F.col("_c") + 1))
     ranked = ranked.join(bands.select(*keys, "_qi", "_r0", "_r1", "_frac"), keys + ["_qi"], "inner")
-    hit0 = (F.col("_start") <= F.col("_r0")) & (F.col("_r0") <= F.col("_end"))
-    hit1 = (F.col("_start") <= F.col("_r1")) & (F.col("_r1") <= F.col("_end"))
-    picked = (ranked.groupBy(*keys, "_qi")
-              .agg(F.max(F.when(hit0, F.col("_bv"))).alias("_v0"),
-                   F.max(F.when(hit1, F.col("_bv"))).alias("_v1"),
-                   F.first("_frac").alias("_frac")))
+
+    def at(rank: str):
+        r = F.col(rank)
+        known = (F.when((F.col("_side") == 0) & (F.col("_start") <= r) & (r <= F.col("_end")), F.col("_bv"))
+                 .when((F.col("_side") < 0) & (r == F.col("_end")), F.col("_max"))
+                 .when((F.col("_side") > 0) & (r == F.col("_start")), F.col("_min")))
+        return F.max(known)
+
+    missed = F.raise_error(F.lit("a percentile's rank lies outside the sketch's band")).cast("double")
+    picked = ranked.groupBy(*keys, "_qi").agg(at("_r0").alias("_v0"), at("_r1").alias("_v1"), F.first("_frac").alias("_frac"))
+    picked = picked.withColumn("_v0", F.coalesce("_v0", missed)).withColumn(
+        "_v1", F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(F.coalesce("_v1", missed)))
     picked = picked.withColumn(
         "_p", F.when(F.col("_frac") == 0, F.col("_v0"))
         .otherwise(F.col("_v0") * (F.lit(1.0) - F.col("_frac")) + F.col("_v1") * F.col("_frac")))

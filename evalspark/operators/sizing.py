@@ -1,53 +1,19 @@
-"""Size-checked broadcast.
+"""Explicit input spreading for local runs.
 
-A side is broadcast only after a bounded count proves it small; otherwise the
-plan keeps a shuffle join (sort-merge, with AQE skew splitting).
+The test tables are single row groups, which one task reads however many cores there
+are. A local bench may ask for a round-robin spread of such scans; nothing is decided
+from sizes, and without the setting the plan is left as it is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Default bound on rows of a broadcast side (model lists, per-run options, weights).
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
+#: Session setting with the number of partitions of spread scans; unset or 0: no spreading.
+SPREAD_CONF = "spark.evalspark.spread"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin repartition when the scan yields fewer partitions than the cluster has cores.
-
-    A table stored as one large row group is read by one task; CPU-heavy row work
-    (tokenising text, parsing logs) after it would run on one core. On a large
-    input with many splits this is a no-op.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
-        return df
-    return df.repartition(cores * per_core) if n < cores else df
-
-
-# Default bound on a value list pulled to the driver (model ids of a registry).
-DEFAULT_MAX_VALUES = 10_000
-
-
-def bounded_values(df: DataFrame, col: str, max_n: int = DEFAULT_MAX_VALUES) -> list:
-    """Distinct values of a small dimension column, sorted; raises if there are more than ``max_n``.
-
-    Used for pivot value lists and per-run model lists, whose size is bounded by
-    the registry rules, never for fact columns.
-    """
-    vals = [r[0] for r in df.select(col).distinct().limit(max_n + 1).collect()]
-    if len(vals) > max_n:
-        raise ValueError(f"{col}: more than {max_n} distinct values; not a dimension list")
-    return sorted(v for v in vals if v is not None)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session asks for, or unchanged."""
+    n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n) if n > 0 else df

@@ -107,8 +107,7 @@ def q_pass_by_language_rollup(spark, sf):
 
 
 def q_token_totals(spark, sf):
-    rec = fx.exercise_records(spark, sf)
-    return outcomes.token_totals(rec)
+    return outcomes.token_totals(fx.try_tokens(spark, sf))
 
 
 def q_first_n_tries(spark, sf):
@@ -203,7 +202,7 @@ def q_choice_accuracy(spark, sf):
     cands = fx.ngram_candidates(spark, sf, prefixes=tokens.select("model_id", "prefix_id"))
     tok = loglik.lookup_long(tokens, cands)
     ll = loglik.score_requests(tok, req)
-    gold = req.select("doc_id").distinct().withColumn("gold", F.lit(0))
+    gold = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("gold"))
     items = accuracy.choice_accuracy(ll, gold)
     return (items.groupBy("run_id", "model_id")
             .agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("correct") == 1).alias("n_correct"),
@@ -307,7 +306,7 @@ def q_stream_leaderboard(spark, sf):
     labels = jobs.file_stream(spark, f"{sf}/labels.parquet", fx.table(spark, sf, "labels"))
     docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang")
     items = labels.join(docs, "doc_id", "inner").select(
-        fx.run_col(), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
+        fx.run_of(F.col("source")), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
         F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
     coding, ppl, models = coding_stage(spark, sf), fx.ppl_model_summary(spark, sf), fx.models(spark, sf)
 

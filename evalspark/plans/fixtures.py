@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.sizing import bounded_values, spread
+from evalspark.operators.sizing import spread
 
-RUN_ID = "r0"
+N_RUNS = 2
 N_MODELS = 20
+#: A model with results in one stage only: the perplexity runs of all models together.
+POOLED_MODEL = f"src{N_MODELS}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +43,9 @@ def ordinal_of(model_id: Column) -> Column:
     return F.regexp_extract(model_id, r"(\d+)$", 1).cast("int")
 
 
-def run_col() -> Column:
-    return F.lit(RUN_ID).alias("run_id")
+def run_of(model_id: Column) -> Column:
+    """Run of a model: its number modulo N_RUNS, so that every run has models of its own."""
+    return F.concat(F.lit("r"), (ordinal_of(model_id) % N_RUNS).cast("string")).alias("run_id")
 
 
 # ---- accuracy -------------------------------------------------------------------------------
@@ -52,14 +55,16 @@ def item_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return (labels.join(docs, "doc_id", "inner")
-            .select(run_col(), F.col("source").alias("model_id"), F.col("lang").alias("subject"),
+            .select(run_of(F.col("source")), F.col("source").alias("model_id"), F.col("lang").alias("subject"),
                     "doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct")))
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model rows of the run: every ``src<k>`` seen in the stage inputs, ordinal k."""
+    """Model rows of the run: every source of ``documents`` (``src<k>``, ordinal k), and the pooled
+    model ``src20`` that exists in the perplexity stage only."""
     ids = table(spark, sf_dir, "documents").select(F.col("source").alias("model_id")).distinct()
-    return ids.select(run_col(), "model_id", ordinal_of(F.col("model_id")).alias("ordinal"))
+    ids = ids.unionByName(spark.range(1).select(F.lit(POOLED_MODEL).alias("model_id")))
+    return ids.select(run_of(F.col("model_id")), "model_id", ordinal_of(F.col("model_id")).alias("ordinal"))
 
 
 # ---- coding ---------------------------------------------------------------------------------
@@ -76,32 +81,26 @@ def tries(spark: SparkSession, sf_dir: str, language: str | None = None) -> Data
     """
     li = spread(table(spark, sf_dir, "lineitem"))
     lang = F.col("l_linestatus") if language == "linestatus" else F.lit("python")
-    return li.select(run_col(), model_of(F.col("l_suppkey")).alias("model_id"), lang.alias("language"),
+    return li.select(run_of(model_of(F.col("l_suppkey"))), model_of(F.col("l_suppkey")).alias("model_id"), lang.alias("language"),
                      F.col("l_partkey").cast("string").alias("exercise"),
                      (F.col("l_returnflag") == "R").alias("passed"), *TRY_ORDER)
 
 
-# Fixed value: tries of the repair loop (records hold at most this many outcomes).
-RECORD_TRIES = 2
-
+def try_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every try: run_id, model_id, prompt_tokens, completion_tokens."""
+    li = spread(table(spark, sf_dir, "lineitem"))
+    return li.select(run_of(model_of(F.col("l_suppkey"))), model_of(F.col("l_suppkey")).alias("model_id"), F.col("l_quantity").cast("bigint").alias("prompt_tokens"),
+                     F.floor(F.col("l_extendedprice") / 100).cast("bigint").alias("completion_tokens"))
 
-def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = None,
-                     tries_per_record: int = RECORD_TRIES) -> DataFrame:
-    """D8 records (one per finished exercise) built from the first tries in try order.
 
-    A record holds the outcomes of the repair loop, at most ``tries_per_record``
-    tries (W6 first, so the per-exercise list is bounded); token counts are summed
-    over those tries.
-    """
+def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = None, tries_per_record: int = 2) -> DataFrame:
+    """D8 records (one per finished exercise) with the outcomes of the repair loop, at most
+    ``tries_per_record`` in try order (W6): run_id, model_id, language, exercise, tests_outcomes."""
     from evalspark.operators.outcomes import first_n_tries
     t = first_n_tries(tries(spark, sf_dir, language), tries_per_record, TRY_ORDER)
     rec = (t.groupBy("run_id", "model_id", "language", "exercise")
-           .agg(F.array_sort(F.collect_list(F.struct("try_no", "passed"))).alias("_tries"),
-                F.sum("l_quantity").cast("bigint").alias("prompt_tokens"),
-                F.sum(F.floor(F.col("l_extendedprice") / 100)).cast("bigint").alias("completion_tokens")))
-    return rec.select("run_id", "model_id", "language", "exercise",
-                      F.transform("_tries", lambda x: x["passed"]).alias("tests_outcomes"),
-                      "prompt_tokens", "completion_tokens")
+           .agg(F.array_sort(F.collect_list(F.struct("try_no", "passed"))).alias("_tries")))
+    return rec.select("run_id", "model_id", "language", "exercise", F.transform("_tries", lambda x: x["passed"]).alias("tests_outcomes"))
 
 
 def result_file_events(li: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def chunks_from_events(ev: DataFrame) -> DataFrame:
     """The chunk projection of ``events`` rows (works on a stream as well)."""
     day = F.to_date("ts")
     return ev.select(
-        run_col(), model_of(F.col("user_id")).alias("model_id"),
+        run_of(model_of(F.col("user_id"))), model_of(F.col("user_id")).alias("model_id"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(day, "yyyy-MM-dd")).alias("request_id"),
         F.to_timestamp_ntz(F.date_format(day, "yyyy-MM-dd")).alias("t_start"),
         F.col("ts"),
@@ -175,20 +174,22 @@ def ppl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                            F.col("props")))
            .when(F.col("event_type") == "view", F.concat(F.lit("llama_perf: overall_ppl = "), ppl_txt))
            .otherwise(F.concat(F.lit("[1]4.1,[2]5.2\r\nFinal estimate: PPL = "), ppl_txt, F.lit(" +/- "), se_txt)))
-    return ev.select(run_col(), model_of(F.col("user_id")).alias("model_id"),
+    return ev.select(run_of(model_of(F.col("user_id"))), model_of(F.col("user_id")).alias("model_id"),
                      F.col("event_id").alias("run_no"), log.alias("log"))
 
 
 def ppl_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PPL stage of the flagship: one summary per model (model 7 left out).
+    """PPL stage of the flagship: one summary per model and one for the pooled model.
 
-    ppl = avg(20 + value), se = avg(value / 100) over non-error events.
+    Every run of a model is one event type (all but errors); a run's ppl is avg(20 + value), its se
+    avg(value / 100). The model's ppl and se are the means of its runs, with their least and largest.
     """
-    ev = table(spark, sf_dir, "events").filter((F.col("event_type") != "error") & (F.col("user_id") % N_MODELS != 7))
-    return (ev.groupBy(model_of(F.col("user_id")).alias("model_id"))
-            .agg(F.avg(F.lit(20.0) + F.col("value")).alias("ppl"), F.avg(F.col("value") / 100).alias("ppl_se"))
-            .select(run_col(), "model_id", "ppl", "ppl_se", F.lit(1).cast("bigint").alias("n_runs"),
-                    F.col("ppl").alias("run_min"), F.col("ppl").alias("run_max")))
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    ids = F.explode(F.array(model_of(F.col("user_id")), F.lit(POOLED_MODEL))).alias("model_id")
+    runs = (ev.select(ids, "event_type", "value").groupBy("model_id", "event_type")
+            .agg(F.avg(F.lit(20.0) + F.col("value")).alias("ppl"), F.avg(F.col("value") / 100).alias("ppl_se")))
+    from evalspark.operators.perplexity import ppl_summary
+    return ppl_summary(runs.select(run_of(F.col("model_id")), "model_id", "ppl", "ppl_se", F.lit(None).cast("string").alias("error")))
 
 
 # ---- tokens ---------------------------------------------------------------------------------
@@ -224,7 +225,7 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     w = words(F.col("text"))
-    return docs.select(run_col(), F.col("source").alias("model_id"), F.col("doc_id").alias("request_id"),
+    return docs.select(run_of(F.col("source")), F.col("source").alias("model_id"), F.col("doc_id").alias("request_id"),
                        F.col("doc_id"), F.lit(0).alias("choice_no"),
                        F.slice(w, 1, 1).alias("context"),
                        F.slice(w, 2, 1 << 30).alias("continuation"))
@@ -247,10 +248,9 @@ def benchmark_choice_requests(spark: SparkSession, sf_dir: str, models_df: DataF
     choices = heads.select("item_id", "head", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice_no"))
     choices = choices.withColumn("src_item", (F.col("item_id") + F.col("choice_no")) % n_items)
     req = choices.join(tails, "src_item", "inner")
-    # every model scores every item: the (bounded) model list is attached to each request row
-    ids = bounded_values(models_df, "model_id")
-    req = req.select("*", F.lit(RUN_ID).alias("run_id"),
-                     F.explode(F.array(*[F.lit(m) for m in ids])).alias("model_id"))
+    # every model scores every item: items enter every run and meet that run's models
+    runs = F.explode(F.array(*[F.lit(f"r{i}") for i in range(N_RUNS)]))
+    req = req.withColumn("run_id", runs).join(models_df.select("run_id", "model_id"), "run_id")
     return req.select("run_id", "model_id",
                       F.concat_ws("-", F.col("item_id").cast("string"), F.col("choice_no").cast("string"))
                       .alias("request_id"),
@@ -270,7 +270,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     assistants = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated"))
     joined = users.join(assistants, ["conv_id", "turn"], "left")
-    return joined.select(run_col(), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn", "prompt",
+    return joined.select(run_of(model_of(F.col("conv_id"))), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn", "prompt",
                          "generated",
                          F.lower(F.split(F.trim(F.col("prompt")), " ").getItem(0)).alias("gold"))
 
@@ -314,7 +314,7 @@ def generation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = lambda i, t: F.struct(F.lit(i).alias("index"), t.alias("text"))
     choices = F.when(F.col("answer").isNotNull(), F.array(choice(1, F.col("prompt")), choice(0, F.col("answer")))) \
         .otherwise(F.array(choice(1, F.col("prompt"))))
-    return j.select(run_col(), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn",
+    return j.select(run_of(model_of(F.col("conv_id"))), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn",
                     F.array(F.struct(choices.alias("choices"))).alias("responses"))
 
 

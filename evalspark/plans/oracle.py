@@ -27,8 +27,17 @@ def model(key: str) -> str:
     return f"'src' || CAST({key} % 20 AS VARCHAR)"
 
 
-ITEMS = """items AS (
-  SELECT 'r0' AS run_id, d.source AS model_id, d.lang AS subject, d.doc_id,
+def run(key: str) -> str:
+    """Run of the model of a numeric key: models alternate between two runs."""
+    return f"'r' || CAST({key} % 2 AS VARCHAR)"
+
+
+def run_of(model_id: str) -> str:
+    return run(f"CAST(regexp_extract({model_id}, '(\\d+)$', 1) AS INTEGER)")
+
+
+ITEMS = f"""items AS (
+  SELECT {run_of('d.source')} AS run_id, d.source AS model_id, d.lang AS subject, d.doc_id,
          CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS DOUBLE) AS correct
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
@@ -37,17 +46,16 @@ TRY_ORDER = "(l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_ext
 
 def exflags(language: str = "'python'") -> str:
     return f"""ex AS (
-  SELECT 'r0' AS run_id, {model('l_suppkey')} AS model_id, {language} AS language,
+  SELECT {run('l_suppkey')} AS run_id, {model('l_suppkey')} AS model_id, {language} AS language,
          CAST(l_partkey AS VARCHAR) AS exercise,
          arg_min(l_returnflag = 'R', {TRY_ORDER}) AS pass_1,
          bool_or(l_returnflag = 'R') AS pass_any
   FROM lineitem GROUP BY ALL)"""
 
 
-MODELS = """models AS (
-  SELECT DISTINCT 'r0' AS run_id, source AS model_id,
-         CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS ordinal
-  FROM documents)"""
+MODELS = f"""models AS (
+  SELECT {run_of('model_id')} AS run_id, model_id, CAST(regexp_extract(model_id, '(\\d+)$', 1) AS INTEGER) AS ordinal
+  FROM (SELECT DISTINCT source AS model_id FROM documents UNION ALL SELECT 'src20'))"""
 
 FILES = """files AS (
   SELECT strftime(l_shipdate, '%Y') || '-01-01-00-00-00--' || 'src' || CAST(l_suppkey % 20 AS VARCHAR) AS run,
@@ -55,7 +63,7 @@ FILES = """files AS (
   FROM lineitem GROUP BY ALL)"""
 
 CHUNKS = f"""ch AS (
-  SELECT 'r0' AS run_id, {model('user_id')} AS model_id,
+  SELECT {run('user_id')} AS run_id, {model('user_id')} AS model_id,
          CAST(user_id AS VARCHAR) || '-' || strftime(CAST(ts AS DATE), '%Y-%m-%d') AS request_id,
          CAST(CAST(ts AS DATE) AS TIMESTAMP) AS t_start, ts,
          CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS delta,
@@ -79,7 +87,7 @@ per AS (
   FROM per0)"""
 
 PPL_LOGS = f"""logs AS (
-  SELECT 'r0' AS run_id, {model('user_id')} AS model_id, event_id AS run_no,
+  SELECT {run('user_id')} AS run_id, {model('user_id')} AS model_id, event_id AS run_no,
     CASE WHEN event_type = 'error' THEN 'main: error loading model' || chr(10) || 'failed ' || props
          WHEN event_type = 'view' THEN 'llama_perf: overall_ppl = ' || CAST(CAST(20.0 + value AS DECIMAL(12,4)) AS VARCHAR)
          ELSE '[1]4.1,[2]5.2' || chr(13) || chr(10) || 'Final estimate: PPL = '
@@ -112,14 +120,18 @@ acc AS (SELECT run_id, model_id, avg(correct) AS acc_score, stddev_samp(correct)
 cod AS (SELECT run_id, model_id, count(*) AS completed, count_if(pass_any) AS k2,
                CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * count_if(pass_any) / count(*) END AS rate2
         FROM ex GROUP BY ALL),
-ppl AS (SELECT 'r0' AS run_id, {model('user_id')} AS model_id, avg(20.0::DOUBLE + value) AS ppl,
-               avg(value / 100) AS ppl_se
-        FROM events WHERE event_type <> 'error' AND user_id % 20 <> 7 GROUP BY ALL),
+ev AS (SELECT {model('user_id')} AS model_id, event_type, value FROM events WHERE event_type <> 'error'
+       UNION ALL SELECT 'src20', event_type, value FROM events WHERE event_type <> 'error'),
+pruns AS (SELECT model_id, event_type, avg(20.0::DOUBLE + value) AS ppl, avg(value / 100) AS se FROM ev GROUP BY ALL),
+ppl AS (SELECT {run_of('model_id')} AS run_id, model_id, avg(ppl) AS ppl, avg(se) AS ppl_se, count(*) AS n_runs,
+               min(ppl) AS run_min, max(ppl) AS run_max FROM pruns GROUP BY ALL),
 pn AS (SELECT *, min(CASE WHEN ppl > 0 THEN ppl END) OVER (PARTITION BY run_id) AS min_ppl FROM ppl),
 pc AS (SELECT run_id, model_id,
               CASE WHEN ppl > 0 THEN 100.0::DOUBLE * min_ppl / ppl END AS ppl_score,
-              CASE WHEN ppl > 0 AND ppl_se IS NOT NULL
-                   THEN abs({Z} * ((100.0::DOUBLE * min_ppl / (ppl * ppl)) * ppl_se)) END AS ppl_ci
+              CASE WHEN ppl > 0 AND (ppl_se IS NOT NULL OR n_runs >= 2)
+                   THEN sqrt(coalesce(power({Z} * ((100.0::DOUBLE * min_ppl / (ppl * ppl)) * ppl_se), 2), 0)
+                             + CASE WHEN n_runs >= 2 THEN power((100.0::DOUBLE * min_ppl / run_min - 100.0::DOUBLE * min_ppl / run_max) / 2, 2)
+                                    ELSE 0 END) END AS ppl_ci
        FROM pn),
 {MODELS},
 wide AS (
@@ -197,22 +209,13 @@ FROM ex GROUP BY GROUPING SETS ((run_id, model_id, language), (run_id, model_id)
 
 
 TOKEN_TOTALS = f"""
-WITH t AS (
-  SELECT {model('l_suppkey')} AS model_id, l_partkey, l_quantity, l_extendedprice,
-         row_number() OVER (PARTITION BY {model('l_suppkey')}, l_partkey
-                            ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice)
-           AS try_no
-  FROM lineitem),
-rec AS (
-  SELECT 'r0' AS run_id, model_id, l_partkey,
-         CAST(sum(l_quantity) AS BIGINT) AS pt, CAST(sum(floor(l_extendedprice / 100)) AS BIGINT) AS ct
-  FROM t WHERE try_no <= 2 GROUP BY ALL)
-SELECT run_id, model_id, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(ct) AS BIGINT) AS completion_tokens
-FROM rec GROUP BY ALL"""
+SELECT {run('l_suppkey')} AS run_id, {model('l_suppkey')} AS model_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt_tokens,
+       CAST(sum(CAST(floor(l_extendedprice / 100) AS BIGINT)) AS BIGINT) AS completion_tokens
+FROM lineitem GROUP BY ALL"""
 
 FIRST_N_TRIES = f"""
 WITH t AS (
-  SELECT 'r0' AS run_id, {model('l_suppkey')} AS model_id, l_returnflag = 'R' AS passed,
+  SELECT {run('l_suppkey')} AS run_id, {model('l_suppkey')} AS model_id, l_returnflag = 'R' AS passed,
          row_number() OVER (PARTITION BY {model('l_suppkey')}, l_partkey
                             ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice)
            AS try_no
@@ -336,7 +339,7 @@ res AS (
 
 
 DOC_TOKENS = f"""toks AS (
-  SELECT 'r0' AS run_id, model_id, doc_id AS request_id, i - 1 AS pos, {tid('w[i]')} AS prefix_id,
+  SELECT {run_of('model_id')} AS run_id, model_id, doc_id AS request_id, i - 1 AS pos, {tid('w[i]')} AS prefix_id,
          {tid('w[i + 1]')} AS target_id, w[i + 1] AS target_text
   FROM (SELECT model_id, doc_id, w, unnest(range(1, len(w))) AS i FROM docs))"""
 
@@ -354,7 +357,7 @@ def request_loglik() -> str:
 WITH {CANDS}, {DOC_TOKENS}, {lookup('toks')},
 agg AS (SELECT model_id, request_id, sum(logprob) AS ll, bool_and(coalesce(prio = 0, false)) AS g, count(*) AS n
         FROM res GROUP BY ALL)
-SELECT 'r0' AS run_id, d.model_id, d.doc_id AS request_id, round(coalesce(a.ll, 0.0), 3) AS loglik,
+SELECT {run_of('d.model_id')} AS run_id, d.model_id, d.doc_id AS request_id, round(coalesce(a.ll, 0.0), 3) AS loglik,
        coalesce(a.g, true) AS is_greedy, CAST(coalesce(a.n, 0) AS BIGINT) AS n_tokens
 FROM docs d LEFT JOIN agg a ON a.model_id = d.model_id AND a.request_id = d.doc_id"""
 
@@ -382,7 +385,7 @@ agg AS (SELECT model_id, item_id, choice_no, sum(logprob) AS ll FROM res GROUP B
 ll AS (SELECT r.model_id, r.item_id, r.choice_no, coalesce(a.ll, 0.0) AS ll
        FROM creq r LEFT JOIN agg a USING (model_id, item_id, choice_no)),
 pred AS (SELECT model_id, item_id, arg_max(choice_no, (ll, -choice_no)) AS pred FROM ll GROUP BY ALL)
-SELECT 'r0' AS run_id, model_id, count(*) AS n_items, count_if(pred = 0) AS n_correct,
+SELECT {run_of('model_id')} AS run_id, model_id, count(*) AS n_items, count_if(pred = 0) AS n_correct,
        round(avg(CASE WHEN pred = 0 THEN 1.0 ELSE 0.0 END), 6) AS acc
 FROM pred GROUP BY ALL"""
 
@@ -499,7 +502,7 @@ GENERATION_EXACT_MATCH = f"""
 WITH users AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
 asst AS (SELECT conv_id, turn - 1 AS turn, text AS generated FROM conversations WHERE role = 'assistant'),
 g AS (
-  SELECT 'r0' AS run_id, {model('u.conv_id')} AS model_id, lower(string_split(trim(u.prompt), ' ')[1]) AS gold,
+  SELECT {run('u.conv_id')} AS run_id, {model('u.conv_id')} AS model_id, lower(string_split(trim(u.prompt), ' ')[1]) AS gold,
          a.generated IS NULL AS is_placeholder,
          lower(coalesce(regexp_split_to_array(a.generated, ' |\\n|,')[1], '[no response]')) AS answer
   FROM users u LEFT JOIN asst a USING (conv_id, turn))
@@ -528,7 +531,7 @@ GENERATION_TEXTS = f"""
 WITH users AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
 asst AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant'),
 j AS (SELECT u.conv_id, u.prompt, a.answer FROM users u LEFT JOIN asst a USING (conv_id, turn))
-SELECT 'r0' AS run_id, {model('conv_id')} AS model_id, count(*) AS n_requests,
+SELECT {run('conv_id')} AS run_id, {model('conv_id')} AS model_id, count(*) AS n_requests,
        CAST(sum(CASE WHEN answer IS NULL THEN 1 ELSE 2 END) AS BIGINT) AS n_texts,
        CAST(sum(length(CASE WHEN answer IS NULL THEN prompt ELSE answer END)) AS BIGINT) AS first_text_chars
 FROM j GROUP BY ALL"""

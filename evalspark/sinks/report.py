@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions import stats
 from evalspark.functions import text as T
 
 # Display labels of the components.
@@ -26,28 +27,45 @@ def ordered(leaderboard: DataFrame) -> DataFrame:
     return leaderboard.orderBy("run_id", F.asc_nulls_last("rank"), "ordinal")
 
 
+def cells(lb: DataFrame) -> DataFrame:
+    """The numbers behind the display cells, one column each: ``lb`` with ppl_half, acc_pct, acc_half,
+    pass1_half, pass2_half (Wilson). Missing stages leave NULL."""
+    done = F.coalesce(F.col("completed"), F.lit(0)) > 0
+    half = lambda k, rate: F.when(done & F.col(rate).isNotNull(), stats.pass_ci_half(k, "completed", rate))
+    return (lb.withColumn("ppl_half", F.lit(1.96) * F.col("ppl_se"))
+            .withColumn("acc_pct", F.col("acc_score") * 100.0).withColumn("acc_half", F.lit(1.96) * F.col("acc_stderr") * 100.0)
+            .withColumn("pass1_half", half("pass_num_1", "pass_rate_1")).withColumn("pass2_half", half("pass_num_2", "pass_rate_2")))
+
+
 def leaderboard_display(lb: DataFrame, tries: int = 2) -> DataFrame:
-    """K2: text cells of the ranked table (rank or ``-``, PPL±, accuracy±, pass@1, pass@N, score+marks).
+    """K2: text cells of the ranked table: rank or ``-``, label, PPL±, accuracy ±, pass@1 ±, pass@N ±,
+    first-token time, token rate, score with marks.
 
-    Formatting is half-up (SURVEY T10); compare the numeric columns in tests.
+    The PPL cell carries the PPL's own interval (1.96 SE), not that of its score points.
+    Formatting is half-up (SURVEY T10); ``cells`` has the numbers.
     """
-    ppl_cell = F.when(F.col("ppl").isNull(), F.lit("n/a")).when(
-        F.col("ppl_ci_half").isNotNull(), F.format_string("%.2f±%.2f", F.col("ppl"), F.col("ppl_ci_half"))
-    ).otherwise(F.format_string("%.2f", F.col("ppl")))
-    acc_ci = F.lit(1.96) * F.col("acc_stderr") * 100.0
-    acc_cell = F.when(F.col("acc_score").isNull(), F.lit("n/a")).when(
-        F.col("acc_stderr").isNotNull(), F.format_string("%.1f%%±%.1f", F.col("acc_score") * 100.0, acc_ci)
-    ).otherwise(T.fmt_pct(F.col("acc_score") * 100.0))
-    done = F.coalesce(F.col("completed"), F.lit(0)) > 0
-    p1 = F.when(done, T.fmt_pct("pass_rate_1")).otherwise(F.lit("n/a"))
-    p2 = F.when(done & F.col("pass_rate_2").isNotNull(), T.fmt_pct("pass_rate_2")).otherwise(F.lit("n/a"))
-    score = F.when(F.col("score").isNull(), F.lit("n/a")).otherwise(
-        F.concat(F.format_string("%.1f", F.col("score")), T.score_marks("nonsignificant", "missing_components")))
-    return ordered(lb).select(
+    c = cells(lb)
+    na = F.lit("n/a")
+    ppl_cell = F.when(F.col("ppl").isNull(), na).when(
+        F.col("ppl_half").isNotNull(), F.format_string("%.2f±%.2f", "ppl", "ppl_half")).otherwise(F.format_string("%.2f", "ppl"))
+
+    def rate(value: str, half: str):
+        return F.when(F.col(value).isNull(), na).when(
+            F.col(half).isNotNull(), F.format_string("%.1f%% ±%.1f", value, half)).otherwise(T.fmt_pct(value))
+
+    def passed(value: str, half: str):
+        return F.when(F.col(half).isNull(), na).otherwise(F.format_string("%.1f%% ±%.1f", value, half))
+
+    number = lambda name: T.fmt_num(F.col(name)) if name in lb.columns else na
+    score = F.when(F.col("score").isNull(), na).otherwise(
+        F.concat(F.format_string("%.2f", F.col("score")), T.score_marks("nonsignificant", "missing_components")))
+    label = F.coalesce("label", "model_id") if "label" in lb.columns else F.col("model_id")
+    return ordered(c).select(
         "run_id", "model_id", "rank", "ordinal",
-        F.coalesce(F.col("rank").cast("string"), F.lit("-")).alias("rank_cell"),
-        ppl_cell.alias("ppl_cell"), acc_cell.alias("accuracy_cell"), p1.alias("pass1_cell"),
-        p2.alias(f"pass{tries}_cell"), score.alias("score_cell"))
+        F.coalesce(F.col("rank").cast("string"), F.lit("-")).alias("rank_cell"), label.alias("label_cell"),
+        ppl_cell.alias("ppl_cell"), rate("acc_pct", "acc_half").alias("accuracy_cell"),
+        passed("pass_rate_1", "pass1_half").alias("pass1_cell"), passed("pass_rate_2", "pass2_half").alias(f"pass{tries}_cell"),
+        number("ttft_ms_p50").alias("ttft_cell"), number("tok_s_median").alias("rate_cell"), score.alias("score_cell"))
 
 
 def model_details(lb: DataFrame) -> DataFrame:
@@ -64,20 +82,30 @@ def model_details(lb: DataFrame) -> DataFrame:
 
 
 def report_records(lb: DataFrame) -> DataFrame:
-    """K1: one nested record per model; a missing stage is NULL (its error text sits beside it, T9)."""
+    """K1: one nested record per model: identity, rank, score, marks, components with their CI, and one object
+    per stage, which is NULL where the stage has no result and ``{error}`` where it failed (T9)."""
+    lb = cells(lb)
+    has = set(lb.columns)
     comps = F.transform("components", lambda c: F.struct(
-        c["component"].alias("name"), F.round(c["weight"], 4).alias("weight"), F.round(c["value"], 2).alias("value")))
-    acc = F.when(F.col("acc_score").isNotNull(), F.struct(
-        F.col("acc_score").alias("score"), F.col("acc_stderr").alias("score_stderr"),
-        F.col("n_samples").alias("n_samples")))
-    coding = F.when(F.col("completed").isNotNull(), F.struct(
-        "completed", "pass_num_1", "pass_num_2", "pass_rate_1", "pass_rate_2"))
-    ppl = F.when(F.col("ppl").isNotNull(), F.struct(F.col("ppl").alias("ppl"), F.col("ppl_score").alias("fidelity")))
-    cols = ["run_id", "model_id", "ordinal", "rank", "score", "score_ci_half", "nonsignificant",
-            "missing_components"]
-    errs = [c for c in lb.columns if c.endswith("_error")]
-    return lb.select(*cols, comps.alias("components"), acc.alias("accuracy"), coding.alias("coding"),
-                     ppl.alias("perplexity"), *errs)
+        c["component"].alias("name"), F.round(c["weight"], 4).alias("weight"), F.round(c["value"], 2).alias("value"),
+        F.round(c["ci_half"], 2).alias("ci_half")))
+    wilson = stats.wilson_ci("pass_num_2", "completed")
+
+    def stage(name: str, present, *fields):
+        error = F.col(f"{name}_error") if f"{name}_error" in has else F.lit(None).cast("string")
+        body = [F.when(present, f).alias(n) for n, f in fields]
+        return F.when(present | error.isNotNull(), F.struct(*body, error.alias("error"))).alias(name)
+
+    known = lambda *names: [(n, F.col(n)) for n in names if n in has]
+    identity = [c for c in ("run_id", "model_id", "ordinal", "label", "path", "flags", "rank", "score", "score_ci_half", "nonsignificant", "missing_components") if c in has]
+    return lb.select(
+        *identity, (F.size("missing_components") > 0).alias("partial"), comps.alias("components"),
+        stage("accuracy", F.col("acc_score").isNotNull(), ("score", F.col("acc_score")), ("score_stderr", F.col("acc_stderr")), *known("n_samples"), ("ci_half", F.col("acc_half"))),
+        stage("coding", F.col("completed").isNotNull(), *known("completed", "total", "pass_num_1", "pass_num_2", "pass_rate_1", "pass_rate_2", "prompt_tokens", "completion_tokens"),
+              ("ci_low", wilson["lo"]), ("ci_high", wilson["hi"])),
+        stage("perplexity", F.col("ppl").isNotNull(), *known("ppl", "ppl_se", "n_runs", "run_min", "run_max", "n_tokens"), ("fidelity", F.col("ppl_score")), ("ci_half", F.col("ppl_ci_half"))),
+        stage("latency", F.col("n_requests").isNotNull() if "n_requests" in has else F.lit(False),
+              *known("n_requests", "ttft_ms_mean", "ttft_ms_p50", "ttft_ms_p95", "tok_s_mean", "tok_s_median", "total_tokens")))
 
 
 def write_report(lb: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

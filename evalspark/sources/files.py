@@ -18,8 +18,6 @@ RESULT_NAME = "results.json"
 # Fixed value: path pattern of a result file (run, language, exercise).
 RESULT_PATH = r"([^/]+)/([^/]+)/exercises/practice/([^/]+)/[^/]+$"
 
-RECORD_SCHEMA = "struct<tests_outcomes: array<string>, prompt_tokens: bigint, completion_tokens: bigint>"
-
 
 def language_list(languages: str | list[str] | None) -> list[str]:
     """Comma list, entries stripped, duplicates removed (first wins); empty = all."""
@@ -40,42 +38,47 @@ def _result_glob(root: str, languages: list[str], name: str) -> str:
     return f"{root.rstrip('/')}/*/{lang}/exercises/practice/*/{name}"
 
 
+def parse_exercise_records(raw: DataFrame, value: str = "value") -> DataFrame:
+    """S1 parser + F6 + T3 over texts of one record each: ``raw`` with tests_outcomes array<boolean>,
+    prompt_tokens, completion_tokens and reject, which is ``unreadable`` (no JSON object), ``empty`` or NULL.
+
+    Outcomes follow JSON truthiness by type (``1`` is a pass, ``"false"`` too).
+    """
+    keys = F.json_object_keys(F.col(value))
+    doc = F.try_parse_json(F.col(value))
+    listed = F.coalesce(F.try_variant_get(doc, "$.tests_outcomes", "array<variant>"), F.array().cast("array<variant>"))
+    reject = F.when(keys.isNull(), F.lit("unreadable")).when(F.size(keys) == 0, F.lit("empty"))
+    return (raw.withColumn("reject", reject)
+            .withColumn("tests_outcomes", F.when(F.col("reject").isNull(), F.transform(listed, outcome_as_bool)))
+            .withColumn("prompt_tokens", F.try_variant_get(doc, "$.prompt_tokens", "bigint"))
+            .withColumn("completion_tokens", F.try_variant_get(doc, "$.completion_tokens", "bigint")))
+
+
 def read_exercise_results(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
-    """S1 + F6 + T3: one record per finished exercise, tagged from its path.
+    """One record per finished exercise, tagged from its path.
 
     Unreadable JSON and empty records are dropped (kept in ``read_exercise_rejects``).
-    Outcomes follow JSON truthiness (``1`` is a pass).
     """
-    raw = _read_raw(spark, root, languages, name)
-    ok = raw.filter(F.col("_valid") & F.col("_non_empty"))
-    rec = ok.withColumn("_r", F.from_json("value", RECORD_SCHEMA))
-    outcomes = F.transform(F.coalesce(F.col("_r.tests_outcomes"), F.array().cast("array<string>")), outcome_as_bool)
-    return rec.select("run", "language", "exercise", "path", outcomes.alias("tests_outcomes"),
-                      F.col("_r.prompt_tokens").alias("prompt_tokens"),
-                      F.col("_r.completion_tokens").alias("completion_tokens"))
+    rec = parse_exercise_records(_read_raw(spark, root, languages, name)).filter(F.col("reject").isNull())
+    return rec.select("run", "language", "exercise", "path", "tests_outcomes", "prompt_tokens", "completion_tokens")
 
 
 def read_exercise_rejects(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
     """F6 quarantine: files that are not readable JSON or are empty records."""
-    raw = _read_raw(spark, root, languages, name)
-    return raw.filter(~(F.col("_valid") & F.col("_non_empty"))).select(
-        "run", "language", "exercise", "path",
-        F.when(~F.col("_valid"), F.lit("unreadable")).otherwise(F.lit("empty")).alias("reason"))
+    raw = parse_exercise_records(_read_raw(spark, root, languages, name))
+    return raw.filter(F.col("reject").isNotNull()).select("run", "language", "exercise", "path", F.col("reject").alias("reason"))
 
 
 def _read_raw(spark, root, languages, name) -> DataFrame:
     langs = language_list(languages)
     df = spark.read.text(_result_glob(root, langs, name), wholetext=True)
     path = F.col("_metadata.file_path")
-    keys = F.json_object_keys(F.col("value"))
     return df.select(
         path.alias("path"),
         F.regexp_extract(path, RESULT_PATH, 1).alias("run"),
         F.regexp_extract(path, RESULT_PATH, 2).alias("language"),
         F.regexp_extract(path, RESULT_PATH, 3).alias("exercise"),
-        "value",
-        keys.isNotNull().alias("_valid"),
-        (F.coalesce(F.size(keys), F.lit(0)) > 0).alias("_non_empty"))
+        "value")
 
 
 def list_result_files(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:

@@ -39,7 +39,8 @@ def parse_metrics(docs: DataFrame, col: str = "json") -> DataFrame:
 
 def task_summary(parsed: DataFrame, task: str = "mmlu") -> DataFrame:
     """S7 task row: ``groups[task]`` else ``results[task]``; score, stderr, n_samples."""
-    m = F.coalesce(F.try_element_at("groups", F.lit(task)), F.try_element_at("results", F.lit(task)))
+    filled = lambda c: F.when(F.size(F.try_element_at(c, F.lit(task))) > 0, F.try_element_at(c, F.lit(task)))
+    m = F.coalesce(filled("groups"), filled("results"))
     name = PRIMARY_METRIC.get(task, "acc")
     n = number(F.try_element_at(m, F.lit("sample_len")))
     return (parsed.withColumn("_tm", m)
