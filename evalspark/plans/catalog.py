@@ -18,6 +18,7 @@ from evalspark.sinks import report
 from evalspark.sources import metrics, registry
 from evalspark.streaming import jobs
 from evalspark.plans import fixtures as fx
+from evalspark.session import cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -178,12 +179,12 @@ def _lookup_counts(tok: DataFrame) -> DataFrame:
 
 
 def q_token_logprob_lookup(spark, sf):
-    tokens = loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id)
+    tokens = fx.blank_some_ids(loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id))
     return _lookup_counts(loglik.lookup_long(tokens, fx.ngram_candidates(spark, sf)))
 
 
 def q_token_logprob_lookup_nested(spark, sf):
-    tokens = loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id)
+    tokens = fx.blank_some_ids(loglik.request_tokens(fx.document_requests(spark, sf), fx.token_id))
     responses = ngram.nested_responses(fx.ngram_candidates(spark, sf))
     with_resp = tokens.join(responses, ["model_id", "prefix_id"], "left")
     return _lookup_counts(loglik.lookup_nested(with_resp))
@@ -191,14 +192,14 @@ def q_token_logprob_lookup_nested(spark, sf):
 
 def q_request_loglik(spark, sf):
     req = fx.document_requests(spark, sf)
-    tok = loglik.lookup_long(loglik.request_tokens(req, fx.token_id), fx.ngram_candidates(spark, sf))
+    tok = loglik.lookup_long(fx.blank_some_ids(loglik.request_tokens(req, fx.token_id)), fx.ngram_candidates(spark, sf))
     s = loglik.score_requests(tok, req)
     return s.select("run_id", "model_id", "request_id", r3("loglik").alias("loglik"), "is_greedy", "n_tokens")
 
 
 def q_choice_accuracy(spark, sf):
     req = fx.benchmark_choice_requests(spark, sf, fx.models(spark, sf))
-    tokens = loglik.request_tokens(req, fx.token_id)
+    tokens = fx.blank_some_ids(loglik.request_tokens(req, fx.token_id))
     cands = fx.ngram_candidates(spark, sf, prefixes=tokens.select("model_id", "prefix_id"))
     tok = loglik.lookup_long(tokens, cands)
     ll = loglik.score_requests(tok, req)
@@ -285,10 +286,22 @@ def q_score_breakdown(spark, sf):
     return report.model_details(leaderboard(spark, sf))
 
 
+# Parts of the event table that land one after the other in the latency stream.
+LANDINGS = 4
+
+
 def q_stream_request_latency(spark, sf):
+    """Events land in LANDINGS parts by time; the stream is stopped and restarted between them."""
     folder = jobs.stream_folder(spark, "request-latency")
-    ev = jobs.file_stream(spark, f"{sf}/events.parquet", fx.table(spark, sf, "events"))
-    jobs.run_to_end(jobs.stream_request_latency(fx.chunks_from_events(ev), folder + "/out", folder + "/ckpt"))
+    ev = fx.table(spark, sf, "events")
+    cuts = [F.lit(float(k + 1) / LANDINGS) for k in range(LANDINGS - 1)]
+    span = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["lo"])) / F.lit(max(1, (span["hi"] or 0) - (span["lo"] or 0)))
+    part = sum(((at >= c).cast("int") for c in cuts), F.lit(0))
+    for k in range(LANDINGS):
+        ev.filter(part == k).write.parquet(f"{folder}/landing/part-{k}")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{folder}/landing/part-*")
+        jobs.run_to_end(jobs.stream_request_latency(fx.chunks_from_events(stream), folder + "/out", folder + "/ckpt"))
     per = jobs.finish_request_latency(spark, folder + "/out")
     return per.select("run_id", "model_id", "request_id", "n_tokens", r3("ttft_ms").alias("ttft_ms"),
                       r3("tok_s").alias("tok_s"))
@@ -297,8 +310,9 @@ def q_stream_request_latency(spark, sf):
 def q_stream_progress(spark, sf):
     folder = jobs.stream_folder(spark, "progress")
     li = jobs.file_stream(spark, f"{sf}/lineitem.parquet", fx.table(spark, sf, "lineitem"))
-    jobs.run_to_end(jobs.stream_progress(fx.result_file_events(li), folder + "/out", folder + "/ckpt"))
-    return jobs.latest_state(spark, folder + "/out", ["run", "language"])
+    totals = fx.exercise_catalog(spark, sf).groupBy("language").agg(F.count_distinct("exercise").alias("total"))
+    jobs.run_to_end(jobs.stream_progress(fx.result_file_events(li), folder + "/out", folder + "/ckpt", totals))
+    return jobs.latest_state(spark, folder + "/out", ["run", "language"]).select("run", "language", "done", "total")
 
 
 def q_stream_leaderboard(spark, sf):
@@ -308,7 +322,8 @@ def q_stream_leaderboard(spark, sf):
     items = labels.join(docs, "doc_id", "inner").select(
         fx.run_of(F.col("source")), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
         F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
-    coding, ppl, models = coding_stage(spark, sf), fx.ppl_model_summary(spark, sf), fx.models(spark, sf)
+    # stages that do not change while items land are worked out once
+    coding, ppl, models = (cut_lineage(x) for x in (coding_stage(spark, sf), fx.ppl_model_summary(spark, sf), fx.models(spark, sf)))
 
     def rebuild(acc_stage):
         lb = composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, acc_stage, coding, ppl)
@@ -319,7 +334,7 @@ def q_stream_leaderboard(spark, sf):
 
     jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/stage", folder + "/out",
                                             folder + "/ckpt"))
-    return spark.read.parquet(folder + "/out")
+    return jobs.newest_leaderboard(spark, folder + "/out")
 
 
 def q_exercise_cap(spark, sf):

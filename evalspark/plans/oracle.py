@@ -340,7 +340,7 @@ res AS (
 
 DOC_TOKENS = f"""toks AS (
   SELECT {run_of('model_id')} AS run_id, model_id, doc_id AS request_id, i - 1 AS pos, {tid('w[i]')} AS prefix_id,
-         {tid('w[i + 1]')} AS target_id, w[i + 1] AS target_text
+         CASE WHEN substr(md5(w[i + 1]), 1, 1) <> '0' THEN {tid('w[i + 1]')} END AS target_id, w[i + 1] AS target_text
   FROM (SELECT model_id, doc_id, w, unnest(range(1, len(w))) AS i FROM docs))"""
 
 
@@ -378,7 +378,7 @@ ctoks AS (
   SELECT model_id, item_id, choice_no, j - 1 AS pos,
          {tid("CASE WHEN j = 1 THEN (CASE WHEN len(head) > 0 THEN head[len(head)] END) ELSE tail[j - 1] END")}
            AS prefix_id,
-         {tid('tail[j]')} AS target_id, tail[j] AS target_text
+         CASE WHEN substr(md5(tail[j]), 1, 1) <> '0' THEN {tid('tail[j]')} END AS target_id, tail[j] AS target_text
   FROM (SELECT *, unnest(range(1, len(tail) + 1)) AS j FROM creq)),
 {lookup('ctoks')},
 agg AS (SELECT model_id, item_id, choice_no, sum(logprob) AS ll FROM res GROUP BY ALL),
@@ -537,8 +537,8 @@ SELECT {run('conv_id')} AS run_id, {model('conv_id')} AS model_id, count(*) AS n
 FROM j GROUP BY ALL"""
 
 STREAM_PROGRESS = f"""
-WITH {FILES}
-SELECT run, language, count(*) AS done FROM files GROUP BY ALL"""
+WITH {FILES}, tot AS (SELECT count(DISTINCT p_partkey) AS total FROM part)
+SELECT run, language, count(*) AS done, CAST(max(total) AS BIGINT) AS total FROM files, tot GROUP BY run, language"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,7 +92,8 @@ def report_records(lb: DataFrame) -> DataFrame:
     wilson = stats.wilson_ci("pass_num_2", "completed")
 
     def stage(name: str, present, *fields):
-        error = F.col(f"{name}_error") if f"{name}_error" in has else F.lit(None).cast("string")
+        named = {"perplexity": "ppl"}.get(name, name) + "_error"
+        error = F.col(named) if named in has else F.lit(None).cast("string")
         body = [F.when(present, f).alias(n) for n, f in fields]
         return F.when(present | error.isNotNull(), F.struct(*body, error.alias("error"))).alias(name)
 

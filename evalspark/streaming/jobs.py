@@ -11,19 +11,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalspark.functions import stats
 from evalspark.session import checkpoint_dir
 
-# Fixed value: a request without chunks for this long is closed (request timeout, seconds).
-REQUEST_TIMEOUT_S = 600
+# A request is open until requests that start so much later have been seen.
+LATENESS = "1 day"
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -61,213 +57,44 @@ def run_to_end(query) -> None:
 
 # ---- ST1: per-request latency while chunks arrive --------------------------------------------
 
-STATE_SCHEMA = "t_start timestamp_ntz, t_first timestamp_ntz, n_tokens long, t_last timestamp_ntz, t_end timestamp_ntz"
-OUT_SCHEMA = ("run_id string, model_id string, request_id string, t_start timestamp_ntz, t_first timestamp_ntz, "
-              "t_end timestamp_ntz, n_tokens long, closed boolean")
-
-
-_NAT = np.datetime64("NaT", "ns")
-
-
-def _ns(x) -> np.datetime64:
-    return _NAT if x is None or pd.isna(x) else np.datetime64(x, "ns")
-
-
-def _py(x):
-    return None if np.isnat(x) else pd.Timestamp(x).to_pydatetime()
-
-
-def _request_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-request state: (start, first token, tokens, last kept chunk, end marker).
-
-    Arrays only (numpy), no per-row Python beyond the text-emptiness test.
-    """
-    run_id, model_id, request_id = key
-    if state.exists:
-        t_start, t_first, n, t_last, t_end = state.get
-        t_start, t_first, t_last, t_end = _ns(t_start), _ns(t_first), _ns(t_last), _ns(t_end)
-    else:
-        t_start = t_first = t_last = t_end = _NAT
-        n = 0
-    closed = bool(state.hasTimedOut)
-    if not closed:
-        for pdf in pdfs:
-            ts = pdf["ts"].to_numpy(dtype="datetime64[ns]")
-            is_end = pdf["is_end"].to_numpy(dtype=object)
-            is_end = np.fromiter((bool(e) if e is not None else False for e in is_end), bool, len(is_end))
-            delta = pdf["delta"].to_numpy(dtype=object)
-            has_text = np.fromiter((isinstance(d, str) and d != "" for d in delta), bool, len(delta))
-            if is_end.any():
-                e = ts[is_end].min()
-                t_end = e if np.isnat(t_end) else min(t_end, e)
-            keep = np.ones(len(ts), bool) if np.isnat(t_end) else (ts < t_end) | ((ts == t_end) & ~is_end)
-            tok = keep & ~is_end & has_text
-            st = pdf["t_start"].to_numpy(dtype="datetime64[ns]").min()
-            t_start = st if np.isnat(t_start) else min(t_start, st)
-            if tok.any():
-                f = ts[tok].min()
-                t_first = f if np.isnat(t_first) else min(t_first, f)
-                n += int(tok.sum())
-            if keep.any():
-                lst = ts[keep].max()
-                t_last = lst if np.isnat(t_last) else max(t_last, lst)
-    end = t_end if not np.isnat(t_end) else t_last
-    out = pd.DataFrame({"run_id": [run_id], "model_id": [model_id], "request_id": [request_id],
-                        "t_start": [_py(t_start)], "t_first": [_py(t_first)], "t_end": [_py(end)],
-                        "n_tokens": [n], "closed": [closed]})
-    if closed:
-        state.remove()
-    else:
-        state.update((_py(t_start), _py(t_first), n, _py(t_last), _py(t_end)))
-        last = t_last if not np.isnat(t_last) else t_start
-        state.setTimeoutTimestamp(int(last.astype("datetime64[ms]").astype(np.int64)) + REQUEST_TIMEOUT_S * 1000)
-    yield out
-
-
-# State keys per shuffle partition: requests are hashed (on run, model and request) into
-# ``BUCKETS_PER_PARTITION * spark.sql.shuffle.partitions`` buckets, so each Python call serves a
-# bucket of requests with array operations, and a model holding most requests still spreads
-# over all buckets.
-BUCKETS_PER_PARTITION = 4
-
-BUCKET_STATE = ("run_id array<string>, model_id array<string>, request_id array<string>, "
-                "t_start array<timestamp_ntz>, t_first array<timestamp_ntz>, n_tokens array<long>, "
-                "t_last array<timestamp_ntz>, t_end array<timestamp_ntz>, seen_ms array<long>")
-_RKEY = ["run_id", "model_id", "request_id"]
-_COLS = ["t_start", "t_first", "t_last", "t_end"]
-
-
-def _to_ns(values) -> np.ndarray:
-    return np.array([_ns(v) for v in values], dtype="datetime64[ns]") if len(values) else \
-        np.array([], dtype="datetime64[ns]")
-
-
-def _nanmin(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.where(np.isnat(a), b, np.where(np.isnat(b), a, np.minimum(a, b)))
-
-
-def _nanmax(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.where(np.isnat(a), b, np.where(np.isnat(b), a, np.maximum(a, b)))
-
-
-def _bucket_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of all active requests of one (run, model, bucket), as columnar arrays.
-
-    Per request: start, first token, token count, last kept chunk, end marker.
-    Chunks after a request's end marker are ignored; a request idle for the
-    request timeout (event time, against the watermark) is emitted as closed
-    and evicted.
-    """
-    if state.exists:
-        st = state.get
-        idx = pd.MultiIndex.from_arrays([list(st[0]), list(st[1]), list(st[2])], names=_RKEY)
-        cur = pd.DataFrame({"t_start": _to_ns(st[3]), "t_first": _to_ns(st[4]),
-                            "n_tokens": np.array(st[5], dtype=np.int64), "t_last": _to_ns(st[6]),
-                            "t_end": _to_ns(st[7]), "seen_ms": np.array(st[8], dtype=np.int64)}, index=idx)
-    else:
-        cur = pd.DataFrame({"n_tokens": np.array([], dtype=np.int64), "seen_ms": np.array([], dtype=np.int64),
-                            **{c: _to_ns([]) for c in _COLS}},
-                           index=pd.MultiIndex.from_arrays([[], [], []], names=_RKEY))
-    touched: set = set()
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            if not len(pdf):
-                continue
-            ts = pdf["ts"].to_numpy(dtype="datetime64[ns]")
-            is_end = pdf["is_end"].fillna(False).to_numpy(dtype=bool)
-            has_text = (pdf["delta"].fillna("").str.len() > 0).to_numpy()
-            frame = pd.DataFrame({"run_id": pdf["run_id"].to_numpy(dtype=object),
-                                  "model_id": pdf["model_id"].to_numpy(dtype=object),
-                                  "request_id": pdf["request_id"].to_numpy(dtype=object),
-                                  "ts": ts, "t_start": pdf["t_start"].to_numpy(dtype="datetime64[ns]"),
-                                  "event_ms": pdf["event_ms"].to_numpy(dtype=np.int64),
-                                  "end_ts": np.where(is_end, ts, np.datetime64("NaT", "ns"))})
-            batch_end = frame.groupby(_RKEY)["end_ts"].min()
-            ids = batch_end.index
-            prev_end = cur["t_end"].reindex(ids).to_numpy(dtype="datetime64[ns]")
-            end = pd.Series(_nanmin(prev_end, batch_end.to_numpy(dtype="datetime64[ns]")), index=ids)
-            e = end.reindex(pd.MultiIndex.from_frame(frame[_RKEY])).to_numpy(dtype="datetime64[ns]")
-            keep = np.isnat(e) | (ts < e) | ((ts == e) & ~is_end)
-            tok = keep & ~is_end & has_text
-            frame["tok_ts"] = np.where(tok, ts, np.datetime64("NaT", "ns"))
-            frame["keep_ts"] = np.where(keep, ts, np.datetime64("NaT", "ns"))
-            frame["tok"] = tok.astype(np.int64)
-            g = frame.groupby(_RKEY).agg(t_start=("t_start", "min"), t_first=("tok_ts", "min"),
-                                         n_tokens=("tok", "sum"), t_last=("keep_ts", "max"),
-                                         seen_ms=("event_ms", "max"))
-            old = cur.reindex(g.index)
-            merged = pd.DataFrame({
-                "t_start": _nanmin(old["t_start"].to_numpy(dtype="datetime64[ns]"),
-                                   g["t_start"].to_numpy(dtype="datetime64[ns]")),
-                "t_first": _nanmin(old["t_first"].to_numpy(dtype="datetime64[ns]"),
-                                   g["t_first"].to_numpy(dtype="datetime64[ns]")),
-                "n_tokens": old["n_tokens"].fillna(0).to_numpy(dtype=np.int64) + g["n_tokens"].to_numpy(np.int64),
-                "t_last": _nanmax(old["t_last"].to_numpy(dtype="datetime64[ns]"),
-                                  g["t_last"].to_numpy(dtype="datetime64[ns]")),
-                "t_end": end.reindex(g.index).to_numpy(dtype="datetime64[ns]"),
-                "seen_ms": np.maximum(old["seen_ms"].fillna(-1).to_numpy(dtype=np.int64),
-                                      g["seen_ms"].to_numpy(dtype=np.int64)),
-            }, index=g.index)
-            cur = pd.concat([cur.drop(index=g.index, errors="ignore"), merged])
-            touched.update(g.index)
-    # close requests idle past the timeout: last chunk seen (event time, the same epoch basis
-    # as the watermark) plus the request timeout
-    wm = state.getCurrentWatermarkMs()
-    deadline = cur["seen_ms"].to_numpy(dtype=np.int64) + REQUEST_TIMEOUT_S * 1000
-    expired = (deadline < wm) if wm > 0 else np.zeros(len(cur), bool)
-    if state.hasTimedOut:
-        expired = expired | (deadline <= wm)
-    emit = cur[expired | cur.index.isin(list(touched))]
-    if len(emit):
-        end = emit["t_end"].to_numpy(dtype="datetime64[ns]")
-        end = np.where(np.isnat(end), emit["t_last"].to_numpy(dtype="datetime64[ns]"), end)
-        yield pd.DataFrame({"run_id": emit.index.get_level_values(0).to_numpy(dtype=object),
-                            "model_id": emit.index.get_level_values(1).to_numpy(dtype=object),
-                            "request_id": emit.index.get_level_values(2).to_numpy(dtype=object),
-                            "t_start": emit["t_start"].to_numpy(), "t_first": emit["t_first"].to_numpy(),
-                            "t_end": end, "n_tokens": emit["n_tokens"].to_numpy(dtype=np.int64),
-                            "closed": expired[cur.index.get_indexer(emit.index)]})
-    cur = cur[~expired]
-    if not len(cur):
-        state.remove()
-        return
-    state.update((*[list(cur.index.get_level_values(i)) for i in range(3)],
-                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in
-                                     ("t_start", "t_first")],
-                  [int(x) for x in cur["n_tokens"].to_numpy()],
-                  *[[_py(v) for v in cur[c].to_numpy(dtype="datetime64[ns]")] for c in ("t_last", "t_end")],
-                  [int(x) for x in cur["seen_ms"].to_numpy()]))
-    state.setTimeoutTimestamp(int(deadline[~expired].min()))
+REQUEST_KEYS = ["run_id", "model_id", "request_id"]
 
 
 def stream_request_latency(chunks_stream: DataFrame, out_path: str, checkpoint: str,
-                           available_now: bool = True, buckets: int | None = None):
+                           available_now: bool = True, lateness: str = LATENESS):
     """ST1: per-request first-token time and token count, updated per micro-batch.
 
-    State is keyed by a hash bucket of (run, model, request): one Python call serves
-    a bucket of requests, and the buckets scale with the shuffle width. Watermark = request timeout; idle requests are
-    emitted once more as ``closed`` and evicted, so state stays bounded. Chunks
-    after the end marker are ignored.
+    A streaming aggregation keyed by request; its state is the request's end marker, last chunk and
+    token times, so tokens behind an end marker do not count in whatever order chunks arrive. The
+    watermark is on the request's start: a request stays open until starts are ``lateness`` ahead of
+    it, then its state goes, and a chunk that still comes is late: it is dropped and counted
+    (``late_chunks``), it never opens the request anew. Malformed lines are counted per request.
     """
-    if buckets is None:
-        parts = int(chunks_stream.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(16, BUCKETS_PER_PARTITION * parts)
+    token = ~F.col("is_end") & F.col("delta").isNotNull() & (F.length("delta") > 0)
+    malformed = F.count_if("malformed") if "malformed" in chunks_stream.columns else F.lit(0).cast("bigint")
     # watermarks need an instant type; chunk times are local (NTZ) and read as session-zone instants
-    keyed = (chunks_stream.withColumn("event_time", F.col("ts").cast("timestamp"))
-             .withColumn("event_ms", F.unix_millis(F.col("event_time")))
-             .withWatermark("event_time", f"{REQUEST_TIMEOUT_S} seconds")
-             .withColumn("bucket", F.pmod(F.xxhash64(*_RKEY), F.lit(buckets))))
-    out = keyed.groupBy("bucket").applyInPandasWithState(
-        _bucket_state, OUT_SCHEMA, BUCKET_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    state = (chunks_stream.withColumn("started", F.col("t_start").cast("timestamp")).withWatermark("started", lateness)
+             .groupBy(*REQUEST_KEYS, "started")
+             .agg(F.min("t_start").alias("t_start"), F.min(F.when(F.col("is_end"), F.col("ts"))).alias("end_marker"),
+                  F.max("ts").alias("t_last"), F.collect_list(F.when(token, F.col("ts"))).alias("tokens"), malformed.alias("n_malformed")))
+    live = F.filter("tokens", lambda t: F.col("end_marker").isNull() | (t <= F.col("end_marker")))
+    out = state.withColumn("tokens", live).select(
+        *REQUEST_KEYS, "t_start", F.array_min("tokens").alias("t_first"), F.coalesce("end_marker", "t_last").alias("t_end"),
+        F.size("tokens").cast("bigint").alias("n_tokens"), F.col("end_marker").isNotNull().alias("ended"), "n_malformed")
     w = out.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def late_chunks(query) -> int:
+    """Rows that the query's recorded batches dropped because their request was closed already."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def finish_request_latency(spark: SparkSession, out_path: str) -> DataFrame:
     """Final per-request table from the ST1 sink (same columns as the batch ``request_latency``)."""
-    s = latest_state(spark, out_path, ["run_id", "model_id", "request_id"])
+    s = latest_state(spark, out_path, REQUEST_KEYS)
     s = s.filter(F.col("n_tokens") > 0)
     return (s.withColumn("ttft_ms", stats.seconds_between("t_start", "t_first") * F.lit(1000.0))
             .withColumn("tok_s", stats.tok_rate(F.col("n_tokens"), stats.seconds_between("t_first", "t_end"))))
@@ -275,13 +102,21 @@ def finish_request_latency(spark: SparkSession, out_path: str) -> DataFrame:
 
 # ---- ST2: progress of landed result files ------------------------------------------------------
 
-def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, totals: DataFrame | None = None,
+                    available_now: bool = True, lateness: str = "400 days"):
     """ST2: result files landed per (run, language), emitted when the count changes (update mode).
 
-    Each file is counted once (streaming de-duplication on its key).
+    Each file is counted once (streaming de-duplication on its key). The watermark is on the start of
+    the run, which its name tells: files of runs that began ``lateness`` before the newest are late, so
+    the state holds the runs of that span only. ``totals`` (language, total) adds the expected number.
     """
-    counts = (files_stream.dropDuplicates(["run", "language", "exercise"])
-              .groupBy("run", "language").agg(F.count(F.lit(1)).alias("done")))
+    from evalspark.operators.outcomes import parse_run_dir
+    started, _ = parse_run_dir(F.col("run"))
+    files = files_stream.withColumn("started", started.cast("timestamp")).withWatermark("started", lateness)
+    counts = (files.dropDuplicates(["run", "language", "exercise", "started"])
+              .groupBy("run", "language", "started").agg(F.count(F.lit(1)).alias("done")).drop("started"))
+    if totals is not None:
+        counts = counts.join(totals, "language", "left")
     w = counts.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -291,20 +126,19 @@ def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, ava
 # ---- ST3: leaderboard recomputed as stage rows land --------------------------------------------
 
 def accuracy_from_sums(stage: DataFrame) -> DataFrame:
-    """Accuracy stage columns from running sums (n, s1 = sum x, s2 = sum x^2) per model."""
+    """Accuracy stage columns from the running (n, mean, sample variance) per model."""
     n = F.col("n").cast("double")
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)
     return stage.select(
-        "run_id", "model_id", (F.col("s1") / n).alias("acc_score"),
-        F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0))) / F.sqrt(n)).alias("acc_stderr"),
+        "run_id", "model_id", F.col("mean").alias("acc_score"),
+        F.when(F.col("n") > 1, F.sqrt(F.col("var")) / F.sqrt(n)).alias("acc_stderr"),
         F.col("n").cast("bigint").alias("n_samples"))
 
 
 def stream_leaderboard(items_stream: DataFrame, rebuild, stage_path: str, out_path: str, checkpoint: str,
                        available_now: bool = True):
-    """ST3: keep per-model running sums of landed item rows, rebuild the leaderboard per batch.
+    """ST3: keep per-model running moments of landed item rows, rebuild the leaderboard per batch.
 
-    A streaming aggregation holds (n, sum, sum of squares) per (run, model) — state
+    A streaming aggregation holds count, mean and variance per (run, model) — state
     bounded by the number of models — and emits the changed models (update mode).
     ``foreachBatch`` stores them per batch and runs ``rebuild(accuracy_stage)`` on
     the latest sums (ranks and lead/lag are not streaming operations). Items are
@@ -312,19 +146,26 @@ def stream_leaderboard(items_stream: DataFrame, rebuild, stage_path: str, out_pa
     """
     x = F.col("correct").cast("double")
     sums = items_stream.groupBy("run_id", "model_id").agg(
-        F.count(x).alias("n"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_dir(stage_path, batch_id))
         spark = batch.sparkSession
         stage = accuracy_from_sums(latest_state(spark, stage_path, ["run_id", "model_id"]))
-        rebuild(stage).write.mode("overwrite").parquet(out_path)
+        # a folder per batch holding one file: a reader of the newest sees a whole leaderboard
+        rebuild(stage).coalesce(1).write.mode("overwrite").parquet(_batch_dir(out_path, batch_id))
 
     w = sums.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def newest_leaderboard(spark: SparkSession, out_path: str) -> DataFrame:
+    """The leaderboard of the latest batch of ST3."""
+    rows = spark.read.parquet(out_path)
+    return rows.join(rows.agg(F.max("batch_id").alias("batch_id")), "batch_id").drop("batch_id")
+
+
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
     """A Parquet file stream with the schema of ``like`` (no inference).
 
@@ -338,9 +179,3 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int
         folder, name = os.path.split(path)
         return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)
-
-
-def ensure_dir(path: str) -> str:
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as se
+from evalspark.plans import catalog
 from evalspark.operators import loglik
 from evalspark.sinks import report
 from evalspark.sources import metrics
@@ -60,8 +61,8 @@ def test_report_writers(spark, tmp_path):
     assert rec["run_id"] == "r0" and abs(sum(c["weight"] for c in rec["components"]) - 1.0) < 1e-3
     disp = report.leaderboard_display(lb).collect()
     assert [r["rank_cell"] for r in disp][:3] == ["1", "2", "3"]
-    det = report.model_details(lb).filter(F.col("model_id") == "src7").first()
-    assert det["missing"] == "PPL"
+    det = report.model_details(lb).filter(F.col("model_id") == "src20").first()
+    assert sorted(det["missing"].split(", ")) == ["Coding", "MMLU"]
 
 
 def test_task_results_writer(spark, tmp_path):
@@ -88,9 +89,9 @@ def test_stream_equals_batch(spark, stream, batch):
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
-@pytest.mark.parametrize("name", [n for n in se.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if not n.startswith("stream_")])
 def test_plan_shape(spark, name):
-    df = se.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain("formatted")
@@ -131,7 +132,7 @@ def _latency_across_batches(spark, tmp_path):
     stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(str(land))
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    jobs.run_to_end(jobs.stream_request_latency(stream, out, ck, buckets=2))
+    jobs.run_to_end(jobs.stream_request_latency(stream, out, ck))
     got = {r["request_id"]: (r["n_tokens"], round(r["ttft_ms"], 3), round(r["tok_s"], 6))
            for r in jobs.finish_request_latency(spark, out).collect()}
     allrows = spark.createDataFrame([x for b in batches for x in b], schema)
@@ -152,7 +153,7 @@ def test_stream_leaderboard_across_micro_batches(spark, tmp_path):
         .option("recursiveFileLookup", "true").parquet(str(land))
     docs = fx.table(spark, SF, "documents").select("doc_id", "source", "lang")
     items = stream.join(docs, "doc_id").select(
-        fx.run_col(), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
+        fx.run_of(F.col("source")), F.col("source").alias("model_id"), F.col("lang").alias("subject"), "doc_id",
         F.when(F.col("quality") == 1, 1.0).otherwise(0.0).alias("correct"))
     models, coding, ppl = fx.models(spark, SF), catalog.coding_stage(spark, SF), fx.ppl_model_summary(spark, SF)
 
@@ -162,6 +163,37 @@ def test_stream_leaderboard_across_micro_batches(spark, tmp_path):
 
     out = str(tmp_path / "out")
     jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, str(tmp_path / "stage"), out, str(tmp_path / "ck")))
-    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    got = sorted(tuple(r) for r in jobs.newest_leaderboard(spark, out).collect())
     batch = rebuild(accuracy.group_accuracy(fx.item_results(spark, SF)))
     assert got == sorted(tuple(r) for r in batch.collect())
+
+
+def test_stream_latency_late_chunk_and_restart(spark, tmp_path):
+    """Three landings, each read by a restarted stream under another shuffle width: a request that goes on
+    after a restart keeps its tokens, and a chunk for a request whose state has gone is dropped and counted."""
+    import datetime as dt
+    from evalspark.streaming import jobs
+    day = lambda d, sec=0: dt.datetime(2024, 1, 1 + d) + dt.timedelta(seconds=sec)
+    schema = ("run_id string, model_id string, request_id string, t_start timestamp_ntz, ts timestamp_ntz, "
+              "delta string, is_end boolean, malformed boolean")
+    landings = [
+        [("r", "m", "a", day(0), day(0, 1), "x", False, False), ("r", "m", "b", day(0), day(0, 2), "x", False, False)],
+        [("r", "m", "a", day(0), day(0, 3), "y", False, False), ("r", "m", "a", day(0), day(0, 4), None, False, True),
+         ("r", "m", "c", day(9), day(9, 1), "x", False, False)],
+        [("r", "m", "c", day(9), day(9, 2), "y", False, False)],
+        [("r", "m", "a", day(0), day(0, 5), "late", False, False), ("r", "m", "c", day(9), day(9, 3), "z", False, False)],
+    ]
+    out, ck, late = str(tmp_path / "out"), str(tmp_path / "ck"), 0
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, rows in enumerate(landings):
+            spark.conf.set("spark.sql.shuffle.partitions", str(2 + k))
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"land/p{k}"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "land/p*"))
+            query = jobs.stream_request_latency(stream, out, ck)
+            jobs.run_to_end(query)
+            late += jobs.late_chunks(query)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    got = {r["request_id"]: (r["n_tokens"], r["n_malformed"]) for r in jobs.finish_request_latency(spark, out).collect()}
+    assert got == {"a": (2, 1), "b": (1, 0), "c": (3, 0)} and late == 1

@@ -21,10 +21,54 @@ def test_read_chunks_jsonl(spark, tmp_path):
 
 
 def test_composite_label(spark):
-    r = spark.range(1).select(T.composite_label(F.lit(0.5), F.lit(0.5), F.lit(2)).alias("a"),
-                              T.composite_label(F.lit(0.5), F.lit(0.0), F.lit(2)).alias("b")).first()
-    assert r["a"] == "0.50×PPL-fidelity + 0.25×MMLU + 0.25×Coding pass@2"
-    assert r["b"] == "0.50×MMLU + 0.50×Coding pass@2"
+    label = lambda *x: spark.range(1).select(T.composite_label(*map(F.lit, x)).alias("x")).first()["x"]
+    assert label(0.5, 0.5, 2) == "0.50 x PPL + 0.25 x MMLU + 0.25 x aider pass@2"
+    assert label(0.5, 0.0, 3) == "0.50 x MMLU + 0.50 x aider pass@3"
+
+
+def test_display_cells_and_records(spark):
+    from evalspark.operators import composite
+    from evalspark.sinks import report
+    models = spark.createDataFrame([("r", "a", "A.gguf", 0), ("r", "b", "B.gguf", 1), ("r", "c", "C.gguf", 2)], "run_id string, model_id string, label string, ordinal int")
+    ppl = spark.createDataFrame([("r", "a", 53.0, 0.7, 2, 52.0, 54.0), ("r", "b", 60.0, None, 1, 60.0, 60.0)],
+                                "run_id string, model_id string, ppl double, ppl_se double, n_runs long, run_min double, run_max double")
+    acc = spark.createDataFrame([("r", "a", 0.53, 0.0066, 6100)], "run_id string, model_id string, acc_score double, acc_stderr double, n_samples long")
+    coding = spark.createDataFrame([("r", "a", 34, 2, 4, 200.0 / 34, 400.0 / 34), ("r", "b", 0, 0, 0, None, None)],
+                                   "run_id string, model_id string, completed long, pass_num_1 long, pass_num_2 long, pass_rate_1 double, pass_rate_2 double")
+    lat = spark.createDataFrame([("r", "a", 20, 311.4, 25.6, None), ("r", "b", None, None, None, "ValueError: no usable requests")],
+                                "run_id string, model_id string, n_requests long, ttft_ms_p50 double, tok_s_median double, error string")
+    lb = composite.composite_leaderboard(models, {"weights_mmlu": 0.5, "weights_ppl": 0.5}, acc, coding, ppl, lat)
+    cell = {r["model_id"]: r for r in report.leaderboard_display(lb).collect()}
+    a, b, c = (cell[k] for k in "abc")
+    assert (a["ppl_cell"], a["accuracy_cell"], a["ttft_cell"], a["rate_cell"], a["label_cell"]) == ("53.00±1.37", "53.0% ±1.3", "311", "26", "A.gguf")
+    assert a["pass1_cell"] == "5.9% ±8.7" and (b["ppl_cell"], b["pass2_cell"]) == ("60.00", "n/a")
+    assert (c["rank_cell"], c["score_cell"], c["ppl_cell"]) == ("-", "n/a", "n/a")
+    rec = {r["model_id"]: r for r in report.report_records(lb).collect()}
+    assert rec["a"]["perplexity"]["n_runs"] == 2 and rec["a"]["latency"]["error"] is None and rec["a"]["coding"]["ci_high"] > 11
+    assert rec["b"]["latency"]["error"] == "ValueError: no usable requests" and rec["b"]["latency"]["n_requests"] is None and rec["b"]["partial"]
+    assert rec["c"]["accuracy"] is None and rec["c"]["latency"] is None
+
+
+def test_outcome_truthiness_by_json_type(spark):
+    values = '["", "false", "0", 0, 1, 0.0, 2.5, true, false, null, [], [0], {}, {"a": 0}]'
+    got = files.parse_exercise_records(spark.createDataFrame([(f'{{"tests_outcomes": {values}}}',), ("{}",), ("{bad",)], "value string")).collect()
+    assert got[0]["tests_outcomes"] == [False, True, True, False, True, False, True, True, False, False, False, True, False, True]
+    assert [r["reject"] for r in got] == [None, "empty", "unreadable"]
+
+
+def test_empty_group_metrics_fall_back_to_results(spark):
+    from evalspark.sources import metrics
+    doc = '{"groups": {"mmlu": {}}, "results": {"mmlu": {"acc,none": 0.5}}}'
+    r = metrics.task_summary(metrics.parse_metrics(spark.createDataFrame([("r", "m", doc)], "run_id string, model_id string, json string"))).first()
+    assert r["score"] == 0.5 and r["error"] is None
+
+
+def test_weighted_perplexity_keeps_a_small_spread(spark):
+    from evalspark.operators import perplexity
+    rows = [("m", -2.0 - 1e-7 * (i % 2), 10 ** 6) for i in range(4)]
+    r = perplexity.token_perplexity(spark.createDataFrame(rows, "model_id string, logprob double, count long"), ["model_id"], weight="count").first()
+    import math
+    assert abs(r["ppl_se"] * math.sqrt(4e6) / r["ppl"] - 5e-8) < 1e-12
 
 
 def test_pooled_stderr_equals_item_level(spark):

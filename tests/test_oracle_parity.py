@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
+from evalspark.plans import catalog
 from tools.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -43,4 +44,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = {"leaderboard_display", "score_breakdown"}
-    assert set(se.queries()) - set(se.oracle_sql()) == rows_only
+    assert set(catalog.QUERIES) - set(se.oracle_sql()) == rows_only
