@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import text as T
 from evalspark.operators import accuracy, composite, latency, loglik, matrices, ngram, outcomes, perplexity
 from evalspark.sinks import report
-from evalspark.sources import metrics, registry
+from evalspark.sources import files, metrics, registry
 from evalspark.streaming import jobs
 from evalspark.plans import fixtures as fx
 from evalspark.session import cut_lineage
@@ -354,7 +354,38 @@ def q_generation_texts(spark, sf):
                  F.sum(F.length(F.get(F.col("texts"), 0))).cast("bigint").alias("first_text_chars")))
 
 
+def q_exercise_records(spark, sf):
+    rec = outcomes.flags_from_records(files.parse_exercise_records(fx.record_texts(spark, sf)))
+    ok = F.col("reject").isNull()
+    return rec.groupBy("run_id", "model_id").agg(
+        F.count_if(ok).alias("completed"), F.count_if(F.col("reject") == "empty").alias("n_empty"), F.count_if(F.col("reject") == "unreadable").alias("n_unreadable"),
+        F.count_if(ok & F.col("pass_1")).alias("pass_num_1"), F.count_if(ok & F.col("pass_any")).alias("pass_num_2"),
+        F.coalesce(F.sum(F.when(ok, F.col("prompt_tokens"))), F.lit(0)).cast("bigint").alias("prompt_tokens"))
+
+
+def q_stream_lines(spark, sf):
+    parsed = latency.parse_stream_lines(fx.stream_lines(spark, sf))
+    return parsed.groupBy("run_id", "model_id").agg(
+        F.count_if(~F.col("is_end") & ~F.col("malformed")).alias("n_texts"), F.count_if("is_end").alias("n_ends"), F.count_if("malformed").alias("n_malformed"))
+
+
+def q_token_responses(spark, sf):
+    r = fx.response_texts(spark, sf).withColumn("r", files.token_response(F.col("json")))
+    return r.groupBy("run_id", "model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("r").isNull()).alias("n_without"), F.sum("r.id").cast("bigint").alias("id_sum"),
+        r3(F.sum("r.logprob")).alias("logprob_sum"), F.sum(F.size("r.top_logprobs")).cast("bigint").alias("n_candidates"))
+
+
+def q_registry_json(spark, sf):
+    entries = registry.parse_registry_json(fx.registry_documents(spark, sf))
+    return registry.registry_violations(entries).select("run_id", F.col("group_pos").cast("bigint").alias("group_pos"), "model_pos", "rule")
+
+
 QUERIES: dict[str, QueryFn] = {
+    "exercise_records": q_exercise_records,
+    "stream_lines": q_stream_lines,
+    "token_responses": q_token_responses,
+    "registry_json": q_registry_json,
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
     "limit_per_subject": q_limit_per_subject,

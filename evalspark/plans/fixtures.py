@@ -376,3 +376,62 @@ def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = uni.select(F.sum("_c")).scalar()
     vocab = uni.select("word", F.log(F.col("_c").cast("double") / total.cast("double")).alias("logprob"))
     return per_model.join(vocab, "word", "inner")
+
+
+# ---- landed texts: records, stream lines, responses, registry documents ----------------------
+
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record text per finished exercise with the outcomes of its first two tries: a pass is ``true``, ``"false"``
+    is text (and counts as a pass), 0 is a failure. Every 11th part has an empty record, every 13th no JSON."""
+    from evalspark.operators.outcomes import first_n_tries
+    li = spread(table(spark, sf_dir, "lineitem"))
+    t = li.select(run_of(model_of(F.col("l_suppkey"))), model_of(F.col("l_suppkey")).alias("model_id"), F.lit("python").alias("language"),
+                  F.col("l_partkey").alias("exercise"), F.col("l_returnflag").alias("flag"), *TRY_ORDER)
+    t = first_n_tries(t, 2, TRY_ORDER)
+    shown = F.when(F.col("flag") == "R", F.lit("true")).when(F.col("flag") == "N", F.lit('"false"')).otherwise(F.lit("0"))
+    rec = t.groupBy("run_id", "model_id", "exercise").agg(
+        F.array_sort(F.collect_list(F.struct("try_no", shown.alias("x")))).alias("o"), F.sum(F.col("l_quantity").cast("bigint")).alias("n"))
+    body = F.concat(F.lit('{"tests_outcomes": ['), F.array_join(F.transform("o", lambda x: x["x"]), ", "), F.lit('], "prompt_tokens": '), F.col("n").cast("string"), F.lit("}"))
+    text = F.when(F.col("exercise") % 11 == 0, F.lit("{}")).when(F.col("exercise") % 13 == 0, F.lit('{"tests_outcomes": [')).otherwise(body)
+    return rec.select("run_id", "model_id", F.col("exercise").cast("string").alias("exercise"), text.alias("value"))
+
+
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-stream lines of ``events``: data lines with a text, broken JSON for errors, the end marker for purchases,
+    and a comment line for clicks."""
+    ev = spread(table(spark, sf_dir, "events"))
+    kind = F.col("event_type")
+    line = (F.when(kind == "error", F.lit('data: {"choices": [')).when(kind == "purchase", F.lit("data: [DONE]")).when(kind == "click", F.lit(": ping"))
+            .otherwise(F.concat(F.lit('data: {"choices": [{"text": "'), kind, F.lit('"}]}'))))
+    return ev.select(run_of(model_of(F.col("user_id"))), model_of(F.col("user_id")).alias("model_id"), "ts", line.alias("line"))
+
+
+def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One token response text per conversation turn: id = turn, logprob = -length / 100, two candidates; user turns have no content."""
+    c = table(spark, sf_dir, "conversations")
+    entry = F.concat(F.lit('{"id": '), F.col("turn").cast("string"), F.lit(', "token": "t", "logprob": -'), (F.length("text") / 100).cast("decimal(12,2)").cast("string"),
+                     F.lit(', "top_logprobs": [{"id": 1, "token": "a", "logprob": -1.5}, {"id": 2, "token": "b", "logprob": -2.5}]}'))
+    content = F.when(F.col("role") == "user", F.lit("[]")).otherwise(F.concat(F.lit("["), entry, F.lit("]")))
+    return c.select(run_of(model_of(F.col("conv_id"))), model_of(F.col("conv_id")).alias("model_id"), "conv_id", "turn",
+                    F.concat(F.lit('{"choices": [{"logprobs": {"content": '), content, F.lit("}}]}")).alias("json"))
+
+
+def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry document per part: a family with three entries, with one fault by the part's number.
+
+    p mod 12: 0 none, 1 no tokenizer, 2 empty models-dir, 3 flags no list, 4 entry a number, 5 no path,
+    6 wrong suffix, 7 the same file twice, 8 unknown group key, 9 unknown model key, 10 no models, 11 no list at all.
+    """
+    p = F.col("p_partkey")
+    k = p % 12
+    name = F.concat(F.lit("m"), p.cast("string"))
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    first = F.when(k == 4, F.lit("7")).when(k == 6, q(F.concat(name, F.lit(".bin")))).otherwise(q(F.concat(name, F.lit(".GGUF"))))
+    second = F.when(k == 7, q(F.concat(F.lit("./x/../"), name, F.lit(".GGUF")))).otherwise(q(F.concat(name, F.lit("-b.gguf"))))
+    third = (F.when(k == 5, F.lit('{"flags": ["--a"]}')).when(k == 9, F.concat(F.lit('{"path": "c.gguf", "size": 1}')))
+             .when(k == 3, F.lit('{"path": "c.gguf", "flags": [1, 2]}')).otherwise(F.lit('{"path": "c.gguf", "flags": ["--c"]}')))
+    models = F.when(k == 10, F.lit("[]")).otherwise(F.concat(F.lit("["), first, F.lit(", "), second, F.lit(", "), third, F.lit("]")))
+    group = F.concat(F.when(k == 1, F.lit('{')).otherwise(F.lit('{"tokenizer": "/tok", ')), F.when(k == 2, F.lit('"models-dir": "", ')).otherwise(F.lit('"models-dir": "/models", ')),
+                     F.when(k == 8, F.lit('"colour": 1, ')).otherwise(F.lit("")), F.when(k == 3, F.lit('"flags": "x", ')).otherwise(F.lit('"flags": ["--g"], ')),
+                     F.lit('"models": '), models, F.lit("}"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), p.cast("string")).alias("run_id"), F.when(k == 11, group).otherwise(F.concat(F.lit("["), group, F.lit("]"))).alias("json"))

@@ -541,8 +541,55 @@ WITH {FILES}, tot AS (SELECT count(DISTINCT p_partkey) AS total FROM part)
 SELECT run, language, count(*) AS done, CAST(max(total) AS BIGINT) AS total FROM files, tot GROUP BY run, language"""
 
 
+EXERCISE_RECORDS = f"""
+WITH t AS (
+  SELECT {run('l_suppkey')} AS run_id, {model('l_suppkey')} AS model_id, l_partkey, l_returnflag, CAST(l_quantity AS BIGINT) AS q,
+         row_number() OVER (PARTITION BY {model('l_suppkey')}, l_partkey
+                            ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS try_no
+  FROM lineitem),
+e AS (SELECT run_id, model_id, l_partkey, sum(q) AS q, bool_or(l_returnflag IN ('R', 'N')) AS p_any,
+             bool_or(try_no = 1 AND l_returnflag IN ('R', 'N')) AS p_1,
+             CASE WHEN l_partkey % 11 = 0 THEN 'empty' WHEN l_partkey % 13 = 0 THEN 'unreadable' END AS reject
+      FROM t WHERE try_no <= 2 GROUP BY ALL)
+SELECT run_id, model_id, count_if(reject IS NULL) AS completed, count_if(reject = 'empty') AS n_empty, count_if(reject = 'unreadable') AS n_unreadable,
+       count_if(reject IS NULL AND p_1) AS pass_num_1, count_if(reject IS NULL AND p_any) AS pass_num_2,
+       CAST(coalesce(sum(CASE WHEN reject IS NULL THEN q END), 0) AS BIGINT) AS prompt_tokens
+FROM e GROUP BY run_id, model_id"""
+
+STREAM_LINES = f"""
+SELECT {run('user_id')} AS run_id, {model('user_id')} AS model_id, count_if(event_type NOT IN ('error', 'purchase', 'click')) AS n_texts,
+       count_if(event_type = 'purchase') AS n_ends, count_if(event_type = 'error') AS n_malformed
+FROM events GROUP BY ALL HAVING count_if(event_type <> 'click') > 0"""
+
+TOKEN_RESPONSES = f"""
+SELECT {run('conv_id')} AS run_id, {model('conv_id')} AS model_id, count(*) AS n, count_if(role = 'user') AS n_without,
+       CAST(sum(CASE WHEN role <> 'user' THEN turn END) AS BIGINT) AS id_sum,
+       round(-sum(CASE WHEN role <> 'user' THEN CAST(CAST(length(text) / 100 AS DECIMAL(12,2)) AS DOUBLE) END), 3) AS logprob_sum,
+       CAST(2 * count_if(role <> 'user') AS BIGINT) AS n_candidates
+FROM conversations GROUP BY ALL"""
+
+REGISTRY_JSON = """
+WITH p AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS run_id, p_partkey % 12 AS k FROM part)
+SELECT run_id, CAST(g AS BIGINT) AS group_pos, CAST(m AS BIGINT) AS model_pos, rule FROM (
+  SELECT run_id, 0 AS g, unnest([0, 1, 2]) AS m, 'tokenizer_required' AS rule FROM p WHERE k = 1
+  UNION ALL SELECT run_id, 0, 0, 'bad_models_dir' FROM p WHERE k = 2
+  UNION ALL SELECT run_id, 0, unnest([0, 2]), 'bad_flags' FROM p WHERE k = 3
+  UNION ALL SELECT run_id, 0, 0, 'bad_entry' FROM p WHERE k = 4
+  UNION ALL SELECT run_id, 0, 2, 'path_required' FROM p WHERE k = 5
+  UNION ALL SELECT run_id, 0, 0, 'not_gguf' FROM p WHERE k = 6
+  UNION ALL SELECT run_id, 0, unnest([0, 1]), 'duplicate_path' FROM p WHERE k = 7
+  UNION ALL SELECT run_id, 0, 0, 'unknown_group_keys' FROM p WHERE k = 8
+  UNION ALL SELECT run_id, 0, 2, 'unknown_model_keys' FROM p WHERE k = 9
+  UNION ALL SELECT run_id, 0, NULL, 'models_required' FROM p WHERE k = 10
+  UNION ALL SELECT run_id, NULL, NULL, 'not_a_list' FROM p WHERE k = 11)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "exercise_records": EXERCISE_RECORDS,
+        "stream_lines": STREAM_LINES,
+        "token_responses": TOKEN_RESPONSES,
+        "registry_json": REGISTRY_JSON,
         "composite_leaderboard": composite_leaderboard(),
         "subject_accuracy": subject_accuracy(),
         "limit_per_subject": LIMIT_PER_SUBJECT,

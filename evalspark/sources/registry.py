@@ -35,37 +35,84 @@ def load_registry(docs: DataFrame) -> DataFrame:
                     F.col("m.flags").alias("flags"))
 
 
+def _rule(cond: Column, rule: str) -> Column:
+    return F.when(cond, F.lit(rule))
+
+
+def _kind(v: Column) -> Column:
+    """JSON type of a variant: STRING, LIST, MAPPING, OTHER, or NONE where it is missing or null."""
+    k = F.schema_of_variant(v)
+    return (F.when(v.isNull() | (k == "VOID"), F.lit("NONE")).when(k == "STRING", F.lit("STRING")).when(k.startswith("ARRAY"), F.lit("LIST"))
+            .when(k.startswith("OBJECT"), F.lit("MAPPING")).otherwise(F.lit("OTHER")))
+
+
+def _text(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _falsy(v: Column) -> Column:
+    """Missing, null, or an empty list or text: such flags fall back, they are no error."""
+    kind = _kind(v)
+    return (kind == "NONE") | ((kind == "LIST") & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 0)) | ((kind == "STRING") & (_text(v) == "")) \
+        | ((kind == "MAPPING") & (F.size(F.try_variant_get(v, "$", "map<string,variant>")) == 0)) \
+        | ((kind == "OTHER") & F.coalesce((F.try_variant_get(v, "$", "double") == 0) | ~F.try_variant_get(v, "$", "boolean"), F.lit(False)))
+
+
+def _flags(v: Column) -> tuple[Column, Column]:
+    """(flags, whether they are neither missing nor a list of texts)."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    texts = (_kind(v) == "LIST") & F.forall(items, lambda x: _kind(x) == "STRING")
+    return F.when(~_falsy(v) & texts, F.transform(items, _text)), ~_falsy(v) & ~F.coalesce(texts, F.lit(False))
+
+
 def parse_registry_json(docs: DataFrame, col: str = "json") -> DataFrame:
     """S8 from JSON documents ``(run_id, json)``: a list of family groups whose ``models``
     entries are either a path string or a mapping ``{path, flags}``.
 
-    Entries are parsed as ``variant`` so both shapes are accepted; keys outside the
-    allowed sets are listed per group and per entry (U4) for ``registry_violations``.
-    Returns the flattened entry rows plus ``group_unknown`` / ``model_unknown``.
+    Groups and entries are parsed as ``variant``. Besides the flattened entry rows there are
+    ``group_unknown`` / ``model_unknown`` (keys outside the allowed sets, U4) and ``problems``, the names of
+    the shape rules that the document, group or entry breaks (F10).
     """
-    groups = F.try_parse_json(F.col(col))
-    g = docs.select("run_id", F.posexplode_outer(F.try_variant_get(groups, "$", "array<variant>"))
-                    .alias("group_pos", "g"))
-    gkeys = F.map_keys(F.try_variant_get(F.col("g"), "$", "map<string,variant>"))
+    doc = F.try_parse_json(F.col(col))
+    groups = F.try_variant_get(doc, "$", "array<variant>")
+    g = docs.select("run_id", F.coalesce(F.size(groups) == 0, F.lit(True)).alias("_no_groups"), F.posexplode_outer(groups).alias("group_pos", "g"))
+    part = lambda c, k: F.try_element_at(F.try_variant_get(F.col(c), "$", "map<string,variant>"), F.lit(k))
+    group_flags, bad_group_flags = _flags(part("g", "flags"))
+    dir_kind = _kind(part("g", "models-dir"))
+    has_dir = F.array_contains(F.map_keys(F.try_variant_get(F.col("g"), "$", "map<string,variant>")), "models-dir")
+    models = F.when(_kind(part("g", "models")) == "LIST", F.try_variant_get(part("g", "models"), "$", "array<variant>"))
+    is_group = _kind(F.col("g")) == "MAPPING"
+    group_problems = F.array(
+        _rule(F.col("_no_groups"), "not_a_list"), _rule(~F.col("_no_groups") & ~is_group, "group_not_mapping"),
+        _rule(is_group & has_dir & ((dir_kind != "STRING") | (_text(part("g", "models-dir")) == "")), "bad_models_dir"),
+        _rule(is_group & bad_group_flags, "bad_flags"))
     g = g.select(
-        "run_id", "group_pos",
-        F.try_variant_get(F.col("g"), "$.tokenizer", "string").alias("tokenizer"),
-        F.try_variant_get(F.col("g"), "$['models-dir']", "string").alias("models_dir"),
-        F.try_variant_get(F.col("g"), "$.flags", "array<string>").alias("group_flags"),
-        unknown_keys(gkeys, GROUP_KEYS).alias("group_unknown"),
-        F.posexplode_outer(F.try_variant_get(F.col("g"), "$.models", "array<variant>")).alias("model_pos", "m"))
-    is_text = F.schema_of_variant(F.col("m")) == F.lit("STRING")
-    mkeys = F.map_keys(F.try_variant_get(F.col("m"), "$", "map<string,variant>"))
+        "run_id", "group_pos", _text(part("g", "tokenizer")).alias("tokenizer"), F.nullif(_text(part("g", "models-dir")), F.lit("")).alias("models_dir"),
+        group_flags.alias("group_flags"), unknown_keys(F.map_keys(F.try_variant_get(F.col("g"), "$", "map<string,variant>")), GROUP_KEYS).alias("group_unknown"),
+        group_problems.alias("_gp"), F.posexplode_outer(models).alias("model_pos", "m"))
+    kind = _kind(F.col("m"))
+    flags, bad_flags = _flags(part("m", "flags"))
+    entry_problems = F.array(_rule((kind == "MAPPING") & bad_flags, "bad_flags"), _rule(F.col("model_pos").isNotNull() & ~kind.isin("STRING", "MAPPING"), "bad_entry"))
+    none = F.array().cast("array<string>")
+    # what is wrong with the group is told once, at its first entry
+    first = F.coalesce(F.col("model_pos"), F.lit(0)) == 0
+    problems = F.array_union(F.when(first, F.col("_gp")).otherwise(none), entry_problems)
     return g.select(
-        "run_id", "group_pos", "tokenizer", "models_dir", "group_flags",
-        F.col("model_pos").cast("bigint").alias("model_pos"),
-        F.when(is_text, F.try_variant_get(F.col("m"), "$", "string"))
-        .otherwise(F.try_variant_get(F.col("m"), "$.path", "string")).alias("path"),
-        F.when(is_text, F.lit(None).cast("array<string>"))
-        .otherwise(F.try_variant_get(F.col("m"), "$.flags", "array<string>")).alias("flags"),
-        "group_unknown",
-        F.when(is_text, F.array().cast("array<string>")).otherwise(unknown_keys(mkeys, MODEL_KEYS))
-        .alias("model_unknown"))
+        "run_id", "group_pos", "tokenizer", "models_dir", "group_flags", F.col("model_pos").cast("bigint").alias("model_pos"),
+        F.when(kind == "STRING", _text(F.col("m"))).otherwise(_text(part("m", "path"))).alias("path"),
+        F.when(kind == "MAPPING", flags).alias("flags"),
+        F.when(first, F.col("group_unknown")).otherwise(none).alias("group_unknown"),
+        F.when(kind == "MAPPING", unknown_keys(F.map_keys(F.try_variant_get(F.col("m"), "$", "map<string,variant>")), MODEL_KEYS)).otherwise(none).alias("model_unknown"),
+        F.filter(problems, lambda x: x.isNotNull()).alias("problems"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without ``.`` steps, doubled slashes and ``x/..`` pairs: the names of one file are one."""
+    parts = F.filter(F.split(path, "/+"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(
+        (p == "..") & (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
+        F.when((p == "..") & path.startswith("/"), acc).otherwise(F.concat(acc, F.array(p)))))
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
 
 
 def resolve_flags(model_flags: Column, group_flags: Column) -> Column:
@@ -77,7 +124,7 @@ def resolve_flags(model_flags: Column, group_flags: Column) -> Column:
 def resolve_path(path: Column, models_dir: Column, tokenizer: Column) -> Column:
     """Absolute paths are kept, others are joined to models-dir (default: the tokenizer dir)."""
     base = F.coalesce(models_dir, tokenizer)
-    return F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path))
+    return normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path)))
 
 
 def resolve_models(entries: DataFrame) -> DataFrame:
@@ -91,10 +138,6 @@ def resolve_models(entries: DataFrame) -> DataFrame:
         resolve_flags(F.col("flags"), F.col("group_flags")).alias("flags"))
 
 
-def _rule(cond: Column, rule: str) -> Column:
-    return F.when(cond, F.lit(rule))
-
-
 def registry_violations(entries: DataFrame, check_model_count: bool = False) -> DataFrame:
     """one row per broken rule (run_id, group_pos, model_pos, rule, detail).
 
@@ -109,7 +152,8 @@ def registry_violations(entries: DataFrame, check_model_count: bool = False) ->
     rules = F.array(
         _rule(F.coalesce(F.col("tokenizer"), F.lit("")) == "", "tokenizer_required"),
         _rule(F.col("model_pos").isNull(), "models_required"),
-        _rule(F.col("model_pos").isNotNull() & (F.coalesce(F.col("path"), F.lit("")) == ""), "path_required"),
+        _rule(F.col("model_pos").isNotNull() & (F.coalesce(F.col("path"), F.lit("")) == "")
+              & (~F.array_contains("problems", "bad_entry") if "problems" in entries.columns else F.lit(True)), "path_required"),
         _rule(F.col("path").isNotNull() & ~F.lower(F.col("path")).endswith(MODEL_SUFFIX), "not_gguf"),
         _rule(F.col("path").isNotNull() & (F.col("_dups") > 1), "duplicate_path"),
         *([_rule(F.size(F.coalesce("group_unknown", F.array())) > 0, "unknown_group_keys")]
@@ -117,6 +161,9 @@ def registry_violations(entries: DataFrame, check_model_count: bool = False) ->
         *([_rule(F.size(F.coalesce("model_unknown", F.array())) > 0, "unknown_model_keys")]
           if "model_unknown" in entries.columns else []),
     )
+    if "problems" in entries.columns:  # rules about shapes, found while parsing
+        whole = F.array_contains("problems", "not_a_list") | F.array_contains("problems", "group_not_mapping")
+        rules = F.concat(F.when(whole, F.array().cast("array<string>")).otherwise(rules), F.col("problems"))
     out = (e.select("run_id", "group_pos", "model_pos", F.col("_resolved").alias("detail"),
                     F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule")))
     if check_model_count:
