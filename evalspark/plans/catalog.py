@@ -278,12 +278,37 @@ def q_generation_exact_match(spark, sf):
         r6("exact_match").alias("exact_match"), "n_placeholder")
 
 
+def full_leaderboard(spark, sf):
+    """The leaderboard with its latency stage, which is carried for display and has error texts of its own."""
+    models = fx.models(spark, sf)
+    summary = latency.latency_summary(latency.request_latency(fx.chunks(spark, sf)))
+    return composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, accuracy_stage(spark, sf), coding_stage(spark, sf),
+                                           fx.ppl_model_summary(spark, sf), latency.latency_stage(models, summary))
+
+
 def q_leaderboard_display(spark, sf):
-    return report.leaderboard_display(leaderboard(spark, sf))
+    """The numbers behind the display cells (their texts are rounded and tested by hand values)."""
+    lb = report.cells(full_leaderboard(spark, sf))
+    return lb.select(
+        "run_id", "model_id", F.coalesce(F.col("rank").cast("string"), F.lit("-")).alias("rank_cell"),
+        *[r6(c).alias(c) for c in ("ppl", "ppl_half", "acc_pct", "acc_half", "pass_rate_1", "pass1_half", "pass_rate_2", "pass2_half")],
+        r5("ttft_ms_p50").alias("ttft_ms_p50"), r3("tok_s_median").alias("tok_s_median"), r6("score").alias("score"),
+        T.score_marks("nonsignificant", "missing_components").alias("marks"))
 
 
 def q_score_breakdown(spark, sf):
-    return report.model_details(leaderboard(spark, sf))
+    lb = leaderboard(spark, sf)
+    return lb.select("run_id", "model_id", F.array_join("missing_components", ",").alias("missing"), F.inline("components")).select(
+        "run_id", "model_id", "component", *[r6(c).alias(c) for c in ("weight", "value", "ci_half")], "missing")
+
+
+def q_report_records(spark, sf):
+    r = report.report_records(full_leaderboard(spark, sf))
+    return r.select(
+        "run_id", "model_id", "rank", "partial", F.size("components").cast("bigint").alias("n_components"), r6("accuracy.score").alias("accuracy"),
+        r6("accuracy.ci_half").alias("accuracy_ci"), "coding.completed", "coding.pass_num_2", r6((F.col("coding.ci_high") - F.col("coding.ci_low")) / 2).alias("coding_half"),
+        r6("perplexity.ppl").alias("ppl"), "perplexity.n_runs", r6("perplexity.run_min").alias("run_min"), r6("perplexity.run_max").alias("run_max"),
+        r6("perplexity.fidelity").alias("fidelity"), r6("perplexity.ci_half").alias("ppl_ci"), "latency.n_requests", F.col("latency.error").isNotNull().alias("latency_failed"))
 
 
 # Parts of the event table that land one after the other in the latency stream.
@@ -382,6 +407,7 @@ def q_registry_json(spark, sf):
 
 
 QUERIES: dict[str, QueryFn] = {
+    "report_records": q_report_records,
     "exercise_records": q_exercise_records,
     "stream_lines": q_stream_lines,
     "token_responses": q_token_responses,

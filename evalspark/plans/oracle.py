@@ -111,13 +111,14 @@ def _ppl_logs_sql() -> str:
     return PPL_LOGS.replace("{FE}", FINAL_ESTIMATE.replace("'", "''")).replace("{OV}", OVERALL_PPL.replace("'", "''"))
 
 
-def composite_leaderboard() -> str:
+def _composite() -> str:
+    """All steps of the leaderboard; ``nb`` has its rows, ``present`` their components."""
     return f"""
 WITH {ITEMS},
 acc AS (SELECT run_id, model_id, avg(correct) AS acc_score, stddev_samp(correct) / sqrt(count(correct)) AS acc_stderr
         FROM items GROUP BY ALL),
 {exflags()},
-cod AS (SELECT run_id, model_id, count(*) AS completed, count_if(pass_any) AS k2,
+cod AS (SELECT run_id, model_id, count(*) AS completed, count_if(pass_1) AS k1, count_if(pass_any) AS k2,
                CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * count_if(pass_any) / count(*) END AS rate2
         FROM ex GROUP BY ALL),
 ev AS (SELECT {model('user_id')} AS model_id, event_type, value FROM events WHERE event_type <> 'error'
@@ -162,15 +163,59 @@ rk AS (SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION B
               ordinal) END AS rnk FROM lb),
 nb AS (SELECT *, lead(score) OVER o AS ns, lead(ci_half) OVER o AS nc, lag(score) OVER o AS ps,
               lag(ci_half) OVER o AS pci
-       FROM rk WINDOW o AS (PARTITION BY run_id ORDER BY rnk NULLS LAST, ordinal))
+       FROM rk WINDOW o AS (PARTITION BY run_id ORDER BY rnk NULLS LAST, ordinal))"""
+
+
+MARKED = """(rnk IS NOT NULL AND (coalesce(score - ns <= sqrt(ci_half * ci_half + nc * nc), false)
+                             OR coalesce(ps - score <= sqrt(pci * pci + ci_half * ci_half), false)))"""
+
+
+def composite_leaderboard() -> str:
+    return _composite() + f"""
 SELECT run_id, model_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(rnk AS BIGINT) AS rank,
        round(score, 6) AS score, round(ci_half, 6) AS score_ci_half,
-       (rnk IS NOT NULL AND (coalesce(score - ns <= sqrt(ci_half * ci_half + nc * nc), false)
-                             OR coalesce(ps - score <= sqrt(pci * pci + ci_half * ci_half), false))) AS nonsignificant,
+       {MARKED} AS nonsignificant,
        missing, CAST(n_components AS BIGINT) AS n_components
 FROM nb"""
 
 
+def _with_latency() -> str:
+    return _composite() + f""",
+{CHUNKS},
+lat AS (SELECT run_id, model_id, count(*) AS n_requests, quantile_cont(ttft_ms, 0.5) AS ttft, quantile_cont(tok_s, 0.5) AS tok_s
+        FROM per GROUP BY ALL)"""
+
+
+def leaderboard_display() -> str:
+    return _with_latency() + f"""
+SELECT n.run_id, n.model_id, coalesce(CAST(rnk AS VARCHAR), '-') AS rank_cell, round(p.ppl, 6) AS ppl, round({Z} * p.ppl_se, 6) AS ppl_half,
+       round(a.acc_score * 100, 6) AS acc_pct, round({Z} * a.acc_stderr * 100, 6) AS acc_half,
+       round(100.0::DOUBLE * k1 / completed, 6) AS pass_rate_1, round(CASE WHEN completed > 0 THEN {wilson_half('k1', 'completed')} END, 6) AS pass1_half,
+       round(rate2, 6) AS pass_rate_2, round(CASE WHEN completed > 0 THEN {wilson_half('k2', 'completed')} END, 6) AS pass2_half,
+       round(l.ttft, 5) AS ttft_ms_p50, round(l.tok_s, 3) AS tok_s_median, round(n.score, 6) AS score,
+       CASE WHEN {MARKED} THEN '*' ELSE '' END || CASE WHEN coalesce(missing, '') <> '' THEN '†' ELSE '' END AS marks
+FROM nb n LEFT JOIN ppl p USING (run_id, model_id) LEFT JOIN acc a USING (run_id, model_id) LEFT JOIN cod c USING (run_id, model_id)
+     LEFT JOIN lat l USING (run_id, model_id)"""
+
+
+def score_breakdown() -> str:
+    return _composite() + """
+SELECT p.run_id, p.model_id, p.name AS component, round(nw, 6) AS weight, round(v, 6) AS value, round(ci, 6) AS ci_half, n.missing
+FROM present p JOIN nb n USING (run_id, model_id)"""
+
+
+def report_records() -> str:
+    n = "CAST(completed AS DOUBLE)"
+    return _with_latency() + f"""
+SELECT n.run_id, n.model_id, CAST(rnk AS BIGINT) AS rank, coalesce(missing, '') <> '' AS partial, CAST(n_components AS BIGINT) AS n_components,
+       round(a.acc_score, 6) AS accuracy, round({Z} * a.acc_stderr * 100, 6) AS accuracy_ci, completed, CAST(k2 AS BIGINT) AS pass_num_2,
+       round(CASE WHEN completed > 0 THEN {wilson_half('k2', 'completed')} END, 6) AS coding_half, round(p.ppl, 6) AS ppl, p.n_runs, round(p.run_min, 6) AS run_min,
+       round(p.run_max, 6) AS run_max, round(pc.ppl_score, 6) AS fidelity, round(pc.ppl_ci, 6) AS ppl_ci, l.n_requests,
+       l.n_requests IS NULL AS latency_failed
+FROM nb n LEFT JOIN ppl p USING (run_id, model_id) LEFT JOIN acc a USING (run_id, model_id) LEFT JOIN cod c USING (run_id, model_id)
+     LEFT JOIN pc USING (run_id, model_id) LEFT JOIN lat l USING (run_id, model_id)"""
+
+
 def subject_accuracy() -> str:
     return f"""
 WITH {ITEMS}
@@ -586,6 +631,9 @@ SELECT run_id, CAST(g AS BIGINT) AS group_pos, CAST(m AS BIGINT) AS model_pos, r
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "leaderboard_display": leaderboard_display(),
+        "score_breakdown": score_breakdown(),
+        "report_records": report_records(),
         "exercise_records": EXERCISE_RECORDS,
         "stream_lines": STREAM_LINES,
         "token_responses": TOKEN_RESPONSES,

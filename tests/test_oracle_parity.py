@@ -43,5 +43,4 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = {"leaderboard_display", "score_breakdown"}
-    assert set(catalog.QUERIES) - set(se.oracle_sql()) == rows_only
+    assert set(catalog.QUERIES) <= set(se.oracle_sql())
