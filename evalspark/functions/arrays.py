@@ -53,3 +53,11 @@ def truncate_context(context_ids, continuation_ids, max_length) -> Column:
     k = F.greatest(keep, F.lit(1))
     kept = F.when(keep <= 0, empty).otherwise(F.slice(ctx, -k, k))
     return F.when(too_long, kept).otherwise(ctx)
+
+
+def truncate_prompt(prompt_ids, max_length, max_new_tokens) -> Column:
+    """P16, generation: keep the last ``max_length - max_new_tokens`` ids of a longer prompt (none if there is no room)."""
+    ids = _c(prompt_ids)
+    room = (max_length if isinstance(max_length, Column) else F.lit(max_length)) - (max_new_tokens if isinstance(max_new_tokens, Column) else F.lit(max_new_tokens))
+    kept = F.greatest(room, F.lit(1))
+    return F.when(F.size(ids) <= room, ids).when(room <= 0, F.slice(ids, 1, 0)).otherwise(F.slice(ids, -kept, kept))

@@ -21,19 +21,6 @@ COMPONENT_LABELS = {"ppl": "PPL", "mmlu": "MMLU", "coding": "Coding"}
 KEYS = ["run_id", "model_id"]
 
 
-def run_options(spark, run_ids: DataFrame | None = None, weights_mmlu: float = 0.5,
-                weights_ppl: float = 0.0, ppl_available: bool = True) -> DataFrame:
-    """One row per run with the weight options; ``run_ids`` gives the runs (default one run ``r0``)."""
-    base = run_ids.select("run_id").distinct() if run_ids is not None else spark.range(1).select(
-        F.lit("r0").alias("run_id"))
-    return base.select(
-        "run_id",
-        F.lit(float(weights_mmlu)).alias("weights_mmlu"),
-        F.lit(float(weights_ppl)).alias("weights_ppl"),
-        F.lit(bool(ppl_available)).alias("ppl_available"),
-    )
-
-
 def normalise_ppl(ppl: DataFrame) -> DataFrame:
     """P7/P8/P12 + F1 + J5: fidelity to the best model of the run and its CI.
 

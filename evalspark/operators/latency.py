@@ -48,13 +48,12 @@ def request_latency(chunks: DataFrame, keys=REQUEST_KEYS) -> DataFrame:
     * ``ttft_ms`` = first non-empty chunk - request start, in ms
     * ``tok_s`` = tokens / max(end - first token, 1e-6 s)
 
-    Two aggregates keyed by request: the end-marker time, then the chunk
-    statistics before it (join on the request key; AQE splits a skewed request).
+    Two aggregates keyed by request: the end-marker time over end-marker rows only (the filter
+    reaches the scan), then the chunk statistics before it (left join on the request key).
     """
     keys = list(keys)
-    ends = (chunks.groupBy(*keys)
-            .agg(F.min(F.when(F.col("is_end"), F.col("ts"))).alias("_end_marker")))
-    live = chunks.join(ends, keys, "inner").filter(
+    ends = chunks.filter("is_end").groupBy(*keys).agg(F.min("ts").alias("_end_marker"))
+    live = chunks.join(ends, keys, "left").filter(
         F.col("_end_marker").isNull() | (F.col("ts") < F.col("_end_marker"))
         | ((F.col("ts") == F.col("_end_marker")) & ~F.col("is_end")))
     token = (~F.col("is_end")) & F.col("delta").isNotNull() & (F.length("delta") > 0)

@@ -143,6 +143,14 @@ def total_exercises(catalog: DataFrame, languages: list[str] | None = None, cap:
     return total
 
 
+def run_totals(exercise_dirs: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """S3, run directory: exercise folders per run (run, language, exercise), of the given languages; a
+    folder counts whether or not its result has landed."""
+    if languages:
+        exercise_dirs = exercise_dirs.filter(F.col("language").isin(sorted(set(languages))))
+    return exercise_dirs.groupBy("run").agg(F.count_distinct("language", "exercise").alias("total"))
+
+
 def progress(files: DataFrame, catalog: DataFrame, languages: list[str] | None = None, cap: int = 0) -> DataFrame:
     """Done / total per run (summed over the selected languages)."""
     done = count_done(files, languages).groupBy("run").agg(F.sum("done").cast("bigint").alias("done"))

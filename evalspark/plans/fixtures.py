@@ -300,11 +300,13 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     u = F.col("user_id")
     return per.select(
-        F.concat(F.lit("u"), u.cast("string")).alias("run_id"),
+        F.concat(F.lit("u"), u.cast("string")).alias("run_id"), F.lit("bench-server").alias("binary"), F.concat(F.lit("b"), (u % 17).cast("string")).alias("version"),
+        F.concat(F.lit("/runs/"), u.cast("string"), F.lit(".yaml")).alias("config"),
         F.when(u % 3 == 0, "mmlu").otherwise("mmlu_generative").alias("mmlu_task"),
-        (u % 5 == 0).alias("skip_mmlu"), (u % 4 == 0).alias("skip_ppl"),
-        (u % 50).cast("int").alias("mmlu_limit"), (u % 3 + 1).cast("int").alias("coding_tries"),
-        (F.lit(512) * (u % 4 + 1)).cast("int").alias("ppl_ctx"),
+        (u % 5 == 0).alias("skip_mmlu"), (u % 4 == 0).alias("skip_coding"), (u % 7 != 0).alias("ppl_available"),
+        (u % 50).cast("int").alias("mmlu_limit"), F.when(u % 2 == 0, "python").otherwise("python,go").alias("languages"),
+        (u % 30).cast("int").alias("coding_limit"), F.when(u % 3 == 1, "f16").otherwise("off").alias("coding_kv_fix"), (u % 3 + 1).cast("int").alias("coding_tries"),
+        ((u % 7).cast("double") / 10.0).alias("weights_ppl"), F.lit("/texts/reference.txt").alias("ppl_reference"),
         (F.sqrt(F.col("_n").cast("double")) * 10.0).alias("duration_s"))
 
 

@@ -564,12 +564,17 @@ SELECT language, exercise FROM (
 WHERE rn <= 100"""
 
 RUN_META = """
-WITH per AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
-SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id,
-       CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'mmlu' ELSE 'mmlu_generative' END AS mmlu_task,
-       CAST(user_id % 50 AS INTEGER) AS mmlu_limit, CAST(user_id % 3 + 1 AS INTEGER) AS coding_tries,
-       CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(512 * (user_id % 4 + 1) AS INTEGER) END AS ppl_ctx,
-       round(sqrt(CAST(n AS DOUBLE)) * 10.0, 1) AS duration_s
+WITH per AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id)
+SELECT 'u' || CAST(u AS VARCHAR) AS run_id, 'bench-server' AS binary, 'b' || CAST(u % 17 AS VARCHAR) AS version,
+       '/runs/' || CAST(u AS VARCHAR) || '.yaml' AS config, round(sqrt(CAST(n AS DOUBLE)) * 10.0, 1) AS duration_s,
+       CASE WHEN u % 5 = 0 THEN NULL WHEN u % 3 = 0 THEN 'mmlu' ELSE 'mmlu_generative' END AS mmlu_task,
+       CAST(u % 50 AS INTEGER) AS mmlu_limit,
+       CASE WHEN u % 4 = 0 THEN NULL WHEN u % 2 = 0 THEN 'python' ELSE 'python,go' END AS languages,
+       CASE WHEN u % 4 <> 0 THEN CAST(u % 30 AS INTEGER) END AS coding_limit,
+       CASE WHEN u % 4 = 0 THEN NULL WHEN u % 3 = 1 THEN 'f16' ELSE 'off' END AS coding_kv_fix,
+       CAST(u % 3 + 1 AS INTEGER) AS coding_tries,
+       CASE WHEN u % 7 <> 0 THEN CAST(u % 7 AS DOUBLE) / 10.0 END AS weights_ppl,
+       CASE WHEN u % 7 <> 0 THEN '/texts/reference.txt' END AS ppl_reference
 FROM per"""
 
 GENERATION_TEXTS = f"""

@@ -68,17 +68,32 @@ def leaderboard_display(lb: DataFrame, tries: int = 2) -> DataFrame:
         number("ttft_ms_p50").alias("ttft_cell"), number("tok_s_median").alias("rate_cell"), score.alias("score_cell"))
 
 
-def model_details(lb: DataFrame) -> DataFrame:
-    """K5 + J7: breakdown ``w×label(v) + …``, missing list, stage facts, score CI."""
-    parts = F.transform("components", lambda c: F.format_string(
-        "%.2f×%s(%.1f)", c["weight"], _label(c["component"]), c["value"]))
+def model_details(lb: DataFrame, tries: int = 2) -> DataFrame:
+    """K5 + J7: breakdown ``w×label(v) + …``, missing list, and one line per stage: accuracy ± with n, pass rates with
+    their Wilson bounds and completed/total, PPL ± with runs and fidelity, latency, and the stages' errors."""
+    lb = cells(lb)
+    has = set(lb.columns)
+    parts = F.transform("components", lambda c: F.format_string("%.2f×%s(%.1f)", c["weight"], _label(c["component"]), c["value"]))
+    ci = lambda c, fmt: F.coalesce(F.format_string(fmt, c), F.lit(""))
+    w1, w2 = stats.wilson_ci("pass_num_1", "completed"), stats.wilson_ci("pass_num_2", "completed")
+    total = F.coalesce(F.col("total").cast("string"), F.lit("?")) if "total" in has else F.lit("?")
+    done = F.concat(F.col("completed").cast("string"), F.lit("/"), total)
+    facts = F.array_compact(F.array(
+        F.when(F.col("acc_score").isNotNull(), F.concat(F.format_string("accuracy %.2f%%", "acc_pct"), ci(F.col("acc_half"), " ± %.2f pts"),
+               F.coalesce(F.format_string(" (n=%d)", "n_samples"), F.lit("")) if "n_samples" in has else F.lit(""))),
+        F.when(F.col("pass1_half").isNotNull() & F.col("pass2_half").isNotNull(), F.concat(
+            F.format_string("pass@1 %.1f%% [%.1f-%.1f], ", F.col("pass_rate_1"), w1["lo"], w1["hi"]),
+            F.format_string(f"pass@{tries} %.1f%% [%.1f-%.1f] (", F.col("pass_rate_2"), w2["lo"], w2["hi"]), done, F.lit(" tests)")))
+        .when(F.col("completed").isNotNull(), F.concat(F.lit("no completed tests ("), done, F.lit(")"))),
+        F.when(F.col("ppl").isNotNull(), F.concat(F.format_string("PPL %.2f", "ppl"), ci(F.col("ppl_half"), " ±%.2f"),
+               ci(F.col("n_runs"), " (%d runs)") if "n_runs" in has else F.lit(""), ci(F.col("ppl_score"), ", fidelity %.1f/100"))),
+        *([F.when(F.col("n_requests").isNotNull(), F.format_string("first token p50 %.0f ms, %.1f tok/s over %d requests", "ttft_ms_p50", "tok_s_median", "n_requests"))]
+          if "n_requests" in has else []),
+        *[F.when(F.col(c).isNotNull(), F.concat(F.lit(c.removesuffix("_error") + " error: "), F.col(c))) for c in lb.columns if c.endswith("_error")]))
     return lb.select(
-        "run_id", "model_id", "rank", "score", "score_ci_half",
-        F.array_join(parts, " + ").alias("breakdown"),
-        F.array_join(F.transform("missing_components", _label), ", ").alias("missing"),
-        F.concat_ws(", ", F.when(F.col("n_samples").isNotNull(), F.format_string("%d samples", "n_samples")),
-                    F.when(F.col("completed").isNotNull(), F.format_string("%d exercises", "completed")))
-        .alias("facts"))
+        "run_id", "model_id", "rank", F.concat(F.format_string("%.2f", "score"), T.score_marks("nonsignificant", "missing_components")).alias("score"), "score_ci_half",
+        F.array_join(parts, " + ").alias("breakdown"), F.array_join(F.transform("missing_components", _label), ", ").alias("missing"),
+        F.array_join(facts, "; ").alias("facts"))
 
 
 def report_records(lb: DataFrame) -> DataFrame:
@@ -118,17 +133,15 @@ def write_report(lb: DataFrame, path: str, fmt: str = "json", mode: str = "overw
 def run_meta(runs: DataFrame) -> DataFrame:
     """K4: run metadata; options of skipped stages are NULL, duration rounded to 0.1 s.
 
-    ``mmlu_limit`` and ``coding_tries`` are kept even when their stage is skipped.
+    The accuracy limit and the number of tries are kept even when their stage is skipped; the
+    perplexity options depend on whether a reference text was available.
     """
-    skip = lambda flag, col: F.when(F.coalesce(F.col(flag), F.lit(False)), F.lit(None)).otherwise(F.col(col))  # noqa
+    on = lambda skipped, c: F.when(~F.coalesce(F.col(skipped), F.lit(False)), F.col(c)).alias(c)
+    have_ppl = lambda c: F.when(F.coalesce(F.col("ppl_available"), F.lit(False)), F.col(c)).alias(c)
     return runs.select(
-        "run_id",
-        skip("skip_mmlu", "mmlu_task").alias("mmlu_task"),
-        F.col("mmlu_limit"),
-        F.col("coding_tries"),
-        skip("skip_ppl", "ppl_ctx").alias("ppl_ctx"),
-        F.round(F.col("duration_s"), 1).alias("duration_s"),
-    )
+        "run_id", "binary", "version", "config", F.round(F.col("duration_s"), 1).alias("duration_s"), on("skip_mmlu", "mmlu_task"), "mmlu_limit",
+        on("skip_coding", "languages"), on("skip_coding", "coding_limit"), on("skip_coding", "coding_kv_fix"), "coding_tries",
+        have_ppl("weights_ppl"), have_ppl("ppl_reference"))
 
 
 def stage_error(exc_type: str, message: str):
