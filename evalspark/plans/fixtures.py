@@ -436,4 +436,4 @@ def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.concat(F.when(k == 1, F.lit('{')).otherwise(F.lit('{"tokenizer": "/tok", ')), F.when(k == 2, F.lit('"models-dir": "", ')).otherwise(F.lit('"models-dir": "/models", ')),
                      F.when(k == 8, F.lit('"colour": 1, ')).otherwise(F.lit("")), F.when(k == 3, F.lit('"flags": "x", ')).otherwise(F.lit('"flags": ["--g"], ')),
                      F.lit('"models": '), models, F.lit("}"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), p.cast("string")).alias("run_id"), F.when(k == 11, group).otherwise(F.concat(F.lit("["), group, F.lit("]"))).alias("json"))
+    return spread(table(spark, sf_dir, "part")).select(F.concat(F.lit("p"), p.cast("string")).alias("run_id"), F.when(k == 11, group).otherwise(F.concat(F.lit("["), group, F.lit("]"))).alias("json"))

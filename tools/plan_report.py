@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as se  # noqa: E402
+from evalspark.plans import catalog  # noqa: E402
 from evalspark.session import get_spark  # noqa: E402
 
 COUNT = [
@@ -44,7 +44,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", 8)
     rows = []
-    for name, fn in se.queries().items():
+    for name, fn in catalog.QUERIES.items():
         if name.startswith("stream_"):
             continue
         buf = io.StringIO()
