@@ -41,11 +41,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: Sequence[str] = ()) -> DataFrame:
+#: Characters of a sampled training text: a longer one gives a stretch of that length, from a place its id tells.
+TRAIN_CHARS = 16_384
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: Sequence[str] = (), max_chars: int = TRAIN_CHARS) -> DataFrame:
     """(text, label, h) and the columns ``extra`` of ``docs``: at most ``per_class`` labelled rows of each class, none held out.
 
     The sample is the rows with the smallest hashes of their ids, so it is the same on
-    every run and does not depend on the partitioning. Repeated ids count once.
+    every run and does not depend on the partitioning. Repeated ids count once. Rows and
+    characters are bounded, so the sample can be fetched to the driver.
     """
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(
         F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -57,4 +62,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     d = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
     # at most 2 * per_class rows are broadcast; a repeated document counts once
     found = d.join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
-    return found.select("text", *extra, F.col("_y").alias("label"), F.col("_h").alias("h"))
+    start = F.pmod(F.col("_h"), F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int")
+    return found.select(F.substring(F.col("text"), start + 1, F.lit(max_chars)).alias("text"), *extra, F.col("_y").alias("label"), F.col("_h").alias("h"))

@@ -8,8 +8,8 @@ Texts are scored in Python over Arrow batches, some texts at a time; a long text
 piece by piece.
 
 The model is fitted on the driver from a bounded sample of labelled rows: at most PER_CLASS of each
-class, those with the smallest hashes of their ids, none of them held out. Of a sampled text longer
-than TRAIN_BYTES a stretch of that length is used; scores always cover whole texts.
+class, those with the smallest hashes of their ids, none of them held out, and of each text a stretch of
+bounded length (``common.TRAIN_CHARS``); scores always cover whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .common import held_out, training_rows
 from .toxicity import chunks
 
 PER_CLASS = 600
-TRAIN_BYTES = 16_384
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 4, 8, 4, 16, 16
 BLOCK = 128
 EPOCHS, BATCH, RATE = 12, 16, 0.01
@@ -145,11 +144,7 @@ def train(rows: Sequence[tuple[str, int]]) -> Model:
     """Adam over batches; both classes weigh the same."""
     model, rng = _new(), np.random.default_rng(9)
     first, second, t = {k: 0.0 for k in _NAMES}, {k: 0.0 for k in _NAMES}, 0
-    texts = []
-    for i, (text, _) in enumerate(rows):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        skip = (i * 7919) % max(1, len(raw) - TRAIN_BYTES + 1)
-        texts.append(raw[skip:skip + TRAIN_BYTES].decode("utf-8", "ignore"))
+    texts = [text for text, _ in rows]
     y = np.array([label for _, label in rows], np.float32)
     share = {c: len(y) / max(1, 2 * int((y == c).sum())) for c in (0, 1)}
     weight = np.array([share[int(c)] for c in y], np.float32)
