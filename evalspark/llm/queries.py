@@ -66,4 +66,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _base32(hex_digest: str) -> str:
+    """SQL for 40 hexadecimal digits in base32."""
+    forty = [f"CAST('0x' || substr({hex_digest}, {10 * c + 1}, 10) AS BIGINT)" for c in range(4)]
+    return " || ".join(f"substr('{warc.BASE32}', CAST(1 + (({f} >> {35 - 5 * j}) & 31) AS BIGINT), 1)" for f in forty for j in range(8))
+
+
+#: Twins of the queries that SQL can express; the others are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {_base32('h')} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (payload)""",
+}
