@@ -1,8 +1,8 @@
 """Main text of HTML pages by removing the site's template.
 
 1. Every page is parsed into block elements; each block subtree gets a hash of its tags and text.
-2. Spark counts, per host, on how many different pages a subtree occurs. Copies of one page are one
-   page. A subtree on at least MIN_PAGES pages and MIN_SHARE of the host's pages is template.
+2. Spark counts, per host, on how many different pages a subtree occurs. Copies of one page, equal in
+   all text that is not marked, are one page. A subtree on at least MIN_PAGES pages and MIN_SHARE of the host's pages is template.
 3. Every page is parsed again; template subtrees go, and so does what its tag, role, class or id
    marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments.
 
@@ -17,7 +17,6 @@ templates is broadcast or kept per host.
 
 from __future__ import annotations
 
-import heapq
 import html as entities
 import re
 from collections.abc import Collection, Iterator
@@ -32,8 +31,6 @@ from .url_filter import host_of
 
 MIN_PAGES = 5
 MIN_SHARE = 0.01
-#: Runs of text that make a page's signature.
-_SIGNING = 3
 
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select
@@ -109,12 +106,12 @@ def parse(page: str, templates: Collection[int] = ()) -> tuple[_Node, list[tuple
     """The root of the block elements, (hash, still there) of the subtrees that may be template, a signature of the content.
 
     Elements that are dropped for what they are, and subtrees whose hash is in ``templates``, are
-    marked as gone. The signature is the hash of the longest runs of text that are not dropped: copies
-    of one article have one signature whatever is around them. Unclosed and stray tags are
-    repaired as a browser does in the common cases; unclosed inline elements do not matter.
+    marked as gone. The signature is the hash of all the text that is not dropped, white space aside:
+    copies of a page have one signature whatever marked elements are around them. Unclosed and stray
+    tags are repaired as a browser does in the common cases; unclosed inline elements do not matter.
     """
     root = _Node("#")
-    stack, seen, at, n_main, n_gone, runs = [root], [], 0, 0, 0, []
+    stack, seen, at, n_main, n_gone, sig = [root], [], 0, 0, 0, xxhash.xxh64(seed=2)
 
     def close(upto: int) -> None:
         nonlocal n_main, n_gone
@@ -137,7 +134,7 @@ def parse(page: str, templates: Collection[int] = ()) -> tuple[_Node, list[tuple
             run = entities.unescape(run) if "&" in run else run
             stack[-1].parts.append(run)
             if not n_gone:
-                runs.append(run)
+                sig.update("".join([w + " " for w in run.split()]).encode("utf-8", "surrogatepass"))
         if not m:
             break
         at = m.end()
@@ -175,8 +172,7 @@ def parse(page: str, templates: Collection[int] = ()) -> tuple[_Node, list[tuple
         n_gone += gone
         stack.append(node)
     close(1)
-    content = "\n".join(" ".join(r.split()) for r in heapq.nlargest(_SIGNING, runs, key=len))
-    return root, seen, xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass"), 2)
+    return root, seen, sig.intdigest()
 
 
 def _text(node: _Node, take: bool) -> str:

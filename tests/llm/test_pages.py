@@ -85,6 +85,20 @@ def test_templates_go_and_articles_stay(spark):
     assert html_text.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_templates_longer_than_the_articles_go(spark):
+    notice = "".join(f"<p>{prose(7_000 + k, 60)}</p>" for k in range(3))
+    linked = lambda i: " ".join(f"<a>{w}</a>" for w in prose(i, 25).split())
+    gap = " " * 4_000
+    rows = [(i, f"http://notice.x/{i}", f"<body><div>{notice}</div><div><p>{prose(i, 9)}</p><p>{linked(100 + i)}</p></div></body>") for i in range(20)]
+    rows += [(50 + i, f"http://gaps.x/{i}", f"<body>{gap}<div><p>Welcome to this site</p></div>{gap}<div><p>{prose(i, 12)}</p></div>{gap}</body>") for i in range(20)]
+    rows += [(100 + i, f"http://notice.x/c{i}", f"<body><nav>{prose(300 + i, 5)}</nav><div>{notice}</div><div><p>copied text</p></div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    flat = lambda *x: " ".join(" ".join(x).split())
+    assert all(got[i] == flat(prose(i, 9), prose(100 + i, 25)) for i in range(20))
+    assert all(got[50 + i] == flat(prose(i, 12)) for i in range(20))
+    assert all(got[100 + i] == "copied text" for i in range(20))
+
+
 def plain_verdict(url):
     if url is None or "://" not in url:
         return "", "", None
