@@ -8,8 +8,8 @@ Texts are scored in Python over Arrow batches, some texts at a time; a long text
 piece by piece.
 
 The model is fitted on the driver from a bounded sample of labelled rows: at most PER_CLASS of each
-class, those with the smallest hashes of their ids, none of them held out, and of each text a stretch of
-bounded length (``common.TRAIN_CHARS``); scores always cover whole texts.
+class, those with the smallest hashes of their ids, none of them held out, with their whole texts,
+as far as a bounded number of characters goes (``common.TRAIN_CHARS``); scores cover whole texts too.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from evalspark.llm import decontaminate, pii, quality_model, quality_rules, simhash, toxicity, unigram
+from evalspark.llm.common import training_rows
 from tests.llm.conftest import prose
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -279,6 +280,19 @@ def labelled(spark, label, bad):
     return docs, y, {r[0]: r[3] for r in rows}
 
 
+def test_training_texts_are_whole(spark):
+    texts = {i: prose(i, 8_000 if i % 7 == 0 else 20) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    got = training_rows(docs, y, "toxic", 30).collect()
+    assert len(got) > 40 and {r.text for r in got} <= set(texts.values()) and max(len(r.text) for r in got) > 30_000
+    few = training_rows(docs, y, "toxic", 30, max_chars=1_500).orderBy("h").collect()
+    for c in (0, 1):
+        took, whole = [r.text for r in few if r.label == c], [r.text for r in sorted(got, key=lambda r: r.h) if r.label == c]
+        short = [t for t in whole if len(t) <= 1_500]
+        assert took == short[:len(took)] and sum(map(len, took)) <= 1_500 < sum(map(len, short[:len(took) + 1]))
+
+
 def test_toxicity_held_out(spark):
     insults = "gromulon blastardo vexiform".split()
     docs, y, bad = labelled(spark, "toxic", lambda i: prose(i, 30) + f" {insults[i % 9 // 3]}{'' if i % 2 else 'en'} " + prose(i + 1, 30))
