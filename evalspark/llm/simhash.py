@@ -60,15 +60,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def _text_key(docs: DataFrame) -> Column:
+    """Tells texts of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row of ``docs`` (doc_id, text); a null text counts as empty."""
+    """(doc_id, key, fp long) for every row of ``docs`` (doc_id, text); a null text counts as empty, key is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(docs).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, key long, fp long")
 
 
 def _pair(fp: Column, i: int) -> Column:
@@ -125,6 +131,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     id, so component_id is null only if no row of the class has an id. Repeated rows are kept.
     Other columns are not read. An empty table gives no rows.
     """
+    return _classed(docs, shingle, max_bits, list_cap).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classed(docs: DataFrame, shingle: int, max_bits: int, list_cap: int) -> DataFrame:
+    """(doc_id, key, fp, root, component_id) of every row; a root is of one class, a component_id may be of several if ids are repeated."""
     marks = scratch(fingerprints(docs, shingle), "simhash-marks")
     fps = scratch(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
     roots = scratch(connected_components(links(fps.select("fp"), max_bits, list_cap)), "simhash-roots")
@@ -132,19 +143,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = scratch(named, "simhash-named")
     ids = named.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.where("linked").select("fp", "root").join(ids, "root").select("fp", "component_id").unionByName(
-        named.where("not linked").select("fp", F.col("least").alias("component_id")))
+    classes = named.where("linked").select("fp", "root").join(ids, "root").select("fp", "root", "component_id").unionByName(
+        named.where("not linked").select("fp", "root", F.col("least").alias("component_id")))
     classes = scratch(classes, "simhash-classes")
-    return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marks.join(classes, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with one row of each class: that of the smallest doc_id.
 
-    Of repeated rows with that id one stays. Rows with a null doc_id cannot be named and stay.
+    Rows of one id with different texts are judged each in its class; of equal rows with that id
+    one stays. Rows with a null doc_id cannot be named and stay.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = scratch(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct(), "simhash-keep")
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(keep, named["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = _classed(docs, shingle, max_bits, LIST_CAP).where(F.col("doc_id") == F.col("component_id"))
+    # a class may hold several texts of its smallest id: one of them stays
+    keep = scratch(found.groupBy("root", F.col("doc_id").alias("__keep")).agg(F.min("key").alias("__key")).drop("root"), "simhash-keep")
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_key(docs))
+    kept = named.join(keep, (named["doc_id"] == keep["__keep"]) & (named["__text"] == keep["__key"]), "left_semi").dropDuplicates(["doc_id", "__text"])
+    return kept.drop("__text").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -340,6 +340,14 @@ def test_quality_model_gradient_is_right():
         assert g[name][at] == pytest.approx((up - down) / (2 * eps), abs=2e-3)
 
 
+def test_rows_of_one_id_with_other_texts_stay_unless_copies(spark):
+    a, b, c, d = (prose(5_000 + i, 80) for i in range(4))
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, d), (7, d), (9, c), (9, a), (None, a)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(3, b), (5, a), (7, c), (7, d), (0, a)])
+
+
 def test_odd_rows(spark, odd_docs, labels):
     n = odd_docs.count()
     bench = spark.createDataFrame([(1, prose(2, 60)), (None, prose(3, 40)), (3, None), (4, "")], "item_id long, text string")
