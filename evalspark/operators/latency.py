@@ -8,7 +8,7 @@ no window sorts a request's chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import stats
@@ -22,6 +22,19 @@ DATA_PREFIX = "data:"
 END_MARKER = "[DONE]"
 
 
+def _payload(line: Column) -> Column:
+    return F.trim(F.substring(line, 6, 1 << 30))
+
+
+def _text(payload: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(payload), "$.choices[0].text", "string")
+
+
+def is_malformed(line: Column) -> Column:
+    """Whether a data line is neither the end marker nor has a text."""
+    return (_payload(line) != F.lit(END_MARKER)) & _text(_payload(line)).isNull()
+
+
 def parse_stream_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Event-stream lines -> chunk rows.
 
@@ -30,10 +43,9 @@ def parse_stream_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     counted). Other columns of ``lines`` (request keys, ts) are carried.
     """
     raw = F.col(line)
-    data = lines.filter(raw.startswith(DATA_PREFIX)).withColumn("_payload", F.trim(F.substring(raw, 6, 1 << 30)))
+    data = lines.filter(raw.startswith(DATA_PREFIX)).withColumn("_payload", _payload(raw))
     is_end = F.col("_payload") == F.lit(END_MARKER)
-    parsed = F.try_parse_json(F.col("_payload"))
-    text = F.try_variant_get(parsed, "$.choices[0].text", "string")
+    text = _text(F.col("_payload"))
     return (data.withColumn("is_end", is_end)
             .withColumn("delta", F.when(~is_end, text))
             .withColumn("malformed", ~is_end & F.col("delta").isNull())

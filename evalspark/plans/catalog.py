@@ -311,33 +311,81 @@ def q_report_records(spark, sf):
         r6("perplexity.fidelity").alias("fidelity"), r6("perplexity.ci_half").alias("ppl_ci"), "latency.n_requests", F.col("latency.error").isNotNull().alias("latency_failed"))
 
 
-# Parts of the event table that land one after the other in the latency stream.
+# Parts in which a table lands, one after the other, in the streaming queries.
 LANDINGS = 4
 
 
+def _landings(df: DataFrame, ts: str, newest_first: bool = False):
+    """The LANDINGS parts of ``df`` by time, oldest first or newest first."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    share = (at - F.lit(span["lo"])) / F.lit(max(1, (span["hi"] or 0) - (span["lo"] or 0)))
+    part = sum(((share >= F.lit(k / LANDINGS)).cast("int") for k in range(1, LANDINGS)), F.lit(0))
+    parts = [df.filter(part == k) for k in range(LANDINGS)]
+    return parts[::-1] if newest_first else parts
+
+
 def q_stream_request_latency(spark, sf):
-    """Events land in LANDINGS parts by time; the stream is stopped and restarted between them."""
+    """Event-stream lines land as JSON records in LANDINGS parts by time; the stream is restarted after each."""
     folder = jobs.stream_folder(spark, "request-latency")
-    ev = fx.table(spark, sf, "events")
-    cuts = [F.lit(float(k + 1) / LANDINGS) for k in range(LANDINGS - 1)]
-    span = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["lo"])) / F.lit(max(1, (span["hi"] or 0) - (span["lo"] or 0)))
-    part = sum(((at >= c).cast("int") for c in cuts), F.lit(0))
-    for k in range(LANDINGS):
-        ev.filter(part == k).write.parquet(f"{folder}/landing/part-{k}")
-        stream = spark.readStream.schema(ev.schema).parquet(f"{folder}/landing/part-*")
-        jobs.run_to_end(jobs.stream_request_latency(fx.chunks_from_events(stream), folder + "/out", folder + "/ckpt"))
+    for k, part in enumerate(_landings(fx.table(spark, sf, "events"), "ts")):
+        fx.landed_line_texts(part).write.text(f"{folder}/landing/part-{k}")
+        lines = jobs.landed_lines(jobs.text_stream(spark, f"{folder}/landing/part-*"))
+        jobs.run_to_end(jobs.stream_request_latency(latency.parse_stream_lines(lines), folder + "/out", folder + "/ckpt"))
     per = jobs.finish_request_latency(spark, folder + "/out")
     return per.select("run_id", "model_id", "request_id", "n_tokens", r3("ttft_ms").alias("ttft_ms"),
                       r3("tok_s").alias("tok_s"))
 
 
+def q_stream_line_counts(spark, sf):
+    """Lines land newest part first with broken records among them; requests close after LATE_AFTER."""
+    folder = jobs.stream_folder(spark, "line-counts")
+    for k, part in enumerate(_landings(fx.table(spark, sf, "events"), "ts", newest_first=True)):
+        fx.landed_line_texts(part, clean=False).write.text(f"{folder}/landing/part-{k}")
+        lines = jobs.landed_lines(jobs.text_stream(spark, f"{folder}/landing/part-*"))
+        jobs.run_to_end(jobs.stream_request_latency(latency.parse_stream_lines(lines), folder + "/out", folder + "/ckpt", lateness=LATE_AFTER))
+        jobs.run_to_end(jobs.stream_line_counts(lines, folder + "/counts", folder + "/ckpt-counts"))
+    return jobs.line_counts(spark, folder + "/counts", folder + "/out")
+
+
+# How far requests may start behind the newest in the line-count query.
+LATE_AFTER = "10 days"
+
+
+def _landed_files(spark, sf, folder):
+    """Result-file events of ``lineitem`` landing newest first: yields the stream after each landing."""
+    li = fx.table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_linestatus", "l_partkey")
+    for k, part in enumerate(_landings(li, "l_shipdate", newest_first=True)):
+        part.write.parquet(f"{folder}/landing/part-{k}")
+        yield fx.result_file_events(spark.readStream.schema(part.schema).parquet(f"{folder}/landing/part-*"))
+
+
 def q_stream_progress(spark, sf):
+    """Files land in LANDINGS parts, newest first; the stream is restarted after each."""
     folder = jobs.stream_folder(spark, "progress")
-    li = jobs.file_stream(spark, f"{sf}/lineitem.parquet", fx.table(spark, sf, "lineitem"))
     totals = fx.exercise_catalog(spark, sf).groupBy("language").agg(F.count_distinct("exercise").alias("total"))
-    jobs.run_to_end(jobs.stream_progress(fx.result_file_events(li), folder + "/out", folder + "/ckpt", totals))
-    return jobs.latest_state(spark, folder + "/out", ["run", "language"]).select("run", "language", "done", "total")
+    for files_stream in _landed_files(spark, sf, folder):
+        jobs.run_to_end(jobs.land_progress(files_stream, folder + "/out", folder + "/ckpt"))
+    return jobs.landed_progress(spark, folder + "/out", totals)
+
+
+def q_stream_heartbeat(spark, sf):
+    """The last count that the progress stream told of each run, and whether a heartbeat followed when it went quiet."""
+    folder = jobs.stream_folder(spark, "heartbeat")
+    *_, files_stream = _landed_files(spark, sf, folder)
+    query = jobs.stream_progress(files_stream, folder + "/out", folder + "/ckpt", interval_s=0.5)
+
+    def told():
+        rows = spark.read.schema("run string, language string, kind string, done long, at_ms long").parquet(folder + "/out")
+        return rows.groupBy("run", "language").agg(F.max("done").alias("done"), F.bool_or(F.col("kind") == "heartbeat").alias("heartbeat"))
+
+    def all_beat():
+        # the first batch reads all that has landed
+        last = query.lastProgress
+        return last is not None and last["batchId"] >= 0 and told().agg(F.bool_and("heartbeat").alias("x")).first()["x"] is not False
+
+    jobs.run_until(query, all_beat)
+    return told()
 
 
 def q_stream_leaderboard(spark, sf):
@@ -357,8 +405,7 @@ def q_stream_leaderboard(spark, sf):
                          "nonsignificant", F.array_join("missing_components", ",").alias("missing"),
                          F.size("components").cast("bigint").alias("n_components"))
 
-    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/stage", folder + "/out",
-                                            folder + "/ckpt"))
+    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, folder + "/out", folder + "/ckpt"))
     return jobs.newest_leaderboard(spark, folder + "/out")
 
 
@@ -447,6 +494,8 @@ QUERIES: dict[str, QueryFn] = {
     "leaderboard_display": q_leaderboard_display,
     "score_breakdown": q_score_breakdown,
     "stream_request_latency": q_stream_request_latency,
+    "stream_line_counts": q_stream_line_counts,
     "stream_progress": q_stream_progress,
+    "stream_heartbeat": q_stream_heartbeat,
     "stream_leaderboard": q_stream_leaderboard,
 }

@@ -146,8 +146,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_from_events(spread(table(spark, sf_dir, "events")))
 
 
-def chunks_from_events(ev: DataFrame) -> DataFrame:
-    """The chunk projection of ``events`` rows (works on a stream as well)."""
+def chunks_from_events(ev: DataFrame, *extra: str) -> DataFrame:
+    """The chunk projection of ``events`` rows (works on a stream as well), with further columns of theirs."""
     day = F.to_date("ts")
     return ev.select(
         run_of(model_of(F.col("user_id"))), model_of(F.col("user_id")).alias("model_id"),
@@ -156,9 +156,28 @@ def chunks_from_events(ev: DataFrame) -> DataFrame:
         F.col("ts"),
         F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")).alias("delta"),
         (F.col("event_type") == "purchase").alias("is_end"),
+        *extra,
     )
 
 
+def landed_line_texts(ev: DataFrame, clean: bool = True) -> DataFrame:
+    """``events`` rows as landed JSON records (value) of one stream line each, for the requests of ``chunks_from_events``.
+
+    ``clean``: an error is a line with an empty text. Otherwise an error is broken JSON, a click a comment line,
+    and every 50th event lands as a text that is no record.
+    """
+    from evalspark.streaming.jobs import LANDED_TIMES
+    kind = F.col("event_type")
+    text = F.concat(F.lit('data: {"choices": [{"text": "'), F.when(kind == "error", F.lit("")).otherwise(kind), F.lit('"}]}'))
+    line = F.when(kind == "purchase", F.lit("data: [DONE]"))
+    if not clean:
+        line = line.when(kind == "error", F.lit('data: {"choices": [')).when(kind == "click", F.lit(": ping"))
+    record = F.to_json(F.struct("run_id", "model_id", "request_id", "t_start", "ts", "line"), LANDED_TIMES)
+    rows = chunks_from_events(ev.withColumn("line", line.otherwise(text)), "line", "event_id")
+    value = record if clean else F.when(F.col("event_id") % 50 == 0, F.lit('{"run_id": ')).otherwise(record)
+    return rows.select(value.alias("value"))
+
+
 # ---- perplexity -----------------------------------------------------------------------------
 
 def ppl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

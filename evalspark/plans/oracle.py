@@ -595,6 +595,24 @@ WITH {FILES}, tot AS (SELECT count(DISTINCT p_partkey) AS total FROM part)
 SELECT run, language, count(*) AS done, CAST(max(total) AS BIGINT) AS total FROM files, tot GROUP BY run, language"""
 
 
+STREAM_HEARTBEAT = f"""
+WITH {FILES}
+SELECT run, language, count(*) AS done, TRUE AS heartbeat FROM files GROUP BY run, language"""
+
+# Newest quarter first: what starts ten days or more before the newest start and does not land with it is late.
+STREAM_LINE_COUNTS = f"""
+WITH e AS (
+  SELECT {run('user_id')} AS run_id, {model('user_id')} AS model_id, event_type, ts, event_id % 50 = 0 AS broken, date_trunc('day', ts) AS started,
+         (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / greatest(1, max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ())::DOUBLE >= 0.75 AS newest
+  FROM events),
+c AS (SELECT *, event_type <> 'click' AS chunk FROM e WHERE NOT broken),
+w AS (SELECT max(started) - INTERVAL 10 DAY AS mark FROM c WHERE chunk AND newest),
+l AS (SELECT c.*, chunk AND NOT newest AND started <= mark AS late FROM c, w)
+SELECT run_id, model_id, count(*) AS n_lines, count_if(event_type = 'error') AS n_malformed, count_if(late) AS n_late,
+       count_if(NOT late AND event_type IN ('view', 'signup')) AS n_tokens FROM l GROUP BY ALL
+UNION ALL SELECT NULL, NULL, count(*), count(*), 0, 0 FROM e WHERE broken HAVING count(*) > 0"""
+
+
 EXERCISE_RECORDS = f"""
 WITH t AS (
   SELECT {run('l_suppkey')} AS run_id, {model('l_suppkey')} AS model_id, l_partkey, l_returnflag, CAST(l_quantity AS BIGINT) AS q,
@@ -681,5 +699,7 @@ def oracle_sql() -> dict[str, str]:
         "generation_texts": GENERATION_TEXTS,
         "stream_request_latency": REQUEST_LATENCY,
         "stream_progress": STREAM_PROGRESS,
+        "stream_heartbeat": STREAM_HEARTBEAT,
+        "stream_line_counts": STREAM_LINE_COUNTS,
         "stream_leaderboard": composite_leaderboard(),
     }

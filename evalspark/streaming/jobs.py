@@ -1,25 +1,29 @@
 """Structured Streaming jobs (ST1, ST2, ST3).
 
-Sinks are Parquet folders under the shared checkpoint folder (the session's
-``spark.checkpoint.dir``), written by ``foreachBatch``; each micro-batch's
-updated rows are appended with their batch id and the current state of a key
-is its row from the latest batch ("merge on read"). Nothing is collected to
-the driver, and a restarted query resumes from its checkpoint.
+Sinks lie under the shared checkpoint folder (the session's ``spark.checkpoint.dir``). What only grows is
+appended by Spark's own file sink and counted when it is read. Changed rows of keyed state are written per
+micro-batch with their batch id; a re-run batch replaces its rows. Nothing is collected to the driver,
+and a restarted query resumes from its checkpoint.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from evalspark.functions import stats
+from evalspark.operators import latency
 from evalspark.session import checkpoint_dir
 
 # A request is open until requests that start so much later have been seen.
 LATENESS = "1 day"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -40,12 +44,17 @@ def _upsert_sink(out_path: str):
     return write
 
 
-def latest_state(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
-    """Merge on read: per key the row of the latest micro-batch."""
-    df = spark.read.parquet(out_path)
-    vals = [c for c in df.columns if c not in keys and c != "batch_id"]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch_id")).alias("_s"))
-    return agg.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in vals])
+def _publish(rows: DataFrame, out_path: str, batch_id: int) -> None:
+    """Write a whole table under its batch id, and then a mark that it is complete."""
+    rows.write.mode("overwrite").parquet(_batch_dir(f"{out_path}/rows", batch_id))
+    mark = rows.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("complete"))
+    mark.write.mode("overwrite").parquet(_batch_dir(f"{out_path}/done", batch_id))
+
+
+def newest_batch(spark: SparkSession, out_path: str) -> DataFrame:
+    """The table of the newest batch that is complete; no other batch is read."""
+    newest = spark.read.schema("complete bigint").parquet(f"{out_path}/done").agg(F.max("complete").alias("n")).first()["n"]
+    return spark.read.parquet(_batch_dir(f"{out_path}/rows", newest))
 
 
 def run_to_end(query) -> None:
@@ -55,72 +64,179 @@ def run_to_end(query) -> None:
         raise query.exception()
 
 
+def _start(writer, checkpoint: str, available_now: bool, interval: str = "30 seconds"):
+    w = writer.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()
+
+
 # ---- ST1: per-request latency while chunks arrive --------------------------------------------
 
 REQUEST_KEYS = ["run_id", "model_id", "request_id"]
 
+# A landed record of one stream line; times are local and have microseconds.
+LANDED_LINE = "run_id string, model_id string, request_id string, t_start timestamp_ntz, ts timestamp_ntz, line string"
+LANDED_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def text_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the text lines of files that land below ``path``."""
+    return spark.readStream.text(path)
+
+
+def landed_lines(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Stream lines from landed JSON records (batch or stream); a text that is no such record has only nulls."""
+    return texts.select(F.from_json(F.col(value), LANDED_LINE, LANDED_TIMES).alias("_r")).select("_r.*")
+
 
 def stream_request_latency(chunks_stream: DataFrame, out_path: str, checkpoint: str,
                            available_now: bool = True, lateness: str = LATENESS):
-    """ST1: per-request first-token time and token count, updated per micro-batch.
+    """ST1: tokens, end markers and malformed lines per (request, time), updated per micro-batch.
 
-    A streaming aggregation keyed by request; its state is the request's end marker, last chunk and
-    token times, so tokens behind an end marker do not count in whatever order chunks arrive. The
-    watermark is on the request's start: a request stays open until starts are ``lateness`` ahead of
-    it, then its state goes, and a chunk that still comes is late: it is dropped and counted
-    (``late_chunks``), it never opens the request anew. Malformed lines are counted per request.
+    The state is one small row per request and time. Which tokens lie behind the first end marker is
+    decided when the rows are read, so chunks may arrive in any order. The watermark is on the request's
+    start: a request stays open until starts are ``lateness`` ahead of it; a chunk that still comes is late,
+    it is dropped and never opens the request anew (``line_counts`` tells how many).
     """
     token = ~F.col("is_end") & F.col("delta").isNotNull() & (F.length("delta") > 0)
     malformed = F.count_if("malformed") if "malformed" in chunks_stream.columns else F.lit(0).cast("bigint")
     # watermarks need an instant type; chunk times are local (NTZ) and read as session-zone instants
     state = (chunks_stream.withColumn("started", F.col("t_start").cast("timestamp")).withWatermark("started", lateness)
-             .groupBy(*REQUEST_KEYS, "started")
-             .agg(F.min("t_start").alias("t_start"), F.min(F.when(F.col("is_end"), F.col("ts"))).alias("end_marker"),
-                  F.max("ts").alias("t_last"), F.collect_list(F.when(token, F.col("ts"))).alias("tokens"), malformed.alias("n_malformed")))
-    live = F.filter("tokens", lambda t: F.col("end_marker").isNull() | (t <= F.col("end_marker")))
-    out = state.withColumn("tokens", live).select(
-        *REQUEST_KEYS, "t_start", F.array_min("tokens").alias("t_first"), F.coalesce("end_marker", "t_last").alias("t_end"),
-        F.size("tokens").cast("bigint").alias("n_tokens"), F.col("end_marker").isNotNull().alias("ended"), "n_malformed")
-    w = out.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
-        .option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+             .groupBy(*REQUEST_KEYS, "started", "ts")
+             .agg(F.min("t_start").alias("t_start"), F.count_if(token).alias("n_tokens"), F.count_if("is_end").alias("n_ends"),
+                  malformed.alias("n_malformed"), F.count("*").alias("n_chunks")))
+    return _start(state.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)), checkpoint, available_now)
 
 
-def late_chunks(query) -> int:
-    """Rows that the query's recorded batches dropped because their request was closed already."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+def _request_times(spark: SparkSession, out_path: str) -> DataFrame:
+    """State of ST1: counts of a (request, time) only grow, so their largest are the newest."""
+    counts = ["n_tokens", "n_ends", "n_malformed", "n_chunks"]
+    rows = spark.read.parquet(out_path)
+    return rows.groupBy(*REQUEST_KEYS, "ts").agg(F.min("t_start").alias("t_start"), *[F.max(c).alias(c) for c in counts])
 
 
 def finish_request_latency(spark: SparkSession, out_path: str) -> DataFrame:
-    """Final per-request table from the ST1 sink (same columns as the batch ``request_latency``)."""
-    s = latest_state(spark, out_path, REQUEST_KEYS)
+    """Per-request table from the ST1 sink (same columns as the batch ``request_latency``)."""
+    state = _request_times(spark, out_path)
+    ends = state.where("n_ends > 0").groupBy(*REQUEST_KEYS).agg(F.min("ts").alias("end_marker"))
+    live = (F.col("end_marker").isNull() | (F.col("ts") <= F.col("end_marker"))) & (F.col("n_tokens") > 0)
+    s = state.join(ends, REQUEST_KEYS, "left").groupBy(*REQUEST_KEYS).agg(
+        F.min("t_start").alias("t_start"), F.min(F.when(live, F.col("ts"))).alias("t_first"),
+        F.coalesce(F.min("end_marker"), F.max("ts")).alias("t_end"), F.coalesce(F.sum(F.when(live, F.col("n_tokens"))), F.lit(0)).cast("bigint").alias("n_tokens"),
+        F.min("end_marker").isNotNull().alias("ended"), F.sum("n_malformed").cast("bigint").alias("n_malformed"))
     s = s.filter(F.col("n_tokens") > 0)
     return (s.withColumn("ttft_ms", stats.seconds_between("t_start", "t_first") * F.lit(1000.0))
             .withColumn("tok_s", stats.tok_rate(F.col("n_tokens"), stats.seconds_between("t_first", "t_end"))))
 
 
+def stream_line_counts(lines_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+    """Lines, chunk lines and malformed lines per model of all that has landed, late or not.
+
+    A streaming aggregate with one state row per model; every micro-batch writes all of them. Landed
+    texts that are no record count under a null run and model.
+    """
+    line = F.coalesce(F.col("line"), F.lit(""))
+    parsed = lines_stream.select("run_id", "model_id", line.alias("line"), F.col("line").isNull().alias("broken"))
+    chunk = parsed["line"].startswith(latency.DATA_PREFIX)
+    counts = parsed.groupBy("run_id", "model_id").agg(
+        F.count("*").alias("n_lines"), F.count_if(chunk).alias("n_chunks"), F.count_if(F.col("broken") | (chunk & latency.is_malformed(F.col("line")))).alias("n_malformed"))
+    publish = lambda batch, batch_id: _publish(batch, out_path, batch_id)
+    return _start(counts.writeStream.outputMode("complete").foreachBatch(publish), checkpoint, available_now)
+
+
+def line_counts(spark: SparkSession, counts_path: str, latency_path: str) -> DataFrame:
+    """run_id, model_id, n_lines, n_malformed, n_late, n_tokens from the sinks of ``stream_line_counts`` and ST1.
+
+    Late chunks are those that landed but are in no request. Both counts come from the sinks, so they
+    outlast restarts and any number of batches; both streams must have read the same landings.
+    """
+    counted = newest_batch(spark, counts_path)
+    kept = _request_times(spark, latency_path).groupBy("run_id", "model_id").agg(F.sum("n_chunks").alias("_kept"), F.sum("n_tokens").alias("n_tokens"))
+    same = [counted[k].eqNullSafe(kept[k]) for k in ("run_id", "model_id")]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return counted.join(kept, same, "left").select(
+        counted["run_id"], counted["model_id"], "n_lines", "n_malformed", (F.col("n_chunks") - zero("_kept")).alias("n_late"), zero("n_tokens").alias("n_tokens"))
+
+
 # ---- ST2: progress of landed result files ------------------------------------------------------
 
-def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, totals: DataFrame | None = None,
-                    available_now: bool = True, lateness: str = "400 days"):
-    """ST2: result files landed per (run, language), emitted when the count changes (update mode).
+FILE_KEYS = ["run", "language", "exercise"]
 
-    Each file is counted once (streaming de-duplication on its key). The watermark is on the start of
-    the run, which its name tells: files of runs that began ``lateness`` before the newest are late, so
-    the state holds the runs of that span only. ``totals`` (language, total) adds the expected number.
+
+def land_progress(files_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+    """ST2: append the key of every landed result file to a Parquet table (Spark's file sink, exactly once).
+
+    There is no state and nothing expires: in whatever order and in however many batches files land,
+    ``landed_progress`` counts the same.
+    """
+    keys = files_stream.select(*FILE_KEYS).writeStream.format("parquet").option("path", out_path).outputMode("append")
+    return _start(keys, checkpoint, available_now)
+
+
+def landed_progress(spark: SparkSession, out_path: str, totals: DataFrame | None = None) -> DataFrame:
+    """run, language, done (result files, each counted once) and with ``totals`` (language, total) the expected number."""
+    done = spark.read.parquet(out_path).distinct().groupBy("run", "language").agg(F.count("*").alias("done"))
+    return done if totals is None else done.join(totals, "language", "left").select("run", "language", "done", "total")
+
+
+class _Heartbeat(StatefulProcessor):
+    """Per (run, language): a row when its count grows, and one when it has been quiet for ``quiet_ms``."""
+
+    COLUMNS = ["run", "language", "kind", "done", "at_ms"]
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "n long")
+
+    def _row(self, key, kind, n, now):
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now + self.quiet_ms)
+        return pd.DataFrame([(*key, kind, n, now)], columns=self.COLUMNS)
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = (self.done.get()[0] if self.done.exists() else 0) + sum(len(x) for x in rows)
+        self.done.update((n,))
+        yield self._row(key, "progress", n, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._row(key, "heartbeat", self.done.get()[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_progress(files_stream: DataFrame, out_path: str, checkpoint: str, interval_s: float = 30.0, quiet_intervals: int = 3):
+    """ST2: a row (run, language, kind, done, at_ms) when a count has changed, and a heartbeat when it has not
+    for ``quiet_intervals`` intervals.
+
+    Files are told apart by streaming de-duplication on their whole key, spread over all tasks; its state is
+    one entry per file and never expires, so it needs the RocksDB state store, which this sets for the session. Counts and
+    timers are kept per (run, language) by a stateful processor. Rows are appended to a Parquet table. The query
+    runs until it is stopped, since a heartbeat may always follow.
     """
-    from evalspark.operators.outcomes import parse_run_dir
-    started, _ = parse_run_dir(F.col("run"))
-    files = files_stream.withColumn("started", started.cast("timestamp")).withWatermark("started", lateness)
-    counts = (files.dropDuplicates(["run", "language", "exercise", "started"])
-              .groupBy("run", "language", "started").agg(F.count(F.lit(1)).alias("done")).drop("started"))
-    if totals is not None:
-        counts = counts.join(totals, "language", "left")
-    w = counts.writeStream.outputMode("update").foreachBatch(_upsert_sink(out_path)) \
-        .option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    files_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    files = files_stream.select(*FILE_KEYS).dropDuplicates(FILE_KEYS)
+    rows = files.groupBy("run", "language").transformWithStateInPandas(
+        _Heartbeat(int(1000 * interval_s * quiet_intervals)), "run string, language string, kind string, done long, at_ms long", "Append", "ProcessingTime")
+    w = rows.writeStream.format("parquet").option("path", out_path).outputMode("append")
+    return _start(w, checkpoint, False, f"{int(1000 * interval_s)} milliseconds")
+
+
+def run_until(query, reached, timeout_s: float = 300.0, every_s: float = 0.5) -> None:
+    """Let a running query go on until ``reached()`` holds, then stop it; a failure of the query is raised."""
+    end = time.monotonic() + timeout_s
+    try:
+        while not reached():
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > end:
+                raise TimeoutError("the stream did not get there in time")
+            time.sleep(every_s)
+    finally:
+        query.stop()
 
 
 # ---- ST3: leaderboard recomputed as stage rows land --------------------------------------------
@@ -134,36 +250,31 @@ def accuracy_from_sums(stage: DataFrame) -> DataFrame:
         F.col("n").cast("bigint").alias("n_samples"))
 
 
-def stream_leaderboard(items_stream: DataFrame, rebuild, stage_path: str, out_path: str, checkpoint: str,
+def stream_leaderboard(items_stream: DataFrame, rebuild, out_path: str, checkpoint: str,
                        available_now: bool = True):
     """ST3: keep per-model running moments of landed item rows, rebuild the leaderboard per batch.
 
-    A streaming aggregation holds count, mean and variance per (run, model) — state
-    bounded by the number of models — and emits the changed models (update mode).
-    ``foreachBatch`` stores them per batch and runs ``rebuild(accuracy_stage)`` on
-    the latest sums (ranks and lead/lag are not streaming operations). Items are
-    never re-read.
+    A streaming aggregation holds count, mean and variance per (run, model) — one state row per
+    model — and hands all of them to every micro-batch (complete mode), which runs
+    ``rebuild(accuracy_stage)`` and writes the leaderboard under its batch id (ranks and lead/lag are not
+    streaming operations). Neither items nor earlier batches are read again.
     """
     x = F.col("correct").cast("double")
     sums = items_stream.groupBy("run_id", "model_id").agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_dir(stage_path, batch_id))
-        spark = batch.sparkSession
-        stage = accuracy_from_sums(latest_state(spark, stage_path, ["run_id", "model_id"]))
-        # a folder per batch holding one file: a reader of the newest sees a whole leaderboard
-        rebuild(stage).coalesce(1).write.mode("overwrite").parquet(_batch_dir(out_path, batch_id))
+        # the batch reads the state: it is run once, and its few rows are read back
+        _publish(batch, f"{out_path}/sums", batch_id)
+        now = batch.sparkSession.read.schema(batch.schema).parquet(_batch_dir(f"{out_path}/sums/rows", batch_id))
+        _publish(rebuild(accuracy_from_sums(now)), out_path, batch_id)
 
-    w = sums.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return _start(sums.writeStream.outputMode("complete").foreachBatch(step), checkpoint, available_now)
 
 
 def newest_leaderboard(spark: SparkSession, out_path: str) -> DataFrame:
-    """The leaderboard of the latest batch of ST3."""
-    rows = spark.read.parquet(out_path)
-    return rows.join(rows.agg(F.max("batch_id").alias("batch_id")), "batch_id").drop("batch_id")
+    """The leaderboard of the newest batch of ST3 that is written out."""
+    return newest_batch(spark, out_path)
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:

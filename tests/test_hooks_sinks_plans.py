@@ -162,7 +162,7 @@ def test_stream_leaderboard_across_micro_batches(spark, tmp_path):
             .select("model_id", "rank", F.round("score", 6).alias("score"), F.round("score_ci_half", 6).alias("ci"))
 
     out = str(tmp_path / "out")
-    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, str(tmp_path / "stage"), out, str(tmp_path / "ck")))
+    jobs.run_to_end(jobs.stream_leaderboard(items, rebuild, out, str(tmp_path / "ck")))
     got = sorted(tuple(r) for r in jobs.newest_leaderboard(spark, out).collect())
     batch = rebuild(accuracy.group_accuracy(fx.item_results(spark, SF)))
     assert got == sorted(tuple(r) for r in batch.collect())
@@ -183,17 +183,90 @@ def test_stream_latency_late_chunk_and_restart(spark, tmp_path):
         [("r", "m", "c", day(9), day(9, 2), "y", False, False)],
         [("r", "m", "a", day(0), day(0, 5), "late", False, False), ("r", "m", "c", day(9), day(9, 3), "z", False, False)],
     ]
-    out, ck, late = str(tmp_path / "out"), str(tmp_path / "ck"), 0
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     width = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for k, rows in enumerate(landings):
             spark.conf.set("spark.sql.shuffle.partitions", str(2 + k))
             spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"land/p{k}"))
             stream = spark.readStream.schema(schema).parquet(str(tmp_path / "land/p*"))
-            query = jobs.stream_request_latency(stream, out, ck)
-            jobs.run_to_end(query)
-            late += jobs.late_chunks(query)
+            jobs.run_to_end(jobs.stream_request_latency(stream, out, ck))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", width)
     got = {r["request_id"]: (r["n_tokens"], r["n_malformed"]) for r in jobs.finish_request_latency(spark, out).collect()}
-    assert got == {"a": (2, 1), "b": (1, 0), "c": (3, 0)} and late == 1
+    assert got == {"a": (2, 1), "b": (1, 0), "c": (3, 0)}
+
+
+def test_line_counts_outlast_restarts(spark, tmp_path):
+    """Late, malformed and broken records over three landings, each read by restarted streams."""
+    import json
+    from evalspark.operators import latency
+    from evalspark.streaming import jobs
+
+    def record(request, day, sec, line):
+        return json.dumps({"run_id": "r", "model_id": "m", "request_id": request, "t_start": f"2024-01-{day:02d}T00:00:00.000000",
+                           "ts": f"2024-01-{day:02d}T00:00:{sec:02d}.000000", "line": line})
+
+    text = 'data: {"choices": [{"text": "x"}]}'
+    landings = [[record("a", 9, 1, text), record("a", 9, 2, "data: {bad"), record("a", 9, 3, ": ping"), "no record"],
+                [record("b", 8, 1, text), record("c", 2, 1, text), record("c", 2, 2, "data: [DONE]")],
+                [record("a", 9, 4, text), record("a", 9, 2, text), record("d", 9, 1, 'data: {"choices": []}'), '{"run_id": 7']]
+    out, counts = str(tmp_path / "out"), str(tmp_path / "counts")
+    for k, lines in enumerate(landings):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / f"land/p{k}"))
+        rows = jobs.landed_lines(jobs.text_stream(spark, str(tmp_path / "land/p*")))
+        jobs.run_to_end(jobs.stream_request_latency(latency.parse_stream_lines(rows), out, str(tmp_path / "ck"), lateness="3 days"))
+        jobs.run_to_end(jobs.stream_line_counts(rows, counts, str(tmp_path / "ck2")))
+    got = {r["model_id"]: tuple(r)[2:] for r in jobs.line_counts(spark, counts, out).collect()}
+    # run and model of the last broken record cannot be told: its run is no text and the line is missing
+    broken = {k: v for k, v in got.items() if k != "m"}
+    assert got["m"] == (9, 2, 2, 4) and sum(v[0] for v in broken.values()) == 2 and sum(v[1] for v in broken.values()) == 2
+    per = {r["request_id"]: r["n_tokens"] for r in jobs.finish_request_latency(spark, out).collect()}
+    assert per == {"a": 3, "b": 1}
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0], [1, 2, 0]])
+def test_progress_does_not_depend_on_batching(spark, tmp_path, order):
+    """Files of runs years apart, some landing twice: in any order the stream counts what the batch counts."""
+    from evalspark.operators import outcomes
+    from evalspark.streaming import jobs
+    schema = "run string, language string, exercise string"
+    old, new = "2018-01-01-00-00-00--m", "2024-01-01-00-00-00--m"
+    landings = [[(old, "python", "ex1"), (old, "python", "ex2")], [(new, "python", "ex1"), (new, "typescript", "ex1")],
+                [(new, "python", "ex2"), (old, "python", "ex2"), (old, "go", "ex9")]]
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for k, i in enumerate(order):
+        spark.createDataFrame(landings[i], schema).coalesce(1).write.parquet(str(tmp_path / f"land/p{k}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "land/p*"))
+        jobs.run_to_end(jobs.land_progress(stream, out, ck))
+    got = sorted(tuple(r) for r in jobs.landed_progress(spark, out).collect())
+    files = spark.createDataFrame([x for b in landings for x in b], schema).distinct()
+    assert got == sorted(tuple(r) for r in outcomes.count_done(files).collect())
+    assert sum(n for _, lang, n in got if lang in ("python", "typescript")) == 5
+
+
+def test_progress_and_heartbeat_rows(spark, tmp_path):
+    """A row for every growth of a count, a heartbeat after a quiet time; a file that lands again changes nothing."""
+    import time
+    from evalspark.streaming import jobs
+    schema = "run string, language string, exercise string"
+    land = lambda k, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"land/p{k}"))
+    land(0, [("r", "python", "a"), ("r", "python", "b"), ("s", "go", "a")])
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "land/p*"))
+    out = str(tmp_path / "out")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        query = jobs.stream_progress(stream, out, str(tmp_path / "ck"), interval_s=0.3)
+        told = lambda: [tuple(r) for r in spark.read.parquet(out).orderBy("at_ms").select("run", "kind", "done").collect()]
+        def first_beat():
+            return query.lastProgress is not None and {x for x in told() if x[1] == "heartbeat"} >= {("r", "heartbeat", 2), ("s", "heartbeat", 1)}
+        end = time.monotonic() + 120
+        while not first_beat() and time.monotonic() < end:
+            time.sleep(0.3)
+        land(1, [("r", "python", "b"), ("r", "python", "c")])
+        jobs.run_until(query, lambda: ("r", "heartbeat", 3) in told(), 120)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    rows = told()
+    assert [x for x in rows if x[1] == "progress" and x[0] == "r"] == [("r", "progress", 2), ("r", "progress", 3)]
+    assert [x for x in rows if x[1] == "progress" and x[0] == "s"] == [("s", "progress", 1)]
