@@ -99,11 +99,27 @@ def token_perplexity(token_logprobs: DataFrame, keys=MODEL_KEYS, logprob: str =
             .drop("_mean", "_sd"))
 
 
+def text_offsets(texts: DataFrame, n_tokens: Column, order: list[str], keys: list[str]) -> DataFrame:
+    """For every text its ``offset``, the tokens of all earlier texts of its ``keys`` in the order of ``order``.
+
+    The columns ``order`` must tell the texts of a key apart. Returns keys, order and offset only; a key may
+    hold any share of the texts.
+    """
+    from evalspark.operators.positions import running_totals
+    narrow = texts.select(*keys, *order, n_tokens.cast("bigint").alias("_tokens"))
+    return running_totals(narrow, [F.col(c) for c in order], F.col("_tokens"), "offset", keys).drop("_tokens")
+
+
 def context_windows(token_logprobs: DataFrame, ctx: int, position: str = "position") -> DataFrame:
     """A18 windowing: tag each token with its context chunk ``floor(pos / ctx)``."""
     return token_logprobs.withColumn("chunk_no", F.floor(F.col(position) / F.lit(ctx)).cast("bigint"))
 
 
+def windowed_perplexity(token_logprobs: DataFrame, ctx: int, keys: list[str], position: str = "position", logprob: str = "logprob") -> DataFrame:
+    """A18 per (keys, chunk_no): perplexity of each stretch of ``ctx`` tokens; the last one may be shorter."""
+    return token_perplexity(context_windows(token_logprobs, ctx, position), [*keys, "chunk_no"], logprob)
+
+
 def estimate_tokens(text: Column) -> Column:
     """Characters // 4 (code points)."""
     return F.floor(F.length(text) / F.lit(4)).cast("bigint")

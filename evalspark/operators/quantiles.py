@@ -9,17 +9,20 @@ found in two passes without that:
    ranks ``floor((n-1)q)`` and the next one lie between the two sketch values.
 2. rows below the band collapse into one row per group (how many, and the largest of them), rows
    above into the smallest of them; rows inside are reduced to ``(value, count)``. Only the band, at
-   most ``2 * margin * n`` rows and far fewer distinct values, is ranked by a window. The
-   neighbours serve a rank just outside the band; a rank beyond them fails the job.
+   most ``2 * margin * n`` rows and far fewer distinct values, is ranked: dealt out by ranges of its
+   values, counted per range, with the counts of the ranges before as offsets, so that the band of
+   one group may span any number of tasks. The neighbours serve a rank just outside the band; a
+   rank beyond them fails the job.
 
 Groups of every size take this path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.positions import running_totals
 
 DEFAULT_ACCURACY = 10_000
 
@@ -61,10 +64,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     reduced = (joined.withColumn("_bv", F.when(F.col("_side") == 0, F.col("_v")))
                .groupBy(*keys, "_qi", "_side", "_bv")
                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
-    w = (Window.partitionBy(*keys, "_qi").orderBy("_side", "_bv")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (reduced.withColumn("_end", F.sum("_c").over(w) - 1)
-              .withColumn("_start", F.col("_end") - F.col("_c") + 1))
+    ranked = running_totals(reduced, [F.col("_side"), F.col("_bv")], F.col("_c"), "_start", keys + ["_qi"])
+    ranked = ranked.withColumn("_end", F.col("_start") + F.col("_c") - 1)
     ranked = ranked.join(bands.select(*keys, "_qi", "_r0", "_r1", "_frac"), keys + ["_qi"], "inner")
 
     def at(rank: str):

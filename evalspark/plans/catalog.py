@@ -216,6 +216,15 @@ def q_token_perplexity(spark, sf):
     return p.select("model_id", r6("ppl").alias("ppl"), r6("ppl_se").alias("ppl_se"), "n_tokens")
 
 
+# Fixed value of the recipe: tokens of one context window.
+WINDOW = 1024
+
+
+def q_window_perplexity(spark, sf):
+    p = perplexity.windowed_perplexity(fx.positioned_logprobs(spark, sf), WINDOW, ["model_id"])
+    return p.select("model_id", "chunk_no", r6("ppl").alias("ppl"), r6("ppl_se").alias("ppl_se"), "n_tokens")
+
+
 def _subjects(spark, sf):
     return accuracy.subject_and_model_accuracy(fx.item_results(spark, sf))
 
@@ -480,6 +489,7 @@ QUERIES: dict[str, QueryFn] = {
     "request_loglik": q_request_loglik,
     "choice_accuracy": q_choice_accuracy,
     "token_perplexity": q_token_perplexity,
+    "window_perplexity": q_window_perplexity,
     "subject_spread": q_subject_spread,
     "subject_matrix": q_subject_matrix,
     "metrics_task_summary": q_metrics_task_summary,

@@ -388,15 +388,31 @@ def ngram_candidates(spark: SparkSession, sf_dir: str, prefixes: DataFrame | Non
     return cut_lineage(ngram.top_k_candidates(pairs, token_id, prefixes=prefixes))
 
 
-def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model_id, word, count, logprob): word occurrences pre-aggregated per source, with the
-    unigram log-probability ``ln(count(word) / all words)`` over all documents."""
-    occ = word_occurrences(spark, sf_dir)
-    per_model = occ.groupBy("model_id", "word").agg(F.count(F.lit(1)).alias("count"))
+def _unigrams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(model_id, word, count) and (word, logprob): the log-probability is ``ln(count(word) / all words)`` over all documents."""
+    from evalspark.session import materialise
+    per_model = materialise(word_occurrences(spark, sf_dir).groupBy("model_id", "word").agg(F.count(F.lit(1)).alias("count")), "unigrams")
     uni = per_model.groupBy("word").agg(F.sum("count").alias("_c"))
-    total = uni.select(F.sum("_c")).scalar()
-    vocab = uni.select("word", F.log(F.col("_c").cast("double") / total.cast("double")).alias("logprob"))
-    return per_model.join(vocab, "word", "inner")
+    total = per_model.select(F.sum("count")).scalar()
+    return per_model, uni.select("word", F.log(F.col("_c").cast("double") / total.cast("double")).alias("logprob"))
+
+
+def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model_id, count, logprob): word occurrences pre-aggregated per source, with the word's log-probability."""
+    from evalspark.session import materialise
+    per_model, vocab = _unigrams(spark, sf_dir)
+    # read twice: for the mean and for the squares about it
+    return materialise(per_model.join(vocab, "word").select("model_id", "count", "logprob"), "unigram-logprobs")
+
+
+def positioned_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model_id, position, logprob): the words of a source's documents in the order of doc_id as one long text."""
+    from evalspark.operators.perplexity import text_offsets
+    _, vocab = _unigrams(spark, sf_dir)
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", words(F.col("text")).alias("words")))
+    offsets = text_offsets(docs, F.size("words"), ["doc_id"], ["model_id"])
+    tokens = docs.join(offsets, ["model_id", "doc_id"]).select("model_id", "offset", F.posexplode("words").alias("at", "word"))
+    return tokens.select("model_id", (F.col("offset") + F.col("at")).alias("position"), "word").join(vocab, "word").drop("word")
 
 
 # ---- landed texts: records, stream lines, responses, registry documents ----------------------

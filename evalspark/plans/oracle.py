@@ -449,6 +449,18 @@ SELECT model_id, round(exp(-avg(lp)), 6) AS ppl, round(exp(-avg(lp)) * stddev_sa
 FROM occ JOIN lp USING (word) GROUP BY model_id"""
 
 
+WINDOW_PERPLEXITY = f"""
+WITH d AS (SELECT source AS model_id, doc_id, {WORDS.format(t='text')} AS w FROM documents),
+o AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY model_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+occ AS (SELECT model_id, before, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM o),
+uni AS (SELECT word, count(*) AS c FROM occ GROUP BY word),
+tot AS (SELECT sum(c) AS total FROM uni),
+lp AS (SELECT word, ln(CAST(c AS DOUBLE) / CAST(total AS DOUBLE)) AS lp FROM uni CROSS JOIN tot),
+t AS (SELECT model_id, CAST((before + k) // 1024 AS BIGINT) AS chunk_no, lp FROM occ JOIN lp USING (word))
+SELECT model_id, chunk_no, round(exp(-avg(lp)), 6) AS ppl, round(exp(-avg(lp)) * stddev_samp(lp) / sqrt(count(*)), 6) AS ppl_se, count(*) AS n_tokens
+FROM t GROUP BY ALL"""
+
+
 SUBJ = """subj AS (SELECT run_id, model_id, subject, avg(correct) AS acc FROM items GROUP BY ALL)"""
 
 
@@ -686,6 +698,7 @@ def oracle_sql() -> dict[str, str]:
         "request_loglik": request_loglik(),
         "choice_accuracy": choice_accuracy(),
         "token_perplexity": TOKEN_PERPLEXITY,
+        "window_perplexity": WINDOW_PERPLEXITY,
         "subject_spread": subject_spread(),
         "subject_matrix": subject_matrix(),
         "metrics_task_summary": metrics_task_summary(),
