@@ -39,6 +39,9 @@ def normalise_ppl(ppl: DataFrame) -> DataFrame:
            .withColumn("ppl_score", F.when(valid, fid))
            .withColumn("ppl_score_se", F.when(valid, stats.ppl_score_se("ppl", "ppl_se", "min_ppl")))
            .withColumn("ppl_run_spread", F.when(valid, spread)))
+    if "runs" in ppl.columns:
+        # P7 per run: every run's own fidelity to the best model
+        out = out.withColumn("runs", F.transform("runs", lambda r: r.withField("fidelity", F.when(r["ppl"] > 0, stats.ppl_fidelity(r["ppl"], "min_ppl")))))
     return out.withColumn(
         "ppl_ci_half",
         F.when(valid, stats.ppl_ci_half("ppl_score_se", "ppl_run_spread", F.coalesce("n_runs", F.lit(0)))))

@@ -53,20 +53,24 @@ def parse_ppl_logs(logs: DataFrame, log: str = "log") -> DataFrame:
             .drop("_p"))
 
 
-def ppl_summary(runs: DataFrame, keys=MODEL_KEYS) -> DataFrame:
+def ppl_summary(runs: DataFrame, keys=MODEL_KEYS, run_no: str | None = None) -> DataFrame:
     """A7 (+A9 inputs): mean of run PPLs, mean of the reported SEs, run count, min/max run.
 
     Failed runs (NULL ppl) are left out. ``avg`` ignores missing SEs, so the SE
     is NULL only when no run reported one. Min and max of the runs give the run
-    spread of the fidelity score without collecting run lists.
+    spread of the fidelity score. With ``run_no`` the runs are kept as well, as the array
+    ``runs`` of (run_no, ppl, ppl_se) in the order of ``run_no``: a list for reports, as long as a
+    model has runs, so it is not made without being asked for.
     """
     good = runs.filter(F.col("ppl").isNotNull())
+    listed = [F.array_sort(F.collect_list(F.struct(F.col(run_no).alias("run_no"), "ppl", "ppl_se"))).alias("runs")] if run_no else []
     return good.groupBy(*keys).agg(
         F.avg("ppl").alias("ppl"),
         F.avg("ppl_se").alias("ppl_se"),
         F.count(F.lit(1)).alias("n_runs"),
         F.min("ppl").alias("run_min"),
         F.max("ppl").alias("run_max"),
+        *listed,
     )
 
 

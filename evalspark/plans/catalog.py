@@ -291,8 +291,10 @@ def full_leaderboard(spark, sf):
     """The leaderboard with its latency stage, which is carried for display and has error texts of its own."""
     models = fx.models(spark, sf)
     summary = latency.latency_summary(latency.request_latency(fx.chunks(spark, sf)))
+    ppl = fx.ppl_model_summary(spark, sf, run_lists=True).join(
+        q_token_estimate(spark, sf).select("model_id", F.col("est_tokens").alias("n_tokens")), "model_id", "left")
     return composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, accuracy_stage(spark, sf), coding_stage(spark, sf),
-                                           fx.ppl_model_summary(spark, sf), latency.latency_stage(models, summary))
+                                           ppl, latency.latency_stage(models, summary))
 
 
 def q_leaderboard_display(spark, sf):
@@ -320,6 +322,48 @@ def q_report_records(spark, sf):
         r6("perplexity.fidelity").alias("fidelity"), r6("perplexity.ci_half").alias("ppl_ci"), "latency.n_requests", F.col("latency.error").isNotNull().alias("latency_failed"))
 
 
+def q_leaderboard_cells(spark, sf):
+    c = report.leaderboard_display(full_leaderboard(spark, sf))
+    return c.select("run_id", "line_no", *[n for n in c.columns if n.endswith("_cell")])
+
+
+def q_model_details(spark, sf):
+    return report.model_details(full_leaderboard(spark, sf)).select("run_id", "line_no", "model_id", "score", "breakdown", "missing", "facts")
+
+
+def q_report_legends(spark, sf):
+    return report.legends(leaderboard(spark, sf)).select("run_id", "mark")
+
+
+def q_perplexity_runs(spark, sf):
+    """The run list of every record, one row per run, with the run's place and its own fidelity."""
+    r = report.report_records(full_leaderboard(spark, sf)).select("run_id", "model_id", F.posexplode("perplexity.runs").alias("at", "r"))
+    return r.select("run_id", "model_id", F.col("at").cast("bigint").alias("at"), "r.run_no", r6("r.ppl").alias("ppl"), r6("r.ppl_se").alias("ppl_se"), r6("r.fidelity").alias("fidelity"))
+
+
+# The run shown by the wide matrices, and its columns: models are dealt to the runs evenly.
+WIDE_RUN, WIDE_COLUMNS = "r0", fx.N_MODELS // fx.N_RUNS
+
+
+def _numbered(wide: DataFrame, models: list[str], rows: list[str]) -> DataFrame:
+    """``wide`` with its model columns named by their place (m01, m02, …) and a line 0 that names the models."""
+    names = [f"m{k + 1:02d}" for k in range(WIDE_COLUMNS)]
+    column = lambda k, of: of(models[k]) if k < len(models) else F.lit(None).cast("string")
+    head = wide.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), *[F.lit(None).cast("string").alias(c) for c in rows],
+                                             *[column(k, F.lit).alias(n) for k, n in enumerate(names)])
+    return head.unionByName(wide.select("line_no", *rows, *[column(k, lambda m: F.col(f"`{m}`")).alias(n) for k, n in enumerate(names)]))
+
+
+def q_subject_matrix_wide(spark, sf):
+    wide, models = matrices.subject_matrix_wide(_subjects(spark, sf), leaderboard(spark, sf), WIDE_RUN)
+    return _numbered(wide, models, ["subject", "spread"])
+
+
+def q_exercise_matrix_wide(spark, sf):
+    wide, models = matrices.exercise_matrix_wide(coding_flags(spark, sf), leaderboard(spark, sf), WIDE_RUN)
+    return _numbered(wide, models, ["exercise"])
+
+
 # Parts in which a table lands, one after the other, in the streaming queries.
 LANDINGS = 4
 
@@ -502,6 +546,12 @@ QUERIES: dict[str, QueryFn] = {
     "run_meta": q_run_meta,
     "generation_texts": q_generation_texts,
     "leaderboard_display": q_leaderboard_display,
+    "leaderboard_cells": q_leaderboard_cells,
+    "model_details": q_model_details,
+    "report_legends": q_report_legends,
+    "perplexity_runs": q_perplexity_runs,
+    "subject_matrix_wide": q_subject_matrix_wide,
+    "exercise_matrix_wide": q_exercise_matrix_wide,
     "score_breakdown": q_score_breakdown,
     "stream_request_latency": q_stream_request_latency,
     "stream_line_counts": q_stream_line_counts,

@@ -197,7 +197,7 @@ def ppl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_id").alias("run_no"), log.alias("log"))
 
 
-def ppl_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ppl_model_summary(spark: SparkSession, sf_dir: str, run_lists: bool = False) -> DataFrame:
     """PPL stage of the flagship: one summary per model and one for the pooled model.
 
     Every run of a model is one event type (all but errors); a run's ppl is avg(20 + value), its se
@@ -208,7 +208,8 @@ def ppl_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = (ev.select(ids, "event_type", "value").groupBy("model_id", "event_type")
             .agg(F.avg(F.lit(20.0) + F.col("value")).alias("ppl"), F.avg(F.col("value") / 100).alias("ppl_se")))
     from evalspark.operators.perplexity import ppl_summary
-    return ppl_summary(runs.select(run_of(F.col("model_id")), "model_id", "ppl", "ppl_se", F.lit(None).cast("string").alias("error")))
+    runs = runs.select(run_of(F.col("model_id")), "model_id", "event_type", "ppl", "ppl_se", F.lit(None).cast("string").alias("error"))
+    return ppl_summary(runs, run_no="event_type" if run_lists else None)
 
 
 # ---- tokens ---------------------------------------------------------------------------------

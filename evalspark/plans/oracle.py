@@ -202,6 +202,98 @@ FROM nb n LEFT JOIN ppl p USING (run_id, model_id) LEFT JOIN acc a USING (run_id
      LEFT JOIN lat l USING (run_id, model_id)"""
 
 
+def _rates(k: str) -> str:
+    """Text of a pass rate with its interval half, of the counts ``k`` in ``completed``."""
+    return f"coalesce(printf('%.1f%% ±%.1f', 100.0::DOUBLE * {k} / completed, CASE WHEN completed > 0 THEN {wilson_half(k, 'completed')} END), 'n/a')"
+
+
+def wilson_bounds(k: str, n: str) -> tuple[str, str]:
+    """Both ends of the Wilson interval (percent, clamped), as SQL texts."""
+    n_ = f"CAST({n} AS DOUBLE)"
+    p = f"(CAST({k} AS DOUBLE) / {n_})"
+    zz = f"({Z} * {Z})"
+    d = f"(1.0::DOUBLE + {zz} / {n_})"
+    center = f"(({p} + {zz} / (2.0::DOUBLE * {n_})) / {d})"
+    half = f"({Z} * sqrt({p} * (1.0::DOUBLE - {p}) / {n_} + {zz} / (4.0::DOUBLE * {n_} * {n_})) / {d})"
+    return f"greatest(0.0::DOUBLE, ({center} - {half}) * 100.0::DOUBLE)", f"least(100.0::DOUBLE, ({center} + {half}) * 100.0::DOUBLE)"
+
+
+LINE_NO = "row_number() OVER (PARTITION BY n.run_id ORDER BY rnk NULLS LAST, n.ordinal)"
+MARKS = f"CASE WHEN {MARKED} THEN '*' ELSE '' END || CASE WHEN coalesce(missing, '') <> '' THEN '†' ELSE '' END"
+STAGES = """FROM nb n LEFT JOIN ppl p USING (run_id, model_id) LEFT JOIN acc a USING (run_id, model_id) LEFT JOIN cod c USING (run_id, model_id)
+     LEFT JOIN pc USING (run_id, model_id) LEFT JOIN lat l USING (run_id, model_id)"""
+
+
+def leaderboard_cells() -> str:
+    return _with_latency() + f"""
+SELECT n.run_id, {LINE_NO} AS line_no, coalesce(CAST(rnk AS VARCHAR), '-') AS rank_cell, n.model_id AS label_cell,
+       coalesce(printf('%.2f±%.2f', p.ppl, {Z} * p.ppl_se), printf('%.2f', p.ppl), 'n/a') AS ppl_cell,
+       coalesce(printf('%.1f%% ±%.1f', a.acc_score * 100, {Z} * a.acc_stderr * 100), printf('%.1f%%', a.acc_score * 100), 'n/a') AS accuracy_cell,
+       {_rates('k1')} AS pass1_cell, {_rates('k2')} AS pass2_cell, coalesce(printf('%.0f', l.ttft), 'n/a') AS ttft_cell, coalesce(printf('%.0f', l.tok_s), 'n/a') AS rate_cell,
+       coalesce(printf('%.2f', n.score) || {MARKS}, 'n/a') AS score_cell
+{STAGES}"""
+
+
+def model_details() -> str:
+    (lo1, hi1), (lo2, hi2) = wilson_bounds("k1", "completed"), wilson_bounds("k2", "completed")
+    name = lambda c: f"CASE {c} WHEN 'ppl' THEN 'PPL' WHEN 'mmlu' THEN 'MMLU' ELSE 'Coding' END"
+    return _with_latency() + f""",
+parts AS (SELECT run_id, model_id, string_agg(printf('%.2f×%s(%.1f)', nw, {name('name')}, v), ' + ' ORDER BY CASE name WHEN 'ppl' THEN 0 WHEN 'mmlu' THEN 1 ELSE 2 END) AS breakdown
+          FROM present GROUP BY ALL),
+each AS (SELECT model_id, string_agg(printf('%.2f', ppl), ', ' ORDER BY event_type) AS runs FROM pruns GROUP BY model_id),
+tok AS (SELECT source AS model_id, sum(length(text) // 4) AS n_tokens FROM documents GROUP BY source),
+ns AS (SELECT run_id, model_id, count(correct) AS n FROM items GROUP BY ALL),
+lat95 AS (SELECT run_id, model_id, quantile_cont(ttft_ms, 0.95) AS p95 FROM per GROUP BY ALL)
+SELECT n.run_id, {LINE_NO} AS line_no, n.model_id, printf('%.2f', n.score) || {MARKS} AS score, coalesce(parts.breakdown, '') AS breakdown,
+       coalesce(array_to_string(list_transform(list_filter(string_split(missing, ','), lambda x: x <> ''), lambda x: {name('x')}), ', '), '') AS missing,
+       concat_ws('; ',
+         printf('accuracy %.2f%%', a.acc_score * 100) || coalesce(printf(' ± %.2f pts', {Z} * a.acc_stderr * 100), '') || ' (n=' || CAST(ns.n AS VARCHAR) || ')',
+         printf('pass@1 %.1f%% [%.1f-%.1f], pass@2 %.1f%% [%.1f-%.1f] (%s/? tests)', 100.0::DOUBLE * k1 / completed, {lo1}, {hi1}, rate2, {lo2}, {hi2}, CAST(completed AS VARCHAR)),
+         printf('PPL %.2f', p.ppl) || coalesce(printf(' ±%.2f', {Z} * p.ppl_se), '') || coalesce(printf(', ~%.0fK tokens', n_tokens / 1000.0::DOUBLE), '')
+           || ' (' || CAST(p.n_runs AS VARCHAR) || ' runs: ' || each.runs || ')' || coalesce(printf(', fidelity %.1f/100', pc.ppl_score), ''),
+         printf('first token p50 %.0f ms (p95 %.0f ms), %.1f tok/s over %s requests', l.ttft, lat95.p95, l.tok_s, CAST(l.n_requests AS VARCHAR)),
+         CASE WHEN l.n_requests IS NULL THEN 'latency error: ValueError: no usable requests (no tokens received)' END) AS facts
+{STAGES} LEFT JOIN parts USING (run_id, model_id) LEFT JOIN each USING (model_id) LEFT JOIN tok USING (model_id) LEFT JOIN ns USING (run_id, model_id)
+     LEFT JOIN lat95 USING (run_id, model_id)"""
+
+
+def report_legends() -> str:
+    return _composite() + f"""
+SELECT DISTINCT run_id, '*' AS mark FROM nb WHERE {MARKED} UNION ALL SELECT DISTINCT run_id, '†' FROM nb WHERE coalesce(missing, '') <> ''"""
+
+
+def perplexity_runs() -> str:
+    return _composite() + f"""
+SELECT {run_of('r.model_id')} AS run_id, r.model_id, row_number() OVER (PARTITION BY r.model_id ORDER BY event_type) - 1 AS at, event_type AS run_no, round(r.ppl, 6) AS ppl,
+       round(se, 6) AS ppl_se, round(CASE WHEN r.ppl > 0 THEN 100.0::DOUBLE * min_ppl / r.ppl END, 6) AS fidelity
+FROM pruns r JOIN pn USING (model_id)"""
+
+
+def _wide_matrix(rows: str, with_results: str, head: str, body: str) -> str:
+    """A wide matrix of run r0: line 0 names its models in rank order, the other lines come from ``body`` (line_no, ``rows``, pos, cell)."""
+    columns = ", ".join(f"max(CASE WHEN pos = {k + 1} THEN cell END) AS m{k + 1:02d}" for k in range(10))
+    return _composite() + f""",
+{body.split('=>')[0]},
+cols AS (SELECT model_id, row_number() OVER (ORDER BY rnk NULLS LAST, ordinal) AS pos FROM nb WHERE run_id = 'r0' AND model_id IN ({with_results})),
+lines AS (SELECT 0 AS line_no, {head}, pos, model_id AS cell FROM cols UNION ALL {body.split('=>')[1]})
+SELECT line_no, {rows}, {columns} FROM lines GROUP BY line_no, {rows}"""
+
+
+def subject_matrix_wide() -> str:
+    return _wide_matrix("subject, spread", "SELECT model_id FROM subj WHERE run_id = 'r0'", "NULL AS subject, NULL AS spread", f"""{SUBJ},
+sp AS (SELECT subject, max(acc) - min(acc) AS d FROM subj WHERE run_id = 'r0' GROUP BY subject HAVING count(DISTINCT model_id) >= 2),
+so AS (SELECT *, row_number() OVER (ORDER BY d DESC, subject) AS line_no FROM sp) => 
+SELECT line_no, so.subject, printf('%.1f', d * 100.0::DOUBLE) || CASE WHEN d >= 0.04 THEN ' †' ELSE '' END, pos, coalesce(printf('%.1f', acc * 100.0::DOUBLE), '–')
+FROM so CROSS JOIN cols LEFT JOIN subj s ON s.subject = so.subject AND s.model_id = cols.model_id AND s.run_id = 'r0'""")
+
+
+def exercise_matrix_wide() -> str:
+    return _wide_matrix("exercise", "SELECT model_id FROM ex WHERE run_id = 'r0'", "NULL AS exercise", """
+eo AS (SELECT exercise, row_number() OVER (ORDER BY exercise) AS line_no FROM (SELECT DISTINCT exercise FROM ex WHERE run_id = 'r0')) =>
+SELECT line_no, eo.exercise, pos, CASE WHEN pass_1 IS NULL THEN '–' WHEN pass_1 THEN '1' WHEN pass_any THEN '2' ELSE '·' END
+FROM eo CROSS JOIN cols LEFT JOIN ex ON ex.exercise = eo.exercise AND ex.model_id = cols.model_id AND ex.run_id = 'r0'""")
+
+
 def score_breakdown() -> str:
     return _composite() + """
 SELECT p.run_id, p.model_id, p.name AS component, round(nw, 6) AS weight, round(v, 6) AS value, round(ci, 6) AS ci_half, n.missing
@@ -671,6 +763,12 @@ SELECT run_id, CAST(g AS BIGINT) AS group_pos, CAST(m AS BIGINT) AS model_pos, r
 def oracle_sql() -> dict[str, str]:
     return {
         "leaderboard_display": leaderboard_display(),
+        "leaderboard_cells": leaderboard_cells(),
+        "model_details": model_details(),
+        "report_legends": report_legends(),
+        "perplexity_runs": perplexity_runs(),
+        "subject_matrix_wide": subject_matrix_wide(),
+        "exercise_matrix_wide": exercise_matrix_wide(),
         "score_breakdown": score_breakdown(),
         "report_records": report_records(),
         "exercise_records": EXERCISE_RECORDS,

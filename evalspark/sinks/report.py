@@ -7,7 +7,7 @@ and the per-model detail table, and write them partitioned by run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import stats
@@ -37,61 +37,88 @@ def cells(lb: DataFrame) -> DataFrame:
             .withColumn("pass1_half", half("pass_num_1", "pass_rate_1")).withColumn("pass2_half", half("pass_num_2", "pass_rate_2")))
 
 
+def _say(*parts) -> Column:
+    """Texts and columns joined; NULL if a column is."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _maybe(*parts) -> Column:
+    """Like ``_say``, but nothing if a column is NULL."""
+    return F.coalesce(_say(*parts), F.lit(""))
+
+
+def with_lines(lb: DataFrame) -> DataFrame:
+    """O1 as a column: ``line_no`` from 1 within the run, ranked models first, then the others in input order (model rows only)."""
+    w = Window.partitionBy("run_id").orderBy(F.asc_nulls_last("rank"), F.col("ordinal"))
+    return lb.withColumn("line_no", F.row_number().over(w).cast("bigint"))
+
+
 def leaderboard_display(lb: DataFrame, tries: int = 2) -> DataFrame:
     """K2: text cells of the ranked table: rank or ``-``, label, PPL±, accuracy ±, pass@1 ±, pass@N ±,
-    first-token time, token rate, score with marks.
+    first-token time, token rate, score with marks; ``line_no`` is the display order.
 
     The PPL cell carries the PPL's own interval (1.96 SE), not that of its score points.
-    Formatting is half-up (SURVEY T10); ``cells`` has the numbers.
     """
-    c = cells(lb)
+    c = cells(with_lines(lb))
     na = F.lit("n/a")
-    ppl_cell = F.when(F.col("ppl").isNull(), na).when(
-        F.col("ppl_half").isNotNull(), F.format_string("%.2f±%.2f", "ppl", "ppl_half")).otherwise(F.format_string("%.2f", "ppl"))
+    fixed = T.fixed
 
     def rate(value: str, half: str):
-        return F.when(F.col(value).isNull(), na).when(
-            F.col(half).isNotNull(), F.format_string("%.1f%% ±%.1f", value, half)).otherwise(T.fmt_pct(value))
+        return F.coalesce(_say(fixed(value, 1), "% ±", fixed(half, 1)), T.fmt_pct(value))
 
     def passed(value: str, half: str):
-        return F.when(F.col(half).isNull(), na).otherwise(F.format_string("%.1f%% ±%.1f", value, half))
+        return F.coalesce(_say(fixed(value, 1), "% ±", fixed(half, 1)), na)
 
     number = lambda name: T.fmt_num(F.col(name)) if name in lb.columns else na
-    score = F.when(F.col("score").isNull(), na).otherwise(
-        F.concat(F.format_string("%.2f", F.col("score")), T.score_marks("nonsignificant", "missing_components")))
+    score = F.coalesce(_say(fixed("score", 2), T.score_marks("nonsignificant", "missing_components")), na)
     label = F.coalesce("label", "model_id") if "label" in lb.columns else F.col("model_id")
     return ordered(c).select(
-        "run_id", "model_id", "rank", "ordinal",
+        "run_id", "model_id", "rank", "ordinal", "line_no",
         F.coalesce(F.col("rank").cast("string"), F.lit("-")).alias("rank_cell"), label.alias("label_cell"),
-        ppl_cell.alias("ppl_cell"), rate("acc_pct", "acc_half").alias("accuracy_cell"),
+        F.coalesce(_say(fixed("ppl", 2), "±", fixed("ppl_half", 2)), fixed("ppl", 2), na).alias("ppl_cell"), rate("acc_pct", "acc_half").alias("accuracy_cell"),
         passed("pass_rate_1", "pass1_half").alias("pass1_cell"), passed("pass_rate_2", "pass2_half").alias(f"pass{tries}_cell"),
         number("ttft_ms_p50").alias("ttft_cell"), number("tok_s_median").alias("rate_cell"), score.alias("score_cell"))
 
 
+# Texts under the table, by mark.
+LEGENDS = {"*": "the difference to a neighbouring rank is not significant at the 95 % level",
+           "†": "scored on a part of the components only, not directly comparable with complete rows"}
+
+
+def legends(lb: DataFrame) -> DataFrame:
+    """Below K2: (run_id, mark, text) for every mark that the run's table shows."""
+    shown = lb.groupBy("run_id").agg(F.bool_or("nonsignificant").alias("*"), F.bool_or(F.size("missing_components") > 0).alias("†"))
+    marks = F.array(*[F.when(F.col(f"`{m}`"), F.struct(F.lit(m).alias("mark"), F.lit(t).alias("text"))) for m, t in LEGENDS.items()])
+    return shown.select("run_id", F.inline(F.array_compact(marks)))
+
+
 def model_details(lb: DataFrame, tries: int = 2) -> DataFrame:
     """K5 + J7: breakdown ``w×label(v) + …``, missing list, and one line per stage: accuracy ± with n, pass rates with
-    their Wilson bounds and completed/total, PPL ± with runs and fidelity, latency, and the stages' errors."""
-    lb = cells(lb)
+    their Wilson bounds and completed/total, PPL ± with tokens, every run and fidelity, latency with p50 and p95, and the
+    stages' errors; ``line_no`` is the order."""
+    lb = cells(with_lines(lb))
     has = set(lb.columns)
-    parts = F.transform("components", lambda c: F.format_string("%.2f×%s(%.1f)", c["weight"], _label(c["component"]), c["value"]))
-    ci = lambda c, fmt: F.coalesce(F.format_string(fmt, c), F.lit(""))
+    fixed = T.fixed
+    text = lambda name: F.col(name).cast("string") if name in has else F.lit(None).cast("string")
+    number = lambda name, digits: fixed(name, digits) if name in has else F.lit(None).cast("string")
+    parts = F.transform("components", lambda c: _say(fixed(c["weight"], 2), "×", _label(c["component"]), "(", fixed(c["value"], 1), ")"))
     w1, w2 = stats.wilson_ci("pass_num_1", "completed"), stats.wilson_ci("pass_num_2", "completed")
-    total = F.coalesce(F.col("total").cast("string"), F.lit("?")) if "total" in has else F.lit("?")
-    done = F.concat(F.col("completed").cast("string"), F.lit("/"), total)
+    done = _say(F.col("completed").cast("string"), "/", F.coalesce(text("total"), F.lit("?")))
+    bounds = lambda rate, w: _say(fixed(rate, 1), "% [", fixed(w["lo"], 1), "-", fixed(w["hi"], 1), "]")
+    each = F.array_join(F.transform("runs", lambda r: fixed(r["ppl"], 2)), ", ") if "runs" in has else F.lit(None).cast("string")
+    runs = F.coalesce(_say(" (", text("n_runs"), " runs: ", each, ")"), _maybe(" (", text("n_runs"), " runs)"))
+    tokens = _maybe(", ~", fixed(F.col("n_tokens") / 1000, 0), "K tokens") if "n_tokens" in has else F.lit("")
     facts = F.array_compact(F.array(
-        F.when(F.col("acc_score").isNotNull(), F.concat(F.format_string("accuracy %.2f%%", "acc_pct"), ci(F.col("acc_half"), " ± %.2f pts"),
-               F.coalesce(F.format_string(" (n=%d)", "n_samples"), F.lit("")) if "n_samples" in has else F.lit(""))),
-        F.when(F.col("pass1_half").isNotNull() & F.col("pass2_half").isNotNull(), F.concat(
-            F.format_string("pass@1 %.1f%% [%.1f-%.1f], ", F.col("pass_rate_1"), w1["lo"], w1["hi"]),
-            F.format_string(f"pass@{tries} %.1f%% [%.1f-%.1f] (", F.col("pass_rate_2"), w2["lo"], w2["hi"]), done, F.lit(" tests)")))
-        .when(F.col("completed").isNotNull(), F.concat(F.lit("no completed tests ("), done, F.lit(")"))),
-        F.when(F.col("ppl").isNotNull(), F.concat(F.format_string("PPL %.2f", "ppl"), ci(F.col("ppl_half"), " ±%.2f"),
-               ci(F.col("n_runs"), " (%d runs)") if "n_runs" in has else F.lit(""), ci(F.col("ppl_score"), ", fidelity %.1f/100"))),
-        *([F.when(F.col("n_requests").isNotNull(), F.format_string("first token p50 %.0f ms, %.1f tok/s over %d requests", "ttft_ms_p50", "tok_s_median", "n_requests"))]
-          if "n_requests" in has else []),
-        *[F.when(F.col(c).isNotNull(), F.concat(F.lit(c.removesuffix("_error") + " error: "), F.col(c))) for c in lb.columns if c.endswith("_error")]))
+        _say("accuracy ", fixed("acc_pct", 2), "%", _maybe(" ± ", fixed("acc_half", 2), " pts"), _maybe(" (n=", text("n_samples"), ")")),
+        F.when(F.col("pass1_half").isNotNull() & F.col("pass2_half").isNotNull(), _say(
+            "pass@1 ", bounds("pass_rate_1", w1), f", pass@{tries} ", bounds("pass_rate_2", w2), " (", done, " tests)"))
+        .when(F.col("completed").isNotNull(), _say("no completed tests (", done, ")")),
+        _say("PPL ", fixed("ppl", 2), _maybe(" ±", fixed("ppl_half", 2)), tokens, runs, _maybe(", fidelity ", fixed("ppl_score", 1), "/100")),
+        _say("first token p50 ", number("ttft_ms_p50", 0), " ms", _maybe(" (p95 ", number("ttft_ms_p95", 0), " ms)"), ", ", number("tok_s_median", 1), " tok/s over ",
+             text("n_requests"), " requests"),
+        *[_say(c.removesuffix("_error") + " error: ", F.col(c)) for c in lb.columns if c.endswith("_error")]))
     return lb.select(
-        "run_id", "model_id", "rank", F.concat(F.format_string("%.2f", "score"), T.score_marks("nonsignificant", "missing_components")).alias("score"), "score_ci_half",
+        "run_id", "model_id", "line_no", "rank", _say(fixed("score", 2), T.score_marks("nonsignificant", "missing_components")).alias("score"), "score_ci_half",
         F.array_join(parts, " + ").alias("breakdown"), F.array_join(F.transform("missing_components", _label), ", ").alias("missing"),
         F.array_join(facts, "; ").alias("facts"))
 
@@ -119,7 +146,7 @@ def report_records(lb: DataFrame) -> DataFrame:
         stage("accuracy", F.col("acc_score").isNotNull(), ("score", F.col("acc_score")), ("score_stderr", F.col("acc_stderr")), *known("n_samples"), ("ci_half", F.col("acc_half"))),
         stage("coding", F.col("completed").isNotNull(), *known("completed", "total", "pass_num_1", "pass_num_2", "pass_rate_1", "pass_rate_2", "prompt_tokens", "completion_tokens"),
               ("ci_low", wilson["lo"]), ("ci_high", wilson["hi"])),
-        stage("perplexity", F.col("ppl").isNotNull(), *known("ppl", "ppl_se", "n_runs", "run_min", "run_max", "n_tokens"), ("fidelity", F.col("ppl_score")), ("ci_half", F.col("ppl_ci_half"))),
+        stage("perplexity", F.col("ppl").isNotNull(), *known("ppl", "ppl_se", "n_runs", "run_min", "run_max", "runs", "n_tokens"), ("fidelity", F.col("ppl_score")), ("ci_half", F.col("ppl_ci_half"))),
         stage("latency", F.col("n_requests").isNotNull() if "n_requests" in has else F.lit(False),
               *known("n_requests", "ttft_ms_mean", "ttft_ms_p50", "ttft_ms_p95", "tok_s_mean", "tok_s_median", "total_tokens")))
 
