@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
-from evalspark.operators import accuracy, composite, latency, loglik, matrices, ngram, outcomes, perplexity
+from evalspark.operators import accuracy, composite, hooks, latency, loglik, matrices, ngram, outcomes, perplexity
 from evalspark.sinks import report
 from evalspark.sources import files, metrics, registry
 from evalspark.streaming import jobs
@@ -197,6 +197,28 @@ def q_request_loglik(spark, sf):
     return s.select("run_id", "model_id", "request_id", r3("loglik").alias("loglik"), "is_greedy", "n_tokens")
 
 
+# Fixed values of the hook queries: model window, new tokens, vocabulary of the adaptive scorer.
+MAX_LENGTH, MAX_NEW_TOKENS, VOCABULARY = 48, 8, 10_000
+
+
+def q_prefix_scores(spark, sf):
+    """Whole documents scored token by token against their full prefixes."""
+    s = hooks.score_with(fx.id_requests(spark, sf), lambda: hooks.AdaptiveScorer(VOCABULARY))
+    return s.select("run_id", "model_id", "request_id", "request_no", r3("loglik").alias("loglik"), "is_greedy", "n_tokens")
+
+
+def q_generations(spark, sf):
+    """Prompts that were not answered before (those of even conversations were), cut to the model's window, with their
+    generations as texts."""
+    requests = fx.prompt_requests(spark, sf)
+    pending = hooks.unanswered(requests, requests.filter(F.col("conv_id") % 2 == 0), ["model_id", "prompt_ids"])
+    made = hooks.generate_with(pending, "prompt-lookup", MAX_LENGTH, MAX_NEW_TOKENS)
+    # ids back to words: a map of the prompt's own
+    named = made.join(pending.select("request_id", F.map_from_arrays(F.array_distinct("prompt_ids"), F.array_distinct("prompt")).alias("_words")), "request_id")
+    named = named.withColumn("generated", F.array_join(F.transform("generated", lambda i: F.element_at("_words", i)), " "))
+    return hooks.placeholder_texts(named).select("run_id", "model_id", "request_id", "request_no", "generated", "is_placeholder")
+
+
 def q_choice_accuracy(spark, sf):
     req = fx.benchmark_choice_requests(spark, sf, fx.models(spark, sf))
     tokens = fx.blank_some_ids(loglik.request_tokens(req, fx.token_id))
@@ -532,6 +554,8 @@ QUERIES: dict[str, QueryFn] = {
     "token_logprob_lookup_nested": q_token_logprob_lookup_nested,
     "request_loglik": q_request_loglik,
     "choice_accuracy": q_choice_accuracy,
+    "prefix_scores": q_prefix_scores,
+    "generations": q_generations,
     "token_perplexity": q_token_perplexity,
     "window_perplexity": q_window_perplexity,
     "subject_spread": q_subject_spread,

@@ -256,6 +256,20 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.slice(w, 2, 1 << 30).alias("continuation"))
 
 
+def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_requests`` as token ids, numbered by their doc_id."""
+    ids = lambda c: F.transform(c, token_id).alias(f"{c}_ids")
+    return document_requests(spark, sf_dir).select("run_id", "model_id", "request_id", F.col("doc_id").alias("request_no"), ids("context"), ids("continuation"))
+
+
+def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generation request per user turn of ``conversations``: its words as ids, numbered within the conversation."""
+    users = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    model = model_of(F.col("conv_id"))
+    return users.select(run_of(model), model.alias("model_id"), F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", F.col("turn").alias("request_no"),
+                        words(F.col("text")).alias("prompt"), F.transform(words(F.col("text")), token_id).alias("prompt_ids"))
+
+
 def benchmark_choice_requests(spark: SparkSession, sf_dir: str, models_df: DataFrame) -> DataFrame:
     """Four answer choices per benchmark item, scored by every model.
 

@@ -541,6 +541,26 @@ SELECT model_id, round(exp(-avg(lp)), 6) AS ppl, round(exp(-avg(lp)) * stddev_sa
 FROM occ JOIN lp USING (word) GROUP BY model_id"""
 
 
+# The count of a word before its place is its running number less one; the most frequent one so far has the largest.
+PREFIX_SCORES = f"""
+WITH d AS (SELECT source, doc_id, {WORDS.format(t='text')} AS w FROM documents),
+o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM d),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY k) - 1 AS n FROM o),
+m AS (SELECT *, max(n + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM c),
+s AS (SELECT doc_id, sum(ln((n + 1) / (k + 10000)::DOUBLE)) AS ll, bool_and(n > 0 AND n = most) AS g, count(*) AS t FROM m WHERE k > 0 GROUP BY doc_id)
+SELECT {run_of('source')} AS run_id, source AS model_id, doc_id AS request_id, doc_id AS request_no, round(coalesce(ll, 0), 3) AS loglik, coalesce(g, TRUE) AS is_greedy,
+       coalesce(t, 0) AS n_tokens
+FROM d LEFT JOIN s USING (doc_id)"""
+
+GENERATIONS = f"""
+WITH u AS (SELECT {run('conv_id')} AS run_id, {model('conv_id')} AS model_id, conv_id, turn, {WORDS.format(t='text')} AS w FROM conversations WHERE role = 'user'),
+p AS (SELECT *, w[greatest(1, len(w) - 39):] AS c FROM u WHERE (model_id, w) NOT IN (SELECT model_id, w FROM u WHERE conv_id % 2 = 0)),
+l AS (SELECT *, len(c) - 1 - list_position(list_reverse(c[:len(c) - 1]), c[len(c)]) + 1 AS last FROM p)
+SELECT run_id, model_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id, turn AS request_no,
+       coalesce(CASE WHEN last > 0 AND len(c) > 1 THEN array_to_string(c[last + 1:least(last + 8, len(c))], ' ') END, '[no response]') AS generated,
+       NOT coalesce(last > 0 AND len(c) > 1, FALSE) AS is_placeholder
+FROM l"""
+
 WINDOW_PERPLEXITY = f"""
 WITH d AS (SELECT source AS model_id, doc_id, {WORDS.format(t='text')} AS w FROM documents),
 o AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY model_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
@@ -795,6 +815,8 @@ def oracle_sql() -> dict[str, str]:
         "token_logprob_lookup_nested": token_logprob_lookup(),
         "request_loglik": request_loglik(),
         "choice_accuracy": choice_accuracy(),
+        "prefix_scores": PREFIX_SCORES,
+        "generations": GENERATIONS,
         "token_perplexity": TOKEN_PERPLEXITY,
         "window_perplexity": WINDOW_PERPLEXITY,
         "subject_spread": subject_spread(),

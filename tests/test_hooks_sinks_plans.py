@@ -14,35 +14,6 @@ from evalspark.operators import loglik
 from evalspark.sinks import report
 from evalspark.sources import metrics
 
-REQ = ("run_id string, model_id string, request_id string, context_ids array<bigint>, "
-       "continuation_ids array<bigint>")
-
-
-def test_prefixes_and_scorer_hook(spark):
-    req = spark.createDataFrame([("r", "m", "a", [1, 2], [3, 4, 5]), ("r", "m", "b", [], [])], REQ)
-    pre = loglik.scoring_prefixes(req)
-    rows = sorted((r["pos"], r["prefix_ids"], r["target_id"]) for r in pre.collect())
-    assert rows == [(0, [1, 2], 3), (1, [1, 2, 3], 4), (2, [1, 2, 3, 4], 5)]
-
-    def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["prefix_ids"].map(len).to_numpy()
-        return pd.DataFrame({"logprob": -np.log1p(n), "is_greedy": n % 2 == 0})
-
-    tok = loglik.score_with(pre, scorer)
-    s = {r["request_id"]: (round(r["loglik"], 9), r["is_greedy"], r["n_tokens"])
-         for r in loglik.score_requests(tok, req.withColumnRenamed("context_ids", "context")
-                                        .withColumnRenamed("continuation_ids", "continuation")).collect()}
-    assert s["a"] == (round(-(np.log1p(2) + np.log1p(3) + np.log1p(4)), 9), False, 3)
-    assert s["b"] == (0.0, True, 0)
-
-
-def test_generator_hook_placeholder(spark):
-    req = spark.createDataFrame([("r", "m", "a"), ("r", "m", "b")], "run_id string, model_id string, request_id string")
-    gen = loglik.generate_with(req, lambda pdf: pdf["request_id"].map(lambda x: "yes" if x == "a" else None))
-    out = {r["request_id"]: (r["generated"], r["is_placeholder"]) for r in gen.collect()}
-    assert out == {"a": ("yes", False), "b": ("[no response]", True)}
-
-
 def test_parse_generations_orders_by_index(spark):
     df = spark.createDataFrame([([([(1, "b"), (0, "a")],), ([],), (None,)],)],
                                "responses array<struct<choices: array<struct<index: int, text: string>>>>")
