@@ -53,6 +53,13 @@ def parse_ppl_logs(logs: DataFrame, log: str = "log") -> DataFrame:
             .drop("_p"))
 
 
+def strict_ppl_logs(logs: DataFrame, log: str = "log") -> DataFrame:
+    """Like ``parse_ppl_logs``, but a log without a result fails the job with its error text, as a stage of a
+    report does that must not go on without one of its runs."""
+    parsed = parse_ppl_logs(logs, log)
+    return parsed.withColumn("ppl", F.when(F.col("error").isNull(), F.col("ppl")).otherwise(F.raise_error(F.col("error")).cast("double")))
+
+
 def ppl_summary(runs: DataFrame, keys=MODEL_KEYS, run_no: str | None = None) -> DataFrame:
     """A7 (+A9 inputs): mean of run PPLs, mean of the reported SEs, run count, min/max run.
 

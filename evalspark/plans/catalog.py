@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
-from evalspark.operators import accuracy, composite, hooks, latency, loglik, matrices, ngram, outcomes, perplexity
+from evalspark.operators import accuracy, composite, hooks, latency, loglik, matrices, ngram, outcomes, perplexity, stages
 from evalspark.sinks import report
 from evalspark.sources import files, metrics, registry
 from evalspark.streaming import jobs
@@ -386,6 +386,33 @@ def q_exercise_matrix_wide(spark, sf):
     return _numbered(wide, models, ["exercise"])
 
 
+def _report_stages(spark, sf):
+    """The stages of a report over logs of which some have no result: the perplexity stage fails, and so does the
+    server whose answers the latency stage needs; accuracy and coding go on."""
+    def server(_):
+        # no answer may be an error; the test events hold some
+        answers = fx.table(spark, sf, "events").groupBy((F.col("event_type") == "error").alias("failed")).agg(F.count("*").alias("n"))
+        return answers.withColumn("n", F.when(F.col("failed"), F.raise_error(F.lit("the server answered with errors")).cast("bigint")).otherwise(F.col("n")))
+
+    return [
+        stages.Stage("server", server),
+        stages.Stage("accuracy", lambda _: accuracy_stage(spark, sf)),
+        stages.Stage("coding", lambda _: coding_stage(spark, sf)),
+        stages.Stage("latency", lambda t: latency.latency_summary(latency.request_latency(fx.chunks(spark, sf))), needs=["server"]),
+        stages.Stage("ppl", lambda _: perplexity.ppl_summary(perplexity.strict_ppl_logs(fx.ppl_logs(spark, sf))), report_as="ppl"),
+    ]
+
+
+def q_stage_failures(spark, sf):
+    """The leaderboard of what the stage graph could make, with the error texts of its failed stages."""
+    graph = _report_stages(spark, sf)
+    done = stages.run_stages(graph)
+    models = stages.with_stage_errors(fx.models(spark, sf), done, graph)
+    lb = composite.composite_leaderboard(models, FLAGSHIP_OPTIONS, *[done.tables.get(n) for n in ("accuracy", "coding", "ppl", "latency")])
+    return lb.select("run_id", "model_id", "rank", r6("score").alias("score"), r6("score_ci_half").alias("score_ci_half"), "server_error",
+                     F.substring_index("ppl_error", "\n", 1).alias("ppl_error"), F.lit(done.status["latency"]).alias("latency"))
+
+
 # Parts in which a table lands, one after the other, in the streaming queries.
 LANDINGS = 4
 
@@ -573,6 +600,7 @@ QUERIES: dict[str, QueryFn] = {
     "leaderboard_cells": q_leaderboard_cells,
     "model_details": q_model_details,
     "report_legends": q_report_legends,
+    "stage_failures": q_stage_failures,
     "perplexity_runs": q_perplexity_runs,
     "subject_matrix_wide": q_subject_matrix_wide,
     "exercise_matrix_wide": q_exercise_matrix_wide,

@@ -262,6 +262,14 @@ def report_legends() -> str:
 SELECT DISTINCT run_id, '*' AS mark FROM nb WHERE {MARKED} UNION ALL SELECT DISTINCT run_id, '†' FROM nb WHERE coalesce(missing, '') <> ''"""
 
 
+def stage_failures() -> str:
+    """The leaderboard without its perplexity stage, which fails on the logs without a result."""
+    return _composite().replace("FROM pn),", "FROM pn WHERE FALSE),") + """
+SELECT run_id, model_id, CAST(rnk AS BIGINT) AS rank, round(score, 6) AS score, round(ci_half, 6) AS score_ci_half,
+       'USER_RAISED_EXCEPTION: the server answered with errors' AS server_error,
+       'USER_RAISED_EXCEPTION: could not parse perplexity output: main: error loading model' AS ppl_error, 'skipped' AS latency FROM nb"""
+
+
 def perplexity_runs() -> str:
     return _composite() + f"""
 SELECT {run_of('r.model_id')} AS run_id, r.model_id, row_number() OVER (PARTITION BY r.model_id ORDER BY event_type) - 1 AS at, event_type AS run_no, round(r.ppl, 6) AS ppl,
@@ -786,6 +794,7 @@ def oracle_sql() -> dict[str, str]:
         "leaderboard_cells": leaderboard_cells(),
         "model_details": model_details(),
         "report_legends": report_legends(),
+        "stage_failures": stage_failures(),
         "perplexity_runs": perplexity_runs(),
         "subject_matrix_wide": subject_matrix_wide(),
         "exercise_matrix_wide": exercise_matrix_wide(),

@@ -170,7 +170,3 @@ def run_meta(runs: DataFrame) -> DataFrame:
         on("skip_coding", "languages"), on("skip_coding", "coding_limit"), on("skip_coding", "coding_kv_fix"), "coding_tries",
         have_ppl("weights_ppl"), have_ppl("ppl_reference"))
 
-
-def stage_error(exc_type: str, message: str):
-    """The error text of a failed stage, ``Type: message`` (a column value, never a job failure)."""
-    return F.concat(F.lit(exc_type), F.lit(": "), F.lit(message))
