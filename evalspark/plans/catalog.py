@@ -550,6 +550,36 @@ def q_token_responses(spark, sf):
         r3(F.sum("r.logprob")).alias("logprob_sum"), F.sum(F.size("r.top_logprobs")).cast("bigint").alias("n_candidates"))
 
 
+# The languages asked for in the landing query, as an option text.
+LANDED_LANGUAGES = " python, go,python "
+
+
+def q_landed_results(spark, sf):
+    """One result file per supplier lands; two languages are read, records and quarantine are written in one pass."""
+    folder = jobs.stream_folder(spark, "results")
+    files.land_exercise_results(fx.supplier_results(spark, sf), folder + "/landing")
+    raw = files.landed_results(spark, folder + "/landing", LANDED_LANGUAGES)
+    files.ingest_results(raw, folder + "/out")
+    flags = outcomes.flags_from_records(files.ingested(spark, folder + "/out", "records"))
+    done = outcomes.count_done(raw)
+    found = flags.groupBy("run", "language").agg(F.count("*").alias("completed"), F.count_if("pass_1").alias("pass_num_1"), F.count_if("pass_any").alias("pass_num_2"),
+                                                 F.sum("prompt_tokens").alias("prompt_tokens"))
+    bad = files.ingested(spark, folder + "/out", "rejects").groupBy("run", "language").agg(
+        F.count_if(F.col("reason") == "empty").alias("n_empty"), F.count_if(F.col("reason") == "unreadable").alias("n_unreadable"))
+    return done.join(found, ["run", "language"], "left").join(bad, ["run", "language"], "left").na.fill(0)
+
+
+def q_reference_counts(spark, sf):
+    """Characters and estimated tokens of the reference texts, one corpus per source, read in pieces."""
+    folder = jobs.stream_folder(spark, "reference")
+    corpora = fx.reference_corpora(spark, sf)
+    corpora.select("corpus", F.col("value").cast("string").alias("value")).write.partitionBy("corpus").text(folder + "/corpora")
+    per = files.reference_counts(files.reference_pieces(spark, folder + "/corpora/*"))
+    corpus = F.regexp_extract("path", "corpus=([^/]+)/", 1).alias("corpus")
+    # a corpus may be several files
+    return per.groupBy(corpus).agg(F.sum("n_chars").alias("n_chars"))
+
+
 def q_registry_json(spark, sf):
     entries = registry.parse_registry_json(fx.registry_documents(spark, sf))
     return registry.registry_violations(entries).select("run_id", F.col("group_pos").cast("bigint").alias("group_pos"), "model_pos", "rule")
@@ -561,6 +591,8 @@ QUERIES: dict[str, QueryFn] = {
     "stream_lines": q_stream_lines,
     "token_responses": q_token_responses,
     "registry_json": q_registry_json,
+    "landed_results": q_landed_results,
+    "reference_counts": q_reference_counts,
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,
     "limit_per_subject": q_limit_per_subject,

@@ -433,21 +433,43 @@ def positioned_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- landed texts: records, stream lines, responses, registry documents ----------------------
 
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record text per finished exercise with the outcomes of its first two tries: a pass is ``true``, ``"false"``
-    is text (and counts as a pass), 0 is a failure. Every 11th part has an empty record, every 13th no JSON."""
+    """One record text per finished exercise with the outcomes of its first two tries and the tokens of all: a pass is ``true``,
+    ``"false"`` is text (and counts as a pass), 0 is a failure. Every 11th part has an empty record, every 13th no JSON."""
     from evalspark.operators.outcomes import first_n_tries
     li = spread(table(spark, sf_dir, "lineitem"))
+    keys = ["run_id", "model_id", "exercise"]
     t = li.select(run_of(model_of(F.col("l_suppkey"))), model_of(F.col("l_suppkey")).alias("model_id"), F.lit("python").alias("language"),
                   F.col("l_partkey").alias("exercise"), F.col("l_returnflag").alias("flag"), *TRY_ORDER)
-    t = first_n_tries(t, 2, TRY_ORDER)
     shown = F.when(F.col("flag") == "R", F.lit("true")).when(F.col("flag") == "N", F.lit('"false"')).otherwise(F.lit("0"))
-    rec = t.groupBy("run_id", "model_id", "exercise").agg(
-        F.array_sort(F.collect_list(F.struct("try_no", shown.alias("x")))).alias("o"), F.sum(F.col("l_quantity").cast("bigint")).alias("n"))
+    told = first_n_tries(t, 2, TRY_ORDER).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("try_no", shown.alias("x")))).alias("o"))
+    rec = told.join(t.groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("n")), keys)
     body = F.concat(F.lit('{"tests_outcomes": ['), F.array_join(F.transform("o", lambda x: x["x"]), ", "), F.lit('], "prompt_tokens": '), F.col("n").cast("string"), F.lit("}"))
     text = F.when(F.col("exercise") % 11 == 0, F.lit("{}")).when(F.col("exercise") % 13 == 0, F.lit('{"tests_outcomes": [')).otherwise(body)
     return rec.select("run_id", "model_id", F.col("exercise").cast("string").alias("exercise"), text.alias("value"))
 
 
+def supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result file per supplier: run, language, exercise, value. The first try passes if the balance is positive,
+    a second one always; every 7th file is empty JSON, every 9th no JSON."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    run = F.concat(F.lit("2024-01-01-00-00-00--"), model_of(k))
+    body = F.concat(F.lit('{"tests_outcomes": ['), (F.col("s_acctbal") > 0).cast("string"), F.lit(', true], "prompt_tokens": '), (k * 3).cast("string"), F.lit("}"))
+    text = F.when(k % 7 == 0, F.lit("{}")).when(k % 9 == 0, F.lit('{"tests_outcomes":')).otherwise(body)
+    language = F.element_at(F.array(*[F.lit(x) for x in ("go", "java", "python", "rust")]), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    return s.select(run.alias("run"), language.alias("language"), k.cast("string").alias("exercise"), text.alias("value"))
+
+
+def reference_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference texts (corpus, value binary): the documents of each source, every 3rd with bytes that are no UTF-8 at
+    its end, every 4th with line breaks CR LF, and every 5th with a replacement character of its own."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    text = F.when(k % 4 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    tail = F.concat(F.when(k % 3 == 0, F.unhex(F.lit("E282FF"))).otherwise(F.unhex(F.lit(""))), F.when(k % 5 == 0, F.unhex(F.lit("EFBFBD"))).otherwise(F.unhex(F.lit(""))))
+    return d.select(F.col("source").alias("corpus"), F.concat(F.coalesce(text, F.lit("")).cast("binary"), tail).alias("value"))
+
+
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-stream lines of ``events``: data lines with a text, broken JSON for errors, the end marker for purchases,
     and a comment line for clicks."""

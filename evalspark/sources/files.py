@@ -54,19 +54,29 @@ def parse_exercise_records(raw: DataFrame, value: str = "value") -> DataFrame:
             .withColumn("completion_tokens", F.try_variant_get(doc, "$.completion_tokens", "bigint")))
 
 
-def read_exercise_results(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
-    """One record per finished exercise, tagged from its path.
+def exercise_results(raw: DataFrame) -> DataFrame:
+    """One record per finished exercise from raw result files (run, language, exercise, path, value).
 
-    Unreadable JSON and empty records are dropped (kept in ``read_exercise_rejects``).
+    Unreadable JSON and empty records are dropped (``exercise_rejects`` has them).
     """
-    rec = parse_exercise_records(_read_raw(spark, root, languages, name)).filter(F.col("reject").isNull())
+    rec = parse_exercise_records(raw).filter(F.col("reject").isNull())
     return rec.select("run", "language", "exercise", "path", "tests_outcomes", "prompt_tokens", "completion_tokens")
 
 
-def read_exercise_rejects(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
+def exercise_rejects(raw: DataFrame) -> DataFrame:
     """F6 quarantine: files that are not readable JSON or are empty records."""
-    raw = parse_exercise_records(_read_raw(spark, root, languages, name))
-    return raw.filter(F.col("reject").isNotNull()).select("run", "language", "exercise", "path", F.col("reject").alias("reason"))
+    rejects = parse_exercise_records(raw).filter(F.col("reject").isNotNull())
+    return rejects.select("run", "language", "exercise", "path", F.col("reject").alias("reason"))
+
+
+def read_exercise_results(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
+    """S1 from a result tree: one record per finished exercise, tagged from its path."""
+    return exercise_results(_read_raw(spark, root, languages, name))
+
+
+def read_exercise_rejects(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
+    """F6 from a result tree."""
+    return exercise_rejects(_read_raw(spark, root, languages, name))
 
 
 def _read_raw(spark, root, languages, name) -> DataFrame:
@@ -81,6 +91,48 @@ def _read_raw(spark, root, languages, name) -> DataFrame:
         "value")
 
 
+# Folders of a partitioned landing, from the root down.
+LANDED_KEYS = ["run", "language", "exercise"]
+
+
+def land_exercise_results(results: DataFrame, root: str) -> None:
+    """Land result texts (run, language, exercise, value), one folder ``run=…/language=…/exercise=…`` each; landing
+    an exercise again replaces its file."""
+    (results.select(*LANDED_KEYS, "value").repartition(*LANDED_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*LANDED_KEYS).text(root))
+
+
+def landed_results(spark: SparkSession, root: str, languages=None) -> DataFrame:
+    """S1/S2/F3/U1 input from a partitioned landing: run, language, exercise, path, value of every result file.
+
+    The languages prune folders: files of others are neither opened nor listed as tasks. Files of zero bytes
+    have no row.
+    """
+    df = spark.read.schema("value string, " + ", ".join(f"{k} string" for k in LANDED_KEYS)).text(root, wholetext=True)
+    wanted = language_list(languages)
+    if wanted:
+        df = df.filter(F.col("language").isin(wanted))
+    return df.select(*LANDED_KEYS, F.col("_metadata.file_path").alias("path"), "value")
+
+
+def ingest_results(raw: DataFrame, out: str) -> None:
+    """S1 + F6 in one pass: parsed records to ``out/kind=records`` and quarantined files, with reason and text, to
+    ``out/kind=rejects``; ingesting again replaces both."""
+    parsed = parse_exercise_records(raw)
+    kind = F.when(F.col("reject").isNull(), F.lit("records")).otherwise(F.lit("rejects"))
+    text = F.when(F.col("reject").isNotNull(), F.col("value")).alias("value")
+    parsed.select(*LANDED_KEYS, "path", "tests_outcomes", "prompt_tokens", "completion_tokens", F.col("reject").alias("reason"), text, kind.alias("kind")).write.mode(
+        "overwrite").partitionBy("kind").parquet(out)
+
+
+def ingested(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    """The ``records`` or ``rejects`` of ``ingest_results``; the other folder is not read."""
+    keys = ", ".join(f"{k} string" for k in LANDED_KEYS)
+    schema = f"{keys}, path string, tests_outcomes array<boolean>, prompt_tokens bigint, completion_tokens bigint, reason string, value string, kind string"
+    df = spark.read.schema(schema).parquet(out).filter(F.col("kind") == kind).drop("kind")
+    return df.drop("reason", "value") if kind == "records" else df.select(*LANDED_KEYS, "path", "reason", "value")
+
+
 def list_result_files(spark: SparkSession, root: str, languages=None, name: str = RESULT_NAME) -> DataFrame:
     """S2 input: result files present (``binaryFile`` with only the path selected: contents are not read)."""
     langs = language_list(languages)
@@ -116,8 +168,36 @@ def token_response(json_col) -> "F.Column":
     return F.get(F.get(r["choices"], 0)["logprobs"]["content"], 0)
 
 
-def reference_text(spark: SparkSession, path: str) -> DataFrame:
-    """The reference corpus as one text; bad bytes dropped, character count like a lenient decode."""
-    df = spark.read.text(path, wholetext=True)
-    clean = F.replace(F.make_valid_utf8(F.col("value")), F.lit("�"), F.lit(""))
-    return df.select(clean.alias("text"), F.length(clean).alias("n_chars"))
+#: The byte at which reference texts are cut into rows; white space, so that no word is cut.
+CUT = " "
+_BAD, _ASIDE = "\ufffd", "\U0010fffe"
+
+
+def reference_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The reference corpus cut at spaces: path, file_size, n_bytes, n_chars and text of every piece.
+
+    Files are read in byte ranges by as many tasks as they are long; no row is longer than the text between two
+    spaces. Bytes that are no UTF-8 are dropped, as a lenient decoder does: the cut is an ASCII byte, so it
+    is inside no character and borders need no repair. CR LF counts as one line break.
+    """
+    df = spark.read.option("lineSep", CUT).text(path)
+    raw = F.col("value")
+    # the text's own replacement characters stay: they step aside while bad bytes become such and go
+    valid = F.make_valid_utf8(F.replace(raw, F.lit(_BAD), F.lit(_ASIDE)))
+    good = F.replace(F.replace(valid, F.lit(_BAD), F.lit("")), F.lit(_ASIDE), F.lit(_BAD))
+    text = F.replace(F.replace(good, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.octet_length(raw).cast("bigint").alias("n_bytes"),
+                     F.length(text).cast("bigint").alias("n_chars"), text.alias("text"))
+
+
+def reference_counts(pieces: DataFrame) -> DataFrame:
+    """S11 + P15: path, n_chars and the token estimate of every reference text, as a lenient decode of the whole gives.
+
+    The spaces between pieces are what a file has besides its pieces; a byte order mark, which the reader
+    skips, is a character of three bytes.
+    """
+    per = pieces.groupBy("path").agg(F.first("file_size").alias("_size"), F.sum("n_bytes").alias("_bytes"), F.sum("n_chars").alias("_chars"), F.count("*").alias("_rows"))
+    besides = F.col("_size") - F.col("_bytes")
+    mark = besides - (F.col("_rows") - 1) >= 3
+    n_chars = F.col("_chars") + besides - F.when(mark, F.lit(2)).otherwise(F.lit(0))
+    return per.select("path", n_chars.cast("bigint").alias("n_chars"), F.floor(n_chars / 4).cast("bigint").alias("est_tokens"))

@@ -105,14 +105,6 @@ def test_generation_prompt_is_cut_from_the_left(spark):
     assert cut(10, 5) == [1, 2, 3, 4, 5] and cut(5, 2) == [3, 4, 5] and cut(5, 5) == [] and cut(3, 9) == []
 
 
-def test_scores_come_in_request_order(spark):
-    from evalspark.operators import loglik
-    req = spark.createDataFrame([("r", "m", f"q{9 - i}", i, ["a"], []) for i in range(10)], "run_id string, model_id string, request_id string, request_no int, context array<string>, continuation array<string>")
-    none = spark.createDataFrame([], "run_id string, model_id string, request_id string, logprob double, is_greedy boolean")
-    got = loglik.in_request_order(loglik.score_requests(none, req)).collect()
-    assert [r["request_no"] for r in got] == list(range(10)) and all(r["loglik"] == 0.0 and r["is_greedy"] for r in got)
-
-
 def test_run_totals_count_folders(spark):
     dirs = spark.createDataFrame([("a", "py", "x"), ("a", "py", "x"), ("a", "go", "x"), ("b", "py", "y")], "run string, language string, exercise string")
     assert {r["run"]: r["total"] for r in outcomes.run_totals(dirs).collect()} == {"a": 2, "b": 1}
@@ -126,13 +118,11 @@ def test_context_windows_give_perplexity_per_window(spark):
     assert {r["chunk_no"]: round(r["ppl"], 6) for r in got} == {0: 2.718282, 1: 7.389056}
 
 
-def test_readers_of_logs_responses_and_reference_text(spark, tmp_path):
+def test_reader_of_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("x\nFinal estimate: PPL = 5.5 +/- 0.1\n")
     from evalspark.operators import perplexity
     logs = files.read_ppl_logs(spark, str(tmp_path / "*.log")).withColumn("run_id", F.lit("r")).withColumn("model_id", F.lit("m")).withColumn("run_no", F.lit(1))
     assert perplexity.parse_ppl_logs(logs).first()["ppl"] == 5.5
-    (tmp_path / "ref.txt").write_bytes(b"ab\xff\nc")
-    assert files.reference_text(spark, str(tmp_path / "ref.txt")).first()["n_chars"] == 4
 
 
 def test_registry_paths_are_normalised(spark):

@@ -96,13 +96,6 @@ def test_metric_lookup_refuses_booleans(spark):
     assert [(r["subject"], r["acc"]) for r in subj] == [("math", 0.3)]
 
 
-def test_reference_text_drops_bad_bytes(spark, tmp_path):
-    p = tmp_path / "ref.txt"
-    p.write_bytes(b"ab\xff\xfecd")
-    r = files.reference_text(spark, str(p)).first()
-    assert r["text"] == "abcd" and r["n_chars"] == 4
-
-
 def test_registry_json_strings_and_mappings(spark):
     doc = json.dumps([
         {"tokenizer": "/tok/a", "flags": ["-g"], "models": ["m1.gguf", {"path": "m2.gguf", "flags": ["-x"]},
