@@ -1,14 +1,15 @@
 """Main text of HTML pages by removing the site's template.
 
-1. Every page is parsed into block elements; each block subtree gets a hash of its tags and text.
+1. Every page is parsed into block elements; each block subtree, marked or not, gets a hash of its tags and text.
 2. Spark counts, per host, on how many different pages a subtree occurs. Copies of one page, equal in
-   all text that is not marked, are one page. A subtree on at least MIN_PAGES pages and MIN_SHARE of the host's pages is template.
-3. Every page is parsed again; template subtrees go, and so does what its tag, role, class or id
-   marks as menu, header, footer, sidebar, notice, advert, form, script, style or comments.
+   all text that is not marked, are one page. A subtree on at least MIN_PAGES pages of its host is template.
+3. Template subtrees go. What no count can tell, since its text differs from page to page, goes by its marks: a tag,
+   role, class or id that says menu, header, footer, sidebar, notice, advert, form, script, style or comments.
 
 Paragraphs, headings, lists and tables of the article itself are never template, however often a
 site repeats them: inside ``article`` or ``main`` only plain containers are counted. A page that has
-neither is counted whole.
+neither is counted whole. A class or id marks an element only if all parts of one of its words speak of such a thing
+(``cookie-banner``, not ``no-sidebar`` or ``ad-hoc``), and never an element that holds all the page has of ``article`` and ``main``.
 
 Parsing runs in Python over Arrow batches, one page at a time. The counts, the choice of templates
 and the way back from a template to the pages that hold it are Spark aggregates and joins: no list of
@@ -29,27 +30,34 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .url_filter import host_of
 
+#: Different pages of a host that a template occurs on, whatever the size of the host.
 MIN_PAGES = 5
-MIN_SHARE = 0.01
+#: An article or main element is the main text if it has this share of what is left of the page.
+_MAIN_SHARE = 0.25
 
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select
 summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-_DROP = frozenset("""nav footer aside form script style noscript template iframe object embed applet svg math canvas audio video button select
-textarea input label fieldset dialog menu head title search noembed noframes xmp datalist""".split())
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
-_DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
-notice notices popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer
-comments comment respond disqus replies share sharing social related recommended widget widgets toolbar login search masthead topbar
-pagination pager skip""".split())
+#: Elements that are no article: menus, footers, sidebars, notices, forms and their controls, scripts, styles, what is never shown.
+_DROP = frozenset("""nav menu footer aside dialog form fieldset button select textarea datalist search script style noscript template
+iframe noembed noframes head title""".split())
+_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of a class or id that mark an element, words that may stand beside them, and words that mark a header outside the article.
+_DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies
+consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb
+breadcrumbs footer sitefooter comments comment respond disqus replies share sharing related login search masthead topbar pagination pager skip""".split())
+_BESIDE = frozenset("""site page main global top bottom left right primary secondary upper lower inner outer box bar list item items wrapper wrap container
+block area section form slot unit widget widgets link links panel content text body head title social buttons icons posts thread reader readers user users
+google dfp sticky fixed mobile desktop small large""".split())
 _HEADER_WORDS = frozenset("header siteheader pageheader".split())
 #: Elements that are never dropped for their class or id.
 _KEEP = frozenset("html body main article".split())
 #: What a new element closes if it is open directly around it.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
+_UNSHOWN = frozenset("head template noscript".split())
 #: Inside the article only these are counted as template.
 _CONTAINERS = frozenset("div section aside details figure fieldset form".split())
 
@@ -58,6 +66,7 @@ _TAG = re.compile(r"""<(?:/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)
 |!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z))""", re.S | re.X)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORDS = re.compile(r"[a-z]+")
+_MAIN = re.compile(r"""<(?:article|main)(?=[\s/>])|<[a-z][^<>]*\srole\s*=\s*["']?main(?=["'\s/>])""", re.I)
 #: Attributes without any of these cannot mark an element.
 _TELLING = re.compile(r"class|id|role|style|hidden", re.I)
 
@@ -70,26 +79,34 @@ class _Node:
         self.parts, self.hash, self.text = [], 0, False
 
 
-def _marked(tag: str, attrs: str, in_main: bool) -> bool:
-    """Whether an element is dropped for what it is."""
+def _says(value: str, in_main: bool) -> bool:
+    """Whether a word of a class or id marks an element: one of its parts does, and all others may stand beside it."""
+    for word in value.split():
+        parts = set(_WORDS.findall(word))
+        marks = parts & _DROP_WORDS or (not in_main and parts & _HEADER_WORDS)
+        if marks and parts <= _DROP_WORDS | _BESIDE | _HEADER_WORDS:
+            return True
+    return False
+
+
+def _marked(tag: str, attrs: str, in_main: bool) -> str:
+    """Why an element is dropped for what it is: ``tag``, ``name`` (role, class, id), ``hidden``, or nothing."""
     if tag in _DROP or (tag == "header" and not in_main):
-        return True
+        return "tag"
     if not attrs or tag in _KEEP or not _TELLING.search(attrs):
-        return False
+        return ""
     low = attrs.lower()
-    if "hidden" in low and re.search(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true", low):
-        return True
+    if "hidden" in low and re.search(r"(?:^|\s)hidden(?:[\s=]|$)", low):
+        return "hidden"
     for name, a, b, c in _ATTR.findall(low):
         value = a or b or c
         if name == "role" and value.strip() in _DROP_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if words & _DROP_WORDS or (not in_main and words & _HEADER_WORDS):
-                return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "name"
+        if name in ("class", "id") and _says(value, in_main):
+            return "name"
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "hidden"
+    return ""
 
 
 def _skip(page: str, tag: str, at: int) -> int:
@@ -102,14 +119,21 @@ def _skip(page: str, tag: str, at: int) -> int:
     return len(page)
 
 
-def parse(page: str, templates: Collection[int] = ()) -> tuple[_Node, list[tuple[int, bool]], int]:
+def _holds_all(page: str, tag: str, at: int, mains: list[int]) -> bool:
+    """Whether the element that began before ``at`` holds all article and main elements of the page, of which there are some."""
+    return bool(mains) and mains[0] >= at and mains[-1] < _skip(page, tag, at)
+
+
+def parse(page: str, templates: Collection[int] = (), marks: bool = True) -> tuple[_Node, list[tuple[int, bool]], int]:
     """The root of the block elements, (hash, still there) of the subtrees that may be template, a signature of the content.
 
     Elements that are dropped for what they are, and subtrees whose hash is in ``templates``, are
     marked as gone. The signature is the hash of all the text that is not dropped, white space aside:
     copies of a page have one signature whatever marked elements are around them. Unclosed and stray
-    tags are repaired as a browser does in the common cases; unclosed inline elements do not matter.
+    tags are repaired as a browser does in the common cases; unclosed inline elements do not matter. Without
+    ``marks`` only what is never shown goes, and templates.
     """
+    mains = [m.start() for m in _MAIN.finditer(page)]
     root = _Node("#")
     stack, seen, at, n_main, n_gone, sig = [root], [], 0, 0, 0, xxhash.xxh64(seed=2)
 
@@ -159,7 +183,9 @@ def parse(page: str, templates: Collection[int] = ()) -> tuple[_Node, list[tuple
             if tag in ("br", "hr"):
                 stack[-1].parts.append(" ")
             continue
-        gone = _marked(tag, attrs, n_main > 0)
+        why = _marked(tag, attrs, n_main > 0) if marks or tag in _UNSHOWN else ""
+        # wrappers of the whole article are no template, whatever they are called
+        gone = bool(why) and not ((why == "name" or tag == "form") and not n_main and not n_gone and _holds_all(page, tag, at, mains))
         if tag not in _BLOCK:
             if gone and tag != "head" and not attrs.endswith("/"):
                 at = _skip(page, tag, at)
@@ -193,13 +219,14 @@ def _text(node: _Node, take: bool) -> str:
     return " ".join("".join(out).split())
 
 
-def main_text(page: str | None, templates: Collection[int] = ()) -> str:
-    """The article of a page; of a page without ``article`` or ``main``, or with empty ones, all that is left. Empty if there is none."""
-    return _article(parse(page or "", templates)[0])
+def main_text(page: str | None, templates: Collection[int] = (), marks: bool = True) -> str:
+    """The article of a page: its ``article`` and ``main`` elements if they have most of what is left, else all of that. Empty if there is none."""
+    return _article(parse(page or "", templates, marks)[0])
 
 
 def _article(root: _Node) -> str:
-    return _text(root, False) or _text(root, True)
+    whole, main = _text(root, True), _text(root, False)
+    return main if main and len(main) >= _MAIN_SHARE * len(whole) else whole
 
 
 def _signed(h: int) -> int:
@@ -207,25 +234,28 @@ def _signed(h: int) -> int:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds sig, hashes, those of them still there, and the text to page_id, url, key, host, html."""
+    """Adds sig, hashes, whether each of them is left by the marks, and the text to page_id, url, key, host, html."""
     longs = pa.list_(pa.int64())
     for batch in batches:
         sigs, hashes, there, texts = [], [], [], []
         for page in batch.column(4):
             root, seen, sig = parse(page.as_py())
             sigs.append(_signed(sig))
-            hashes.append([_signed(h) for h in dict.fromkeys(h for h, _ in seen)])
-            there.append([_signed(h) for h in dict.fromkeys(h for h, left in seen if left)])
+            left = {}
+            for h, still in seen:
+                left[h] = left.get(h, False) or still
+            hashes.append([_signed(h) for h in left])
+            there.append(list(left.values()))
             texts.append(_article(root))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(sigs, pa.int64()), pa.array(hashes, longs), pa.array(there, longs), pa.array(texts, pa.string())],
+            [*batch.columns[:4], pa.array(sigs, pa.int64()), pa.array(hashes, longs), pa.array(there, pa.list_(pa.bool_())), pa.array(texts, pa.string())],
             names=["page_id", "url", "key", "host", "sig", "hashes", "there", "text"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(p.as_py(), frozenset(h % (1 << 64) for h in g.as_py())) for p, g in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), batch.column(4)], names=["page_id", "url", "text", "n_templates"])
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -238,29 +268,32 @@ def _keyed(pages: DataFrame) -> DataFrame:
 def outlines(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): key, host, sig, hashes, there, and the text before template removal."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    return _keyed(pages).mapInArrow(_outline, f"page_id {kind}, url string, key string, host string, sig long, hashes array<long>, there array<long>, text string")
+    return _keyed(pages).mapInArrow(_outline, f"page_id {kind}, url string, key string, host string, sig long, hashes array<long>, there array<boolean>, text string")
 
 
-def templates(outline: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash, n) of the subtrees that occur on at least ``min_pages`` different contents of a host and ``min_share`` of them."""
-    total = outline.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash, n) of the subtrees that occur on at least ``min_pages`` different contents of a host."""
     counted = outline.select("host", "sig", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counted, total = scratch(counted.where(F.col("n") >= min_pages), "html-counts"), scratch(total, "html-hosts")
-    return counted.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash", "n")
+    return counted.where(F.col("n") >= min_pages)
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_templates.
 
-    Null html is empty. Pages without a host (null url, or no ``://``) share the empty host.
-    Repeated pages are one page in the counts and keep their rows; a null page_id stays null.
-    Only pages that hold a template subtree which nothing else has removed are parsed again.
+    n_templates counts the subtrees of the page that recur on its host, also those that a mark would have
+    removed as well. Null html is empty. Pages without a host (null url, or no ``://``) share the empty host.
+    Repeated pages are one page in the counts and keep their rows; a null page_id stays null. Pages of any length
+    are parsed whole. Only pages that hold a template subtree which no mark removes are parsed again.
     """
     outline = scratch(outlines(pages), "html-outline")
-    found = scratch(templates(outline, min_pages, min_share), "html-templates")
-    hits = outline.select("key", "host", F.explode("there").alias("hash")).distinct().join(found, ["host", "hash"])
-    hits = scratch(hits.groupBy("key").agg(F.collect_set("hash").alias("gone")), "html-hits")
-    done = outline.join(hits, "key", "left_anti").select("page_id", "url", "text")
+    found = scratch(templates(outline, min_pages).select("host", "hash"), "html-templates")
+    held = outline.select("key", "host", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("there").alias("left"))).alias("h")).select("key", "host", "h.*")
+    held = held.distinct().join(found, ["host", "hash"])
+    hits = scratch(held.groupBy("key").agg(F.count("*").alias("n_templates"), F.collect_set(F.when(F.col("left"), F.col("hash"))).alias("gone")), "html-hits")
+    told = F.coalesce("n_templates", F.lit(0)).cast("long").alias("n_templates")
+    again = hits.where(F.size("gone") > 0)
+    done = outline.join(again, "key", "left_anti").join(hits.select("key", "n_templates"), "key", "left").select("page_id", "url", "text", told)
     kind = pages.schema["page_id"].dataType.simpleString()
-    again = _keyed(pages).join(hits, "key").select("page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string")
-    return done.unionByName(again).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = _keyed(pages).join(again, "key").select("page_id", "url", "html", "gone", "n_templates").mapInArrow(
+        _extract, f"page_id {kind}, url string, text string, n_templates long")
+    return done.unionByName(parsed).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
