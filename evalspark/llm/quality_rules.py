@@ -1,11 +1,17 @@
 """Quality rules whose cutoffs are learned from mergeable quantile sketches.
 
 Each text gets counts (words, symbols, repeated lines, words in repeated windows) and ratios.
-For every ratio a KLL sketch is aggregated per (lang, source); sketches merge, so map tasks
-send one sketch per group and the same sketches are merged again into one per language and one
-for the whole table. The cutoff of a group is a quartile fence, read from the finest sketch
-that has seen enough rows. The cutoffs are a small table that is joined back for filtering.
+For every ratio a KLL sketch is aggregated per (lang, source), and one for each number that ratios are
+taken of; sketches merge, so map tasks send one sketch per group and the same sketches are merged again
+into one per language and one for the whole table. The cutoff of a group is a fence above its upper
+quartile, as many spreads away as FENCE says. The spread is what the sketches show: the distance of the
+quartiles, or, where most texts score the same, what a single event makes up in a short text of the
+group. The cutoffs of a group are drawn towards those of its language, and these towards those of the table,
+the more the fewer rows it has. The cutoffs are a small table that is joined back for filtering.
 Everything is built-in expressions: no Python runs on the executors.
+
+Sketches of more than SKETCH_K rows keep a random choice of them, so that a cutoff may differ a little
+from run to run, and with it the verdict on a text that lies at the cutoff.
 """
 
 from __future__ import annotations
@@ -20,31 +26,34 @@ from .common import WORD, let, scratch
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rows a group needs before its own cutoffs are used; below, those of its language, then of the table.
-MIN_ROWS = 100
-FENCE = 3.0
+#: Size of the sketches; up to about so many rows their quantiles are exact.
+SKETCH_K = 800
+#: Spreads between the upper quartile and the cutoff.
+FENCE = 6.0
+#: The quantile of words, letters or lines that stands for a short text of the group.
+SHORT = 0.1
+#: Rows that the cutoffs of the language weigh against those of a group, and those of the table against a language's.
+PRIOR_ROWS = 10.0
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """A ratio checked against an upper fence q3 + FENCE * max(q3 - q1, spread).
-
-    ``spread`` is the least spread taken for granted: where most texts score exactly zero the
-    quartiles coincide, and a single odd character must not be an outlier.
-    """
+    """A ratio checked against an upper cutoff; ``of`` is the number it is taken of, ``event`` what one occurrence adds to it."""
 
     name: str
-    spread: float
+    of: str
+    event: int = 1
 
 
 RATIOS = (
-    Ratio("symbol_ratio", 0.05),    # symbols per word
-    Ratio("shout_ratio", 0.05),     # exclamation marks per word
-    Ratio("upper_ratio", 0.05),     # upper-case letters per character of a word
-    Ratio("echo_ratio", 0.05),      # words equal to the one before
-    Ratio("repeat_ratio", 0.10),    # words in repeated windows
-    Ratio("dup_line_ratio", 0.15),  # lines equal to an earlier one
+    Ratio("symbol_ratio", "n_words"),                  # symbols per word
+    Ratio("shout_ratio", "n_words"),                   # exclamation marks per word
+    Ratio("upper_ratio", "word_chars"),                # upper-case letters per character of a word
+    Ratio("echo_ratio", "n_words"),                    # words equal to the one before
+    Ratio("repeat_ratio", "n_words", event=WINDOW),    # words in repeated windows
+    Ratio("dup_line_ratio", "n_lines"),                # lines equal to an earlier one
 )
+_OF = {"n_words": "__q.n_words", "word_chars": "__q.word_chars", "n_lines": "__q.lines.lines"}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -117,30 +126,35 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
         *(keep if keep is not None else docs.columns), "__q", F.struct(*_ratio_columns("__q")).alias("__r"))
 
 
-def cutoffs(measured: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: float = FENCE) -> DataFrame:
+def cutoffs(measured: DataFrame, lang: str = "lang", source: str = "source", fence: float = FENCE, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     """One row per (lang, source), nulls being a group of their own: the upper cutoff of every ratio.
 
     Texts of fewer than MIN_WORDS words fail the base rules anyway and do not enter the sketches.
     """
     rows = measured.where(F.col("__q.n_words") >= MIN_WORDS)
+    sketched = {**{r.name: F.col(f"__r.{r.name}") for r in RATIOS}, **{k: F.col(c).cast("double") for k, c in _OF.items()}}
     fine = scratch(rows.groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"__r.{r.name}")).alias(r.name) for r in RATIOS]), "quality-sketches")
-    merge = [F.kll_merge_agg_double(r.name).alias(r.name) for r in RATIOS]
-    by_lang = fine.groupBy("lang").agg(F.sum("n").alias("n"), *merge)
-    table = fine.agg(F.sum("n").alias("n"), *merge)
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(k) for k, c in sketched.items()]), "quality-sketches")
+    merge = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in sketched]
+    at = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
 
-    def fences(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    def fences(df: DataFrame, *keys: str) -> DataFrame:
         def one(r: Ratio) -> Column:
-            q1, q3 = (F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for q in (0.25, 0.75))
-            return (q3 + fence * F.greatest(q3 - q1, F.lit(r.spread))).alias(r.name)
-        return df.where("n > 0").select(*keys, F.when(F.col("n") >= (0 if tag == "t" else min_rows), F.struct(*[one(r) for r in RATIOS])).alias(tag))
-
-    out = fences(fine, "f", "lang", "source")
-    coarse = fences(by_lang, "l", F.col("lang").alias("_lang"))
-    out = out.join(coarse, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    overall = fences(table, "t").first()  # one row of len(RATIOS) numbers, or none
-    fallback = F.struct(*[F.lit(overall["t"][r.name]).alias(r.name) for r in RATIOS]) if overall else F.col("l")
-    return scratch(out.select("lang", "source", F.coalesce("f", "l", fallback).alias("cutoff")), "quality-cutoffs")
+            alone = F.lit(float(r.event)) / F.greatest(at(r.of, SHORT), F.lit(1.0))
+            return (at(r.name, 0.75) + fence * F.greatest(at(r.name, 0.75) - at(r.name, 0.25), alone)).alias(r.name)
+        return df.where("n > 0").select(*keys, "n", F.struct(*[one(r) for r in RATIOS]).alias("own"))
+
+    def drawn(to) -> Column:
+        weight = F.col("n") / (F.col("n") + prior_rows)
+        return F.struct(*[(weight * F.col(f"own.{r.name}") + (F.lit(1.0) - weight) * to(r.name)).alias(r.name) for r in RATIOS])
+
+    table = fences(fine.agg(F.sum("n").alias("n"), *merge)).first()  # one row of len(RATIOS) numbers, or none
+    if table is None:
+        return fine.select("lang", "source", F.struct(*[F.lit(None).cast("double").alias(r.name) for r in RATIOS]).alias("cutoff"))
+    by_lang = fences(fine.groupBy("lang").agg(F.sum("n").alias("n"), *merge), F.col("lang").alias("_lang"))
+    by_lang = by_lang.select("_lang", drawn(lambda name: F.lit(table["own"][name])).alias("coarse"))
+    out = fences(fine, "lang", "source").join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
+    return scratch(out.select("lang", "source", drawn(lambda name: F.col(f"coarse.{name}")).alias("cutoff")), "quality-cutoffs")
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

@@ -160,6 +160,72 @@ def test_quality_cutoffs_adapt_to_the_group(spark):
     assert sum(not got[i].kept for i in got if i != 999) == 0
 
 
+def brute_measures(text):
+    """(ratios by name, what they are taken of) in plain Python."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    body = "".join(w)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    of = {"n_words": len(w), "word_chars": len(body), "n_lines": len(lines)}
+    n = {"symbol_ratio": len(re.findall(r"[#*$%&|<>]", body)), "shout_ratio": body.count("!"), "upper_ratio": sum(c.isupper() for c in body),
+         "echo_ratio": sum(a == b for a, b in zip(w, w[1:])), "repeat_ratio": repeat_words(w), "dup_line_ratio": len(lines) - len(set(lines))}
+    return {r.name: n[r.name] / max(1, of[r.of]) for r in quality_rules.RATIOS}, of
+
+
+def brute_verdicts(rows, fence=6.0, prior=10.0):
+    """kept by id: exact quantiles of every group, drawn to those of its language and of all."""
+    m = {i: (*brute_measures(t), lang, source) for i, t, lang, source in rows}
+    at = lambda values, q: float(np.quantile(values, q, method="inverted_cdf"))
+
+    def fences(ids):
+        out = {}
+        for r in quality_rules.RATIOS:
+            values = [m[i][0][r.name] for i in ids]
+            alone = r.event / max(1.0, at([m[i][1][r.of] for i in ids], 0.1))
+            out[r.name] = at(values, 0.75) + fence * max(at(values, 0.75) - at(values, 0.25), alone)
+        return out
+
+    def drawn(n, own, to):
+        return {k: n / (n + prior) * own[k] + (1 - n / (n + prior)) * to[k] for k in own}
+
+    enter = [i for i in m if m[i][1]["n_words"] >= 20]
+    table = fences(enter)
+    out = {}
+    for i, (ratios, of, lang, source) in m.items():
+        if of["n_words"] < 20 or 100 * round(ratios["repeat_ratio"] * of["n_words"]) > 30 * of["n_words"]:
+            out[i] = False
+            continue
+        same_lang = [j for j in enter if m[j][2] == lang]
+        group = [j for j in same_lang if m[j][3] == source]
+        cut = drawn(len(group), fences(group), drawn(len(same_lang), fences(same_lang), table))
+        out[i] = all(ratios[k] <= cut[k] for k in cut)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(420):
+        text = prose(40_000 + i, r.randrange(10, 120))
+        lang, source = r.choice(["en", "de", None]), r.choice(["web", "web", "web", "code", None])
+        for mark, share in (("&", 0.5 if source == "code" else 0.02), ("!", 0.02), ("NEWS", 0.03)):
+            text = re.sub(r" ", lambda x: f" {mark} " if r.random() < share * r.random() else " ", text)
+        if i % 17 == 0:
+            text = " ".join(f"{x} {x}" for x in text.split())
+        if i % 23 == 0:
+            text += "\n" + "\n".join([prose(i, 5)] * r.randrange(2, 9))
+        rows.append((i, text, lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = {x.doc_id: x.kept for x in quality_rules.quality_rules(df).collect()}
+    want = brute_verdicts(rows)
+    assert got == want
+    # cutoffs that are the same for all groups cannot say the same
+    shares = {i: brute_measures(t)[0]["symbol_ratio"] for i, t, *_ in rows}
+    kept_code = max(shares[i] for i, _, _, s in rows if s == "code" and want[i])
+    base = {i for i, t, *_ in rows if brute_measures(t)[1]["n_words"] < 20}
+    lost_web = [shares[i] for i, _, _, s in rows if s == "web" and not want[i] and i not in base and 0 < shares[i] < kept_code]
+    assert lost_web
+
+
 def brute_path(part, vocab):
     """Best path over characters in plain Python."""
     best = [(0.0, [])] + [None] * len(part)
