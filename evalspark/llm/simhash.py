@@ -5,22 +5,22 @@ fingerprints only, so thousands of exact copies are one entry.
 
 *Index.* Two fingerprints that differ in at most two bits agree in at least six of their
 eight positional bytes. One posting list per single (position, byte) would hold 1/256 of
-the corpus, so postings are keyed by four positional bytes at a time: the eight bytes are
-four pairs of neighbours, a key is two of those pairs (six slots, 32 bits), and at most two
-of the four pairs can hold a differing bit, so every link shares a posting list.
-*Count filter.* Each pair met in a list tallies its shared positional bytes; pairs below the
-guaranteed minimum go, and the rest are verified by the number of differing bits. A pair is
-taken from the first slot it shares only.
+the corpus, so a posting is keyed by five positional bytes at a time (56 choices of positions).
+*Count filter.* Every posting list that two fingerprints share is counted for the pair. Pairs that agree
+in six bytes share six lists, in seven bytes 21, in five only one; pairs below the guaranteed
+minimum go, and the rest are verified by the number of differing bits.
 *Long lists.* A list of more than ``list_cap`` fingerprints is not expanded into pairs. Its
 fingerprints emit themselves and their 64 one-bit neighbours; two fingerprints are within two
 bits exactly if they share one of those values, and at most 65 can share one. This is exact
-and linear, whatever the size of the group.
+and linear, whatever the size of the group: a pair either shares no long list, then its count is
+complete, or both have been in one, then they meet this way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +77,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         run, "doc_id long, key long, fp long")
 
 
-def _pair(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(0xFFFF)
+#: Positional bytes of a posting key, and the masks of all choices of so many positions.
+KEY_BYTES = 5
+_MASKS = [sum(0xFF << 8 * p for p in positions) for positions in combinations(range(8), KEY_BYTES)]
 
 
-def _slot_keys(fp: Column) -> list[Column]:
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return [F.lit(s << 32).bitwiseOR(F.shiftleft(_pair(fp, i), 16)).bitwiseOR(_pair(fp, j)) for s, (i, j) in enumerate(pairs)]
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    x = a.bitwiseXOR(b)
-    return sum((F.shiftrightunsigned(x, 8 * p).bitwiseAND(0xFF) == 0).cast("int") for p in range(8))
+def postings(fps: DataFrame) -> DataFrame:
+    """(fp, slot, bytes): one row for every choice of KEY_BYTES positions, with the fingerprint's bytes at these."""
+    return fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in _MASKS])).alias("slot", "bytes"))
 
 
-def _first_slot(a: Column, b: Column) -> Column:
-    return F.coalesce(*[F.when(x == y, F.lit(s)) for s, (x, y) in enumerate(zip(_slot_keys(a), _slot_keys(b)))])
+def shared_lists(max_bits: int) -> int:
+    """Posting lists that two fingerprints of at most so many differing bits share at least."""
+    return comb(8 - max_bits, KEY_BYTES)
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
@@ -102,15 +103,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) ->
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees links of at most two differing bits")
-    min_bytes = 8 - max_bits
-    post = fps.select("fp", F.explode(F.array(*_slot_keys(F.col("fp")))).alias("key"))
-    lists = scratch(post.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
-    post = scratch(post.join(lists, "key"), "simhash-postings")
-    short = post.where(F.col("n") <= list_cap).groupBy("key").agg(F.collect_list("fp").alias("list"))
-    pairs = short.select("key", "list", F.explode("list").alias("a")).select(
-        "key", "a", F.explode(F.filter("list", lambda x: x > F.col("a"))).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    pairs = pairs.where((_first_slot(a, b) == F.shiftright("key", 32)) & (_shared_bytes(a, b) >= min_bytes) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits))
+    key = ["slot", "bytes"]
+    lists = scratch(postings(fps).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
+    post = scratch(postings(fps).join(lists, key), "simhash-postings")
+    short = post.where(F.col("n") <= list_cap).groupBy(*key).agg(F.collect_list("fp").alias("list"))
+    met = short.select("list", F.explode("list").alias("a")).select("a", F.explode(F.filter("list", lambda x: x > F.col("a"))).alias("b"))
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = tally.where((F.col("shared") >= shared_lists(max_bits)) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     long = post.where(F.col("n") > list_cap).select("fp").distinct()
     reach = {0: [], 1: [], 2: range(64)}[max_bits]
     near = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in reach)]
@@ -155,9 +154,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int
     Rows of one id with different texts are judged each in its class; of equal rows with that id
     one stays. Rows with a null doc_id cannot be named and stay.
     """
-    found = _classed(docs, shingle, max_bits, LIST_CAP).where(F.col("doc_id") == F.col("component_id"))
+    rows = scratch(_classed(docs, shingle, max_bits, LIST_CAP).where(F.col("doc_id").isNotNull()).groupBy("doc_id", "key", "root", "component_id").agg(
+        F.count("*").alias("n")), "simhash-rows")
     # a class may hold several texts of its smallest id: one of them stays
-    keep = scratch(found.groupBy("root", F.col("doc_id").alias("__keep")).agg(F.min("key").alias("__key")).drop("root"), "simhash-keep")
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__text", _text_key(docs))
-    kept = named.join(keep, (named["doc_id"] == keep["__keep"]) & (named["__text"] == keep["__key"]), "left_semi").dropDuplicates(["doc_id", "__text"])
-    return kept.drop("__text").unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("root", "k.*")
+    gone = scratch(rows.join(keep, ["root", "doc_id", "key"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "simhash-gone")
+    repeated = scratch(rows.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "simhash-repeated")
+    named = docs.withColumn("__text", _text_key(docs))
+    same = lambda other: (named["doc_id"] == other["__id"]) & (named["__text"] == other["__key"])
+    kept = named.join(gone, same(gone), "left_anti")
+    # only rows that occur more than once are compared as rows
+    once = kept.join(repeated, same(repeated), "left_anti")
+    more = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(more).drop("__text")

@@ -100,6 +100,31 @@ def test_simhash_fingerprints_and_classes(spark):
     assert {r.doc_id: r.component_id for r in got} == components(list(range(len(texts))), fps, 2)
 
 
+def test_simhash_tally_counts_shared_lists(spark):
+    """Two fingerprints share a list for every choice of five of the bytes they agree in; linked ones reach the minimum."""
+    from math import comb
+    r = random.Random(4)
+    fps = set()
+    for _ in range(12):
+        f = r.getrandbits(64)
+        fps |= {f ^ sum(r.getrandbits(8) << 8 * p for p in r.sample(range(8), k)) for k in (0, 1, 2, 3, 3, 4)} | {f ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for _ in range(4)}
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    post = simhash.postings(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    other = post.withColumnRenamed("fp", "g")
+    got = {(x.fp, x.g): x["count"] for x in post.join(other, ["slot", "bytes"]).where("fp < g").groupBy("fp", "g").count().collect()}
+    few = 0
+    for a in signed:
+        for b in signed:
+            if a < b:
+                agree = sum((signed[a] ^ signed[b]) >> 8 * p & 255 == 0 for p in range(8))
+                assert got.get((a, b), 0) == comb(agree, 5)
+                if (signed[a] ^ signed[b]).bit_count() <= 2:
+                    assert got[a, b] >= simhash.shared_lists(2) == 6
+                few += 0 < got.get((a, b), 0) < 6
+    # pairs that meet and that the count filter drops
+    assert few > 5
+
+
 @pytest.mark.parametrize("cap", [2, 32])
 @pytest.mark.parametrize("bits", [0, 1, 2])
 def test_simhash_links_join_the_same_classes_for_any_list_cap(spark, cap, bits):
