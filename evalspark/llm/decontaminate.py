@@ -7,22 +7,24 @@
    two passes over a bounded sample of the corpus's passages, each task summing its share of
    A'(A X), with the benchmark's own passages added at equal weight. The document frequencies
    cover all passages; only the basis, which serves as an index, is fitted on the sample
-   (FIT_PASSAGES).
+   (FIT_PASSAGES). The matrix has DIMENSIONS columns: terms share them if the benchmark has more.
 3. Every passage of every document is projected and compared with every passage of the benchmark
    by cosine (projection and comparison are one product of matrices). A passage whose in-vocabulary share of its norm is below the threshold cannot reach
    it and is not projected.
 4. A candidate is checked against the whole item: the longest common subsequence of words with the
    text around the passage must reach LCS_SURE of the item, or LCS_LIKELY for a paraphrase that
-   also holds the item's answer, its last line or sentence.
+   also holds the item's answer: its last line or sentence, or, of an item that is one sentence, most of its last
+   third, and then all within a stretch not much longer than the item.
 
-The benchmark is the stated query set. It is searched in blocks of bounded size, so what tasks
-receive (vocabulary, basis, queries) is bounded whatever its size.
+Vocabulary, document frequencies and basis are those of the whole benchmark, so what is found of an
+item does not depend on other items. The benchmark is the stated query set; it is searched in blocks of bounded
+size over the numbers of step 1, and a task receives one block, the basis and, in step 1, the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -38,10 +40,14 @@ RANK, OVERSAMPLE = 320, 32
 #: Passages of the corpus the basis is fitted on, at most (on average); they are those with the least hashes.
 FIT_PASSAGES = 1 << 16
 FIT_PARTS = 8
-#: Words of the benchmark in one block.
+#: Columns of the TF-IDF matrix; term n is in column n modulo this.
+DIMENSIONS = 1 << 14
+#: Words of the benchmark searched at a time.
 BLOCK_WORDS = 12_000
 MIN_COSINE = 0.2
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.8
+#: Share of the last third that a paraphrase of a one-sentence item must hold, and how long it may be against the item.
+LAST_THIRD, STRETCH = 0.5, 1.5
 #: Items below so many words need all their words in a row.
 SHORT = 8
 _WORD = re.compile(r"\w+")
@@ -67,45 +73,63 @@ def lcs(a: list[int], b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _answer(text: str) -> list[str]:
-    """Words of the last line that has any; of a single line, of its last sentence."""
-    lines = [x for x in text.split("\n") if words_of(x)]
-    if len(lines) > 1:
-        return words_of(lines[-1])
-    return next((w for w in map(words_of, reversed(re.split(r"(?<=[.!?])\s+", text))) if w), [])
+def _answer(text: str) -> tuple[list[str], bool]:
+    """Words that a paraphrase must hold, and whether they are an answer: the last line that has any words, of a single line
+    its last sentence; of a single sentence its last third, which is none."""
+    lines = [w for w in map(words_of, text.split("\n")) if w]
+    parts = lines if len(lines) > 1 else [w for w in map(words_of, re.split(r"(?<=[.!?])\s+", text)) if w]
+    if len(parts) > 1:
+        return parts[-1], True
+    words = words_of(text)
+    return words[-(-2 * len(words) // 3):], False
 
 
 @dataclass
 class Block:
-    """Items of the benchmark with their words as term numbers."""
+    """Items of the benchmark as term numbers, with the answer of each and whether it is one."""
 
     ids: list
-    terms: dict[str, int]
     items: list[list[int]]
     answers: list[list[int]]
+    told: list[bool]
 
     @staticmethod
-    def of(rows: list[tuple]) -> Block:
-        terms: dict[str, int] = {}
-        number = lambda w: terms.setdefault(w, len(terms))
-        items = [[number(w) for w in words_of(t)] for _, t in rows]
-        return Block([i for i, _ in rows], terms, items, [[number(w) for w in _answer(t)] for _, t in rows])
+    def of(rows: list[tuple], terms: dict[str, int]) -> Block:
+        found = [_answer(t) for _, t in rows]
+        numbers = lambda ws: [terms[w] for w in ws]
+        return Block([i for i, _ in rows], [numbers(words_of(t)) for _, t in rows], [numbers(w) for w, _ in found], [told for _, told in found])
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Block]:
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The different items, written once."""
+    return scratch(benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct(), "decon-items")
+
+
+def vocabulary(items: DataFrame) -> dict[str, int]:
+    """Term numbers of the benchmark's words, in the order of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0) for w in words_of(t.as_py())}), pa.string())], names=["w"])
+
+    found = items.select("text").mapInArrow(run, "w string").distinct()
+    return {w: n for n, w in enumerate(sorted(r["w"] for r in found.toLocalIterator()))}
+
+
+def _blocks(items: DataFrame, terms: dict[str, int]) -> Iterator[Block]:
     """Blocks of at most BLOCK_WORDS words (one item at least), fetched piece by piece."""
     rows, size = [], 0
-    for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         n = len(words_of(r["text"]))
         if not n:
             continue
         if rows and size + n > BLOCK_WORDS:
-            yield Block.of(rows)
+            yield Block.of(rows, terms)
             rows, size = [], 0
         rows.append((r["item_id"], r["text"]))
         size += n
     if rows:
-        yield Block.of(rows)
+        yield Block.of(rows, terms)
 
 
 def _windows(flat: np.ndarray, offsets: np.ndarray, stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,12 +158,18 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def _tokenise(docs: DataFrame, block: Block) -> DataFrame:
+def _columns(terms: np.ndarray, width: int) -> np.ndarray:
+    """Columns of term numbers, of ``width`` in all, passage by passage in rising order, a column counting once; padding and unknown words stay."""
+    t = np.sort(np.where(terms >= 0, terms % width, terms), axis=1)
+    t[:, 1:][(t[:, 1:] == t[:, :-1]) & (t[:, 1:] >= 0)] = _PAD
+    return t
+
+
+def _tokenise(docs: DataFrame, terms: dict[str, int], width: int) -> DataFrame:
     """(doc_id, key, ids) of every row, and per task a row of (df, passages) over its non-overlapping passages."""
-    terms = block.terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, passages = np.zeros(len(terms), np.int64), 0
+        df, passages = np.zeros(width, np.int64), 0
         names = ["doc_id", "key", "ids", "df", "passages"]
         longs = pa.list_(pa.int64())
         for batch in batches:
@@ -152,7 +182,8 @@ def _tokenise(docs: DataFrame, block: Block) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
                 flat = np.concatenate(found)
                 for r, _, t in _windows(flat, offsets, PASSAGE):
-                    df += np.bincount(t[t >= 0], minlength=len(terms))
+                    t = _columns(t, width)
+                    df += np.bincount(t[t >= 0], minlength=width)
                     passages += len(r)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
@@ -220,7 +251,7 @@ def _gram(sample: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sum((np.frombuffer(r["m"], np.float32).reshape(basis.shape).astype(np.float64) for r in sample.mapInArrow(run, "m binary").toLocalIterator()), np.zeros(basis.shape))
 
 
-def _sample(tokens: DataFrame, passages: int) -> DataFrame:
+def _sample(tokens: DataFrame, passages: int, width: int) -> DataFrame:
     """(terms) of about FIT_PASSAGES passages at most, chosen by a hash of text and place, without padding rows."""
     share = min(1.0, FIT_PASSAGES / max(passages, 1))
 
@@ -229,6 +260,7 @@ def _sample(tokens: DataFrame, passages: int) -> DataFrame:
             flat, offsets = _flat(batch.column(1))
             seeds = np.array([int(k.as_py()[:15], 16) for k in batch.column(0)], np.uint64)
             for r, s, t in _windows(flat, offsets, PASSAGE):
+                t = _columns(t, width)
                 with np.errstate(over="ignore"):
                     h = (seeds[r] + (s - offsets[r]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -240,34 +272,39 @@ def _sample(tokens: DataFrame, passages: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """Latent space of a block: idf of its terms and of unknown words, basis, unit query vectors and whose they are."""
+    """Latent space: idf of the columns and of unknown words, the basis and its singular values."""
 
     idf: np.ndarray
     unknown: float
     basis: np.ndarray
     values: np.ndarray
-    queries: np.ndarray
-    owner: np.ndarray
 
 
-def fit(tokens: DataFrame, block: Block) -> Index:
-    """Document frequencies over all passages, then the randomised SVD."""
+def _own_passages(items: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item, columns) of the passages of items."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64)
+    own = list(_windows(np.array([t for x in items for t in x], np.int32), offsets, STRIDE))
+    return np.concatenate([r for r, _, _ in own]), np.concatenate([_columns(t, width) for _, _, t in own])
+
+
+def fit(tokens: DataFrame, width: int, blocks: Callable[[], Iterator[Block]]) -> Index:
+    """Document frequencies over all passages, then the randomised SVD; the items are read block by block."""
     counts = tokens.where(F.col("df").isNotNull())
-    df = np.zeros(len(block.terms), np.int64)
+    df = np.zeros(width, np.int64)
     for r in counts.select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).toLocalIterator():
         df[r["pos"]] = r["n"]
     passages = counts.agg(F.sum("passages")).first()[0] or 0
     idf = np.log((1 + passages) / (1 + df)) + 0.1
     unknown = float(np.median(idf))
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in block.items])]).astype(np.int64)
-    own = list(_windows(np.array([t for x in block.items for t in x], np.int32), offsets, STRIDE))
-    owner, terms = np.concatenate([r for r, _, _ in own]), np.concatenate([t for _, _, t in own])
-    sample = scratch(_sample(tokens.where(F.col("ids").isNotNull()), passages).repartition(FIT_PARTS), "decon-sample")
-    width = min(RANK + OVERSAMPLE, len(block.terms))
-    q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(block.terms), width)))[0]
+    sample = scratch(_sample(tokens.where(F.col("ids").isNotNull()), passages, width).repartition(FIT_PARTS), "decon-sample")
+    rank = min(RANK + OVERSAMPLE, width)
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((width, rank)))[0]
     for _ in range(2):
         # the benchmark's rows weigh as much as the sampled corpus
-        corpus, bench = _gram(sample, idf, q), _transposed(terms, idf, _product(terms, idf, q.astype(np.float32)), len(idf))
+        corpus, bench = _gram(sample, idf, q), np.zeros(q.shape)
+        for block in blocks():
+            own = _own_passages(block.items, width)[1]
+            bench += _transposed(own, idf, _product(own, idf, q.astype(np.float32)), width)
         scale = np.linalg.norm(corpus) / max(np.linalg.norm(bench), 1e-12) or 1.0
         g = corpus + scale * bench
         last, q = q, np.linalg.qr(g)[0]
@@ -275,34 +312,55 @@ def fit(tokens: DataFrame, block: Block) -> Index:
     small = last.T @ g
     values, turn = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(values)[::-1][:RANK]
-    basis = (last @ turn[:, best]).astype(np.float32)
-    z = _product(terms, idf, basis)
-    norm = np.linalg.norm(z, axis=1, keepdims=True)
-    return Index(idf, unknown, basis, np.sqrt(np.maximum(values[best], 0)), z / np.maximum(norm, 1e-9), owner)
+    return Index(idf, unknown, (last @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(values[best], 0)))
+
+
+def queries(block: Block, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(item, unit vector) of every passage of a block."""
+    owner, own = _own_passages(block.items, len(index.idf))
+    z = _product(own, index.idf, index.basis)
+    return owner, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+
+
+def _compact(item: list[int], span: list[int], text: np.ndarray) -> bool:
+    """Whether some stretch of little more than the item's length holds LCS_LIKELY of the item and LAST_THIRD of the span."""
+    size, step = int(STRETCH * len(item)) + 1, max(1, len(item) // 4)
+    for at in range(0, max(1, len(text) - size + step), step):
+        part = text[at:at + size]
+        if lcs(item, part) >= LCS_LIKELY * len(item) and lcs(span, part) >= LAST_THIRD * len(span):
+            return True
+    return False
 
 
-def _verify(item: list[int], answer: list[int], text: np.ndarray) -> tuple[float, bool, bool]:
+def _verify(item: list[int], answer: list[int], told: bool, text: np.ndarray) -> tuple[float, bool, bool]:
     """(LCS share, answer found, contaminated) of an item in the words around a passage."""
     share = lcs(item, text) / len(item)
-    has = bool(answer) and lcs(answer, text) >= ANSWER * len(answer)
     if len(item) < SHORT:
         run = text.tolist()
-        return share, has, any(run[i:i + len(item)] == item for i in range(len(run) - len(item) + 1))
+        found = any(run[i:i + len(item)] == item for i in range(len(run) - len(item) + 1))
+        return share, found, found
+    if told:
+        has = lcs(answer, text) >= ANSWER * len(answer)
+    else:
+        has = share >= LCS_LIKELY and _compact(item, answer, text)
     return share, has, share >= LCS_SURE or (share >= LCS_LIKELY and has)
 
 
 def _search(tokens: DataFrame, block: Block, index: Index, min_cosine: float) -> DataFrame:
     """(doc_id, key, item, cosine, lcs, answer, start) of every confirmed pair of a document and an item, best place each."""
-    items, answers = block.items, block.answers
+    items, answers, told = block.items, block.answers, block.told
     longest = max(map(len, items))
+    owner, vectors = queries(block, index)
+    width = len(index.idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # (A V) Z' = A (V Z'): the cosine with every query is read from the terms' places among the queries
-        energy, fold = index.idf ** 2, np.ascontiguousarray(index.basis @ index.queries.T)
+        energy, fold = index.idf ** 2, np.ascontiguousarray(index.basis @ vectors.T)
         for batch in batches:
             flat, offsets = _flat(batch.column(2))
             best: dict[tuple[int, int], list] = {}
             for r, s, t in _windows(flat, offsets, STRIDE):
+                t = _columns(t, width)
                 inside = np.where(t >= 0, energy[np.maximum(t, 0)], 0).sum(axis=1)
                 whole = inside + (t == -1).sum(axis=1) * index.unknown ** 2
                 live = np.flatnonzero((inside > 0) & (inside >= min_cosine ** 2 * whole))
@@ -310,7 +368,7 @@ def _search(tokens: DataFrame, block: Block, index: Index, min_cosine: float) ->
                     c = live[lo:lo + 2048]
                     cos = _product(t[c], index.idf, fold) / np.sqrt(whole[c])[:, None]
                     for p, q in zip(*np.nonzero(cos >= min_cosine)):
-                        best.setdefault((int(r[c[p]]), int(index.owner[q])), []).append((int(s[c[p]]), float(cos[p, q])))
+                        best.setdefault((int(r[c[p]]), int(owner[q])), []).append((int(s[c[p]]), float(cos[p, q])))
             rows = []
             for (r, i), places in best.items():
                 places.sort()
@@ -327,7 +385,7 @@ def _search(tokens: DataFrame, block: Block, index: Index, min_cosine: float) ->
                     # pieces of twice the item's length and a passage, so that a long place is no chance match
                     step = len(item) + PASSAGE
                     for at in range(lo, max(hi - step, lo + 1), step):
-                        share, has, bad = _verify(item, answers[i], flat[at:min(at + 2 * step, hi)])
+                        share, has, bad = _verify(item, answers[i], told[i], flat[at:min(at + 2 * step, hi)])
                         if bad:
                             hits.append((share, has, cosine, at - int(offsets[r])))
                 if hits:
@@ -343,7 +401,7 @@ def _search(tokens: DataFrame, block: Block, index: Index, min_cosine: float) ->
         run, "doc_id long, key string, item int, cosine double, lcs double, answer boolean, start long")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE, dimensions: int = DIMENSIONS) -> DataFrame:
     """One row per contaminated document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text).
 
     Columns: doc_id, item_id, key (of the text), cosine, lcs, answer, start (word the evidence is
@@ -352,10 +410,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
     Empty tables give no rows.
     """
     spark = docs.sparkSession
+    items = _items(benchmark)
+    terms = vocabulary(items)
+    blocks = lambda: _blocks(items, terms)
+    width = min(len(terms), dimensions)
+    tokens = scratch(_tokenise(docs, terms, width), "decon-tokens") if terms else None
+    index = fit(tokens, width, blocks) if terms else None
     out = None
-    for block in _blocks(benchmark):
-        tokens = scratch(_tokenise(docs, block), "decon-tokens")
-        hits = _search(tokens, block, fit(tokens, block), min_cosine)
+    for block in blocks():
+        hits = _search(tokens, block, index, min_cosine)
         kind = benchmark.schema["item_id"].dataType
         names = spark.createDataFrame(list(enumerate(block.ids)), f"item int, item_id {kind.simpleString()}")
         hits = scratch(hits.join(F.broadcast(names), "item").drop("item"), "decon-hits")

@@ -344,6 +344,38 @@ def test_decontamination_recall_and_clean_texts(spark):
     assert left == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def paraphrases(seed, told, n=24):
+    """Items, and documents that hold each with three tenths of its words changed; an answer line stays as it is."""
+    r = random.Random(seed)
+    flat = lambda k, words: prose(k, words).replace(".\n", " ").strip(".")
+    items, rows = [], []
+    for k in range(n):
+        body, answer = flat(seed * 1000 + k, 22 + k % 9).split(), flat(seed * 2000 + k, 5)
+        items.append((k, " ".join(body) + ("\n" + answer if told else "")))
+        for j in r.sample(range(len(body)), round(0.3 * len(body))):
+            body[j] = "changed"
+        rows.append((k, flat(seed * 3000 + k, 70) + " " + " ".join(body) + (" " + answer if told else "") + " " + flat(seed * 4000 + k, 70)))
+    return items, rows
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_paraphrases_are_found(spark, told):
+    items, rows = paraphrases(5 + told, told)
+    clean = [(1000 + i, prose(600_000 + i, 200)) for i in range(150)]
+    docs, bench = spark.createDataFrame(rows + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(got & {(k, k) for k, _ in items}) >= 0.9 * len(items)
+    assert got <= {(k, k) for k, _ in items}
+
+
+def test_decontamination_of_shared_columns(spark):
+    """With fewer columns than terms what is found stays the same."""
+    items, rows = paraphrases(9, True)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench, dimensions=64).collect()}
+    assert len(got & {(k, k) for k, _ in items}) >= 0.9 * len(items) and got <= {(k, k) for k, _ in items}
+
+
 def test_decontamination_blocks_give_the_same_pairs(spark, monkeypatch):
     items = [(i, prose(3000 + i, 30)) for i in range(8)]
     docs = spark.createDataFrame([(i, prose(i, 40) + " " + items[i % 8][1]) for i in range(16)], "doc_id long, text string")
