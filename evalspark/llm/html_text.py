@@ -255,7 +255,7 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(p.as_py(), frozenset(h % (1 << 64) for h in g.as_py())) for p, g in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), batch.column(4)], names=["page_id", "url", "text", "n_templates"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -277,23 +277,22 @@ def templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return counted.where(F.col("n") >= min_pages)
 
 
+def page_templates(outline: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(key, host, hash, left) for every template subtree of every different page; left tells that no mark removes it."""
+    held = outline.select("key", "host", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("there").alias("left"))).alias("h")).select("key", "host", "h.*")
+    return held.distinct().join(scratch(templates(outline, min_pages).select("host", "hash"), "html-templates"), ["host", "hash"])
+
+
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_templates.
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    n_templates counts the subtrees of the page that recur on its host, also those that a mark would have
-    removed as well. Null html is empty. Pages without a host (null url, or no ``://``) share the empty host.
+    Null html is empty. Pages without a host (null url, or no ``://``) share the empty host.
     Repeated pages are one page in the counts and keep their rows; a null page_id stays null. Pages of any length
     are parsed whole. Only pages that hold a template subtree which no mark removes are parsed again.
     """
     outline = scratch(outlines(pages), "html-outline")
-    found = scratch(templates(outline, min_pages).select("host", "hash"), "html-templates")
-    held = outline.select("key", "host", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("there").alias("left"))).alias("h")).select("key", "host", "h.*")
-    held = held.distinct().join(found, ["host", "hash"])
-    hits = scratch(held.groupBy("key").agg(F.count("*").alias("n_templates"), F.collect_set(F.when(F.col("left"), F.col("hash"))).alias("gone")), "html-hits")
-    told = F.coalesce("n_templates", F.lit(0)).cast("long").alias("n_templates")
-    again = hits.where(F.size("gone") > 0)
-    done = outline.join(again, "key", "left_anti").join(hits.select("key", "n_templates"), "key", "left").select("page_id", "url", "text", told)
+    hits = scratch(page_templates(outline, min_pages).where("left").groupBy("key").agg(F.collect_set("hash").alias("gone")), "html-hits")
+    done = outline.join(hits.select("key"), "key", "left_anti").select("page_id", "url", "text")
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = _keyed(pages).join(again, "key").select("page_id", "url", "html", "gone", "n_templates").mapInArrow(
-        _extract, f"page_id {kind}, url string, text string, n_templates long")
-    return done.unionByName(parsed).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
+    again = _keyed(pages).join(hits, "key").select("page_id", "url", "html", "gone").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    return done.unionByName(again).withColumn("n_chars", F.length("text").cast("long"))

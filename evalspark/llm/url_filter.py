@@ -1,6 +1,6 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams.
 
-The classifier is trained on the driver from the small labelled table below (its size is the
+The classifier, intercept included, is trained on the driver from the small labelled table below (its size is the
 bound) and scores every URL with built-in expressions only: the n-grams of host and path are
 hashed into a fixed number of buckets and their weights are read from a literal array.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -24,119 +25,41 @@ ALLOW_RULES = ("example.net/en/", "org/fr/")
 NGRAMS = (3, 4, 5)
 BUCKETS = 4096
 THRESHOLD = 0.5
-EPOCHS = 60
-RATE = 0.5
+EPOCHS = 40
+RATE = 1.0
 L2 = 1e-4
-#: The intercept is a prior and not trained: without evidence a URL is allowed.
-PRIOR = -1.5
-
-#: Labelled table: (url, 1 to block). Invented names; the words are what such hosts and paths are made of.
-LABELLED = tuple((u, 1) for u in """
-http://casino-win.example.com/en/1
-https://www.best-casino.example.org/play
-http://m.online-casino.example.net/bonus/7
-https://casino-royal.example.com/slots.html
-http://free-bets.example.com/en/27
-https://www.free-bets.example.org/odds/today
-http://sport-bets.example.net/live?ref=x
-http://m.big-bets.example.com/de/9
-https://poker-room.example.com/join
-http://www.poker-win.example.org/en/3
-https://slots-jackpot.example.com/spin/12
-http://lottery-win.example.net/claim
-http://cheap-pills.example.com/fr/176/
-https://www.cheap-pills.example.org/buy/now
-http://m.pills-online.example.net/order
-https://buy-viagra.example.com/cheap
-http://www.viagra-shop.example.org/en/5
-https://cheap-meds.example.com/no-prescription
-http://diet-pills.example.com/offer.html
-https://ads-track.example.org/en/786/
-http://track-ads.example.com/click?id=3
-https://www.ads-server.example.net/banner/1
-http://adserver.example.com/pixel.gif
-http://m.ad-click.example.org/redirect
-https://click-track.example.com/out/55
-http://popup-ads.example.net/x
-https://tracker-pixel.example.com/t
-http://xxx-videos.example.com/en/8
-https://www.adult-xxx.example.org/gallery/2
-http://porn-tube.example.net/watch
-https://hot-sex.example.com/chat
-http://sexy-cams.example.org/live
-https://payday-loans.example.com/apply
-http://www.quick-loans.example.net/cash
-https://cash-loans.example.org/en/11
-http://win-prize.example.com/claim/9
-https://free-prize.example.net/winner
-http://www.free-money.example.com/now
-https://crack-keygen.example.org/download
-http://warez-crack.example.com/serial/4
-http://fake-watches.example.com/replica
-https://replica-bags.example.net/sale
-http://spam-links.example.com/en/2
-https://www.spam-mail.example.org/list
-http://link-farm.example.net/links/4
-http://malware-download.example.com/setup.exe
-https://phish-login.example.org/verify/account
-""".split()) + tuple((u, 0) for u in """
-http://blog.garden.example.com/en/12
-https://www.library.example.org/fr/204
-http://m.weather.example.net/en/949
-https://news.example.com/de/252.html
-http://www.history.example.org/en/572/
-https://kitchen.example.com/es/22
-http://recipes.example.net/en/120/
-https://blog.travel.example.com/en/16?page=2
-http://www.school.example.com/en/997.html
-https://science.example.org/articles/7
-http://museum.example.net/visit
-https://docs.software.example.com/guide/intro.html
-http://www.university.example.org/courses/math
-https://hospital.example.com/contact
-http://blog.thether.example.net/fr/229
-https://blog.ronthan.example.net/es/245
-http://www.tionish.example.com/fr/748
-https://thering.example.com/en/5
-http://ererou.example.org/de/31
-https://m.hathes.example.com/en/518.html
-http://blog.entith.example.net/en/668
-https://www.shonor.example.org/en/297
-http://ndthat.example.com/en/99
-https://thaner.example.net/en/327
-http://www.rewith.example.com/es/439.html
-https://blog.lying.example.org/fr/65.html
-http://theand.example.com/en/210
-https://www.ingthe.example.net/de/638
-http://m.stouer.example.org/en/761
-https://blog.hehand.example.com/en/27
-http://onther.example.net/en/176/
-https://www.ereat.example.com/en/786/
-http://music.example.org/songs/3
-https://m.football.example.com/results
-http://www.city.example.net/council
-https://train.example.org/timetable/en/4
-http://books.example.com/review/88
-https://forum.gardeners.example.net/thread/55
-http://www.bakery.example.com/bread
-https://photos.example.org/album/2
-http://maps.example.net/en/231
-https://www.cinema.example.com/films/9
-http://research.example.org/paper.html
-https://blog.cooking.example.com/en/3
-http://ththen.example.org/en/1
-https://www.ththat.example.org/en/5
-http://m.thtion.example.com/de/9
-http://www.hether.example.org/en/3
-https://tioner.example.org/en/11
-http://onther.example.com/en/8
-https://www.statre.example.org/es/7
-http://m.athand.example.com/fr/55
-https://reedth.example.org/en/12
-http://sthtio.example.com/en/4
-https://ththst.example.org/de/6
-http://www.erthan.example.com/es/2
-""".split())
+#: What hosts to block and hosts to allow are made of, with what stands around such words: the makings of the labelled table.
+BAD = """casino slots poker jackpot roulette betting bets wager lottery pills viagra cialis meds steroids adult xxx porn sex escort camgirls loans payday
+cash crack warez keygen torrent replica fake spam phishing malware ads adserver track tracker clicks popup prize clickbait""".split()
+GOOD = """garden library weather history kitchen recipes travel school science museum software university hospital music football city trains books
+forum bakery photos maps cinema research cooking river mountain news radio theatre council village harbour forest teacher doctor market engine
+window paper letters bridge summer winter story language dictionary climate astronomy chess cycling hiking poetry painting pottery knitting
+sailing baking parents seniors county nation station action motion fashion thread thunder northern southern mother father brother health wealth
+earth north month truth cloth thing nothing leather feather another english finish fishing spanish polish""".split()
+_BEFORE = ["", "", "the", "my-", "best-", "online-", "our-"]
+_BEHIND = ["", "", "-now", "24", "online", "-club", "hub"]
+_PATHS = ["/", "/en/4071", "/fr/77.html", "/es/645/", "/de/12#top", "/en/88?ref=x", "/en/23?page=2"]
+#: Paths that only one of the classes has, now and then.
+_OWN_PATHS = {1: ["/bonus", "/buy/now.html", "/claim/5"], 0: ["/articles/12", "/about", "/guide/intro.html"]}
+_SITES = ["", "www.", "m.", "blog.", "", "en."]
+_ENDS = ["example.com", "example.org", "example.net"]
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    """The labelled table: invented hosts under reserved names, eight for every bad word and five for every good one."""
+    out = []
+    for label, words, copies in ((1, BAD, 8), (0, GOOD, 5)):
+        for word in words:
+            for j in range(copies):
+                # what stands around a word says nothing of its class
+                pick = lambda x, kind: x[zlib.crc32(f"{word} {j} {kind}".encode()) % len(x)]  # noqa: E731, B023
+                host = pick(_SITES, "site") + pick(_BEFORE, "before") + word + pick(_BEHIND, "behind") + "." + pick(_ENDS, "end")
+                out.append((pick(["http://", "https://"], "scheme") + host + pick(_PATHS * 2 + _OWN_PATHS[label], "path"), label))
+    return tuple(out)
+
+
+#: (url, 1 to block). Invented, under names that are reserved for examples; nothing is taken from tables that are judged.
+LABELLED = _labelled()
 
 
 def host_of(url: Column) -> Column:
@@ -173,7 +96,7 @@ def _buckets(host: Column, path: Column) -> Column:
 @lru_cache(maxsize=4)
 def _weights(rows: tuple[tuple[tuple[int, ...], int], ...]) -> tuple[float, tuple[float, ...]]:
     """Intercept and bucket weights by stochastic gradient descent in a fixed order; features are counts over the root of their number."""
-    w, b, order = [0.0] * BUCKETS, PRIOR, list(range(len(rows)))
+    w, b, order = [0.0] * BUCKETS, 0.0, list(range(len(rows)))
     rng = random.Random(7)
     feats = []
     for buckets, _ in rows:
@@ -185,6 +108,7 @@ def _weights(rows: tuple[tuple[tuple[int, ...], int], ...]) -> tuple[float, tupl
         for i in order:
             z = b + sum(w[k] * x for k, x in feats[i])
             g = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - rows[i][1]
+            b -= rate * g
             for k, x in feats[i]:
                 w[k] -= rate * (g * x + L2 * w[k])
     return b, tuple(w)

@@ -403,6 +403,36 @@ def labelled(spark, label, bad):
     return docs, y, {r[0]: r[3] for r in rows}
 
 
+def plain_toxicity(text, model):
+    """The score of one text by loops over places, filters and words."""
+    words = toxicity._split(text)
+    zero = [len(u) for u in model.used]
+    at = [[u.get(b, z) for u, b, z in zip(model.used, toxicity._buckets(w), zero)] for w in words] + [zero] * toxicity._PADS
+    x = [np.concatenate([t[k] for t, k in zip(model.rows, row)]) for row in at]
+    tops, f = [], 0
+    for width, filters in zip(toxicity.WIDTHS, model.filters):
+        for j in range(filters.shape[1]):
+            best = 0.0
+            for p in range(len(words) + 1):
+                seen = np.concatenate((x[p:] + [np.zeros_like(x[0])] * width)[:width])
+                best = max(best, float(seen @ filters[:, j]) + float(model.bias[f]))
+            tops.append(best)
+            f += 1
+    return 1 / (1 + np.exp(-np.clip(float(np.dot(tops, model.out)) + model.offset, -30, 30)))
+
+
+def test_toxicity_scores_equal_plain_loops_and_pieces():
+    texts = [prose(i, 30) + (" you vile dolt" if i % 2 else "") for i in range(60)]
+    model = toxicity.train([(t, i % 2) for i, t in enumerate(texts)])
+    some = [texts[0], texts[1], "", None, "vile", "dolt vile", prose(900, 100) + " vile dolt " + prose(901, 90), "unknown wörds 12"]
+    want = [plain_toxicity(t or "", model) for t in some]
+    assert np.allclose(toxicity.score_texts(some, model), want, atol=1e-5)
+    for longest in (-1, 20):
+        assert np.allclose(toxicity.score_texts(some, model, longest), want, atol=1e-5)
+    for piece in (1, 2, 3, 7, 50, 1000):
+        assert np.allclose([toxicity._score_long(t or "", model, piece) for t in some], want, atol=1e-5)
+
+
 def test_training_texts_are_whole(spark):
     texts = {i: prose(i, 8_000 if i % 7 == 0 else 20) for i in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -179,14 +179,16 @@ def test_against_brute_force(spark):
         if host == "a.x":
             around += [f"<nav><ul><li>{prose(90_000 + i, 3)}</li></ul></nav>", f'<div class="ad"><p>{prose(91_000 + i, 6)}</p></div>']
         pages.append((i, host, "<html><body>" + "".join(around) + f"<section><div>{own}</div></section></body></html>"))
-    got = {x.page_id: x for x in html_text.extract_text(spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, h, p in pages], SCHEMA), min_pages=5).collect()}
+    table = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, h, p in pages], SCHEMA)
+    got = {x.page_id: x for x in html_text.extract_text(table, min_pages=5).collect()}
     want = brute_texts(pages, 5)
     assert {i: x.text for i, x in got.items()} == want
     # a block that only one page in fifty of the hot host has is template all the same
     rare = blocks["hot.x"][4]
     held = [i for i, h, p in pages if rare in p and h == "hot.x"]
     assert len(held) >= 5 and all(Tree(rare).root[2][0][2][0][2][0] not in got[i].text for i in held)
-    assert sum(x.n_templates > 0 for x in got.values()) > 200
+    counted = html_text.page_templates(html_text.outlines(table), 5)
+    assert counted.select("key").distinct().count() > 200 and counted.where("not left").count() == 0
 
 
 def test_very_long_page(spark):
