@@ -169,8 +169,3 @@ def composite_leaderboard(models: DataFrame, runs: DataFrame | dict, accuracy: D
     """Flagship: stage tables -> components -> score/CI -> rank -> marks (one lazy plan); latency is carried, not scored."""
     wide = join_stages(models, runs, accuracy, coding, ppl, latency)
     return rank_and_mark(score_models(wide))
-
-
-def components_long(leaderboard: DataFrame) -> DataFrame:
-    """The long ``components(run_id, model_id, component, weight, value, ci_half)`` table."""
-    return leaderboard.select("run_id", "model_id", F.inline("components"))

@@ -37,8 +37,8 @@ def parse_ppl(log: Column) -> Column:
 
 
 def log_tail(log: Column, n: int = ERROR_TAIL_LINES) -> Column:
-    """the last ``n`` lines of the trimmed log (the error text of a failed run)."""
-    lines = F.split(F.trim(log), "\n")
+    """the last ``n`` lines of the log without white space at its ends (the error text of a failed run)."""
+    lines = F.split(F.regexp_replace(log, r"^\s+|\s+$", ""), r"\r\n|\r|\n")
     k = F.least(F.size(lines), F.lit(n))
     return F.array_join(F.slice(lines, -k, k), "\n")
 

@@ -550,6 +550,39 @@ def q_token_responses(spark, sf):
         r3(F.sum("r.logprob")).alias("logprob_sum"), F.sum(F.size("r.top_logprobs")).cast("bigint").alias("n_candidates"))
 
 
+def q_ppl_error_tails(spark, sf):
+    """One log file per user lands; the last lines of every log without a result are its error text."""
+    folder = jobs.stream_folder(spark, "logs")
+    fx.ppl_log_files(spark, sf).write.partitionBy("file").text(folder + "/logs")
+    logs = files.read_ppl_logs(spark, folder + "/logs/*")
+    parsed = perplexity.parse_ppl_logs(logs.withColumn("file", F.regexp_extract("path", "file=([^/]+)/", 1).cast("bigint")))
+    return parsed.select("file", "ppl", "ppl_se", "error")
+
+
+def q_composite_labels(spark, sf):
+    r = fx.run_options_table(spark, sf)
+    return r.select("run_id", T.composite_label("weights_mmlu", "weights_ppl", F.lit(2)).alias("label"))
+
+
+def q_task_results(spark, sf):
+    """Metric documents written by task and model, two tasks of them read back metric by metric."""
+    folder = jobs.stream_folder(spark, "tasks")
+    metrics.write_task_results(_metric_docs(spark, sf), folder)
+    got = metrics.read_task_results(spark, folder, ["mmlu", "mmlu_de"])
+    return got.select("run_id", "model_id", "task", "subject", "metric", r6("value").alias("value"))
+
+
+def q_progress_one_language(spark, sf):
+    return outcomes.progress(fx.result_files(spark, sf), fx.exercise_catalog(spark, sf), ["F"], 500)
+
+
+def q_model_counts(spark, sf):
+    """The rule of one to five models per run, on registries of which some hold more."""
+    e = fx.registry_entries(spark, sf).withColumn("run_id", F.concat("run_id", F.lit("-"), (F.col("model_pos") % 16).cast("string")))
+    bad = registry.registry_violations(e, check_model_count=True).filter(F.col("rule") == "model_count")
+    return bad.select("run_id", F.col("detail").alias("n_models"))
+
+
 # The languages asked for in the landing query, as an option text.
 LANDED_LANGUAGES = " python, go,python "
 
@@ -592,6 +625,11 @@ QUERIES: dict[str, QueryFn] = {
     "token_responses": q_token_responses,
     "registry_json": q_registry_json,
     "landed_results": q_landed_results,
+    "ppl_error_tails": q_ppl_error_tails,
+    "composite_labels": q_composite_labels,
+    "task_results": q_task_results,
+    "progress_one_language": q_progress_one_language,
+    "model_counts": q_model_counts,
     "reference_counts": q_reference_counts,
     "composite_leaderboard": q_composite_leaderboard,
     "subject_accuracy": q_subject_accuracy,

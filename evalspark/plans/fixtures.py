@@ -93,16 +93,6 @@ def try_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.floor(F.col("l_extendedprice") / 100).cast("bigint").alias("completion_tokens"))
 
 
-def exercise_records(spark: SparkSession, sf_dir: str, language: str | None = None, tries_per_record: int = 2) -> DataFrame:
-    """D8 records (one per finished exercise) with the outcomes of the repair loop, at most
-    ``tries_per_record`` in try order (W6): run_id, model_id, language, exercise, tests_outcomes."""
-    from evalspark.operators.outcomes import first_n_tries
-    t = first_n_tries(tries(spark, sf_dir, language), tries_per_record, TRY_ORDER)
-    rec = (t.groupBy("run_id", "model_id", "language", "exercise")
-           .agg(F.array_sort(F.collect_list(F.struct("try_no", "passed"))).alias("_tries")))
-    return rec.select("run_id", "model_id", "language", "exercise", F.transform("_tries", lambda x: x["passed"]).alias("tests_outcomes"))
-
-
 def result_file_events(li: DataFrame) -> DataFrame:
     """One result-file event per try row: run, language, exercise, mtime (works on a stream)."""
     model = model_of(F.col("l_suppkey"))
@@ -197,6 +187,16 @@ def ppl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_id").alias("run_no"), log.alias("log"))
 
 
+def ppl_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log per user of ``events`` (file, value): some lines of progress, then a result, or a failure for users
+    whose number is divisible by 3; lines end in LF."""
+    u = F.col("user_id")
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    lines = F.transform(F.sequence(F.lit(1), (u % 17 + 1).cast("int")), lambda i: F.concat(F.lit("[step "), i.cast("string"), F.lit("] 4."), i.cast("string")))
+    last = F.when(u % 3 == 0, F.lit("failed to load the model")).otherwise(F.concat(F.lit("Final estimate: PPL = "), F.col("n").cast("string"), F.lit(".5 +/- 0.25")))
+    return users.select(u.alias("file"), F.array_join(F.concat(lines, F.array(last)), "\n").alias("value"))
+
+
 def ppl_model_summary(spark: SparkSession, sf_dir: str, run_lists: bool = False) -> DataFrame:
     """PPL stage of the flagship: one summary per model and one for the pooled model.
 

@@ -742,6 +742,32 @@ REFERENCE_COUNTS = """
 SELECT source AS corpus, CAST(sum(length(replace(coalesce(text, ''), chr(13) || chr(10), chr(10))) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + 1) AS BIGINT) AS n_chars
 FROM documents GROUP BY source"""
 
+PPL_ERROR_TAILS = """
+WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+l AS (SELECT user_id, n, list_concat(list_transform(generate_series(1, user_id % 17 + 1), lambda i: '[step ' || CAST(i AS VARCHAR) || '] 4.' || CAST(i AS VARCHAR)),
+             ['failed to load the model']) AS lines FROM u)
+SELECT user_id AS file, CASE WHEN user_id % 3 <> 0 THEN n + 0.5::DOUBLE END AS ppl, CASE WHEN user_id % 3 <> 0 THEN 0.25::DOUBLE END AS ppl_se,
+       CASE WHEN user_id % 3 = 0 THEN 'could not parse perplexity output: ' || array_to_string(lines[-12:], chr(10)) END AS error FROM l"""
+
+COMPOSITE_LABELS = """
+WITH o AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS run_id, CAST(user_id % 13 AS DOUBLE) / 10.0 AS m, CAST(user_id % 7 AS DOUBLE) / 5.0 AS p FROM events)
+SELECT run_id, CASE WHEN p > 0 THEN printf('%.2f x PPL + ', p) ELSE '' END
+       || printf('%.2f x MMLU + %.2f x aider pass@2', (1.0::DOUBLE - greatest(p, 0.0::DOUBLE)) * m, (1.0::DOUBLE - greatest(p, 0.0::DOUBLE)) * (1.0::DOUBLE - m)) AS label FROM o"""
+
+TASK_RESULTS = f"""
+WITH {ITEMS},
+t AS (SELECT run_id, model_id, 'mmlu' AS task, correct FROM items UNION ALL SELECT run_id, model_id, 'mmlu_de', correct FROM items WHERE subject = 'de'),
+a AS (SELECT run_id, model_id, task, avg(correct) AS acc, stddev_samp(correct) / sqrt(count(correct)) AS se, CAST(count(correct) AS DOUBLE) AS n FROM t GROUP BY ALL),
+m AS (SELECT run_id, model_id, task, unnest(['acc,none', 'acc_stderr,none', 'sample_len']) AS metric, unnest([acc, se, n]) AS value FROM a)
+SELECT run_id, model_id, task, replace(task, 'mmlu_', '') AS subject, metric, round(value, 6) AS value FROM m WHERE value IS NOT NULL"""
+
+PROGRESS_ONE_LANGUAGE = f"""
+WITH {FILES}, total AS (SELECT least(count(DISTINCT p_partkey), 500) AS total FROM part)
+SELECT run, count(*) AS done, CAST(max(total) AS BIGINT) AS total FROM files, total WHERE language = 'F' GROUP BY run"""
+
+MODEL_COUNTS = """
+SELECT p_brand || '-' || CAST(p_partkey % 16 AS VARCHAR) AS run_id, CAST(count(*) AS VARCHAR) AS n_models FROM part GROUP BY 1 HAVING count(*) > 5"""
+
 STREAM_HEARTBEAT = f"""
 WITH {FILES}
 SELECT run, language, count(*) AS done, TRUE AS heartbeat FROM files GROUP BY run, language"""
@@ -820,6 +846,11 @@ def oracle_sql() -> dict[str, str]:
         "token_responses": TOKEN_RESPONSES,
         "registry_json": REGISTRY_JSON,
         "landed_results": LANDED_RESULTS,
+        "ppl_error_tails": PPL_ERROR_TAILS,
+        "composite_labels": COMPOSITE_LABELS,
+        "task_results": TASK_RESULTS,
+        "progress_one_language": PROGRESS_ONE_LANGUAGE,
+        "model_counts": MODEL_COUNTS,
         "reference_counts": REFERENCE_COUNTS,
         "composite_leaderboard": composite_leaderboard(),
         "subject_accuracy": subject_accuracy(),

@@ -7,7 +7,7 @@ apart (only true numbers count, SURVEY P4).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import subject_name
@@ -52,15 +52,6 @@ def task_summary(parsed: DataFrame, task: str = "mmlu") -> DataFrame:
             .drop("_tm"))
 
 
-def flatten_metrics(parsed: DataFrame, keys=("run_id", "model_id")) -> DataFrame:
-    """S7 flattened: one row per (task, metric) with numeric value, subject = task without ``mmlu_``."""
-    keys = list(keys)
-    out = parsed.select(*keys, F.explode("results").alias("task", "metrics"))
-    out = out.select(*keys, "task", F.explode("metrics").alias("metric", "_v"))
-    return out.select(*keys, "task", subject_name(F.col("task")).alias("subject"), "metric",
-                      number(F.col("_v")).alias("value"))
-
-
 def subject_accuracy_from_metrics(parsed: DataFrame, keys=("run_id", "model_id")) -> DataFrame:
     """F8 + P19: per subject ``acc,none`` (tasks other than the overall ``mmlu``)."""
     keys = list(keys)
@@ -99,3 +90,14 @@ def write_task_results(parsed: DataFrame, path: str, mode: str = "overwrite") ->
     (parsed.select("run_id", "model_id", F.explode("results").alias("task", "metrics"))
      .select("run_id", "task", "model_id", F.to_json("metrics").alias("metrics"))
      .write.mode(mode).partitionBy("task", "model_id").json(path))
+
+
+def read_task_results(spark: SparkSession, path: str, tasks: list[str] | None = None) -> DataFrame:
+    """K3 read back and flattened: run_id, model_id, task, subject (task without ``mmlu_``), metric and numeric value;
+    ``tasks`` prunes folders. Metrics that are no number are left out."""
+    df = spark.read.schema("run_id string, metrics string, task string, model_id string").json(path)
+    if tasks:
+        df = df.filter(F.col("task").isin(tasks))
+    out = df.select("run_id", "model_id", "task", F.explode(F.from_json("metrics", "map<string, variant>")).alias("metric", "_v"))
+    out = out.select("run_id", "model_id", "task", subject_name(F.col("task")).alias("subject"), "metric", number(F.col("_v")).alias("value"))
+    return out.filter(F.col("value").isNotNull())
