@@ -251,6 +251,24 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert all(got[i].text == t and got[i].round_trip and got[i].n_tokens == len(got[i].token_ids) for i, t, *_ in clean)
 
 
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, tmp_path, odd_docs, no_docs):
+    """Nulls in every column, empty and long texts, repeated rows and columns that the stages name themselves."""
+    more = odd_docs.selectExpr("*", "1 AS token_ids", "'x' AS __text", "2 AS n", "true AS linked", "'k' AS component_id")
+    good = spark.createDataFrame([(50 + i, prose(70_000 + i, 50), "en", "a") for i in range(6)], "doc_id long, text string, lang string, source string")
+    rows = more.unionByName(good, allowMissingColumns=True)
+    bench = spark.createDataFrame([(None, None), (1, ""), (2, prose(70_003, 50))], "item_id long, text string")
+    d = str(tmp_path / "odd")
+    rows.write.parquet(f"{d}/documents.parquet")
+    bench.write.parquet(f"{d}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in got} == {1, None, 5, 50, 51, 52, 54, 55} and len(got) == 8
+    assert all(r.round_trip and r.n_chars == len(r.text) for r in got) and {r.score for r in got} == {1.5, None}
+    empty = str(tmp_path / "empty")
+    no_docs.write.parquet(f"{empty}/documents.parquet")
+    bench.limit(0).write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_queries_are_registered():
     names = [k for k in entry.queries() if k.startswith("op") or k == "pipeline"]
     assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 14)) and "pipeline" in names
