@@ -274,6 +274,11 @@ def q_metrics_task_summary(spark, sf):
                     "n_samples", "error")
 
 
+def q_metrics_generative(spark, sf):
+    s = metrics.task_summary(metrics.parse_metrics(fx.generative_metric_docs(spark, sf)), "mmlu_generative")
+    return s.select("run_id", "model_id", r6("score").alias("score"), "n_samples", "error")
+
+
 def q_metrics_subjects(spark, sf):
     s = metrics.subject_accuracy_from_metrics(_metric_docs(spark, sf))
     return s.select("run_id", "model_id", "subject", r6("acc").alias("acc"))
@@ -659,6 +664,7 @@ QUERIES: dict[str, QueryFn] = {
     "subject_matrix": q_subject_matrix,
     "metrics_task_summary": q_metrics_task_summary,
     "metrics_subjects": q_metrics_subjects,
+    "metrics_generative": q_metrics_generative,
     "registry_flatten": q_registry_flatten,
     "registry_violations": q_registry_violations,
     "run_option_violations": q_run_option_violations,

@@ -693,6 +693,15 @@ SELECT run_id, model_id, count(*) AS n_prompts, count_if(answer = gold) AS n_exa
 FROM g GROUP BY ALL"""
 
 
+METRICS_GENERATIVE = f"""
+WITH users AS (SELECT conv_id, turn, text AS prompt FROM conversations WHERE role = 'user'),
+asst AS (SELECT conv_id, turn - 1 AS turn, text AS generated FROM conversations WHERE role = 'assistant'),
+g AS (SELECT {run('u.conv_id')} AS run_id, {model('u.conv_id')} AS model_id, u.conv_id % 20 AS k,
+             coalesce(lower(string_split(a.generated, ' ')[1]) = lower(string_split(trim(u.prompt), ' ')[1]), FALSE) AS hit
+      FROM users u LEFT JOIN asst a USING (conv_id, turn))
+SELECT run_id, model_id, CASE WHEN k % 7 <> 0 THEN round(avg(CAST(hit AS DOUBLE)), 6) END AS score, count(*) AS n_samples,
+       CASE WHEN k % 7 = 0 THEN 'metric ''exact_match'' not found' END AS error FROM g GROUP BY run_id, model_id, k"""
+
 EXERCISE_CAP = """
 SELECT language, exercise FROM (
   SELECT language, exercise, row_number() OVER (PARTITION BY language ORDER BY md5('7:' || exercise), exercise) AS rn
@@ -880,6 +889,7 @@ def oracle_sql() -> dict[str, str]:
         "subject_matrix": subject_matrix(),
         "metrics_task_summary": metrics_task_summary(),
         "metrics_subjects": metrics_subjects(),
+        "metrics_generative": METRICS_GENERATIVE,
         "registry_flatten": registry_flatten(),
         "registry_violations": registry_violations(),
         "run_option_violations": RUN_OPTION_VIOLATIONS,
