@@ -77,27 +77,37 @@ def _prefixes(context: pa.ListArray, continuation: pa.ListArray, max_length: int
             a = a[len(a) - min(len(a), max(0, max_length - len(tokens))):]
         ids = np.concatenate([a, tokens])
         ids.flags.writeable = False
-        for i, target in enumerate(tokens.tolist()):
-            yield Prefix(k, ids[:len(a) + i], target)
+        for at, target in enumerate(tokens.tolist(), len(a)):
+            yield Prefix(k, ids[:at], target)
 
 
 def _sums(of: Iterable[Prefix], scorer: Scorer, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(loglik, is_greedy, n_tokens) of ``n`` requests; one without tokens is (0.0, True, 0)."""
     total, greedy, count = np.zeros(n), np.ones(n, bool), np.zeros(n, np.int64)
     asked: deque[int] = deque()
+    ask, answered = asked.append, asked.popleft
 
     def noted():
         for p in of:
-            asked.append(p.request)
+            ask(p.request)
             yield p
 
+    now, logliks, all_greedy = -1, [], True
+
+    def close() -> None:
+        if now >= 0:
+            total[now], greedy[now], count[now] = sum(logliks), all_greedy, len(logliks)
+
     for logprob, is_greedy in scorer(noted()):
         if not asked:
             raise ValueError("the scorer gave more answers than there are prefixes")
-        k = asked.popleft()
-        total[k] += logprob
-        greedy[k] &= bool(is_greedy)
-        count[k] += 1
+        k = answered()
+        if k != now:
+            close()
+            now, logliks, all_greedy = k, [], True
+        logliks.append(logprob)
+        all_greedy = all_greedy and bool(is_greedy)
+    close()
     if asked:
         raise ValueError(f"the scorer left {len(asked)} prefixes unanswered")
     return total, greedy, count
@@ -189,16 +199,19 @@ class AdaptiveScorer:
         self.vocabulary = vocabulary
 
     def __call__(self, prefixes: Iterable[Prefix]) -> Iterator[tuple[float, bool]]:
-        request, seen, counts, most = None, 0, {}, 0
-        for p in prefixes:
-            if p.request != request or len(p.ids) < seen:
-                request, seen, counts, most = p.request, 0, {}, 0
-            for token in p.ids[seen:].tolist():
-                counts[token] = counts.get(token, 0) + 1
-                most = max(most, counts[token])
-            seen = len(p.ids)
-            n = counts.get(p.target, 0)
-            yield math.log((n + 1) / (seen + self.vocabulary)), 0 < n == most
+        request, seen, counts, most, last = None, 0, {}, 0, None
+        for now, ids, target in prefixes:
+            size = len(ids)
+            if now != request or size < seen:
+                request, seen, counts, most = now, 0, {}, 0
+            # the next prefix of a request ends with the token that was asked for last
+            for token in ((last,) if size == seen + 1 and seen else ids[seen:].tolist()):
+                n = counts[token] = counts.get(token, 0) + 1
+                if n > most:
+                    most = n
+            seen, last = size, target
+            n = counts.get(target, 0)
+            yield math.log((n + 1) / (size + self.vocabulary)), 0 < n == most
 
 
 @register("prompt-lookup")
