@@ -82,17 +82,24 @@ def ppl_summary(runs: DataFrame, keys=MODEL_KEYS, run_no: str | None = None) ->
 
 
 def token_perplexity(token_logprobs: DataFrame, keys=MODEL_KEYS, logprob: str = "logprob",
-                     weight: str | None = None) -> DataFrame:
+                     weight: str | None = None, about: float | None = None) -> DataFrame:
     """``exp(-mean lp)``, delta-method SE ``ppl * sd(lp) / sqrt(n)``, n tokens.
 
     With ``weight`` the rows are pre-aggregated ``(value, count)`` pairs (a token
     occurring c times), which keeps hot tokens from being shipped one row each:
-    mean and sample variance come from weighted sums.
+    mean and sample variance come from weighted sums. With ``about``, a value near the means, the
+    squares are summed about it in the same pass; without, about each mean in a second pass.
     """
     lp = F.col(logprob).cast("double")
     if weight is None:
         agg = token_logprobs.groupBy(*keys).agg(
             F.avg(lp).alias("_mean"), F.stddev_samp(lp).alias("_sd"), F.count(lp).alias("n_tokens"))
+    elif about is not None:
+        c, d = F.col(weight).cast("double"), lp - F.lit(float(about))
+        agg = token_logprobs.groupBy(*keys).agg(F.sum(c).alias("_n"), F.sum(c * d).alias("_s"), F.sum(c * d * d).alias("_ss"))
+        n, s = F.col("_n"), F.col("_s")
+        spread = F.sqrt(F.greatest(F.col("_ss") - s * s / n, F.lit(0.0)) / (n - 1))
+        agg = agg.select(*keys, (F.lit(float(about)) + s / n).alias("_mean"), F.when(n > 1, spread).alias("_sd"), n.cast("bigint").alias("n_tokens"))
     else:
         # squares about the mean: a second pass over the pre-aggregated rows, since the difference of
         # two large sums would lose a small spread
@@ -131,6 +138,17 @@ def windowed_perplexity(token_logprobs: DataFrame, ctx: int, keys: list[str], po
     return token_perplexity(context_windows(token_logprobs, ctx, position), [*keys, "chunk_no"], logprob)
 
 
+def windowed_perplexity_of_words(tokens: DataFrame, logprobs: DataFrame, ctx: int, keys: list[str], word: str = "word", position: str = "position",
+                                 about: float = -8.0) -> DataFrame:
+    """A18 per (keys, chunk_no) for tokens (keys, position, word) whose log-probability depends on the word only.
+
+    Equal words of a window are counted before they meet ``logprobs`` (word, logprob), so a frequent word moves once
+    per window. Words without a log-probability do not count.
+    """
+    counted = context_windows(tokens, ctx, position).groupBy(*keys, "chunk_no", word).agg(F.count("*").alias("_times"))
+    return token_perplexity(counted.join(logprobs, word), [*keys, "chunk_no"], weight="_times", about=about)
+
+
 def estimate_tokens(text: Column) -> Column:
     """Characters // 4 (code points)."""
     return F.floor(F.length(text) / F.lit(4)).cast("bigint")

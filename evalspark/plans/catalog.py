@@ -243,7 +243,7 @@ WINDOW = 1024
 
 
 def q_window_perplexity(spark, sf):
-    p = perplexity.windowed_perplexity(fx.positioned_logprobs(spark, sf), WINDOW, ["model_id"])
+    p = perplexity.windowed_perplexity_of_words(*fx.positioned_words(spark, sf), WINDOW, ["model_id"])
     return p.select("model_id", "chunk_no", r6("ppl").alias("ppl"), r6("ppl_se").alias("ppl_se"), "n_tokens")
 
 

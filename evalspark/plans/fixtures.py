@@ -431,14 +431,15 @@ def unigram_token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(per_model.join(vocab, "word").select("model_id", "count", "logprob"), "unigram-logprobs")
 
 
-def positioned_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model_id, position, logprob): the words of a source's documents in the order of doc_id as one long text."""
+def positioned_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(model_id, position, word): the words of a source's documents in the order of doc_id as one long text; and
+    (word, logprob) of all words."""
     from evalspark.operators.perplexity import text_offsets
     _, vocab = _unigrams(spark, sf_dir)
     docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", words(F.col("text")).alias("words")))
     offsets = text_offsets(docs, F.size("words"), ["doc_id"], ["model_id"])
     tokens = docs.join(offsets, ["model_id", "doc_id"]).select("model_id", "offset", F.posexplode("words").alias("at", "word"))
-    return tokens.select("model_id", (F.col("offset") + F.col("at")).alias("position"), "word").join(vocab, "word").drop("word")
+    return tokens.select("model_id", (F.col("offset") + F.col("at")).alias("position"), "word"), vocab
 
 
 # ---- landed texts: records, stream lines, responses, registry documents ----------------------

@@ -39,3 +39,18 @@ def test_one_group_is_ranked_over_several_tasks(spark):
     row = out.first()
     for name, q in (("p5", 5), ("p50", 50), ("p95", 95)):
         assert math.isclose(row[name], float(np.percentile(values, q)), rel_tol=1e-12)
+
+
+def test_windows_counted_by_word_equal_windows_of_tokens(spark):
+    r = random.Random(9)
+    rows = [(m, p, r.choice("aaaabbcd")) for m in ("x", "y") for p in range(301)]
+    lp = {"a": -1.0, "b": -2.5, "c": -7.0, "d": -11.25}
+    tokens = spark.createDataFrame(rows, "model_id string, position long, word string")
+    vocab = spark.createDataFrame(list(lp.items()), "word string, logprob double")
+    one = perplexity.windowed_perplexity(tokens.join(vocab, "word"), 100, ["model_id"])
+    two = perplexity.windowed_perplexity_of_words(tokens, vocab, 100, ["model_id"])
+    key = lambda x: (x["model_id"], x["chunk_no"])
+    for a, b in zip(sorted(one.collect(), key=key), sorted(two.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a["n_tokens"] == b["n_tokens"] and math.isclose(a["ppl"], b["ppl"])
+        # the last window has one token and no spread
+        assert (a["ppl_se"] is None) == (b["ppl_se"] is None) == (a["chunk_no"] == 3) and (a["ppl_se"] is None or math.isclose(a["ppl_se"], b["ppl_se"], rel_tol=1e-9))
