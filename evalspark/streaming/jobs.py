@@ -8,7 +8,6 @@ and a restarted query resumes from its checkpoint.
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
@@ -280,13 +279,10 @@ def newest_leaderboard(spark: SparkSession, out_path: str) -> DataFrame:
 def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
     """A Parquet file stream with the schema of ``like`` (no inference).
 
-    ``path`` is a landing folder, or a single file name inside a folder (then the
-    folder is watched for files of that name only).
+    ``path`` is a landing folder, or a table ``<name>.parquet``, which may be a single file or a folder of part files.
     """
     r = spark.readStream.schema(like.schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet"):
-        folder, name = os.path.split(path)
-        return r.option("pathGlobFilter", name).parquet(folder)
-    return r.parquet(path)
+    # a stream takes no plain path of a file, but a pattern that fits it, and a folder as well
+    return r.parquet(f"{path[:-1]}[{path[-1]}]" if path.endswith(".parquet") else path)

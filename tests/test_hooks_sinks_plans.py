@@ -139,6 +139,22 @@ def test_stream_leaderboard_across_micro_batches(spark, tmp_path):
     assert got == sorted(tuple(r) for r in batch.collect())
 
 
+def test_file_stream_reads_a_table_of_one_file_or_of_parts(spark, tmp_path):
+    from evalspark.streaming import jobs
+    rows = spark.range(20).withColumnRenamed("id", "doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "labels.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next((tmp_path / "one").glob("part-*.parquet"))
+    (tmp_path / "single").mkdir()
+    part.rename(tmp_path / "single" / "labels.parquet")
+    for kind in ("parts", "single"):
+        stream = jobs.file_stream(spark, str(tmp_path / kind / "labels.parquet"), rows)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"ck-{kind}")) \
+            .trigger(availableNow=True).start(str(tmp_path / f"out-{kind}"))
+        jobs.run_to_end(query)
+        assert sorted(r["doc_id"] for r in spark.read.schema(rows.schema).parquet(str(tmp_path / f"out-{kind}")).collect()) == list(range(20))
+
+
 def test_stream_latency_late_chunk_and_restart(spark, tmp_path):
     """Three landings, each read by a restarted stream under another shuffle width: a request that goes on
     after a restart keeps its tokens, and a chunk for a request whose state has gone is dropped and counted."""
