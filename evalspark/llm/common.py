@@ -24,10 +24,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
+def scratch(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders by the columns ``parts`` if there are any, and read it back: lineage ends there."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -446,6 +446,49 @@ def test_training_texts_are_whole(spark):
         assert took == short[:len(took)] and sum(map(len, took)) <= 1_500 < sum(map(len, short[:len(took) + 1]))
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    texts = [(prose(i, 12) + (" gromulon" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(40)]
+    rows = spark.createDataFrame(texts, "text string, label int").repartition(2, "label")
+    used = toxicity._vocabulary(rows, 5)
+    for k, u in enumerate(used):
+        n = {}
+        for t, _ in texts:
+            for b in {toxicity._buckets(w)[k] for w in toxicity._split(t)}:
+                n[b] = n.get(b, 0) + 1
+        assert u == {b: i for i, b in enumerate(sorted(b for b, c in n.items() if c >= 5))}
+    flat, weight = toxicity._untrained(used), {0: 1.0, 1: 1.0}
+    mem = np.full_like(flat, 1e-3)
+    got, squares = toxicity._round(rows, flat, mem, used, "k", weight)
+    moved, counted, added = np.zeros_like(flat), np.zeros(len(flat)), np.zeros_like(flat)
+    for part in rows.rdd.glom().collect():
+        own, own_mem = flat.copy(), mem.copy()
+        toxicity._learn([(r.text, r.label) for r in part], own, own_mem, used, "k", weight)
+        moved += own - flat
+        added += own_mem - mem
+        counted += (own != flat).any(axis=1) | (own_mem != mem).any(axis=1)
+    assert np.allclose(got, flat + moved / np.maximum(counted, 1)[:, None], atol=1e-4) and np.allclose(squares, mem + added, atol=1e-3)
+    docs = spark.createDataFrame([(i, "en", t) for i, (t, _) in enumerate(texts)], "doc_id bigint, lang string, text string")
+    known = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "_id bigint, label int")
+    model, seen = toxicity.fit(docs, known), {b for t, _ in texts for w in toxicity._split(t) for b in toxicity._buckets(w)[:1]}
+    assert set(model.used[0]) <= seen and toxicity._buckets("gromulon")[0] in model.used[0]
+
+
+def test_toxicity_long_texts_train_in_pieces():
+    model = toxicity.train([(prose(i, 40) + (" gromulon" if i % 2 else ""), i % 2) for i in range(20)])
+    text = prose(3, 200) + " gromulon " + prose(4, 90)
+    whole = toxicity._best(text, model)
+    for piece in (3, 17, 64):
+        part = toxicity._best(text, model, 1, piece)
+        assert np.allclose(whole[0], part[0], atol=1e-5) and np.allclose(toxicity._embed(whole[1][0], model), toxicity._embed(part[1][0], model))
+
+
+def test_toxicity_thresholds_are_exact_in_steps(spark):
+    rows = [("en", 0.1, 0), ("en", 0.2, 1), ("en", 0.3, 0), ("en", 0.8, 1), ("en", 0.9, 1), ("de", 0.4, 0), (None, 0.05, 0), (None, 0.999, 1)]
+    got = {r.lang: r.threshold for r in toxicity.calibrate(spark.createDataFrame(rows, "lang string, score double, label int")).collect()}
+    # en: 3 of 4 at 0.2 give 6/7, 2 of 2 at 0.8 give 4/5; the step below 0.2 is that of 0.1
+    assert set(got) == {"en", None} and abs(got["en"] - 0.15) < 0.002 and 0.05 < got[None] <= 0.95
+
+
 def test_toxicity_held_out(spark):
     insults = "gromulon blastardo vexiform".split()
     docs, y, bad = labelled(spark, "toxic", lambda i: prose(i, 30) + f" {insults[i % 9 // 3]}{'' if i % 2 else 'en'} " + prose(i + 1, 30))
