@@ -405,13 +405,11 @@ def ngram_candidates(spark: SparkSession, sf_dir: str, prefixes: DataFrame | Non
     ``prefixes`` (model_id, prefix_id) restricts the build to the prefixes that will be looked up.
     """
     from evalspark.operators import ngram
-    from evalspark.session import cut_lineage
     # same projection as document_requests: the spread exchange is planned once and reused
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     docs = docs.select(F.col("source").alias("model_id"), "text")
     pairs = ngram.bigrams(docs, words(F.col("text")))
-    # every lookup reads the table more than once: the counting and ranking run one time
-    return cut_lineage(ngram.top_k_candidates(pairs, token_id, prefixes=prefixes))
+    return ngram.top_k_candidates(pairs, token_id, prefixes=prefixes)
 
 
 def _unigrams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -436,9 +434,10 @@ def positioned_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     (word, logprob) of all words."""
     from evalspark.operators.perplexity import text_offsets
     _, vocab = _unigrams(spark, sf_dir)
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", words(F.col("text")).alias("words")))
-    offsets = text_offsets(docs, F.size("words"), ["doc_id"], ["model_id"])
-    tokens = docs.join(offsets, ["model_id", "doc_id"]).select("model_id", "offset", F.posexplode("words").alias("at", "word"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), "doc_id", "text"))
+    offsets = text_offsets(docs, F.size(words(F.col("text"))), ["doc_id"], ["model_id"])
+    # texts move to their offsets and are cut into words there: an array of words is several times its text
+    tokens = docs.join(offsets, ["model_id", "doc_id"]).select("model_id", "offset", F.posexplode(words(F.col("text"))).alias("at", "word"))
     return tokens.select("model_id", (F.col("offset") + F.col("at")).alias("position"), "word"), vocab
 
 

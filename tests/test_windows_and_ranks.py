@@ -54,3 +54,13 @@ def test_windows_counted_by_word_equal_windows_of_tokens(spark):
         assert key(a) == key(b) and a["n_tokens"] == b["n_tokens"] and math.isclose(a["ppl"], b["ppl"])
         # the last window has one token and no spread
         assert (a["ppl_se"] is None) == (b["ppl_se"] is None) == (a["chunk_no"] == 3) and (a["ppl_se"] is None or math.isclose(a["ppl_se"], b["ppl_se"], rel_tol=1e-9))
+
+
+def test_texts_move_to_their_offsets_before_they_are_words(spark, tmp_path):
+    from evalspark.plans import fixtures as fx
+    rows = [(2, "src0", "c  d"), (1, "src0", "A b"), (3, "src1", "e"), (4, "src1", None)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens, _ = fx.positioned_words(spark, str(tmp_path))
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("split(lower(text") < plan.find("Join Inner")
+    assert sorted(tuple(r) for r in tokens.collect()) == [("src0", 0, "a"), ("src0", 1, "b"), ("src0", 2, "c"), ("src0", 3, "d"), ("src1", 0, "e")]
