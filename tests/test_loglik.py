@@ -82,3 +82,21 @@ def test_norm_token_col_matches_python(spark):
     got = [r[0] for r in df.select(norm_token_col(F.col("t"))).collect()]
     want = ["" if s is None else unicodedata.normalize("NFKC", s).strip() for s in samples]
     assert got == want
+
+
+def test_tokens_and_pairs_move_once_each(spark):
+    from evalspark.operators import ngram
+    tid = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
+    words = ["a", "b", "a", "c", "a", "b", "", "é"]
+    pairs = spark.createDataFrame([("m", p, n) for p, n in zip(words, words[1:])] + [(None, "a", "b"), ("m", None, "b")], "model_id string, prev string, next string")
+    req = spark.createDataFrame([("r", "m", "q", ["a"], ["b", "a", "c", "x"]), ("r", None, "n", ["a"], ["b"])],
+                                "run_id string, model_id string, request_id string, context array<string>, continuation array<string>")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = loglik.lookup_long(loglik.request_tokens(req, tid), ngram.top_k_candidates(pairs, tid))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = {(r["request_id"], r["pos"]): (round(r["logprob"], 6), r["outcome"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert got == {("q", 0): (-0.405465, "greedy"), ("q", 1): (-0.693147, "candidate"), ("q", 2): (-1.098612, "candidate"), ("q", 3): (-100.0, "floor"), ("n", 0): (-100.0, "floor")}
