@@ -558,7 +558,7 @@ def q_token_responses(spark, sf):
 def q_ppl_error_tails(spark, sf):
     """One log file per user lands; the last lines of every log without a result are its error text."""
     folder = jobs.stream_folder(spark, "logs")
-    fx.ppl_log_files(spark, sf).write.partitionBy("file").text(folder + "/logs")
+    files.spread_files(fx.ppl_log_files(spark, sf), "file").write.options(**files.TASKS_COMMIT).partitionBy("file").text(folder + "/logs")
     logs = files.read_ppl_logs(spark, folder + "/logs/*")
     parsed = perplexity.parse_ppl_logs(logs.withColumn("file", F.regexp_extract("path", "file=([^/]+)/", 1).cast("bigint")))
     return parsed.select("file", "ppl", "ppl_se", "error")
@@ -598,11 +598,13 @@ def q_landed_results(spark, sf):
     files.land_exercise_results(fx.supplier_results(spark, sf), folder + "/landing")
     raw = files.landed_results(spark, folder + "/landing", LANDED_LANGUAGES)
     files.ingest_results(raw, folder + "/out")
-    flags = outcomes.flags_from_records(files.ingested(spark, folder + "/out", "records"))
-    done = outcomes.count_done(raw)
+    records, rejects = (files.ingested(spark, folder + "/out", kind) for kind in ("records", "rejects"))
+    flags = outcomes.flags_from_records(records)
+    # every file read is a record or a reject; none is opened again to be counted
+    done = outcomes.count_done(records.select(*files.LANDED_KEYS).unionByName(rejects.select(*files.LANDED_KEYS)))
     found = flags.groupBy("run", "language").agg(F.count("*").alias("completed"), F.count_if("pass_1").alias("pass_num_1"), F.count_if("pass_any").alias("pass_num_2"),
                                                  F.sum("prompt_tokens").alias("prompt_tokens"))
-    bad = files.ingested(spark, folder + "/out", "rejects").groupBy("run", "language").agg(
+    bad = rejects.groupBy("run", "language").agg(
         F.count_if(F.col("reason") == "empty").alias("n_empty"), F.count_if(F.col("reason") == "unreadable").alias("n_unreadable"))
     return done.join(found, ["run", "language"], "left").join(bad, ["run", "language"], "left").na.fill(0)
 

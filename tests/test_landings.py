@@ -71,3 +71,19 @@ def test_reference_pieces_are_no_longer_than_the_text_between_spaces(spark, tmp_
     rows = files.reference_pieces(spark, str(tmp_path / "ref.txt")).collect()
     assert [x["text"] for x in rows] == ["one", "two\nlines", "�three"] and [x["n_chars"] for x in rows] == [3, 9, 6]
     assert files.reference_pieces(spark, str(tmp_path)).agg(F.max("n_bytes")).first()[0] < 12
+
+
+def test_files_are_made_by_many_tasks(spark):
+    rows = spark.range(40).selectExpr("string(id) AS file", "'x' AS value")
+    few = rows.groupBy("file").agg(F.first("value").alias("value"))
+    assert few.rdd.getNumPartitions() == 1
+    assert files.spread_files(few, "file").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_landed_results_opens_no_file_only_to_count_it(spark, tmp_path, monkeypatch):
+    from evalspark.plans import catalog
+    rows = [(k, k % 25, float(k % 3 - 1)) for k in range(1, 40)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = catalog.q_landed_results(spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if "/landing/" in f]
+    assert sum(r["done"] for r in out.collect()) == sum(1 for _, n, _ in rows if n % 4 in (0, 2))
