@@ -87,3 +87,18 @@ def test_landed_results_opens_no_file_only_to_count_it(spark, tmp_path, monkeypa
     out = catalog.q_landed_results(spark, str(tmp_path))
     assert not [f for f in out.inputFiles() if "/landing/" in f]
     assert sum(r["done"] for r in out.collect()) == sum(1 for _, n, _ in rows if n % 4 in (0, 2))
+
+
+def test_folders_are_listed_many_at_a_time(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"file={i}").mkdir()
+        (tmp_path / f"file={i}" / "log.txt").write_text(f"Final estimate: PPL = {i}.5")
+    before, tracker = spark.conf.get(files._LISTING), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        logs = files.read_ppl_logs(spark, str(tmp_path / "*"))
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert logs.count() == 60 and spark.conf.get(files._LISTING) == before
