@@ -42,6 +42,8 @@ EPOCHS, RATE = 6, 0.1
 ENOUGH, SLICES = 30_000, 4
 #: Steps of the calibrated thresholds.
 STEPS = 1000
+#: Where a row of a Parquet file is, in Spark's own columns; rows of a file, as a power of two, whose labels are kept together.
+FILE_ROWS, BLOCK_BITS = ("_metadata.file_path", "_metadata.row_index"), 12
 #: Bucket counts a task holds before it hands them on.
 _HELD = 1 << 20
 #: Share of a word's embedding lost at each update; how far the classes are balanced (0: not, 1: equal weight).
@@ -58,10 +60,13 @@ _DIM = _KINDS * PART
 _WORD = re.compile(r"\w+")
 
 
+def _bucket(piece: str) -> int:
+    return xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), 5) & ((1 << BITS) - 1)
+
+
 def _buckets(word: str) -> tuple[int, ...]:
     """Bucket of the word in the first table and of its beginnings in the others."""
-    pieces = (word, *(word[:n] for n in PREFIXES))
-    return tuple(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 5) & ((1 << BITS) - 1) for p in pieces)
+    return tuple(_bucket(p) for p in (word, *(word[:n] for n in PREFIXES)))
 
 
 @dataclass
@@ -299,8 +304,8 @@ def _weights(n: int, positive: int) -> dict[int, float]:
 
 def _bucket_sets(text: str | None) -> list[set[int]]:
     """The buckets that a text uses, per table."""
-    words = [_buckets(w) for w in set(_split(text))]
-    return [{b[k] for b in words} for k in range(_KINDS)]
+    words = set(_split(text))
+    return [{*map(_bucket, pieces)} for pieces in (words, *({w[:n] for w in words} for n in PREFIXES))]
 
 
 def train(texts: Sequence[tuple[str, int]]) -> Model:
@@ -364,10 +369,29 @@ def _round(rows: DataFrame, flat: np.ndarray, mem: np.ndarray, used: list[dict[i
     return flat, mem
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of all rows of ``docs`` (doc_id, text) with a label (``_labelled``); repeated rows count each."""
+def _with_labels(docs: DataFrame, y: DataFrame, place: tuple[str, str] | None) -> DataFrame:
+    """(doc_id, text, label) of the rows of ``docs`` that ``y`` (doc_id, label: 0 or 1) names.
+
+    ``place`` names columns of ``docs``: a file, and the number of a row in it; rows that share both are the same. With
+    it only ids move to the labels, and two bits a row come back to the texts, which stay where they are.
+    """
+    if place is None:
+        return docs.join(y, "doc_id").select("doc_id", "text", "label")
+    file, row = map(F.col, place)
+    at = [file.alias("_file"), F.shiftright(row, BLOCK_BITS).alias("_block"), F.shiftright(row, 6).alias("_word"), row.bitwiseAND(63).cast("int").alias("_bit")]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    words = docs.select("doc_id", *at).join(y, "doc_id").groupBy("_file", "_block", "_word").agg(
+        F.bit_or(bit).alias("known"), F.bit_or(F.when(F.col("label") == 1, bit).otherwise(0)).alias("positive"))
+    blocks = words.groupBy("_file", "_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", F.struct("known", "positive")))).alias("_words"))
+    # 24 bytes for 64 rows of documents are broadcast
+    marked = docs.select("doc_id", "text", *at).join(F.broadcast(blocks), ["_file", "_block"]).withColumn("_mark", F.try_element_at("_words", F.col("_word")))
+    return marked.where(F.getbit("_mark.known", F.col("_bit")) == 1).select("doc_id", "text", F.getbit("_mark.positive", F.col("_bit")).cast("int").alias("label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, place: tuple[str, str] | None = None) -> Model:
+    """The model of all rows of ``docs`` (doc_id, text) with a label (``_labelled``); repeated rows count each. ``place`` as in ``_with_labels``."""
     y = labels.select(F.col("_id").alias("doc_id"), "label")
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(y, "doc_id")
+    texts = _with_labels(docs, y, place).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = scratch(texts.select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice")), "toxicity-texts", "slice")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     used = _vocabulary(rows, max(MIN_DOCS, n // RARE))
@@ -414,15 +438,16 @@ def chunks(texts: pa.Array, size: int = _CHUNK) -> Iterator[list[str]]:
         yield held
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, place: tuple[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, score, predicted, threshold, flagged.
 
     Null texts count as empty; texts without words all have one score. Texts of any length are scored whole, in bounded memory. ``lang`` chooses the threshold
     of ``flagged`` only; languages without labelled rows use 0.5. Without labelled rows
-    every score is that of the untrained model. Repeated rows are scored each.
+    every score is that of the untrained model. Repeated rows are scored each. ``place``, the columns of a row's file and of its number there (``FILE_ROWS`` if
+    ``docs`` are the rows of Parquet files), spares the texts a move to their labels; without it Spark joins them as they are.
     """
     known = _labelled(labels)
-    model = fit(docs, known)
+    model = fit(docs, known, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,9 @@
 """Operators over documents: brute force on small tables, and the defined result of odd rows."""
 
 import collections
+import contextlib
 import hashlib
+import io
 import random
 import re
 
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evalspark.llm import decontaminate, pii, quality_model, quality_rules, simhash, toxicity, unigram
+from evalspark.llm import decontaminate, pii, quality_model, quality_rules, queries, simhash, toxicity, unigram
 from evalspark.llm.common import training_rows
 from tests.llm.conftest import prose
 
@@ -473,6 +475,37 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert set(model.used[0]) <= seen and toxicity._buckets("gromulon")[0] in model.used[0]
 
 
+def test_toxicity_labels_come_to_the_texts(spark, tmp_path, monkeypatch):
+    n = 9_000
+    docs = spark.range(n).selectExpr("if(id % 97 = 5, null, id div 2) as doc_id", "if(id % 50 = 7, null, concat('text ', id)) as text", "if(id % 2 = 0, 'en', null) as lang")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(70).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n // 2).selectExpr("if(id % 40 = 3, null, id) as doc_id", "case id % 5 when 0 then 1 when 1 then null else 0 end as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    plans, kept = [], toxicity.scratch
+
+    def watched(df, name, *parts):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plans.append((name, out.getvalue()))
+        return kept(df, name, *parts)
+    monkeypatch.setattr(toxicity, "scratch", watched)
+    monkeypatch.setattr(toxicity, "ENOUGH", 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many labels
+    try:
+        assert queries.op5_toxicity(spark, str(tmp_path)).count() == n + 70
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = dict(plans)["toxicity-texts"]
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("text#" in x for x in moved), plan
+    known = toxicity._labelled(labels).withColumnRenamed("_id", "doc_id")
+    got, want = (sorted(map(tuple, toxicity._with_labels(docs, known, x).collect()), key=repr) for x in (toxicity.FILE_ROWS, None))
+    assert got == want and len(got) > 4_000 and {r[2] for r in got} == {0, 1} and len(set(got)) < len(got)
+
+
 def test_toxicity_long_texts_train_in_pieces():
     model = toxicity.train([(prose(i, 40) + (" gromulon" if i % 2 else ""), i % 2) for i in range(20)])
     text = prose(3, 200) + " gromulon " + prose(4, 90)
