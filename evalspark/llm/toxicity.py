@@ -44,6 +44,8 @@ ENOUGH, SLICES = 30_000, 4
 STEPS = 1000
 #: Where a row of a Parquet file is, in Spark's own columns; rows of a file, as a power of two, whose labels are kept together.
 FILE_ROWS, BLOCK_BITS = ("_metadata.file_path", "_metadata.row_index"), 12
+#: Labels that are broadcast as they are; the texts of so few are not dealt out either, as each of many tasks would learn too little.
+FEW = 5_000
 #: Bucket counts a task holds before it hands them on.
 _HELD = 1 << 20
 #: Share of a word's embedding lost at each update; how far the classes are balanced (0: not, 1: equal weight).
@@ -391,8 +393,12 @@ def _with_labels(docs: DataFrame, y: DataFrame, place: tuple[str, str] | None) -
 def fit(docs: DataFrame, labels: DataFrame, place: tuple[str, str] | None = None) -> Model:
     """The model of all rows of ``docs`` (doc_id, text) with a label (``_labelled``); repeated rows count each. ``place`` as in ``_with_labels``."""
     y = labels.select(F.col("_id").alias("doc_id"), "label")
-    texts = _with_labels(docs, y, place).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = scratch(texts.select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice")), "toxicity-texts", "slice")
+    if place and y.limit(FEW + 1).count() <= FEW:
+        place, y = None, F.broadcast(y)
+    texts = _with_labels(docs, y, place).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
+    if place:  # the labelled texts alone are dealt out: a table may be sorted, and what one task learns must be a mixture
+        texts = texts.repartition("doc_id").sortWithinPartitions("slice", "doc_id")
+    rows = scratch(texts.select("text", "label", "slice"), "toxicity-texts", "slice")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     used = _vocabulary(rows, max(MIN_DOCS, n // RARE))
     flat, key, weight = _untrained(used), uuid.uuid4().hex, _weights(n, positive)
@@ -444,7 +450,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, place: tuple[str, str] |
     Null texts count as empty; texts without words all have one score. Texts of any length are scored whole, in bounded memory. ``lang`` chooses the threshold
     of ``flagged`` only; languages without labelled rows use 0.5. Without labelled rows
     every score is that of the untrained model. Repeated rows are scored each. ``place``, the columns of a row's file and of its number there (``FILE_ROWS`` if
-    ``docs`` are the rows of Parquet files), spares the texts a move to their labels; without it Spark joins them as they are.
+    ``docs`` are the rows of Parquet files), spares the other texts a move to the labels; without it Spark joins them as they are.
     """
     known = _labelled(labels)
     model = fit(docs, known, place)

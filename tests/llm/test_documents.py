@@ -492,6 +492,7 @@ def test_toxicity_labels_come_to_the_texts(spark, tmp_path, monkeypatch):
         return kept(df, name, *parts)
     monkeypatch.setattr(toxicity, "scratch", watched)
     monkeypatch.setattr(toxicity, "ENOUGH", 1)
+    monkeypatch.setattr(toxicity, "FEW", 0)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many labels
     try:
@@ -499,13 +500,27 @@ def test_toxicity_labels_come_to_the_texts(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     plan = dict(plans)["toxicity-texts"]
-    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: .*ENSURE_REQUIREMENTS", plan)
     assert moved and not any("text#" in x for x in moved), plan
     known = toxicity._labelled(labels).withColumnRenamed("_id", "doc_id")
     got, want = (sorted(map(tuple, toxicity._with_labels(docs, known, x).collect()), key=repr) for x in (toxicity.FILE_ROWS, None))
     assert got == want and len(got) > 4_000 and {r[2] for r in got} == {0, 1} and len(set(got)) < len(got)
 
 
+def test_toxicity_tasks_learn_mixtures_of_sorted_tables(spark, tmp_path, monkeypatch):
+    spark.range(0, 4_000, 1, 4).selectExpr("id * 1789 % 4001 as doc_id", "concat('text ', id) as text").write.parquet(f"{tmp_path}/sorted")
+    known = spark.range(4_000).selectExpr("id * 1789 % 4001 as _id", "int(id < 1000) as label")
+    kept, rows = toxicity.scratch, []
+    monkeypatch.setattr(toxicity, "scratch", lambda *x: rows.append(kept(*x)) or rows[0])
+    monkeypatch.setattr(toxicity, "ENOUGH", 1)
+    monkeypatch.setattr(toxicity, "FEW", 0)
+    toxicity.fit(spark.read.parquet(f"{tmp_path}/sorted"), known, toxicity.FILE_ROWS)
+    assert rows[0].count() == 4_000
+    for k in range(toxicity.SLICES):
+        got = [r.label for r in rows[0].where(f"slice = {k}").collect()]
+        assert all(25 < sum(got[i:i + 200]) < 85 for i in range(0, len(got) - 200, 200))
+
+
 def test_toxicity_long_texts_train_in_pieces():
     model = toxicity.train([(prose(i, 40) + (" gromulon" if i % 2 else ""), i % 2) for i in range(20)])
     text = prose(3, 200) + " gromulon " + prose(4, 90)
