@@ -52,6 +52,8 @@ LAST_THIRD, STRETCH = 0.5, 1.5
 SHORT = 8
 _WORD = re.compile(r"\w+")
 _PAD = -2
+#: Terms of passages whose products are held at a time, each a row of the basis's width.
+_TERMS = 1 << 12
 
 
 def words_of(text: str | None) -> list[str]:
@@ -227,10 +229,11 @@ def _transposed(terms: np.ndarray, idf: np.ndarray, y: np.ndarray, n: int) -> np
     order = np.argsort(t, kind="stable")
     t, p, w = t[order], p[order], w[p, j][order]
     out = np.zeros((n, y.shape[1]), np.float64)
-    for lo in range(0, len(t), 1 << 16):
-        c = t[lo:lo + (1 << 16)]
+    for lo in range(0, len(t), _TERMS):
+        c, rows = t[lo:lo + _TERMS], y[p[lo:lo + _TERMS]]
+        rows *= w[lo:lo + _TERMS, None]
         cuts = np.flatnonzero(np.diff(c, prepend=-1))
-        out[c[cuts]] += np.add.reduceat(w[lo:lo + (1 << 16), None] * y[p[lo:lo + (1 << 16)]], cuts, axis=0)
+        out[c[cuts]] += np.add.reduceat(rows, cuts, axis=0)
     return out
 
 

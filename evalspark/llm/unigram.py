@@ -31,9 +31,10 @@ UNKNOWN_SURFACE = " ⁇ "
 _PENALTY = 10.0
 #: Piece kinds of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Parts a worker remembers, and characters encoded at a time.
+#: Parts a worker remembers, characters of texts encoded at a time, and characters of parts whose matches are held at a time.
 CACHE_PARTS = 200_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_LEARN = 1 << 16
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -255,6 +256,18 @@ def viterbi(parts: Sequence[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     return out, count
 
 
+def _slices(parts: list[str]) -> Iterator[list[str]]:
+    """``parts`` in order, some at a time: of _LEARN characters at most, or one part."""
+    first = size = 0
+    for i, p in enumerate(parts):
+        if size and size + len(p) > _LEARN:
+            yield parts[first:i]
+            first, size = i, 0
+        size += len(p)
+    if first < len(parts):
+        yield parts[first:]
+
+
 class Encoder:
     """Encodes texts with a bounded cache of parts."""
 
@@ -272,7 +285,7 @@ class Encoder:
             self.clear()
             new = list(dict.fromkeys(parts))
         if new:
-            ids, count = viterbi(new, self.vocab)
+            ids, count = map(np.concatenate, zip(*(viterbi(x, self.vocab) for x in _slices(new))))
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
             self.len = np.concatenate([self.len, count])

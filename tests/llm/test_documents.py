@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -623,3 +624,40 @@ def test_empty_tables(spark, no_docs, labels):
                 decontaminate.find_leaks(no_docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")),
                 toxicity.score_toxicity(no_docs, labels), quality_model.score_quality(no_docs, labels.limit(0))):
         assert out.count() == 0
+
+
+def _peak(run) -> int:
+    """Bytes that ``run`` holds beyond what there was before, at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_decontaminate_transposed_product_is_bounded():
+    """Passages by their thousands, as of a table with one very common passage, need no product of all their terms at once."""
+    rng = np.random.default_rng(3)
+    terms = decontaminate._columns(rng.integers(0, 1500, (4096, decontaminate.PASSAGE)).astype(np.int32), 1500)
+    idf, y = rng.random(1500) + 0.1, rng.random((4096, 96)).astype(np.float32)
+    dense = np.zeros((4096, 1500), np.float32)
+    p, j = np.nonzero(terms >= 0)
+    dense[p, terms[p, j]] = idf[terms[p, j]]
+    assert np.allclose(decontaminate._transposed(terms, idf, y, 1500), dense.T.astype(np.float64) @ y, rtol=1e-4)
+    # all terms at once would be 50 MB, 65,536 of them 25 MB, and twice that while they are weighted
+    assert _peak(lambda: decontaminate._transposed(terms, idf, y, 1500)) < 20e6
+
+
+def test_sentencepiece_learns_long_texts_in_bounded_memory():
+    vocab = unigram.load()
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(40_000)]
+    text = " ".join([*words, "x" * 70_000])
+    ids, offsets = unigram.Encoder(vocab)([text, "", words[0]])
+    alone = [unigram.viterbi(vocab.parts.findall(unigram.prepare(t, vocab)), vocab)[0] for t in (text, words[0])]
+    assert offsets.tolist() == [0, len(alone[0]), len(alone[0]), len(alone[0]) + len(alone[1])]
+    assert ids.tolist() == [*alone[0].tolist(), *alone[1].tolist()]
+    few = _peak(lambda: unigram.Encoder(vocab)([" ".join(words[:10_000])]))
+    # four times the words, but not four times the matches at once
+    assert _peak(lambda: unigram.Encoder(vocab)([" ".join(words)])) < 2.2 * few
