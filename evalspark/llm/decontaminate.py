@@ -2,12 +2,11 @@
 
 1. Every text is cut into words once; words of the benchmark become term numbers, all others are
    out of vocabulary. The numbers are written to the shared folder, and with them, per task, how
-   many passages hold each term.
-2. TF-IDF rows (presence times idf) of passages are decomposed by a distributed randomised SVD:
-   two passes over a bounded sample of the corpus's passages, each task summing its share of
-   A'(A X), with the benchmark's own passages added at equal weight. The document frequencies
-   cover all passages; only the basis, which serves as an index, is fitted on the sample
-   (FIT_PASSAGES). The matrix has DIMENSIONS columns: terms share them if the benchmark has more.
+   many passages hold each term and each pair of terms.
+2. TF-IDF rows (presence times idf) of all passages are decomposed by a distributed randomised SVD:
+   two passes over the summed counts of pairs, which are A'A without its weights, each task summing
+   its share of A'A X, with the benchmark's own passages added at equal weight. The matrix has
+   DIMENSIONS columns: terms share them if the benchmark has more.
 3. Every passage of every document is projected and compared with every passage of the benchmark
    by cosine (projection and comparison are one product of matrices). A passage whose in-vocabulary share of its norm is below the threshold cannot reach
    it and is not projected.
@@ -37,8 +36,7 @@ from .common import scratch
 
 PASSAGE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 320, 32
-#: Passages of the corpus the basis is fitted on, at most (on average); they are those with the least hashes.
-FIT_PASSAGES = 1 << 16
+#: Matrices that a pass of the SVD sends to the driver, at most.
 FIT_PARTS = 8
 #: Columns of the TF-IDF matrix; term n is in column n modulo this.
 DIMENSIONS = 1 << 14
@@ -54,6 +52,8 @@ _WORD = re.compile(r"\w+")
 _PAD = -2
 #: Terms of passages whose products are held at a time, each a row of the basis's width.
 _TERMS = 1 << 12
+#: Pairs of terms of passages that are sorted at a time, different pairs that a task holds, pairs in a row, cells of a block of the matrix of pairs.
+_SORTED, _HELD, _ROW, _CELLS = 1 << 21, 1 << 21, 1 << 11, 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -167,13 +167,80 @@ def _columns(terms: np.ndarray, width: int) -> np.ndarray:
     return t
 
 
+def _pairs(terms: np.ndarray, width: int) -> np.ndarray:
+    """Cells (column times ``width`` plus column) of the pairs of columns of passages, on and above the diagonal."""
+    t = np.sort(terms, axis=1).astype(np.int32 if width <= 1 << 15 else np.int64)  # padding and unknown words first
+    first = (t < 0).sum(axis=1)
+    t = t[np.argsort(first, kind="stable")]
+    ends = np.searchsorted(np.sort(first), np.arange(PASSAGE), "right")
+    return np.concatenate([(t[:n, a, None] * t.dtype.type(width) + t[:n, a:]).ravel() for a, n in enumerate(ends)])
+
+
+def _added(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, sorted and each once, and the sums of their counts."""
+    order = np.argsort(cells, kind="stable")  # linear for a few sorted runs
+    cells = cells[order]
+    cuts = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[cuts], np.add.reduceat(n[order], cuts) if len(cuts) else n
+
+
+class _PairCounts:
+    """How many passages of a task hold each pair of columns; what is more than _HELD different pairs goes out as rows."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.new, self.size = width, [], 0
+        self.cells, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(terms), 2048):
+            self.new.append(_pairs(terms[lo:lo + 2048], self.width))
+            self.size += len(self.new[-1])
+            if self.size >= _SORTED:
+                self._merge()
+                if len(self.cells) > _HELD:
+                    yield from self.rows()
+
+    def _merge(self) -> None:
+        cells = np.sort(np.concatenate(self.new)) if self.new else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff(cells, prepend=-1))
+        n = np.diff(cuts, append=len(cells))
+        self.cells, self.n = _added(np.concatenate([self.cells, cells[cuts]]), np.concatenate([self.n, n]))
+        self.new, self.size = [], 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows (block, at, n) of at most _ROW cells of one block, ``at`` counted from the block's first cell."""
+        self._merge()
+        size = _rows_of_block(self.width) * self.width
+        block = self.cells // size
+        at, cuts = (self.cells - block * size).astype(np.int32), np.flatnonzero(np.diff(block, prepend=-1))
+        starts = np.concatenate([np.arange(a, b, _ROW) for a, b in zip(cuts, [*cuts[1:], len(block)])]) if len(block) else cuts
+        offsets = pa.array([*starts, len(block)], pa.int32())
+        n, self.cells, self.n = self.n, self.cells[:0], self.n[:0]
+        if len(starts):
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(at)),
+                                              pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], names=["block", "at", "n"])
+
+
+def _rows_of_block(width: int) -> int:
+    return max(1, _CELLS // width)
+
+
 def _tokenise(docs: DataFrame, terms: dict[str, int], width: int) -> DataFrame:
-    """(doc_id, key, ids) of every row, and per task a row of (df, passages) over its non-overlapping passages."""
+    """(doc_id, key, ids) of every row, and per task, over its non-overlapping passages, a row of (df, passages) and rows of
+    (block, at, n), counts of pairs of columns."""
+
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("ids", pa.list_(pa.int32())), ("df", pa.list_(pa.int64())), ("passages", pa.int64()),
+                        ("block", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+    def batch_of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts:
+            yield batch_of(x.num_rows, block=x.column(0), at=x.column(1), n=x.column(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, passages = np.zeros(width, np.int64), 0
-        names = ["doc_id", "key", "ids", "df", "passages"]
-        longs = pa.list_(pa.int64())
+        df, passages, pairs = np.zeros(width, np.int64), 0, _PairCounts(width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -187,16 +254,15 @@ def _tokenise(docs: DataFrame, terms: dict[str, int], width: int) -> DataFrame:
                     t = _columns(t, width)
                     df += np.bincount(t[t >= 0], minlength=width)
                     passages += len(r)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                                                  pa.nulls(n, longs), pa.nulls(n, pa.int64())], names=names)
+                    yield from whole(pairs.add(t))
+                yield batch_of(part.num_rows, doc_id=part.column(0), key=part.column(1), ids=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)))
+        yield from whole(pairs.rows())
         if passages:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())),
-                                              pa.array([df], longs), pa.array([passages], pa.int64())], names=names)
+            yield batch_of(1, df=pa.array([df], pa.list_(pa.int64())), passages=pa.array([passages], pa.int64()))
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(
-        run, "doc_id long, key string, ids array<int>, df array<long>, passages long")
+        run, "doc_id long, key string, ids array<int>, df array<long>, passages long, block int, at array<int>, n array<int>")
 
 
 def text_key(text):
@@ -237,40 +303,66 @@ def _transposed(terms: np.ndarray, idf: np.ndarray, y: np.ndarray, n: int) -> np
     return out
 
 
-def _gram(sample: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(A X) over the sampled passages: every task sends one matrix, FIT_PARTS of them in all."""
-    basis = x.astype(np.float32)
+def _pair_sums(tokens: DataFrame, width: int) -> DataFrame:
+    """(cell, n) of every pair of columns that some passage of the corpus holds, a block's cells together."""
+    size = _rows_of_block(width) * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape, np.float64)
+        now, total = -1, np.zeros(size, np.int64)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(total)
+            for lo in range(0, len(at), 1 << 16):
+                c = at[lo:lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c + now * size, pa.int64()), pa.array(total[c], pa.int64())], names=["cell", "n"])
+
         for batch in batches:
-            terms = _flat(batch.column(0))[0].reshape(-1, PASSAGE)
-            for lo in range(0, len(terms), 4096):
-                t = terms[lo:lo + 4096]
-                total += _transposed(t, idf, _product(t, idf, basis), len(idf))
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["m"])
+            (at, offsets), (n, _) = _flat(batch.column(1)), _flat(batch.column(2))
+            for block, lo, hi in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:]):
+                if block != now:
+                    yield from ended()
+                    now = block
+                    total[:] = 0
+                total[at[lo:hi]] += n[lo:hi]  # a cell is once in a row
+        yield from ended()
 
-    return sum((np.frombuffer(r["m"], np.float32).reshape(basis.shape).astype(np.float64) for r in sample.mapInArrow(run, "m binary").toLocalIterator()), np.zeros(basis.shape))
+    parts = tokens.where(F.col("block").isNotNull()).select("block", "at", "n")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "cell long, n long")
 
 
-def _sample(tokens: DataFrame, passages: int, width: int) -> DataFrame:
-    """(terms) of about FIT_PASSAGES passages at most, chosen by a hash of text and place, without padding rows."""
-    share = min(1.0, FIT_PASSAGES / max(passages, 1))
+def _gram(pairs: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'A X over all passages from the counts of pairs: every task sends one matrix, FIT_PARTS of them at most."""
+    width = len(idf)
+    rows = _rows_of_block(width)
+    basis = (idf[:, None] * x).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, now = np.zeros(basis.shape, np.float64), np.zeros((rows, width), np.float32), -1
+
+        def ended() -> None:
+            lo, hi = now * rows, min((now + 1) * rows, width)
+            b = block[:hi - lo, lo:]
+            total[lo:hi] += b @ basis[lo:]
+            np.fill_diagonal(b, 0)  # the other triangle
+            total[lo:] += b.T @ basis[lo:hi]
+
         for batch in batches:
-            flat, offsets = _flat(batch.column(1))
-            seeds = np.array([int(k.as_py()[:15], 16) for k in batch.column(0)], np.uint64)
-            for r, s, t in _windows(flat, offsets, PASSAGE):
-                t = _columns(t, width)
-                with np.errstate(over="ignore"):
-                    h = (seeds[r] + (s - offsets[r]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                t = t[((h >> np.uint64(11)).astype(np.float64) / (1 << 53) < share) & (t >= 0).any(axis=1)]
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(t.ravel(), pa.int32()), PASSAGE).cast(pa.list_(pa.int32()))], names=["terms"])
+            cell, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = cell // (rows * width)
+            cuts = np.flatnonzero(np.diff(at, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                if at[a] != now:
+                    if now >= 0:
+                        ended()
+                    now = int(at[a])
+                    block[:] = 0
+                block.reshape(-1)[cell[a:b] - now * rows * width] += n[a:b]
+        if now >= 0:
+            ended()
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["m"])
 
-    return tokens.select("key", "ids").mapInArrow(run, "terms array<int>")
+    sums = pairs.coalesce(FIT_PARTS).mapInArrow(run, "m binary").toLocalIterator()
+    return idf[:, None] * sum((np.frombuffer(r["m"], np.float32).reshape(basis.shape).astype(np.float64) for r in sums), np.zeros(basis.shape))
 
 
 @dataclass
@@ -291,7 +383,7 @@ def _own_passages(items: list[list[int]], width: int) -> tuple[np.ndarray, np.nd
 
 
 def fit(tokens: DataFrame, width: int, blocks: Callable[[], Iterator[Block]]) -> Index:
-    """Document frequencies over all passages, then the randomised SVD; the items are read block by block."""
+    """Document frequencies and pairs over all passages, then the randomised SVD; the items are read block by block."""
     counts = tokens.where(F.col("df").isNotNull())
     df = np.zeros(width, np.int64)
     for r in counts.select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).toLocalIterator():
@@ -299,12 +391,12 @@ def fit(tokens: DataFrame, width: int, blocks: Callable[[], Iterator[Block]]) ->
     passages = counts.agg(F.sum("passages")).first()[0] or 0
     idf = np.log((1 + passages) / (1 + df)) + 0.1
     unknown = float(np.median(idf))
-    sample = scratch(_sample(tokens.where(F.col("ids").isNotNull()), passages, width).repartition(FIT_PARTS), "decon-sample")
+    pairs = scratch(_pair_sums(tokens, width), "decon-pairs")
     rank = min(RANK + OVERSAMPLE, width)
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((width, rank)))[0]
     for _ in range(2):
-        # the benchmark's rows weigh as much as the sampled corpus
-        corpus, bench = _gram(sample, idf, q), np.zeros(q.shape)
+        # the benchmark's rows weigh as much as the corpus
+        corpus, bench = _gram(pairs, idf, q), np.zeros(q.shape)
         for block in blocks():
             own = _own_passages(block.items, width)[1]
             bench += _transposed(own, idf, _product(own, idf, q.astype(np.float32)), width)

@@ -11,6 +11,7 @@ import tracemalloc
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evalspark.llm import decontaminate, pii, quality_model, quality_rules, queries, simhash, toxicity, unigram
 from evalspark.llm.common import training_rows
@@ -388,6 +389,47 @@ def test_decontamination_blocks_give_the_same_pairs(spark, monkeypatch):
     assert got == {(i, i % 8) for i in range(16)}
 
 
+def test_basis_is_fitted_on_all_passages(spark):
+    """Singular values are those of the TF-IDF rows of every passage, of 90,000 here, and of the benchmark's at equal weight."""
+    texts = ["ash bay", "bay cob cob dun", "dun elm other ash", "elm fir", "fir gum ash bay bay"]
+    docs = spark.range(90_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % len(texts) + 1).cast("int")).alias("text"))
+    terms = {w: n for n, w in enumerate(["ash", "bay", "cob", "dun", "elm", "fir", "gum"])}
+    block = decontaminate.Block.of([(0, "ash bay cob dun elm fir gum")], terms)
+    tokens = decontaminate._tokenise(docs, terms, len(terms)).cache()
+    index = decontaminate.fit(tokens, len(terms), lambda: iter([block]))
+    held = np.array([[w in t.split() for w in terms] for t in texts], float)
+    idf = np.log(90_001 / (1 + 18_000 * held.sum(axis=0))) + 0.1
+    assert np.allclose(index.idf, idf)
+    corpus, bench = 18_000 * (held * idf).T @ (held * idf), np.outer(idf, idf)
+    values = np.linalg.eigvalsh(corpus + np.linalg.norm(corpus) / np.linalg.norm(bench) * bench)[::-1]
+    assert np.allclose(index.values ** 2, values, rtol=1e-3, atol=1e-5 * values[0])
+
+
+@pytest.mark.parametrize("held", [1 << 21, 300])
+def test_pairs_of_terms_are_counted_exactly(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "_HELD", held)
+    monkeypatch.setattr(decontaminate, "_SORTED", 2000)
+    monkeypatch.setattr(decontaminate, "_CELLS", 256)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(0, 100)))) for i in range(60)]
+    terms, want = {f"w{n}": n for n in range(40)}, np.zeros((40, 40), int)
+    for _, text in rows:
+        ids = [terms.get(w, -1) for w in decontaminate.words_of(text)]
+        for at in sorted({min(a, max(0, len(ids) - 32)) for a in range(0, len(ids), 32)}):
+            on = [t for t in set(ids[at:at + 32]) if t >= 0]
+            want[np.ix_(on, on)] += 1
+    counts, got = decontaminate._PairCounts(40), np.zeros((40, 40), int)
+    flat = [np.array([terms.get(w, -1) for w in decontaminate.words_of(t)], np.int32) for _, t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
+    found = [b for _, _, t in decontaminate._windows(np.concatenate(flat), offsets, 32) for b in counts.add(decontaminate._columns(t, 40))] + list(counts.rows())
+    size = decontaminate._rows_of_block(40) * 40
+    for b in found:
+        for block, at, n in zip(*(c.to_pylist() for c in b.columns)):
+            assert len(at) == len(set(at)) and max(at) < size
+            np.add.at(got.reshape(-1), np.array(at) + block * size, n)
+    assert (got == np.triu(want)).all()
+
+
 def test_lcs_equals_dynamic_programming():
     r = random.Random(6)
     for _ in range(50):
