@@ -1,6 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import accuracy, loglik
+from evalspark.plans import catalog
+from evalspark.plans import fixtures as fx
 
 TOK = ("request_id string, pos int, target_id bigint, target_text string, "
        "response struct<id:bigint, token:string, logprob:double, "
@@ -100,3 +105,43 @@ def test_tokens_and_pairs_move_once_each(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert got == {("q", 0): (-0.405465, "greedy"), ("q", 1): (-0.693147, "candidate"), ("q", 2): (-1.098612, "candidate"), ("q", 3): (-100.0, "floor"), ("n", 0): (-100.0, "floor")}
+
+
+def random_documents(spark, path, rows, words):
+    """A documents table of invented words, with an empty text, one word, null texts and a null source."""
+    r = random.Random(7)
+    data = [(i, " ".join(f"w{int(r.expovariate(0.02))}" for _ in range(words)), f"src{i % 3}") for i in range(rows)]
+    data += [(rows, "", "src0"), (rows + 1, "alone", "src1"), (rows + 2, None, "src2"), (rows + 3, "w1 w2 w1 w2", None), (0, "w1 w2 \ufb01x w2", "src1")]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    every = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in every if f.getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("name", ["token_logprob_lookup", "token_logprob_lookup_nested", "request_loglik"])
+def test_lookups_leave_no_shuffles_of_tokens(spark, tmp_path, name):
+    sf = random_documents(spark, tmp_path, 300, 400)
+    before = shuffle_files(spark)
+    assert len(catalog.QUERIES[name](spark, sf).collect()) > 0
+    # 120,000 tokens and as many pairs are several MB
+    assert sum(size for file, size in shuffle_files(spark).items() if file not in before) < 300_000
+
+
+def test_parts_of_a_lookup_are_the_whole_lookup(spark, tmp_path):
+    sf = random_documents(spark, tmp_path, 40, 50)
+    req = fx.document_requests(spark, sf)
+    # a request without a context has a token without a previous one
+    bare = req.where("doc_id = 5").withColumn("context", F.expr("cast(array() as array<string>)")).withColumn("request_id", F.lit(-1).cast("long"))
+    req = req.unionByName(bare)
+    tokens = fx.blank_some_ids(loglik.request_tokens(req, fx.token_id))
+    whole = loglik.lookup_long(tokens, fx.ngram_candidates(spark, sf))
+    parts = loglik.by_prefix_parts(spark, lambda among: loglik.lookup_long(tokens.filter(among(F.col("prefix_id"))), fx.ngram_candidates(spark, sf, among=among)), 3)
+    rows = lambda df: sorted(map(repr, df.select(*sorted(whole.columns)).collect()))
+    assert rows(parts) == rows(whole) and whole.where("prefix_id is null").count() == 1
+    sums = loglik.by_prefix_parts(spark, lambda among: loglik.request_sums(whole.filter(among(F.col("prefix_id")))), 3)
+    short = lambda df: sorted(map(repr, df.select("model_id", "request_id", F.round("loglik", 9), "is_greedy", "n_tokens").collect()))
+    assert short(loglik.score_request_sums(sums, req)) == short(loglik.score_requests(whole, req))
